@@ -168,6 +168,14 @@ def _with_given(stats: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([stats, np.log1p(np.maximum(batch.column("given").to_numpy(zero_copy_only=False), 0))[:, None]], axis=1)
 
 
+def _scores(machine: Machine | None, batch: pa.RecordBatch) -> np.ndarray:
+    if machine is None:
+        return np.full(batch.num_rows, 0.5)
+    stats, owner, bucket, weight = statistics(batch.column("text"))
+    z, _ = machine.logits(batch.num_rows, *_sparse(_with_given(stats, batch), machine.edges, owner, bucket, weight))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
     """docs (doc_id, text, n_chars), labels (doc_id, label) -> the fitted machine, or None if there are no labels.
 
@@ -211,16 +219,25 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.load(model) if model else None
         for batch in portions(batches, "text"):
-            p = np.full(batch.num_rows, 0.5)
-            if machine:
-                stats, owner, bucket, weight = statistics(batch.column("text"))
-                z, _ = machine.logits(batch.num_rows, *_sparse(_with_given(stats, batch), machine.edges, owner, bucket, weight))
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(machine, batch))], ["doc_id", "score"])
 
     return _columns(docs).mapInArrow(scan, "doc_id long, score double").select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    names = docs.columns
+    given = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in names else F.lit(0.0)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine.load(model) if model else None
+        for batch in portions(batches, "text"):
+            own = pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names)
+            yield own.filter(pa.array(_scores(machine, batch) >= threshold))
+
+    return docs.select("*", given.alias("given")).mapInArrow(scan, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Score every row, learning from the folds other than 0: (doc_id, held_out, score, predicted)."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))

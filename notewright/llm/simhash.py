@@ -179,18 +179,29 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints (doc_id, fp) -> (doc_id, fp, component_id: the smallest id that is reachable)."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def components(prints: DataFrame, first: str, radius: int = 3) -> DataFrame:
+    """prints (fp, ...) -> (fp, first): of each fingerprint's component the least value of the column, nulls left out."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(first).alias("least")))
     linked = connected_components(links(distinct.select("fp"), radius))
-    of = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = cut(of)
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = cut(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = of.groupBy("component").agg(F.min("least").alias(first))
+    return of.join(least, "component").select("fp", first)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, fingerprint: 16 hex digits, component_id), a row for each row."""
-    found = components(cut(fingerprints(docs, shingle, seed)), radius)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = cut(fingerprints(docs, shingle, seed))
+    least = components(prints, "doc_id", radius).withColumnRenamed("doc_id", "component_id")
+    return prints.join(least, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, null ids last, the first of repeated rows.
+
+    docs must be a table that is read alike each time, such as Parquet: rows are known by their place in it.
+    """
+    row = F.monotonically_increasing_id()
+    ids = fingerprints(docs.select(row.alias("doc_id"), "text"), shingle, seed).withColumnRenamed("doc_id", "row")
+    named = docs.select(row.alias("row"), "doc_id").join(ids, "row").select("fp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place"))
+    kept = components(cut(named), "place", radius).select(F.col("place.row").alias("kept")).distinct()
+    return docs.withColumn("row", row).join(kept, F.col("row") == F.col("kept"), "left_semi").select(docs.columns)
