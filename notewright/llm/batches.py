@@ -1,0 +1,83 @@
+"""Rows in compact batches, and questions about a key's whole count asked batch by batch.
+
+An operator that needs, for every word or phrase of a text, a figure of the whole corpus packs its rows into batches of a
+few MB. Each batch asks once for each distinct key: one row of sorted keys for each shard of keys. A shard sums up what
+all batches sent, and answers each. So keys travel eight bytes each, and no key, however frequent, makes a hot group.
+
+Batches are known by their partition and place; their input must be read alike each time, as a table is.
+"""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from notewright.llm.words import U64, portions
+
+#: Bytes of text in a batch, and of keys in a shard, about.
+BATCH = 6_000_000
+
+
+def packed(docs: DataFrame, part: Column, most: int = BATCH) -> DataFrame:
+    """docs (..., text) -> (batch, part, blob): rows of one part each, as compressed Arrow data."""
+    keep = [c for c in docs.columns]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size: dict[int, int] = {}
+        base, made = TaskContext.get().partitionId() << 32, 0
+
+        def emit(k: int) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            out, size[k] = pack_rows(held.pop(k)), 0
+            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([k], pa.int32()), pa.array([out], pa.binary())], ["batch", "part", "blob"])
+
+        for rows in portions(batches, "text", most):
+            kinds = rows.column("part").to_numpy(zero_copy_only=False)
+            for k in np.unique(kinds).tolist():
+                own = rows.filter(pa.array(kinds == k)).select(keep)
+                held.setdefault(k, []).append(own)
+                size[k] = size.get(k, 0) + own.get_total_buffer_size()
+                if size[k] >= most:
+                    yield emit(k)
+        for k in list(held):
+            yield emit(k)
+
+    return docs.select(*keep, part.cast("int").alias("part")).mapInArrow(scan, "batch long, part int, blob binary")
+
+
+def pack_rows(rows: list[pa.RecordBatch]) -> bytes:
+    table = pa.Table.from_batches(rows).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def expand(data: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+
+
+def shards_for(docs: DataFrame, most: int = BATCH) -> int:
+    """As many shards as there are batches' worth of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(1 << 20, total // most + 1))
+
+
+def by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of the runs that sorted keys fall into."""
+    bounds = np.searchsorted(((keys >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1, dtype=U64))
+    return [(k, int(bounds[k]), int(bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds)).tolist()]
