@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import line_dedup, lm, mixing, packing, quality, simhash
+from notewright.llm import line_dedup, lm, mixing, packing, quality, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.dedup_passages(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_lm_scoring": op3_lm_scoring,
     "op5_mixing": op5_mixing,
+    "op6_passages": op6_passages,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
