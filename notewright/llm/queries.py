@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import chat, line_dedup, lm, mixing, packing, quality, simhash, substrings
+from notewright.llm import chat, cover_tree, kmeans_tree, line_dedup, lm, mixing, packing, quality, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,19 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cover_tree.whole_numbers(table(spark, sf_dir, "embeddings"), "embedding")
+    return cover_tree.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -54,7 +63,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_cover_tree": op2_cover_tree,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_kmeans_tree": op4_kmeans_tree,
     "op5_mixing": op5_mixing,
     "op6_passages": op6_passages,
     "op7_packing": op7_packing,
@@ -63,6 +74,14 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_cover_tree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+scored AS (
+    SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v AS q JOIN v AS p ON q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op1_chat": r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
