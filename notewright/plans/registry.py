@@ -1,4 +1,7 @@
 """The queries over the driver's tables, and DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from notewright.plans import tracks
+
+MODULES = (tracks,)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: s for m in MODULES for name, s in m.ORACLE_SQL.items()}
