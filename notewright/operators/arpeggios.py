@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.operators.chords import TEMPLATES, _mask, _masks
+from notewright.operators.chords import candidates
 from notewright.operators.features import TRACK
 
 # Note values by their length in beats.
@@ -12,16 +12,9 @@ RATES = [(0.125, "1/32"), (0.1875, "1/16T"), (0.25, "1/16"), (0.375, "1/8T"), (0
 
 def infer_chord(bits: Column) -> Column:
     """The template with the best coverage, a tenth off for each note outside; all roots, the first of equals. Null below three notes."""
-    turned = _masks(bits)
-    candidates = []
-    for root in range(12):
-        for k, (quality, template) in enumerate(TEMPLATES.items()):
-            hits = F.bit_count(turned(root).bitwiseAND(F.lit(_mask(template))))
-            score = hits / float(len(template)) - (F.bit_count(turned(root)) - hits) * F.lit(0.1)
-            candidates.append(F.struct(score.alias("score"), F.lit(-(root * 12 + k)).alias("order"), F.lit(root).alias("root"), F.lit(quality).alias("quality")))
-    best = F.array_max(F.array(*candidates))
-    good = (F.bit_count(bits) >= 3) & (best["score"] > 0)
-    return F.when(good, F.struct(best["root"].alias("root"), best["quality"].alias("quality"), F.least(F.lit(1.0), best["score"]).alias("confidence")))
+    scored = F.array_max(candidates(bits, lambda common, extra, size, root: common / size.cast("double") - extra * F.lit(0.1)))
+    good = lambda b: (F.bit_count(bits) >= 3) & (b["score"] > 0)
+    return F.transform(F.array(scored), lambda b: F.when(good(b), F.struct(b["root"].alias("root"), b["quality"].alias("quality"), F.least(F.lit(1.0), b["score"]).alias("confidence"))))[0]
 
 
 def rate(delta: Column) -> Column:
@@ -41,7 +34,7 @@ def windows(notes: DataFrame, width: float = 4.0, least: int = 4) -> DataFrame:
         F.count(F.lit(1)).alias("notes"),
         F.min(F.col("_t0") + F.col("window") * width).alias("window_start"),
         F.array_sort(F.collect_list(note)).alias("s"),
-        F.bit_or(F.shiftleft(F.lit(1), F.pmod("pitch", F.lit(12)))).alias("bits"),
+        F.bit_or(F.expr("shiftleft(1, pmod(pitch, 12))")).alias("bits"),
         F.min("pitch").alias("low"),
         F.avg("duration_beats").alias("avg_duration"),
         (F.max("start_beat") - F.min("start_beat")).alias("span"),

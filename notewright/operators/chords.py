@@ -55,46 +55,52 @@ def windows(notes: DataFrame, by: list[str], width: float = 2.0, hop: float = 1.
     return held.groupBy(*by, "window", F.col("_a").alias("w0"), F.col("_b").alias("w1"), F.pmod("pitch", F.lit(12)).alias("pc")).agg(F.sum(overlap).alias("weight"), F.min("pitch").alias("low")).select(*by, "window", F.col("w0").alias("start_beat"), F.col("w1").alias("end_beat"), "pc", "weight", "low")
 
 
-def _masks(bits: Column) -> Callable[[int], Column]:
-    """bits turned so that the given root is bit 0."""
-    return lambda root: F.shiftright(bits, root).bitwiseOR(F.shiftleft(bits, 12 - root)).bitwiseAND(4095)
-
-
 def _mask(template: list[int]) -> int:
     return sum(1 << k for k in template)
 
 
+def candidates(bits: Column, score: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """Every root with every template, roots first: array of struct (score, order, root, quality, present).
+
+    bits: the pitch classes, one bit each. score gets how many of the template's notes are there, how many others, the
+    template's size, and the root.
+    """
+    masks, sizes, names_ = (F.array(*map(F.lit, x)) for x in ([_mask(t) for t in TEMPLATES.values()], [len(t) for t in TEMPLATES.values()], list(TEMPLATES)))
+
+    def one(i: Column) -> Column:
+        root, k = F.floor(i / 12).cast("int"), i % 12
+        down, up = F.call_function("shiftright", bits, root), F.call_function("shiftleft", bits, 12 - root)
+        turned = down.bitwiseOR(up).bitwiseAND(4095)
+        common = F.bit_count(turned.bitwiseAND(F.get(masks, k)))
+        return F.struct(score(common, F.bit_count(bits) - common, F.get(sizes, k), root).alias("score"), (-i).alias("order"), root.alias("root"), F.get(names_, k).alias("quality"), (down.bitwiseAND(1) == 1).alias("present"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(12 * len(TEMPLATES) - 1)), one)
+
+
 def match_chord(bits: Column, weights: Column) -> Column:
     """The best template over the pitch classes that are present: struct (root, quality, confidence).
 
     Roots ascend and templates keep their order; the first of equal scores wins. A power chord counts four fifths once anything
     before it has scored.
     """
-    turned = _masks(bits)
-    candidates = []
-    for root in range(12):
-        present = F.shiftright(bits, root).bitwiseAND(1) == 1
-        factor = 1.0 + F.get(weights, F.lit(root)) * 0.1
-        for k, (quality, template) in enumerate(TEMPLATES.items()):
-            m = F.lit(_mask(template))
-            common = F.bit_count(turned(root).bitwiseAND(m))
-            extra, missing = F.bit_count(turned(root)) - common, len(template) - common
-            score = (common - extra * F.lit(0.5) - missing * F.lit(0.3)) / float(len(template)) * factor
-            candidates.append(F.struct(score.alias("score"), F.lit(-(root * 12 + k)).alias("order"), F.lit(root).alias("root"), F.lit(quality).alias("quality"), present.alias("present")))
-    scored = F.filter(F.array(*candidates), lambda c: c["present"] & (c["score"] > 0))
+
+    def score(common: Column, extra: Column, size: Column, root: Column) -> Column:
+        return (common - extra * F.lit(0.5) - (size - common) * F.lit(0.3)) / size.cast("double") * (1.0 + F.get(weights, root) * 0.1)
+
+    scored = F.filter(candidates(bits, score), lambda c: c["present"] & (c["score"] > 0))
 
     def best(all_: Column) -> Column:
         lead = F.array_max(F.transform(all_, lambda c: c["order"]))
-        return F.array_max(F.transform(all_, lambda c: F.struct(F.when((c["quality"] == "5") & (c["order"] < lead), c["score"] * F.lit(0.8)).otherwise(c["score"]).alias("score"), c["order"].alias("order"), c["root"].alias("root"), c["quality"].alias("quality"))))
+        return F.transform(F.array(lead), lambda first: F.array_max(F.transform(all_, lambda c: F.struct(F.when((c["quality"] == "5") & (c["order"] < first), c["score"] * F.lit(0.8)).otherwise(c["score"]).alias("score"), c["order"].alias("order"), c["root"].alias("root"), c["quality"].alias("quality")))))[0]
 
-    found = F.transform(F.array(scored), best)[0]
-    return F.when(found.isNull(), F.struct(F.lit(0).alias("root"), F.lit("?").alias("quality"), F.lit(0.0).alias("confidence"))).otherwise(F.struct(found["root"].alias("root"), found["quality"].alias("quality"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found["score"])).alias("confidence")))
+    none = F.struct(F.lit(0).alias("root"), F.lit("?").alias("quality"), F.lit(0.0).alias("confidence"))
+    return F.transform(F.transform(F.array(scored), best), lambda b: F.when(b.isNull(), none).otherwise(F.struct(b["root"].alias("root"), b["quality"].alias("quality"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), b["score"])).alias("confidence"))))[0]
 
 
 def detect_chords(notes: DataFrame, by: list[str], width: float = 2.0, hop: float = 1.0, least: int = 2, inversions: bool = True) -> DataFrame:
     """(by, window, start_beat, end_beat, root, quality, bass, confidence) of every window with enough pitch classes."""
     weights = F.array(*[F.coalesce(F.sum(F.when(F.col("pc") == k, F.col("weight"))), F.lit(0.0)) for k in range(12)])
-    grouped = windows(notes, by, width, hop).groupBy(*by, "window", "start_beat", "end_beat").agg(F.sum(F.shiftleft(F.lit(1), F.col("pc"))).cast("int").alias("bits"), weights.alias("weights"), F.count(F.lit(1)).alias("pcs"), F.pmod(F.min("low"), F.lit(12)).alias("low_pc"))
+    grouped = windows(notes, by, width, hop).groupBy(*by, "window", "start_beat", "end_beat").agg(F.sum(F.expr("shiftleft(1, pc)")).cast("int").alias("bits"), weights.alias("weights"), F.count(F.lit(1)).alias("pcs"), F.pmod(F.min("low"), F.lit(12)).alias("low_pc"))
     out = grouped.where(F.col("pcs") >= least).withColumn("c", match_chord(F.col("bits"), F.col("weights")))
     bass = F.when(F.col("low_pc") != F.col("c.root"), F.col("low_pc")) if inversions else F.lit(None).cast("int")
     return out.select(*by, "window", "start_beat", "end_beat", "c.root", "c.quality", bass.alias("bass"), "c.confidence")
@@ -146,13 +152,17 @@ def simplified(chords: DataFrame, by: list[str], order: str = "position") -> Dat
     return kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "name"))), lambda x: x["name"]).alias("names"))
 
 
+def _mismatches(numerals: Column, pattern: list[str]) -> Callable[[Column], Column]:
+    """How many numerals from a place on differ from the pattern."""
+    return lambda i: sum((F.when(F.get(numerals, i + k) != x, 1).otherwise(0) for k, x in enumerate(pattern)), F.lit(0))
+
+
 def match_progression(numerals: DataFrame, by: list[str], tolerance: int = 0) -> DataFrame:
     """numerals (by, numerals array) -> with `progression`, the first known one that stands anywhere in it."""
     col, found = F.col("numerals"), F.lit(None).cast("string")
     for name, text in reversed(PROGRESSIONS.items()):
         pattern = text.split(" ")
-        n = len(pattern)
-        wrong = lambda i, p=pattern: sum((F.when(F.get(col, i + k) != x, 1).otherwise(0) for k, x in enumerate(p)), F.lit(0))
-        hit = (F.size(col) >= n) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(col) - n, F.lit(0))), lambda i, w=wrong: w(i) <= tolerance)
+        starts = F.sequence(F.lit(0), F.greatest(F.size(col) - len(pattern), F.lit(0)))
+        hit = (F.size(col) >= len(pattern)) & (F.array_min(F.transform(starts, _mismatches(col, pattern))) <= tolerance)
         found = F.when(hit, name).otherwise(found)
     return numerals.withColumn("progression", found)

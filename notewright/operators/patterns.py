@@ -27,14 +27,14 @@ def repetition_ratio(clusters: DataFrame) -> DataFrame:
 
 def rhythm_similarity(a: Column, b: Column) -> Column:
     """Jaccard index of the steps with an onset; two empty grids are alike."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.least(x, y), F.lit(0))), F.lit(0), lambda s, x: s + x)
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0)))), F.lit(0), lambda s, x: s + x)
     either = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0)))), F.lit(0), lambda s, x: s + x)
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
 def cosine(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Of two vectors; with a zero vector 0, or `empty` if both are zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce((x * y).cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.when((size(a) == 0) & (size(b) == 0), empty).when((size(a) == 0) | (size(b) == 0), 0.0).otherwise(dot / (size(a) * size(b)))
 
@@ -130,8 +130,8 @@ def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataF
 
 
 def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5) -> DataFrame:
-    """(target, pattern_id, similarity): patterns of the length of a target row, by cosine of onsets and pitch classes; two empty
-    vectors are alike. Targets are a stated set; they meet patterns by equi-join on length."""
+    """(target, pattern_id, similarity): patterns of the length of a target row, by the mean of their onsets' Jaccard index and
+    their pitch classes' cosine; two empty vectors are alike. Targets are a stated set; they meet patterns by equi-join on length."""
     t = target.select(F.col("pattern_id").alias("target"), "num_bars", F.col("onset_grid").alias("_g"), F.col("pitch_classes").alias("_p"))
-    score = (cosine(F.col("onset_grid"), F.col("_g"), 1.0) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
+    score = (rhythm_similarity(F.col("onset_grid"), F.col("_g")) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
     return patterns.join(t, "num_bars").where("pattern_id <> target").withColumn("similarity", score).where(F.col("similarity") >= least).select("target", "pattern_id", "num_bars", "similarity")

@@ -47,8 +47,9 @@ def notes_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("int").alias("motif"),
         F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 5).otherwise(7).alias("shift"),
         (F.row_number().over(W.partitionBy(song).orderBy("o_orderdate", "o_orderkey")) - 1).cast("long").alias("bar"),
-        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"),
     )
+    # after the numbering, as a generator beside a window would come before it
+    bars = bars.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return bars.select(
         "song_id",
         F.lit(0).alias("track_id"),
