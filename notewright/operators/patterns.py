@@ -105,7 +105,7 @@ def store(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) of the whole collection: a row for each distinct pattern, and one for each place it stands in."""
     instances = prints.where("note_count > 0").select("pattern_id", *TRACK, "chunk_size", "start_bar", "num_bars")
     patterns = prints.where("note_count > 0").groupBy("pattern_id", "rhythm_hash", "pitch_hash", "num_bars").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.count_distinct("song_id").alias("songs"), F.max("note_count").alias("note_count"), F.max("range_semitones").alias("range_semitones"), F.first("onset_grid").alias("onset_grid"), F.first("pitch_classes").alias("pitch_classes")
+        F.count(F.lit(1)).alias("occurrences"), F.count_distinct("song_id").alias("songs"), F.max("note_count").alias("note_count"), F.max("range_semitones").alias("range_semitones"), F.min("onset_grid").alias("onset_grid"), F.min("pitch_classes").alias("pitch_classes")
     )
     return patterns, instances
 

@@ -123,7 +123,7 @@ def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORE = """
 patterns AS (
     SELECT pattern_id, rhythm_hash, pitch_hash, num_bars, count(*) AS occurrences, count(DISTINCT song_id) AS songs, max(note_count) AS note_count, max(range_semitones) AS range_semitones,
-        any_value(onset_grid) AS onset_grid, any_value(pitch_classes) AS pitch_classes FROM prints WHERE note_count > 0 GROUP BY 1, 2, 3, 4
+        min(onset_grid) AS onset_grid, min(pitch_classes) AS pitch_classes FROM prints WHERE note_count > 0 GROUP BY 1, 2, 3, 4
 )"""
 SHOWN = ["pattern_id", "rhythm_hash", "pitch_hash", "num_bars", "occurrences", "songs", "note_count", "range_semitones"]
 LIST = ", ".join(SHOWN)
