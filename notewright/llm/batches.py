@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from notewright.llm.words import U64, portions
 
 #: Bytes of text in a batch, and of keys in a shard, about.
-BATCH = 6_000_000
+BATCH = 3_000_000
 
 
 def packed(docs: DataFrame, part: Column, most: int = BATCH) -> DataFrame:
@@ -54,7 +54,7 @@ def packed(docs: DataFrame, part: Column, most: int = BATCH) -> DataFrame:
 def pack_rows(rows: list[pa.RecordBatch]) -> bytes:
     table = pa.Table.from_batches(rows).combine_chunks()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
