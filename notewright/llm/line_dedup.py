@@ -75,14 +75,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> the same rows with text shortened, and n_lines, n_removed_lines, n_removed_chunks."""
-    key = F.xxhash64("text")
-    keyed = docs.select("doc_id", key.alias("key"), "text")
-    gone = repeated(keyed).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
-    out = docs.withColumn("key", key).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    """docs (doc_id, text, ...) -> the same rows with text shortened, and n_lines, n_removed_lines, n_removed_chunks (columns of these
+    names give way)."""
+    added = ("n_lines", "n_removed_lines", "n_removed_chunks")
+    keep = [c for c in docs.columns if c not in added]
+    keyed = docs.select(F.struct(*keep).alias("row"), "doc_id", F.xxhash64("text").alias("key"), "text")
+    gone = repeated(keyed.select("doc_id", "key", "text")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
+    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
     parts = F.filter(chunks(F.col("text")), lambda c, i: ~F.array_contains("gone", i))
     out = out.withColumn("left_lines", F.when(F.col("gone").isNotNull(), F.flatten(parts)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left_lines", "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     kept = F.when(F.col("gone").isNull(), n).otherwise(F.size("left_lines")).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], n.alias("n_lines"), (n - kept).alias("n_removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in keep], n.alias(added[0]), (n - kept).alias(added[1]), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[2]))

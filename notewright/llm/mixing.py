@@ -57,10 +57,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return filled.select("source", "source_size", F.coalesce(F.least(F.col("most"), common * F.col("weight")), F.col("most")).alias("target"))
 
 
+#: Up to so many sources their figures are sent to all tasks; beyond, they are joined by source.
+FEW = 10_000
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 11) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> the same rows with size, source_size, target and copies."""
+    """docs (doc_id, text, source, ...) -> the same rows with size, source_size, target and copies (columns of these names give way)."""
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     draw = F.xxhash64("doc_id", "text", F.lit(seed))
-    sized = docs.withColumns({"size": word_count(F.col("text")), "draw": draw})
+    sized = docs.select(F.struct(*kept).alias("row"), "source", word_count(F.col("text")).alias("size"), draw.alias("draw"))
     slim = cut(sized.select("source", "size", "draw"))
     # a document's chance of a further copy rises slowly with its size
     lean = F.log2(F.col("size") + 2.0)
@@ -78,8 +83,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         return F.when(chance > 0, F.floor(odds / (1 + odds) * ((1 << RANK_BITS) - 1)))
 
     named = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "part", "lift")
+    few = named.limit(FEW + 1).count() <= FEW
+    small = lambda t: F.broadcast(t) if few else t
     same = F.col("source").eqNullSafe(F.col("s"))
-    ranked = cut(slim.where("size > 0").join(named, same).select("s", "size", rank(F.col("draw"), F.col("size"), F.col("part"), F.col("lift")).alias("rank")).where("rank is not null"))
+    ranked = cut(slim.where("size > 0").join(small(named), same).select("s", "size", rank(F.col("draw"), F.col("size"), F.col("part"), F.col("lift")).alias("rank")).where("rank is not null"))
 
     # state: per source the prefix of bits under which the cut lies, and the words still to take below it
     state = plan.select(F.col("source").alias("s"), F.lit(0).cast("long").alias("prefix"), (F.col("part") * F.col("source_size")).alias("need"))
@@ -88,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     while low > 0:
         low -= STEP
         a, b = state.alias("a"), ranked.alias("b")
-        inside = b.join(a, F.col("a.s").eqNullSafe(F.col("b.s")) & (F.shiftright(F.col("rank"), low + STEP) == F.col("prefix"))).select("b.s", "size", "need", F.shiftright(F.col("rank"), low).alias("at"))
+        inside = b.join(small(a), F.col("a.s").eqNullSafe(F.col("b.s")) & (F.shiftright(F.col("rank"), low + STEP) == F.col("prefix"))).select("b.s", "size", "need", F.shiftright(F.col("rank"), low).alias("at"))
         counts = inside.groupBy("s", "at").agg(F.sum("size").alias("words"), F.max("need").alias("need"), F.count(F.lit(1)).alias("n"))
         up = F.sum("words").over(W.partitionBy("s").orderBy("at"))
         # the first bucket that reaches what is needed, or the last
@@ -102,7 +109,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # what is left is one rank, all but surely one document: take it if that comes nearer
     last = F.shiftleft(F.col("prefix"), low) + F.when(F.col("words") <= 2 * F.col("need"), (1 << low) - 1).otherwise(-1)
     ends = state.select(F.col("s").alias("t"), last.alias("last"))
-    decided = named.join(ends, F.col("s").eqNullSafe(F.col("t")), "left").drop("t")
-    out = sized.join(decided, same, "left").withColumn("rank", rank(F.col("draw"), F.col("size"), F.col("part"), F.col("lift")))
+    decided = cut(named.join(ends, F.col("s").eqNullSafe(F.col("t")), "left").drop("t"))
+    out = sized.join(small(decided), same, "left").withColumn("rank", rank(F.col("draw"), F.col("size"), F.col("part"), F.col("lift")))
     copies = F.col("whole") + F.coalesce((F.col("rank") <= F.col("last")).cast("int"), F.lit(0))
-    return out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1))).cast("long")).select(*[docs[c] for c in docs.columns], "size", "source_size", "target", "copies")
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1))).cast("long")
+    return out.withColumn("copies", copies).select("row.*", "size", "source_size", "target", "copies")

@@ -161,11 +161,11 @@ def fit(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], y: np.nda
 
 def _columns(docs: DataFrame, *more: Column) -> DataFrame:
     length = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in docs.columns else F.lit(0.0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("given"), *more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("_given_length"), *more)
 
 
 def _with_given(stats: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    return np.concatenate([stats, np.log1p(np.maximum(batch.column("given").to_numpy(zero_copy_only=False), 0))[:, None]], axis=1)
+    return np.concatenate([stats, np.log1p(np.maximum(batch.column("_given_length").to_numpy(zero_copy_only=False), 0))[:, None]], axis=1)
 
 
 def _scores(machine: Machine | None, batch: pa.RecordBatch) -> np.ndarray:
@@ -235,7 +235,7 @@ def keep(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataFr
             own = pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names)
             yield own.filter(pa.array(_scores(machine, batch) >= threshold))
 
-    return docs.select("*", given.alias("given")).mapInArrow(scan, docs.schema)
+    return docs.select("*", given.alias("_given_length")).mapInArrow(scan, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

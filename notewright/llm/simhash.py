@@ -204,4 +204,4 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 4
     ids = fingerprints(docs.select(row.alias("doc_id"), "text"), shingle, seed).withColumnRenamed("doc_id", "row")
     named = docs.select(row.alias("row"), "doc_id").join(ids, "row").select("fp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row").alias("place"))
     kept = components(cut(named), "place", radius).select(F.col("place.row").alias("kept")).distinct()
-    return docs.withColumn("row", row).join(kept, F.col("row") == F.col("kept"), "left_semi").select(docs.columns)
+    return docs.select(F.struct(*docs.columns).alias("whole"), row.alias("row")).join(kept, F.col("row") == F.col("kept"), "left_semi").select("whole.*")
