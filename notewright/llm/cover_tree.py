@@ -5,8 +5,8 @@ blocks is one task's group: it builds a cover tree over its candidates and one o
 once. A pair of nodes with centres q, p and covering radii r, s can't score above <q, p> + r |p| + s |q| + r s, and is pruned if that
 is below the worst kth score in the query node's group. What the blocks find is merged by query.
 
-Scores are whole numbers, computed exactly: in double precision where no sum can pass 2 ** 53, else in Python integers (the
-result is a 64-bit number, so larger scores are cut to its range).
+Scores are whole numbers, computed exactly: in double precision where no sum can pass 2 ** 53, else, in blocks with such large
+components, by Python integers without a tree (the result is a 64-bit number, so larger scores are cut to its range).
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; of rows that repeat an
 id the least vector counts; vectors of different lengths don't meet; ties go to smaller ids; with fewer candidates than k all are
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from notewright.llm.lineage import cut
 from notewright.llm.vectors import block, matrix, one_each, sound
 
-LEAF = 24
+#: Rows in a leaf of candidates and of queries, and how much smaller a child's ball is than its parent's.
+LEAF, QUERY_LEAF, SHRINK = 256, 64, 0.7
 #: Rows in a candidate block, in a query block, and query blocks in a group.
 CANDIDATES, QUERIES, GROUP = 8192, 512, 16
 
@@ -32,56 +33,69 @@ CANDIDATES, QUERIES, GROUP = 8192, 512, 16
 class CoverTree:
     """Nodes in arrays: centre (a row), covering radius, children; leaves hold rows.
 
-    A node's children have centres more than half its radius apart, and each row goes to the first centre within half the radius.
+    The centres of a node's children are more than SHRINK times its radius apart, and each row goes to the first centre within that
+    distance. Children of few rows are pooled into one leaf around the first of their centres: in many dimensions balls hold
+    hardly more than their centre, and a leaf is to be worth a matrix product.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.points, self.leaf = points, leaf
+        self.size = (points**2).sum(axis=1)
+        #: Squared distances are exact for whole numbers below 2 ** 26; this covers their error otherwise.
+        self.slack = 1e-12 * float(self.size.max(initial=0.0))
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray] = []
         if len(points):
             rows = np.arange(len(points))
-            self._build(rows, 0, self._distances(rows, 0), leaf)
+            self._build(rows, 0, self._squares(rows, 0))
 
-    def _distances(self, rows: np.ndarray, centre: int) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(axis=1))
+    def _squares(self, rows: np.ndarray, centre: int) -> np.ndarray:
+        return np.maximum(self.size[rows] + self.size[centre] - 2 * (self.points[rows] @ self.points[centre]), 0.0)
 
-    def _build(self, rows: np.ndarray, centre: int, far: np.ndarray, leaf: int) -> None:
-        stack = [(rows, centre, far, -1)]
+    def _build(self, rows: np.ndarray, centre: int, far: np.ndarray) -> None:
+        stack = [(rows, centre, far, -1, len(rows) > self.leaf)]
         while stack:
-            rows, centre, far, parent = stack.pop()
-            node = len(self.centre)
+            rows, centre, far, parent, divide = stack.pop()
+            node, reach = len(self.centre), float(far.max())
             self.centre.append(centre)
-            self.radius.append(float(far.max()))
+            self.radius.append(float(np.sqrt(reach + self.slack)))
             self.children.append([])
             self.rows.append(rows)
             if parent >= 0:
                 self.children[parent].append(node)
-            if len(rows) <= leaf or not self.radius[node]:
+            if not divide or reach <= self.slack:
                 continue
-            half, next_centre, d = self.radius[node] / 2, centre, far
+            self.rows[node] = np.zeros(0, np.int64)
+            pool: list[np.ndarray] = []
+            limit, next_centre, d = reach * SHRINK**2, centre, far
             while len(rows):
-                near = d <= half
-                stack.append((rows[near], next_centre, d[near], node))
+                near = d <= limit
+                own = rows[near]
+                if len(own) > self.leaf:
+                    stack.append((own, next_centre, d[near], node, True))
+                else:
+                    pool.append(own)
                 rows = rows[~near]
                 if len(rows):
                     next_centre = int(rows[0])
-                    d = self._distances(rows, next_centre)
-            self.rows[node] = np.zeros(0, np.int64)
+                    d = self._squares(rows, next_centre)
+            few = np.concatenate(pool) if pool else np.zeros(0, np.int64)
+            for at in range(0, len(few), self.leaf):
+                own = few[at : at + self.leaf]
+                stack.append((own, int(own[0]), self._squares(own, int(own[0])), node, False))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, exact: type = float) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, places in points) of each query's k best, -1 where there are fewer; a query's own id is left out."""
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, tree: "CoverTree | None" = None) -> np.ndarray:
+    """Places in points of each query's k best, -1 where there are fewer; a query's own id is left out."""
     n = len(queries)
     best_score, best_at = np.full((n, k), -np.inf), np.full((n, k), -1)
     best_id = np.full((n, k), np.iinfo(np.int64).max)
     if not n or not len(points):
-        return best_score, best_at
-    a, b = CoverTree(queries), CoverTree(points)
-    size_a = np.sqrt((queries**2).sum(axis=1))[a.centre]
-    size_b = np.sqrt((points**2).sum(axis=1))[b.centre]
+        return best_at
+    a, b = CoverTree(queries, QUERY_LEAF), tree or CoverTree(points, LEAF)
+    size_a, size_b = np.sqrt(a.size)[a.centre], np.sqrt(b.size)[b.centre]
     centres_a, centres_b = queries[a.centre], points[b.centre]
     radius_a, radius_b = np.array(a.radius), np.array(b.radius)
     worst = np.full(len(a.centre), -np.inf)
@@ -96,19 +110,21 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
 
     def meet(x: int, y: int) -> None:
         rows, cols = a.rows[x], b.rows[y]
-        if exact is float:
-            scores = queries[rows] @ points[cols].T
-        else:
-            scores = np.array(queries[rows].astype(object) @ points[cols].T.astype(object)).astype(np.float64)
+        scores = queries[rows] @ points[cols].T
         scores[query_ids[rows][:, None] == ids[cols][None, :]] = -np.inf
+        hit = (scores >= best_score[rows, k - 1][:, None]) & (scores > -np.inf)
+        some, which = hit.any(axis=1), hit.any(axis=0)
+        if not some.any():
+            return
+        rows, cols, scores = rows[some], cols[which], scores[np.ix_(some, which)]
         every = np.concatenate([best_score[rows], scores], axis=1)
         names = np.concatenate([best_id[rows], np.broadcast_to(ids[cols], scores.shape)], axis=1)
         at = np.concatenate([best_at[rows], np.broadcast_to(cols, scores.shape)], axis=1)
         order = np.lexsort((names, -every), axis=1)[:, :k]
-        best_score[rows] = np.take_along_axis(every, order, 1)
-        best_id[rows] = np.where(np.isneginf(best_score[rows]), np.iinfo(np.int64).max, np.take_along_axis(names, order, 1))
-        best_at[rows] = np.where(np.isneginf(best_score[rows]), -1, np.take_along_axis(at, order, 1))
-        worst[x] = best_score[rows, k - 1].min()
+        best_score[rows], best_id[rows], best_at[rows] = (np.take_along_axis(v, order, 1) for v in (every, names, at))
+        best_at[best_score == -np.inf] = -1
+        best_id[best_score == -np.inf] = np.iinfo(np.int64).max
+        worst[x] = best_score[a.rows[x], k - 1].min()
         while (up := above[x]) >= 0 and (least := worst[a.children[up]].min()) > worst[up]:
             x = up
             worst[x] = least
@@ -116,7 +132,6 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
     heap = [(-float(ceilings(0, [0])[0]), 0, 0)]
     while heap:
         top, x, y = heapq.heappop(heap)
-        # a descendant of a query node may know more than the node itself
         if -top < worst[x]:
             continue
         kids_a, kids_b = a.children[x], b.children[y]
@@ -131,7 +146,17 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
                 bound = float(ceilings(kid, [y])[0])
                 if bound >= worst[kid]:
                     heapq.heappush(heap, (-bound, kid, y))
-    return best_score, best_at
+    return best_at
+
+
+def plain_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The same in Python integers, for components so large that doubles would round; by comparing all."""
+    out = np.full((len(queries), k), -1)
+    for n, (q, own) in enumerate(zip(queries, query_ids, strict=True)):
+        scores = points @ q
+        order = sorted((j for j in range(len(points)) if ids[j] != own), key=lambda j: (-scores[j], ids[j]))[:k]
+        out[n, : len(order)] = order
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
@@ -153,9 +178,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         found: list[list[np.ndarray]] = [[], [], []]
         p, p_ids = m[~asks], ids[~asks]
         q, q_ids = m[asks], ids[asks]
+        p_exact = p.astype(np.float64 if fits else object)
+        tree = CoverTree(p_exact, LEAF) if fits and len(p) else None
         for at in range(0, len(q), QUERIES):
             part, part_ids = q[at : at + QUERIES], q_ids[at : at + QUERIES]
-            _, where = dual_search(part.astype(np.float64), part_ids, p.astype(np.float64), p_ids, k, float if fits else object)
+            where = dual_search(part.astype(np.float64), part_ids, p_exact, p_ids, k, tree) if fits else plain_search(part.astype(object), part_ids, p_exact, p_ids, k)
             row, col = np.nonzero(where >= 0)
             place = where[row, col]
             found[0].append(part_ids[row])
