@@ -109,17 +109,21 @@ PAIRS = "query_id long, vec_id long, score double, leaf int"
 
 
 def _meet(k: int):
-    """Of one block of vectors and one of queries: each query's k best there."""
+    """Of one block of vectors and one of queries: each query's k best in the leaves it visits there (null: in all)."""
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         ids, m, leaf = table.column("vec_id").to_numpy(), matrix(table.column("v")).astype(np.float64), table.column("leaf").to_numpy()
         points, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        visited = table.column("leaves").to_pylist()
         rows, cols, values = [], [], []
         for at in range(0, len(queries), 256):
             part = queries[at : at + 256]
             scores = m[part] @ m[points].T
             scores[ids[part][:, None] == ids[points][None, :]] = -np.inf
+            for row, q in enumerate(part):
+                if visited[q] is not None:
+                    scores[row, ~np.isin(leaf[points], visited[q])] = -np.inf
             for q, s in zip(part, scores, strict=True):
                 some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                 some = some[s[some] > -np.inf]
@@ -168,8 +172,9 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
     asked = max(1, queries.count())
     some = queries.where(drawn(2, CALIBRATE / asked))
     blocks = -(-n // ROWS)
-    points = filed.select(block(F.col("vec_id"), blocks).alias("block"), "vec_id", "v", F.lit(False).alias("asks"), "leaf")
-    trial = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(True).alias("asks"), "leaf")
+    nowhere = F.lit(None).cast("array<int>").alias("leaves")
+    points = filed.select(block(F.col("vec_id"), blocks).alias("block"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
+    trial = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(True).alias("asks"), "leaf", nowhere)
     exact = _ranked(points.union(trial).groupBy("block").applyInArrow(_meet(k), PAIRS), k)
     true_leaves = exact.groupBy("query_id").agg(F.collect_list("leaf").alias("true")).join(some.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
 
@@ -190,20 +195,35 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
             most = int(visits)
             break
 
-    # the search: each query goes to the blocks of its leaves
-    counts = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"))
+    # the search: neighbouring leaves make units, large units have blocks, and each query goes once to each unit that it visits
+    counted = filed.groupBy("leaf").count().toArrow()
+    sizes_of = np.zeros(leaves, np.int64)
+    sizes_of[counted.column("leaf").to_numpy()] = counted.column("count").to_numpy()
+    unit_of = (np.cumsum(sizes_of) - sizes_of) // ROWS
+    blocks_of = np.maximum(1, -(-np.bincount(unit_of, sizes_of).astype(np.int64) // (2 * ROWS)))
+    parts = max(1, -(-asked // (ASKING * 8)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = unit_of[b.column("leaf").to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(blocks_of[unit]), *(b.column(c) for c in ("vec_id", "v", "leaf"))], ["unit", "blocks", "vec_id", "v", "leaf"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.load(model)
         for b in batches:
-            at = [tree.visits(q, most) for q in matrix(b.column("v")).reshape(-1, dim)]
-            owner = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(owner), b.column("v").take(owner), pa.array(np.concatenate(at) if at else [], pa.int32())], ["vec_id", "v", "leaf"])
-
-    groups = F.lit(max(1, -(-asked // (ASKING * 8))))
-    share_of = F.pmod(F.xxhash64("vec_id", F.lit(3)), groups).cast("int").alias("part")
-    routed = queries.select("vec_id", "v").mapInArrow(route, "vec_id long, v array<double>, leaf int").join(counts, "leaf")
-    routed = routed.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), share_of, "vec_id", "v", F.lit(True).alias("asks"))
-    points = filed.join(counts, "leaf").select("leaf", block(F.col("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), groups.cast("int") - 1)).alias("part"), "vec_id", "v", F.lit(False).alias("asks"))
-    found = points.union(routed).groupBy("leaf", "block", "part").applyInArrow(_meet(k), PAIRS)
+            owner, unit, seen = [], [], []
+            for k, q in enumerate(matrix(b.column("v")).reshape(-1, dim)):
+                own = np.array(tree.visits(q, most))
+                for u in np.unique(unit_of[own]).tolist():
+                    owner.append(k)
+                    unit.append(u)
+                    seen.append(own[unit_of[own] == u])
+            at, units = pa.array(owner, pa.int64()), np.array(unit, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(blocks_of[units]), b.column("vec_id").take(at), b.column("v").take(at), pa.array(seen, pa.list_(pa.int32()))], ["unit", "blocks", "vec_id", "v", "leaves"])
+
+    routed = queries.select("vec_id", "v").mapInArrow(route, "unit long, blocks long, vec_id long, v array<double>, leaves array<int>")
+    routed = routed.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), "vec_id", "v", F.lit(True).alias("asks"), F.lit(-1).alias("leaf"), "leaves")
+    dealt = filed.select("vec_id", "v", "leaf").mapInArrow(deal, "unit long, blocks long, vec_id long, v array<double>, leaf int")
+    points = dealt.select("unit", block(F.col("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
+    found = points.union(routed).groupBy("unit", "block", "part").applyInArrow(_meet(k), PAIRS)
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score", F.lit(most).alias("leaves_visited"))
