@@ -72,11 +72,11 @@ def paths(chosen: DataFrame, hops: list[DataFrame]) -> DataFrame:
 
     Each round, from the longest pointers to the shortest, adds to every message found the one its pointer names.
     """
-    found = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("id"), (F.col("length") - 1).alias("turn"))
+    found = cut(chosen.select("tree", "leaf", "rank", F.col("leaf").alias("id"), (F.col("length") - 1).alias("turn")))
     for k in reversed(range(len(hops))):
         hop = hops[k].select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         more = found.join(hop, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).select("tree", "leaf", "rank", F.col("up").alias("id"), (F.col("turn") - (1 << k)).alias("turn"))
-        found = found.union(more)
+        found = cut(found.union(more))
     return found
 
 
