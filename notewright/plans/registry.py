@@ -1,7 +1,7 @@
 """The queries over the driver's tables, and DuckDB SQL for the same rows."""
 
-from notewright.plans import harmony, library, repeats, tracks
+from notewright.plans import harmony, library, repeats, summary, tracks
 
-MODULES = (tracks, harmony, repeats, library)
+MODULES = (tracks, harmony, repeats, library, summary)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: s for m in MODULES for name, s in m.ORACLE_SQL.items()}
