@@ -6,7 +6,7 @@ window that starts earlier: in a document of smaller id, or earlier in the same
 1. Of each window the phrase of PHRASE words with the least hash is its anchor; equal windows have equal anchors. Batches of
    documents ask, by hash, which of their anchors occur more than once in the corpus.
 2. Each batch compiles an Aho-Corasick automaton of its repeated phrases, and streams its documents through it; all
-   windows that hold an occurrence are candidates. Batches then ask, by 128-bit hash, for the smallest id that has each
+   windows that hold an occurrence are candidates. Batches then ask, by 96-bit hash, for the smallest id that has each
    candidate window, which confirms the repeated passages.
 3. Each batch removes the words that later windows cover.
 
@@ -156,7 +156,7 @@ def ask_windows(own: pa.Table, mail: pa.Table, shards: int) -> pa.Table:
     if not len(places):
         return _mail([])
     with np.errstate(over="ignore"):
-        low, high = _grams(h, WINDOW)[places], _grams(word_hashes(w, 1), WINDOW)[places]
+        low, high = _grams(h, WINDOW)[places], (_grams(word_hashes(w, 1), WINDOW)[places] >> U64(32)).astype(np.uint32)
     order = np.lexsort((high, low))
     low, high, places = low[order], high[order], places[order]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
@@ -173,7 +173,7 @@ def answer_windows(asked: pa.Table) -> pa.Table:
     """Which of its windows also stand in other batches, and the smallest id that any has."""
     asked = asked.to_pylist()
     low = np.concatenate([np.frombuffer(m["a"], U64) for m in asked])
-    high = np.concatenate([np.frombuffer(m["b"], U64) for m in asked])
+    high = np.concatenate([np.frombuffer(m["b"], np.uint32) for m in asked])
     ids = np.concatenate([batches.expand(m["c"], np.int64) for m in asked])
     order = np.lexsort((high, low))
     new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
@@ -220,15 +220,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     shards = batches.shards_for(docs)
     packed = batches.packed(docs, F.lit(0))
 
-    def each(function):
-        def scan(rows):
-            for batch in rows:
-                for k in range(batch.num_rows):
-                    yield from function(pa.Table.from_batches([batch.slice(k, 1)]), shards).to_batches()
-
-        return scan
-
-    repeated = packed.mapInArrow(each(ask_anchors), MAIL).groupBy("shard").applyInArrow(answer_anchors, MAIL)
+    asked = batches.packed(docs, F.lit(0), then=lambda row: ask_anchors(row, shards), schema=MAIL)
+    repeated = asked.groupBy("shard").applyInArrow(answer_anchors, MAIL)
     to = f"{shared_folder(spark)}/passages-{np.random.default_rng().integers(1 << 62)}"
     packed.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(lambda own, mail: ask_windows(own, mail, shards), MAIL).write.parquet(to)
     sent = spark.read.schema(MAIL).parquet(to)
