@@ -7,7 +7,7 @@ all batches sent, and answers each. So keys travel eight bytes each, and no key,
 Batches are known by their partition and place; their input must be read alike each time, as a table is.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +22,22 @@ from notewright.llm.words import U64, portions
 BATCH = 3_000_000
 
 
-def packed(docs: DataFrame, part: Column, most: int = BATCH) -> DataFrame:
-    """docs (..., text) -> (batch, part, blob): rows of one part each, as compressed Arrow data."""
-    keep = [c for c in docs.columns]
+def packed(docs: DataFrame, part: Column, most: int = BATCH, then: Callable[[pa.Table], pa.Table] | None = None, schema: str = "batch long, part int, blob binary") -> DataFrame:
+    """docs (..., text) -> (batch, part, blob): rows of one part each, as compressed Arrow data; or what `then` makes of each such row,
+    in the same worker."""
+    keep = list(docs.columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
         size: dict[int, int] = {}
         base, made = TaskContext.get().partitionId() << 32, 0
 
-        def emit(k: int) -> pa.RecordBatch:
+        def emit(k: int) -> Iterator[pa.RecordBatch]:
             nonlocal made
             made += 1
             out, size[k] = pack_rows(held.pop(k)), 0
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([k], pa.int32()), pa.array([out], pa.binary())], ["batch", "part", "blob"])
+            row = pa.table([pa.array([base + made]), pa.array([k], pa.int32()), pa.array([out], pa.binary())], ["batch", "part", "blob"])
+            yield from (then(row) if then else row).to_batches()
 
         for rows in portions(batches, "text", most):
             kinds = rows.column("part").to_numpy(zero_copy_only=False)
@@ -44,11 +46,11 @@ def packed(docs: DataFrame, part: Column, most: int = BATCH) -> DataFrame:
                 held.setdefault(k, []).append(own)
                 size[k] = size.get(k, 0) + own.get_total_buffer_size()
                 if size[k] >= most:
-                    yield emit(k)
+                    yield from emit(k)
         for k in list(held):
-            yield emit(k)
+            yield from emit(k)
 
-    return docs.select(*keep, part.cast("int").alias("part")).mapInArrow(scan, "batch long, part int, blob binary")
+    return docs.select(*keep, part.cast("int").alias("part")).mapInArrow(scan, schema)
 
 
 def pack_rows(rows: list[pa.RecordBatch]) -> bytes:

@@ -59,7 +59,7 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(word_keys, pair_keys, word, context, pair, first)
 
 
-def ask(row: pa.Table, shards: int) -> list[dict]:
+def ask(row: pa.Table, shards: int) -> pa.Table:
     part = row.column("part")[0].as_py()
     t = tokens(batches.unpack_rows(row.column("blob")[0].as_py()).column("text"))
     out: dict[int, dict] = {}
@@ -68,9 +68,10 @@ def ask(row: pa.Table, shards: int) -> list[dict]:
         for shard, a, b in batches.by_shard(keys, shards):
             own = out.setdefault(shard, {"shard": shard, "batch": row.column("batch")[0].as_py(), "part": part, "word": b"", "word_n": b"", "pair": b"", "pair_n": b""})
             own[kind], own[f"{kind}_n"] = keys[a:b].tobytes(), batches.squeeze(n[a:b])
-    return list(out.values())
+    return pa.Table.from_pylist(list(out.values()), ASK)
 
 
+ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("word", "word_n", "pair", "pair_n"))])
 ASKED = "shard int, batch long, part int, word binary, word_n binary, pair binary, pair_n binary"
 ANSWERED = "batch long, part int, shard int, word binary, pair binary, word_held binary, pair_held binary, tokens long, kinds long, tokens_held long, kinds_held long"
 
@@ -143,15 +144,9 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     shards = batches.shards_for(docs)
     packed = batches.packed(docs, part)
 
-    def send(rows):
-        for batch in rows:
-            for k in range(batch.num_rows):
-                found = ask(pa.Table.from_batches([batch.slice(k, 1)]), shards)
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("word", "word_n", "pair", "pair_n"))]))
-
-    to = f"{shared_folder(spark)}/lm-{spark.sparkContext.applicationId}-{id(docs)}-{np.random.default_rng().integers(1 << 62)}"
-    packed.mapInArrow(send, ASKED).groupBy("shard").applyInArrow(answer, ANSWERED).write.parquet(to)
+    to = f"{shared_folder(spark)}/lm-{np.random.default_rng().integers(1 << 62)}"
+    asked = batches.packed(docs, part, then=lambda row: ask(row, shards), schema=ASKED)
+    asked.groupBy("shard").applyInArrow(answer, ANSWERED).write.parquet(to)
     answers = spark.read.schema(ANSWERED).parquet(to)
     sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "tokens_held", "kinds_held"))).first()
     total, kinds, total_held, kinds_held = (int(x) for x in sums)
