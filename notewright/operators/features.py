@@ -16,19 +16,26 @@ def song_bars(notes: DataFrame, beats_per_bar: float = 4.0) -> DataFrame:
     return notes.groupBy("song_id").agg((F.floor(F.max(end_beat()) / beats_per_bar) + 1).cast("int").alias("total_bars"))
 
 
+def _overlap() -> F.Column:
+    """1 for a note that begins while an earlier one of its track sounds, else 0."""
+    before = W.partitionBy(*TRACK).orderBy("start_beat", "note_seq").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce((F.max(end_beat()).over(before) > F.col("start_beat")).cast("double"), F.lit(0.0))
+
+
+def _off_beat() -> F.Column:
+    at = F.pmod("start_beat", F.lit(1.0))
+    return (((at > 0.1) & (at < 0.4)) | ((at > 0.6) & (at < 0.9))).cast("double")
+
+
 def polyphony(notes: DataFrame, compat: bool = True) -> DataFrame:
     """(song, track, polyphony_ratio): 1 if any two notes overlap, else 0; with compat=False the share of notes that begin while
     another sounds."""
-    before = W.partitionBy(*TRACK).orderBy("start_beat", "note_seq").rowsBetween(W.unboundedPreceding, -1)
-    over = F.coalesce((F.max(end_beat()).over(before) > F.col("start_beat")).cast("double"), F.lit(0.0))
-    return notes.withColumn("over", over).groupBy(*TRACK).agg((F.max("over") if compat else F.avg("over")).alias("polyphony_ratio"))
+    return notes.withColumn("over", _overlap()).groupBy(*TRACK).agg((F.max("over") if compat else F.avg("over")).alias("polyphony_ratio"))
 
 
 def syncopation(notes: DataFrame) -> DataFrame:
     """(song, track, syncopation): the share of notes that begin off the beat and off its half."""
-    at = F.pmod("start_beat", F.lit(1.0))
-    off = ((at > 0.1) & (at < 0.4)) | ((at > 0.6) & (at < 0.9))
-    return notes.groupBy(*TRACK).agg(F.avg(off.cast("double")).alias("syncopation"))
+    return notes.groupBy(*TRACK).agg(F.avg(_off_beat()).alias("syncopation"))
 
 
 def repetition(notes: DataFrame, beats_per_bar: float = 4.0) -> DataFrame:
@@ -47,8 +54,11 @@ def entropy(notes: DataFrame) -> DataFrame:
 
 
 def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
-    """All features of every track that has notes."""
-    basic = notes.groupBy(*TRACK).agg(
+    """All features of every track that has notes. The notes are dealt out by track once; every window, grouping and join of tracks keeps to
+    that."""
+    dealt = notes.repartition(*TRACK)
+    over = F.max("over") if compat else F.avg("over")
+    basic = dealt.withColumn("over", _overlap()).groupBy(*TRACK).agg(
         F.count(F.lit(1)).alias("note_count"),
         F.min("pitch").alias("pitch_min"),
         F.max("pitch").alias("pitch_max"),
@@ -57,11 +67,14 @@ def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
         F.avg("velocity").alias("avg_velocity"),
         F.avg("duration_beats").alias("avg_duration"),
         F.bool_or(F.col("channel") == 9).alias("is_channel_10"),
+        over.alias("polyphony_ratio"),
+        F.avg(_off_beat()).alias("syncopation"),
+        F.max(end_beat()).alias("last_beat"),
     )
-    out = basic.join(song_bars(notes), "song_id").withColumn("note_density", F.col("note_count") / F.greatest("total_bars", F.lit(1))).drop("total_bars")
-    for more in (polyphony(notes, compat), syncopation(notes), repetition(notes), entropy(notes)):
-        out = out.join(more, TRACK)
-    return out
+    found = basic.join(repetition(dealt), TRACK).join(entropy(dealt), TRACK)
+    # the song's bars follow from its tracks' ends, a row each
+    bars = F.greatest(F.floor(F.max("last_beat").over(W.partitionBy("song_id")) / 4.0) + 1, F.lit(1))
+    return found.withColumn("note_density", F.col("note_count") / bars).drop("last_beat")
 
 
 def with_defaults(tracks: DataFrame, features: DataFrame) -> DataFrame:
