@@ -46,11 +46,19 @@ def repetition(notes: DataFrame, beats_per_bar: float = 4.0) -> DataFrame:
     return patterns.groupBy(*TRACK).agg(F.when((F.sum("n") < 8) | (F.sum("bars") < 2), 0.0).otherwise(score).alias("repetition_score"))
 
 
+def _class_counts() -> F.Column:
+    return F.array(*[F.count_if(F.pmod("pitch", F.lit(12)) == k) for k in range(12)])
+
+
+def _entropy(counts: F.Column, total: F.Column) -> F.Column:
+    p = F.transform(F.filter(counts, lambda n: n > 0), lambda n: n / total)
+    return -F.aggregate(p, F.lit(0.0), lambda s, x: s + x * F.log2(x)) / F.log2(F.lit(12.0))
+
+
 def entropy(notes: DataFrame) -> DataFrame:
     """(song, track, pitch_class_entropy): 0 for one pitch class, 1 for twelve alike."""
-    counts = notes.groupBy(*TRACK, F.pmod("pitch", F.lit(12)).alias("pc")).count()
-    p = F.col("count") / F.sum("count").over(W.partitionBy(*TRACK))
-    return counts.withColumn("p", p).groupBy(*TRACK).agg((-F.sum(F.col("p") * F.log2("p")) / F.log2(F.lit(12.0))).alias("pitch_class_entropy"))
+    counts = notes.groupBy(*TRACK).agg(_class_counts().alias("counts"), F.count(F.lit(1)).alias("n"))
+    return counts.select(*TRACK, _entropy(F.col("counts"), F.col("n")).alias("pitch_class_entropy"))
 
 
 def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
@@ -70,8 +78,9 @@ def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
         over.alias("polyphony_ratio"),
         F.avg(_off_beat()).alias("syncopation"),
         F.max(end_beat()).alias("last_beat"),
+        _class_counts().alias("class_counts"),
     )
-    found = basic.join(repetition(dealt), TRACK).join(entropy(dealt), TRACK)
+    found = basic.withColumn("pitch_class_entropy", _entropy(F.col("class_counts"), F.col("note_count"))).drop("class_counts").join(repetition(dealt), TRACK)
     # the song's bars follow from its tracks' ends, a row each
     bars = F.greatest(F.floor(F.max("last_beat").over(W.partitionBy("song_id")) / 4.0) + 1, F.lit(1))
     return found.withColumn("note_density", F.col("note_count") / bars).drop("last_beat")
