@@ -159,7 +159,7 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
         return h ^ (h >> U64(32))
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about that many bytes of text, so that memory has a bound; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
