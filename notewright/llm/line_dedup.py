@@ -1,8 +1,9 @@
 """Removing globally repeated multi-line chunks, with DataFrame functions only.
 
-A rolling hash over the hashes of WINDOW neighbouring lines decides where a chunk ends, so that chunk borders shift with
-the text; a chunk has at most LONGEST lines. A chunk of two lines or more whose bytes have occurred before (in a smaller
-doc_id, or earlier in the document) is removed; single lines stay.
+A rolling hash over the hashes of WINDOW neighbouring lines decides where a chunk ends: at its local minima, so that chunk
+borders shift with the text. A chunk has at least two lines, unless its text is one line, and at most LONGEST; where the hash stands
+still, as in a run of one line, a chunk ends at every second line. A chunk of two lines or more whose bytes have occurred before (in
+a smaller doc_id, or earlier in the document) is removed; single lines stay.
 
 Hashes of all chunks are grouped first. Only chunks whose hash repeats carry their text through a second grouping, in
 which each is compared, byte by byte, with the first of its hash; chunks of different text under one hash all stay.
@@ -17,8 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that decide a border, one border in how many lines, and lines in a chunk at most.
-WINDOW, EVERY, LONGEST = 2, 3, 32
+#: Lines in the rolling hash, and lines in a chunk at most.
+WINDOW, LONGEST = 2, 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,22 +30,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def chunks(text: Column) -> Column:
     """The chunks of a text, in order: an array of arrays of lines."""
 
-    def ends(i: Column, h: Column) -> Column:
-        rolled = F.lit(0).cast("long")
+    def rolled(h: Column, i: Column) -> Column:
+        out = F.lit(0).cast("long")
         for back in reversed(range(WINDOW)):
-            rolled = F.xxhash64(rolled, F.when(i > back, F.get(h, i - 1 - back)))
-        return F.pmod(rolled, F.lit(EVERY)) == 0
+            out = F.xxhash64(out, F.when(i > back, F.get(h, i - 1 - back)))
+        return out
+
+    def lowest(r: Column) -> Column:
+        """Of each line whether the hash is at a minimum there and two lines lie on either side."""
+        return F.transform(r, lambda v, k: (k >= 1) & (k <= F.size(r) - 3) & (v <= F.get(r, k - 1)) & (v <= F.get(r, k + 1)))
+
+    def apart(low: Column) -> Column:
+        """Borders: every second line of each run of minima."""
+        at = lambda k: F.coalesce(F.get(low, k), F.lit(False))
+        lines = F.sequence(F.lit(1), F.size(low))
+        first = F.filter(lines, lambda i: at(i - 1) & ~at(i - 2))
+        last = F.filter(lines, lambda i: at(i - 1) & ~at(i))
+        return F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))
 
     def before(ends_at: Column, k: Column) -> Column:
         return F.coalesce(F.get(ends_at, k - 1), F.lit(0))
 
     def borders(h: Column) -> Column:
-        found = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | ends(i, h))
-        return let(found, lambda e: F.flatten(F.transform(e, lambda b, k: steps(before(e, k), b))))
+        found = let(let(F.transform(h, lambda x, k: rolled(h, k + 1)), lowest), apart)
+        return let(F.concat(found, F.array(F.size(h))), lambda e: F.flatten(F.transform(e, lambda b, k: steps(before(e, k), b))))
 
     def steps(low: Column, high: Column) -> Column:
-        """high, and before it every LONGEST lines after low."""
-        return F.concat(F.filter(F.sequence(low, high - 1, F.lit(LONGEST)), lambda x: x > low), F.array(high))
+        """high, and before it every LONGEST - 1 lines after low that leave two lines or more."""
+        return F.concat(F.filter(F.sequence(low, F.greatest(low, high - 2), F.lit(LONGEST - 1)), lambda x: x > low), F.array(high))
 
     def cut_up(lines: Column) -> Column:
         return let(let(F.transform(lines, lambda line: F.xxhash64(line)), borders), lambda to: F.transform(to, lambda b, k: F.slice(lines, before(to, k) + 1, b - before(to, k))))

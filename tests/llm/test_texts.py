@@ -377,3 +377,24 @@ def test_repeated_chunks_go_but_for_the_first(spark):
     got = line_dedup.dedup_lines(docs(spark, rows, extra=("gone", "key", "chunks"))).collect()
     assert sorted((str(r.doc_id), str(r.text), r.n_removed_lines) for r in got) == sorted(want)
     assert sum(r.n_removed_lines for r in got) >= 10
+
+
+def test_most_lines_of_repeated_passages_go(spark):
+    r = random.Random(4)
+    line = lambda: f"line {r.getrandbits(40)}"
+    passage = [[line() for _ in range(40)] for _ in range(12)]
+    rows = [(k, "\n".join([line() for _ in range(r.randint(1, 9))] + passage[k % 12] + [line() for _ in range(r.randint(1, 9))])) for k in range(24)]
+    rows += [(100 + k, "\n".join([line(), *[line()] * 40, line()])) for k in range(12)]
+    rows += [(200 + k, "\n".join([line(), *[line(), line()] * 20, line()])) for k in range(12)]
+    got = {x.doc_id: x.n_removed_lines for x in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert sum(got[k] for k in range(12, 24)) > 0.85 * 12 * 40 and not any(got[k] for k in range(12))
+    assert min(got[k] for k in range(100, 112)) >= 32 and min(got[k] for k in range(200, 212)) >= 32
+
+
+def test_only_a_text_of_one_line_makes_a_chunk_of_one_line(spark):
+    r = random.Random(8)
+    texts = ["\n".join(str(r.randrange(r.choice([1, 2, 50]))) for _ in range(n)) for n in [1, 2, 3, 4, 5, 33, 34, 63, 64, 65, *[r.randint(2, 90) for _ in range(60)]]]
+    got = docs(spark, list(enumerate(texts))).select("text", line_dedup.chunks(F.col("text")).alias("c")).collect()
+    for x in got:
+        assert [y for c in x.c for y in c] == x.text.split("\n")
+        assert min(map(len, x.c)) >= min(2, len(x.text.split("\n"))) and max(map(len, x.c)) <= line_dedup.LONGEST
