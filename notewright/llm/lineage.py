@@ -1,15 +1,19 @@
 """Cutting lineage through storage that all executors share."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; only where none is named, as in tests, a temporary one."""
+    """The folder that the cluster names for checkpoints. Only a local session that names none, as in tests, gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -17,3 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df, now."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder now and read from there."""
+    to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage that nothing reads any more."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)

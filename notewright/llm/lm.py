@@ -1,18 +1,21 @@
-"""Scoring texts by an interpolated bigram model (deleted interpolation).
+"""Scoring texts by an interpolated n-gram model (deleted interpolation).
 
-A token's probability mixes its relative frequency after the token before it, its relative frequency overall, and an
-even chance of every known token and one unknown. The mixture's weights depend on how often the token before was seen, in
-buckets of powers of two. They are learned by expectation-maximisation on counts that were held out: training documents
-in fold 1 are scored by the counts of the other training folds. The scores then use the counts of all training folds.
+A token's probability mixes its relative frequencies after the two tokens before it, after the one before it, and overall, and an
+even chance of every known token and one unknown. Which weights the mixture has depends on how often the context was seen, in
+buckets of powers of two: of the longer context, or, where that was never seen, of the shorter one. A frequency after a context that was
+never seen has no weight, so the chances of all tokens sum to one in every bucket. The weights are learned by
+expectation-maximisation on counts that were held out: training documents in fold 1 are scored by the counts of the other training
+folds. The scores then use the counts of all training folds.
 
-All tokens of all documents are counted and scored; words meet as 64-bit hashes. The statistics for the weights are a
-histogram of probability ratios in steps of an eighth of a natural logarithm, so their size has a bound.
+All tokens of all documents are counted and scored; n-grams meet as 64-bit hashes. The statistics for the weights are a histogram of
+probability ratios in steps of an eighth of a natural logarithm, so their size has a bound that does not depend on the corpus.
 
 Defined results: a null or empty text is one end token; a null id counts as an empty one (fold 0, held out); repeated
 rows count and are scored each; with no training rows the base score is of an empty model; other columns are ignored; an
 empty table gives an empty table.
 """
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,29 +23,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm import batches
-from notewright.llm.lineage import shared_folder
+from notewright.llm import exchange
+from notewright.llm.lineage import table
 from notewright.llm.words import U64, mixed, split, word_hashes
 
-#: What stands for the end of a text, and, as context, for its begin: they have the same count.
+#: What stands for the end of a text, and, as context, for whatever is before its begin.
 END = U64(0x7E57ED0C0FFEE123)
 HELD_OUT, LEARN, COUNT = 0, 1, 2
-BUCKETS, STEPS = 64, 8
+#: Words of an n-gram at most; buckets of a context's count; steps of the histogram in a natural logarithm.
+ORDER, BUCKETS, STEPS = 3, 64, 8
 NONE = -(1 << 20)
 
 
 class Tokens(NamedTuple):
-    """Of a batch: distinct word keys and pair keys, sorted; each token's word, context and pair among them; tokens before each text."""
+    """Of some texts: for each length of n-gram the distinct keys, and each token's place among them; tokens before each text."""
 
-    word_keys: np.ndarray
-    pair_keys: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
+    keys: list[np.ndarray]
+    at: list[np.ndarray]
     first: np.ndarray
 
 
-def tokens(texts: pa.Array) -> Tokens:
+def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each length of n-gram the key of the one that ends at each token, tokens before each text). The lowest two bits of a key tell its
+    length."""
     w = split(texts, lower=True)
     docs = len(w.first) - 1
     first = w.first + np.arange(docs + 1)
@@ -50,134 +53,140 @@ def tokens(texts: pa.Array) -> Tokens:
     inner = np.ones(len(h), bool)
     inner[first[1:] - 1] = False
     h[inner] = word_hashes(w)
-    before = np.concatenate([[END], h[:-1]]) if len(h) else h
-    with np.errstate(over="ignore"):
-        pair = mixed(before * U64(0x9E3779B97F4A7C15) + mixed(h))
-    word_keys, word = np.unique(h, return_inverse=True)
-    pair_keys, pair = np.unique(pair, return_inverse=True)
-    context = np.concatenate([[np.searchsorted(word_keys, END)], word[:-1]]) if len(h) else word
-    return Tokens(word_keys, pair_keys, word, context, pair, first)
-
-
-def ask(row: pa.Table, shards: int) -> pa.Table:
-    part = row.column("part")[0].as_py()
-    t = tokens(batches.unpack_rows(row.column("blob")[0].as_py()).column("text"))
-    out: dict[int, dict] = {}
-    for kind, keys, of in (("word", t.word_keys, t.word), ("pair", t.pair_keys, t.pair)):
-        n = np.bincount(of, minlength=len(keys)).astype(np.int32)
-        for shard, a, b in batches.by_shard(keys, shards):
-            own = out.setdefault(shard, {"shard": shard, "batch": row.column("batch")[0].as_py(), "part": part, "word": b"", "word_n": b"", "pair": b"", "pair_n": b""})
-            own[kind], own[f"{kind}_n"] = keys[a:b].tobytes(), batches.squeeze(n[a:b])
-    return pa.Table.from_pylist(list(out.values()), ASK)
-
-
-ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("word", "word_n", "pair", "pair_n"))])
-ASKED = "shard int, batch long, part int, word binary, word_n binary, pair binary, pair_n binary"
-ANSWERED = "batch long, part int, shard int, word binary, pair binary, word_held binary, pair_held binary, tokens long, kinds long, tokens_held long, kinds_held long"
-
-
-def answer(asked: pa.Table) -> pa.Table:
-    """Counts of a shard's keys in all training parts, and, for those who learn weights, in part COUNT alone."""
-    part = asked.column("part").to_numpy()
-    columns: dict[str, list] = {"word": [], "pair": [], "word_held": [], "pair_held": []}
-    sums = [0, 0, 0, 0]
-    for kind in ("word", "pair"):
-        keys = [np.frombuffer(x.as_py(), U64) for x in asked.column(kind)]
-        counts = [batches.expand(x.as_py(), np.int32) if len(k) else np.zeros(0, np.int32) for k, x in zip(keys, asked.column(f"{kind}_n"), strict=True)]
-        sizes = np.array([len(k) for k in keys])
-        known, of = np.unique(np.concatenate(keys), return_inverse=True)
-        n, who = np.concatenate(counts).astype(np.float64), np.repeat(part, sizes)
-        most = np.bincount(of, n * (who == COUNT), len(known)).astype(np.int64)
-        all_ = most + np.bincount(of, n * (who == LEARN), len(known)).astype(np.int64)
-        if kind == "word":
-            sums = [int(all_.sum()), int((all_ > 0).sum()), int(most.sum()), int((most > 0).sum())]
-        at = np.cumsum(sizes) - sizes
-        for k in range(len(sizes)):
-            own = of[at[k] : at[k] + sizes[k]]
-            columns[kind].append(batches.squeeze(all_[own]))
-            columns[f"{kind}_held"].append(batches.squeeze(most[own]) if part[k] == LEARN else None)
-    rows = asked.num_rows
-    once = [[x] + [0] * (rows - 1) for x in sums]
-    return pa.table(
-        [asked.column("batch"), asked.column("part"), asked.column("shard"), *(pa.array(columns[c], pa.binary()) for c in ("word", "pair", "word_held", "pair_held")), *(pa.array(x, pa.int64()) for x in once)],
-        ["batch", "part", "shard", "word", "pair", "word_held", "pair_held", "tokens", "kinds", "tokens_held", "kinds_held"],
-    )
-
-
-def _counts(answers: pa.Table, column: str, keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(answers.column("shard").to_numpy())
-    parts = [answers.column(column)[int(k)].as_py() for k in order]
-    out = np.concatenate([batches.expand(x, np.int64) for x in parts if x] or [np.zeros(0, np.int64)])
-    if len(out) != len(keys):
-        raise RuntimeError("a batch has changed since it asked: the input isn't read alike each time")
-    return out
-
-
-def _chances(t: Tokens, word: np.ndarray, pair: np.ndarray, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Of each token: chance after its context, chance overall, even chance, bucket of its context."""
-    seen = word[t.context]
-    return pair[t.pair] / np.maximum(seen, 1), word[t.word] / max(total, 1), 1 / (kinds + 1), np.minimum(np.log2(seen + 1).astype(np.int64), BUCKETS - 1)
-
-
-def learn_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Mixture weights (pair, word, even) of each bucket by expectation-maximisation on a histogram of held-out tokens.
-
-    two and one: logarithms, in STEPS, of the chances' ratios to the even chance. One token of each kind is added to every
-    bucket, so no weight is zero."""
-    ratio = np.stack([np.where(two == NONE, 0, np.exp(two / STEPS)), np.where(one == NONE, 0, np.exp(one / STEPS)), np.ones(len(two))], axis=1)
-    weights = np.full((BUCKETS, 3), 1 / 3)
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    out = [h]
+    for back in range(1, order):
+        before = np.full(len(h), END)
+        has = np.flatnonzero(place >= back)
+        before[has] = h[has - back]
+        with np.errstate(over="ignore"):
+            out.append(mixed(out[-1] * U64(0x9E3779B97F4A7C15) + mixed(before + U64(back))))
+    return [(g & ~U64(3)) | U64(n) for n, g in enumerate(out)], first
+
+
+def tokens(texts: pa.Array, order: int) -> Tokens:
+    every, first = grams(texts, order)
+    found = [np.unique(g, return_inverse=True) for g in every]
+    return Tokens([k for k, _ in found], [at for _, at in found], first)
+
+
+def unit_keys(rows: Iterable[pa.RecordBatch], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all lengths, sorted, and how often each occurs."""
+    every = [g for b in rows for g in grams(b.column("text"), order)[0]]
+    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def word_stats(keys: np.ndarray, counts: list[np.ndarray]) -> list[int]:
+    """Tokens and distinct words of all training folds, and of those that do not learn weights."""
+    word = (keys & U64(3)) == 0
+    most, learn = counts[0][word], counts[1][word]
+    return [int((most + learn).sum()), int((most + learn > 0).sum()), int(most.sum()), int((most > 0).sum())]
+
+
+class Model(NamedTuple):
+    """Training tokens, distinct ones, training texts."""
+
+    total: int
+    kinds: int
+    texts: int
+
+
+def chances(t: Tokens, count: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(of each token the chances to be mixed: even, overall, after one token, after two; its bucket). count: of each length, of t.keys."""
+    own = [c[at] for c, at in zip(count, t.at, strict=True)]
+    n = len(own[0])
+    p, bucket = [np.full(n, 1 / (model.kinds + 1)), own[0] / max(model.total, 1)], np.zeros(n, np.int64)
+    for k in range(1, len(own)):
+        # a token's context is the shorter n-gram that ends at the token before it; that of a first token is in every text once
+        seen = np.zeros(n, np.int64)
+        seen[1:] = own[k - 1][:-1]
+        seen[t.first[:-1]] = model.texts
+        p.append(own[k] / np.maximum(seen, 1))
+        bucket = np.where(seen > 0, k * BUCKETS + np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64), BUCKETS - 1), bucket)
+    return np.stack(p), bucket
+
+
+def learn_weights(bucket: np.ndarray, steps: list[np.ndarray], n: np.ndarray, order: int = ORDER, rounds: int = 60) -> np.ndarray:
+    """Mixture weights of each bucket (even, overall, after one, after two) by expectation-maximisation on a histogram of held-out tokens.
+
+    steps: for each chance but the even one the logarithm, in STEPS, of its ratio to the even one. One token of each kind is added to every
+    bucket, so no weight is zero but those of chances after contexts that were never seen."""
+    ratio = np.stack([np.ones(len(n)), *(np.where(s == NONE, 0, np.exp(s / STEPS)) for s in steps)], axis=1)
+    able = np.arange(order + 1)[None, :] <= 1 + np.repeat(np.arange(order), BUCKETS)[:, None]
+    weights = able / able.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         share = weights[bucket] * ratio
         share *= (n / share.sum(axis=1))[:, None]
-        got = np.ones((BUCKETS, 3))
+        got = able.astype(np.float64)
         np.add.at(got, bucket, share)
         weights = got / got.sum(axis=1, keepdims=True)
     return weights
 
 
-def score(docs: DataFrame, folds: int = 10) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). order: words of an n-gram at most."""
+    if not 1 <= order <= 3:
+        raise ValueError("n-grams have one to three words")
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
     part = F.when(fold == 0, HELD_OUT).when(fold == 1, LEARN).otherwise(COUNT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = batches.shards_for(docs)
-    packed = batches.packed(docs, part)
-
-    to = f"{shared_folder(spark)}/lm-{np.random.default_rng().integers(1 << 62)}"
-    asked = batches.packed(docs, part, then=lambda row: ask(row, shards), schema=ASKED)
-    asked.groupBy("shard").applyInArrow(answer, ANSWERED).write.parquet(to)
-    answers = spark.read.schema(ANSWERED).parquet(to)
-    sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "tokens_held", "kinds_held"))).first()
-    total, kinds, total_held, kinds_held = (int(x) for x in sums)
-
-    def tally(own: pa.Table, answers: pa.Table) -> pa.Table:
-        t = tokens(batches.unpack_rows(own.column("blob")[0].as_py()).column("text"))
-        two, one, even, bucket = _chances(t, _counts(answers, "word_held", t.word_keys), _counts(answers, "pair_held", t.pair_keys), total_held, kinds_held)
-        with np.errstate(divide="ignore"):
-            marks = np.stack([bucket, *(np.where(p > 0, np.rint(STEPS * np.log(np.maximum(p, 1e-300) / even)), NONE).astype(np.int64) for p in (two, one))])
-        kept, n = np.unique(marks, axis=1, return_counts=True)
-        return pa.table([*(pa.array(x) for x in kept), pa.array(n.astype(np.int64))], ["bucket", "two", "one", "n"])
-
-    learners, told = packed.where(F.col("part") == LEARN), answers.where(F.col("part") == LEARN)
-    spread = learners.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(tally, "bucket long, two long, one long, n long")
-    histogram = spread.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn_weights(*(histogram.column(c).to_numpy() for c in ("bucket", "two", "one", "n")))
-
-    def read(own: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = batches.unpack_rows(own.column("blob")[0].as_py())
-        t = tokens(rows.column("text"))
-        word = _counts(answers, "word", t.word_keys)
-        two, one, even, bucket = _chances(t, word, _counts(answers, "pair", t.pair_keys), total, kinds)
-        c = word[t.word]
-        at = t.first[:-1]
-        add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every text has a token
-        logs = np.log10(weights[bucket, 0] * two + weights[bucket, 1] * one + weights[bucket, 2] * even)
-        base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-        n = len(at)
-        return pa.table(
-            [rows.column("doc_id"), pa.array(np.full(n, own.column("part")[0].as_py() == HELD_OUT)), pa.array(np.diff(t.first)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, total)), pa.array(add(base)), pa.array(add(logs))],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def ask(unit: int, k: int, rows: list[pa.RecordBatch]) -> pa.Table:
+        keys, n = unit_keys(rows, order)
+        none = np.zeros(len(keys), np.int64)
+        return exchange.questions(unit, keys, [n if k == COUNT else none, n if k == LEARN else none])
+
+    asked = exchange.units(docs, part, ask, exchange.ASKED)
+    told = table(exchange.tell(asked, exchange.all_bytes(docs), order, [np.add, np.add], word_stats), "lm")
+    texts = docs.agg(F.count(F.when(part != HELD_OUT, 1)), F.count(F.when(part == COUNT, 1))).first()
+    sums = told.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(4))).first()
+    model, held = Model(int(sums[0]), int(sums[1]), int(texts[0])), Model(int(sums[2]), int(sums[3]), int(texts[1]))
+    packed = exchange.packed(docs, part)
+    answers = told.select("unit", "shard", "size", "body")
+
+    def pieces(own: pa.Table, told: pa.Table, without_learners: bool) -> Iterator[tuple[pa.RecordBatch, Tokens, list[np.ndarray]]]:
+        for blob in own.column("blob"):
+            keys, _ = unit_keys(exchange.unpacked(blob.as_py()), order)
+            most, learn = exchange.values_of(told, len(keys), 2)
+            n = most if without_learners else most + learn
+            for b in exchange.unpacked(blob.as_py()):
+                t = tokens(b.column("text"), order)
+                yield b, t, [n[np.searchsorted(keys, k)] for k in t.keys]
+
+    def tally(own: pa.Table, told: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        for _, t, count in pieces(own, told, True):
+            p, bucket = chances(t, count, held)
+            with np.errstate(divide="ignore"):
+                steps = [np.where(x > 0, np.rint(STEPS * np.log(np.maximum(x, 1e-300) / p[0])), NONE).astype(np.int64) for x in p[1:]]
+            found.append(np.stack([bucket, *steps]))
+        kept, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+        return pa.table([*(pa.array(x) for x in kept), pa.array(n.astype(np.int64))], [*marks, "n"])
+
+    marks = ["bucket", *(f"p{k}" for k in range(1, order + 1))]
+    learners = packed.where(F.col("part") == LEARN)
+    spread = learners.groupBy("unit").cogroup(answers.join(learners.select("unit").distinct(), "unit", "left_semi").groupBy("unit"))
+    histogram = spread.applyInArrow(tally, ", ".join(f"{c} long" for c in [*marks, "n"])).groupBy(*marks).agg(F.sum("n").alias("n")).toArrow()
+    columns = [histogram.column(c).to_numpy() for c in [*marks, "n"]]
+    weights = learn_weights(columns[0], columns[1:-1], columns[-1], order)
+    if not model.total:
+        weights = np.eye(order + 1)[np.zeros(order * BUCKETS, np.int64)]
+
+    def read(own: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        for b, t, count in pieces(own, told, False):
+            p, bucket = chances(t, count, model)
+            c = count[0][t.at[0]]
+            logs = np.log10((weights[bucket] * p.T).sum(axis=1))
+            base = np.log10((c + 0.1) / (model.total + 0.1 * (model.kinds + 1)))
+            add = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: B023, E731  every text has a token
+            n = b.num_rows
+            out.append(
+                pa.table(
+                    [b.column("doc_id"), pa.array(np.full(n, own.column("part")[0].as_py() == HELD_OUT)), pa.array(np.diff(t.first)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, model.total)), pa.array(add(base)), pa.array(add(logs))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+            )
+        return pa.concat_tables(out)
+
+    return packed.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
