@@ -33,6 +33,7 @@ TOKEN = 5
 
 ASKED = "shard int, unit long, size int, body binary"
 TOLD = "unit long, shard int, size int, body binary, stats array<long>"
+CHANGED = "a unit's answers are not there: its input was not read alike each time"
 Stats = Callable[[np.ndarray, list[np.ndarray]], list[int]]
 
 
@@ -182,13 +183,13 @@ def tell(asked: DataFrame, text_bytes_in_all: int, per_token: float, how: list[n
 
 
 def values_of(told: pa.Table, size: int, columns: int) -> list[np.ndarray]:
-    """A unit's values in the order of its keys, from the answers of all ranges."""
-    order = np.argsort(told.column("shard").to_numpy()).tolist()
+    """A unit's values in the order of its keys, from the answers of all ranges; units of the same rows got the same ones."""
+    order = np.unique(told.column("shard").to_numpy(), return_index=True)[1].tolist()
     sizes, bodies = told.column("size").to_pylist(), told.column("body")
     got = [expand(bodies[k].as_py(), sizes[k], *[np.int64] * columns) for k in order]
     out = [np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(columns)]
     if len(out[0]) != size:
-        raise RuntimeError("a unit's answers are not there: its input was not read alike each time")
+        raise RuntimeError(CHANGED)
     return out
 
 

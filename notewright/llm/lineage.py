@@ -26,7 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder now and read from there."""
     to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(to)
+    df.write.option("compression", "zstd").parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
