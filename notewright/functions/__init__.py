@@ -24,4 +24,4 @@ def register(spark: SparkSession) -> None:
     rows = genres.taxonomy(spark).select("alias", "canonical").collect()
     table = "map(" + ", ".join(f"'{r.alias}', '{r.canonical}'" for r in rows) + ")"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION normalize_genre(tag STRING) RETURNS STRING RETURN
-        coalesce(element_at({table}, lower(trim(tag))), element_at({table}, trim(regexp_replace(lower(trim(tag)), ' (music|genre)$', ''))))""")
+        coalesce(element_at({table}, lower(trim(tag))), element_at({table}, regexp_replace(lower(trim(tag)), ' (music|genre)$', '')))""")

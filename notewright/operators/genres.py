@@ -1,56 +1,166 @@
-"""Genre tags: names, aliases and categories, and merging what several sources say."""
+"""Genre tags: names, other spellings and categories, and merging what several sources say."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Canonical names by category.
-CATEGORIES = {
-    "rock": "rock, classic rock, hard rock, alternative rock, indie rock, punk rock, progressive rock, psychedelic rock, folk rock, soft rock, punk, grunge, post-rock",
-    "metal": "metal, heavy metal, thrash metal, death metal, black metal, power metal, doom metal, metalcore, nu metal",
-    "pop": "pop, synth-pop, electropop, indie pop, dance-pop, pop rock, k-pop, j-pop, teen pop",
-    "electronic": "electronic, ambient, downtempo, idm, electro, synthwave, chillout, breakbeat, industrial",
-    "house": "house, deep house, tech house, progressive house, future house, tropical house, electro house",
-    "techno": "techno, minimal techno, detroit techno, hard techno",
-    "trance": "trance, psytrance, progressive trance, uplifting trance, vocal trance",
-    "drum and bass": "drum and bass, jungle, liquid funk, neurofunk",
-    "dubstep": "dubstep, brostep, riddim",
-    "hip-hop": "hip-hop, trap, boom bap, lo-fi hip-hop, gangsta rap, conscious hip-hop",
-    "r&b": "r&b, soul, neo-soul, funk, disco, motown",
-    "jazz": "jazz, bebop, swing, smooth jazz, fusion, cool jazz, latin jazz",
-    "blues": "blues, delta blues, chicago blues, electric blues",
-    "country": "country, bluegrass, americana, country pop, outlaw country",
-    "folk": "folk, singer-songwriter, traditional folk, indie folk",
-    "classical": "classical, baroque, romantic, opera, chamber music, orchestral, contemporary classical",
-    "latin": "latin, salsa, reggaeton, bachata, bossa nova, samba, tango",
-    "reggae": "reggae, dub, ska, dancehall, roots reggae",
-    "world": "world, afrobeat, celtic, flamenco, klezmer",
-    "soundtrack": "soundtrack, video game music, film score, musical",
+# Canonical names by category, in order, and the spellings of each besides its own.
+CATEGORIES: dict[str, dict[str, list[str]]] = {
+    "rock": {
+        "rock": ["rock and roll", "rock & roll", "rock n roll"],
+        "classic rock": [],
+        "hard rock": [],
+        "soft rock": [],
+        "progressive rock": ["prog rock", "prog"],
+        "alternative rock": ["alt rock", "alternative"],
+        "indie rock": ["indie"],
+        "grunge": [],
+        "psychedelic rock": ["psychedelic"],
+        "garage rock": [],
+        "southern rock": [],
+        "glam rock": [],
+        "art rock": [],
+    },
+    "pop": {
+        "pop": ["pop music"],
+        "synth-pop": ["synth pop", "synthpop"],
+        "electro-pop": ["electropop", "electro pop"],
+        "dance-pop": ["dance pop"],
+        "art pop": [],
+        "indie pop": [],
+        "chamber pop": [],
+        "dream pop": [],
+        "power pop": [],
+        "teen pop": [],
+        "k-pop": ["kpop"],
+        "j-pop": ["jpop"],
+    },
+    "electronic": {
+        "electronic": ["electronica"],
+        "edm": ["electronic dance music"],
+        "house": [],
+        "deep house": [],
+        "tech house": [],
+        "progressive house": [],
+        "techno": [],
+        "trance": [],
+        "progressive trance": [],
+        "psytrance": ["psy trance"],
+        "drum and bass": ["drum & bass", "dnb", "d&b"],
+        "dubstep": [],
+        "breakbeat": ["breaks"],
+        "idm": ["intelligent dance music"],
+        "downtempo": [],
+        "chillout": ["chill out", "chill-out"],
+        "trip-hop": ["trip hop", "triphop"],
+    },
+    "jazz": {
+        "jazz": [],
+        "smooth jazz": [],
+        "jazz fusion": ["fusion"],
+        "bebop": ["be-bop"],
+        "free jazz": [],
+        "cool jazz": [],
+        "swing": [],
+        "big band": [],
+        "latin jazz": [],
+        "acid jazz": [],
+        "nu-jazz": ["nu jazz"],
+    },
+    "classical": {
+        "classical": ["classical music"],
+        "baroque": [],
+        "romantic": [],
+        "contemporary classical": ["modern classical"],
+        "minimalism": ["minimalist"],
+        "opera": [],
+        "symphony": [],
+        "orchestral": [],
+        "chamber music": [],
+        "choral": [],
+    },
+    "hip-hop": {
+        "hip-hop": ["hip hop", "hiphop", "rap"],
+        "trap": [],
+        "boom bap": [],
+        "gangsta rap": [],
+        "conscious hip-hop": ["conscious hip hop"],
+        "alternative hip-hop": ["alternative hip hop"],
+        "underground hip-hop": ["underground hip hop"],
+        "east coast hip-hop": ["east coast hip hop"],
+        "west coast hip-hop": ["west coast hip hop"],
+        "southern hip-hop": ["southern hip hop"],
+        "crunk": [],
+        "grime": [],
+    },
+    "r&b": {"r&b": ["rnb", "rhythm and blues"], "contemporary r&b": [], "neo-soul": ["neo soul"], "new jack swing": []},
+    "country": {
+        "country": ["country music"],
+        "country rock": [],
+        "outlaw country": [],
+        "alt-country": ["alt country", "alternative country"],
+        "americana": [],
+        "bluegrass": [],
+        "honky tonk": [],
+    },
+    "folk": {"folk": ["folk music"], "folk rock": [], "indie folk": [], "contemporary folk": [], "traditional folk": [], "singer-songwriter": ["singer songwriter"]},
+    "blues": {"blues": ["blues music"], "electric blues": [], "delta blues": [], "chicago blues": [], "blues rock": []},
+    "metal": {
+        "metal": [],
+        "heavy metal": [],
+        "thrash metal": ["thrash"],
+        "death metal": [],
+        "black metal": [],
+        "doom metal": [],
+        "power metal": [],
+        "progressive metal": ["prog metal"],
+        "nu-metal": ["nu metal"],
+        "metalcore": [],
+        "deathcore": [],
+        "symphonic metal": [],
+    },
+    "punk": {"punk": [], "punk rock": [], "hardcore punk": ["hardcore"], "post-punk": ["post punk"], "pop punk": ["pop-punk"], "emo": [], "screamo": [], "ska punk": []},
+    "reggae": {"reggae": [], "dub": [], "ska": [], "dancehall": [], "roots reggae": [], "rocksteady": []},
+    "latin": {
+        "latin": ["latin music"],
+        "salsa": [],
+        "bachata": [],
+        "merengue": [],
+        "reggaeton": ["reggaetón"],
+        "bossa nova": [],
+        "samba": [],
+        "tango": [],
+        "cumbia": [],
+        "latin pop": [],
+    },
+    "world": {"world": ["world music"], "afrobeat": [], "afropop": [], "celtic": [], "flamenco": [], "indian classical": [], "middle eastern": []},
+    "soul": {"soul": ["soul music"], "motown": [], "northern soul": []},
+    "funk": {"funk": [], "p-funk": [], "disco": [], "nu-disco": ["nu disco"]},
+    "ambient": {"ambient": ["ambient music"], "dark ambient": [], "drone": [], "new age": []},
+    "experimental": {"experimental": [], "avant-garde": ["avant garde"], "noise": [], "industrial": [], "post-rock": ["post rock"], "math rock": [], "shoegaze": []},
+    "soundtrack": {"soundtrack": ["film soundtrack"], "film score": [], "video game music": ["game music", "vgm"], "anime soundtrack": ["anime"]},
 }
-# Other spellings that no rule gives, and how much a source counts.
-ALIASES = {"hip hop": "hip-hop", "rap": "hip-hop", "rnb": "r&b", "rhythm and blues": "r&b", "dnb": "drum and bass", "d&b": "drum and bass", "alt rock": "alternative rock", "alternative": "alternative rock", "edm": "electronic", "electronica": "electronic", "prog rock": "progressive rock", "ost": "soundtrack", "game music": "video game music", "psychedelic trance": "psytrance", "chill": "chillout"}
-WEIGHTS = {"musicbrainz": 1.0, "discogs": 0.9, "lastfm": 0.7, "user": 0.8, "filename": 0.3}
+# How much a source counts, and one that is not named.
+WEIGHTS = {"musicbrainz": 1.0, "discogs": 0.9, "lastfm": 0.7, "spotify": 0.8, "user": 0.5, "filename": 0.3}
+OTHER_WEIGHT = 0.5
+
+
+def spellings(name: str, others: list[str]) -> list[str]:
+    """A name's own spelling and the others; kinds of hip-hop are only known by the others."""
+    return others if name.endswith(" hip-hop") else [name, *others]
 
 
 def taxonomy(spark: SparkSession, aliases: DataFrame | None = None) -> DataFrame:
-    """(alias, canonical, category). Names, their spellings with spaces, hyphens or neither by rule, the aliases above, and a caller's
-    own table of (alias, canonical, category) before all."""
-    rows = {}
-    category = {name: c for c, names in CATEGORIES.items() for name in names.split(", ")}
-    for name in category:
-        for spelling in (name, name.replace("-", " "), name.replace(" ", "-"), name.replace("-", ""), name.replace(" ", ""), name.replace(" and ", " & ")):
-            rows.setdefault(spelling, name)
-    for name in category:
-        rows[name] = name
-    rows |= ALIASES
-    own = spark.createDataFrame([(a, c, category[c]) for a, c in sorted(rows.items())], "alias string, canonical string, category string")
+    """(alias, canonical, category, place). A caller's own table of (alias, canonical, category) comes before the built-in one."""
+    rows = [(alias, name, category) for category, names in CATEGORIES.items() for name, others in names.items() for alias in spellings(name, others)]
+    own = spark.createDataFrame([(*row, k) for k, row in enumerate(rows)], "alias string, canonical string, category string, place int")
     if aliases is None:
         return own
-    return aliases.select("alias", "canonical", "category").union(own.join(aliases, "alias", "left_anti"))
+    return aliases.select("alias", "canonical", "category", F.lit(-1).alias("place")).union(own.join(aliases, "alias", "left_anti").select(own.columns))
 
 
 def cleaned(tag: Column) -> Column:
-    return F.lower(F.trim(tag))
+    return F.lower(F.regexp_replace(tag, r"(?U)^\s+|\s+$", ""))
 
 
 def normalize(tags: DataFrame, names: DataFrame, tag: str = "tag") -> DataFrame:
@@ -58,13 +168,13 @@ def normalize(tags: DataFrame, names: DataFrame, tag: str = "tag") -> DataFrame:
     small and fixed, so it is broadcast."""
     table = F.broadcast(names.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"), F.col("category").alias("_g")))
     short = table.select(F.col("_a").alias("_a2"), F.col("_c").alias("_c2"), F.col("_g").alias("_g2"))
-    keyed = tags.withColumn("_k", cleaned(F.col(tag))).withColumn("_s", F.trim(F.regexp_replace("_k", " (music|genre)$", "")))
+    keyed = tags.withColumn("_k", cleaned(F.col(tag))).withColumn("_s", F.regexp_replace("_k", " (music|genre)$", ""))
     found = keyed.join(table, F.col("_k") == F.col("_a"), "left").join(F.broadcast(short), F.col("_s") == F.col("_a2"), "left")
     return found.withColumns({"canonical": F.coalesce("_c", "_c2"), "category": F.coalesce("_g", "_g2")}).select(*tags.columns, "canonical", "category")
 
 
 def source_weight(source: Column) -> Column:
-    out = F.lit(0.5)
+    out = F.lit(OTHER_WEIGHT)
     for name, weight in WEIGHTS.items():
         out = F.when(source == name, weight).otherwise(out)
     return out
@@ -89,9 +199,15 @@ def result(merged: DataFrame, tags: DataFrame, by: list[str], secondary: int = 3
         F.max("sources").alias("most"),
         F.max(F.when(F.col("rank") == 1, F.col("confidence"))).alias("top"),
     )
-    return agg.join(sources, by).select(*by, "primary", "secondary", F.when(F.col("n") > 1, F.col("most") / F.col("n")).otherwise(F.col("top")).alias("overall"))
+    return sources.join(agg, by, "left").select(*by, "primary", F.coalesce("secondary", F.array()).alias("secondary"), F.when(F.col("primary").isNull(), 0.0).when(F.col("n") > 1, F.col("most") / F.col("n")).otherwise(F.col("top")).alias("overall"))
+
+
+def suggest(names: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
+    """words (word) -> (word, canonical): for each word the first `limit` names of which some spelling has it in it, whatever its case."""
+    held = words.join(F.broadcast(names), F.contains(F.col("alias"), F.lower("word"))).groupBy("word", "canonical").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(W.partitionBy("word").orderBy("place", "canonical"))
+    return held.withColumn("rank", rank).where(F.col("rank") <= limit).select("word", "canonical")
 
 
-def suggest(names: DataFrame, partial: str, limit: int = 10) -> DataFrame:
-    """Canonical names of which some alias has the text in it, sorted."""
-    return names.where(F.contains(F.col("alias"), F.lit(partial.lower()))).select("canonical").distinct().orderBy("canonical").limit(limit)
+def in_category(names: DataFrame, category: str) -> DataFrame:
+    return names.where(F.col("category") == category).select("canonical").distinct()

@@ -3,9 +3,11 @@
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.operators.features import TRACK
+from notewright.operators.targets import against
 
 
 @dataclass
@@ -102,10 +104,21 @@ def songs_per_artist(table: DataFrame) -> DataFrame:
     return table.groupBy(F.coalesce(F.nullif("artist", F.lit("")), F.lit("Unknown")).alias("artist")).agg(F.count_distinct("song_id").alias("songs"))
 
 
-def similar_tracks(table: DataFrame, targets: DataFrame, least: float = 0.5) -> DataFrame:
-    """(target, clip_id, similarity): clips like a stated set of targets in density, range, velocity and duration, within one role."""
+def similar_tracks(table: DataFrame, targets: DataFrame, least: float = 0.5, limit: int | None = None, same_role: bool = False) -> DataFrame:
+    """(target, clip_id, similarity): clips of other songs that are like one of a stated set of targets in density, pitch range, velocity and
+    duration; the best `limit` of each target, if given. What is zero on either side is left out, and the rest shares its weight; a range of
+    zero counts as one."""
     parts = {"density": 0.3, "pitch_range": 0.2, "avg_velocity": 0.2, "avg_duration": 0.3}
-    t = targets.select(F.col("clip_id").alias("target"), F.col("role").alias("_role"), *[F.col(c).alias(f"_{c}") for c in parts])
-    ratio = lambda c: F.when(F.greatest(c, f"_{c}") == 0, 1.0).otherwise(F.least(c, f"_{c}") / F.greatest(c, f"_{c}"))
-    score = sum((ratio(c) * w for c, w in parts.items()), F.lit(0.0))
-    return table.join(t, (F.col("role") == F.col("_role")) & (F.col("clip_id") != F.col("target"))).withColumn("similarity", score).where(F.col("similarity") > least).select("target", "clip_id", "similarity")
+    value = lambda c: F.greatest(c, F.lit(1)).alias(c) if c == "pitch_range" else F.col(c)
+    t = targets.select("clip_id", "song_id", "role", *map(value, parts)).toDF("target", "_song", "_role", *[f"_{c}" for c in parts])
+    rows = table.select("clip_id", "song_id", "role", *map(value, parts))
+    other = F.col("song_id") != F.col("_song")
+    met = against(rows, t, other & (F.col("role") == F.col("_role")) if same_role else other)
+    both = {c: (F.col(c) > 0) & (F.col(f"_{c}") > 0) for c in parts}
+    weights = sum((F.when(both[c], w).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))
+    ratios = sum((F.when(both[c], F.least(c, f"_{c}") / F.greatest(c, f"_{c}") * w).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))
+    found = met.withColumn("similarity", F.when(weights > 0, ratios / weights).otherwise(0.0)).where(F.col("similarity") > least).select("target", "clip_id", "similarity")
+    if limit is None:
+        return found
+    rank = F.row_number().over(W.partitionBy("target").orderBy(F.round("similarity", 9).desc(), "clip_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")

@@ -1,15 +1,21 @@
-"""Artist and title from the path of a file."""
+"""Artist and title of a song: from its path, and from what its file says."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Separators between artist and title in order of trust, and site names that file names carry.
-SEPARATORS = [" - ", " – ", " — ", "_-_", " _ "]
-DOMAINS = ["nonstop2k.com", "freemidi.org", "midiworld.com", "bitmidi.com"]
+# Separators between artist and title in order of trust, site names that file names carry, endings of file names.
+SEPARATORS = [" - ", " – ", " — ", "_-_", "__"]
+DOMAINS = ["nonstop2k.com", "midi-karaoke.info", "freemidi.org", "midiworld.com"]
+ENDINGS = [".mid", ".midi", ".kar"]
+# Names of the rules, and how sure each is.
+MIDI, FOLDER, SEPARATOR = ("midi_metadata", 0.7), ("folder_structure", 0.8), ("filename_separator", 0.6)
+KNOWN, KNOWN_UNTITLED, HEURISTIC = ("filename_nonstop2k", 0.8), ("filename_nonstop2k", 0.3), ("filename_nonstop2k_heuristic", 0.4)
+HYPHENS, ONE_WORD, WHOLE = ("filename_hyphenated", 0.5), ("filename_hyphenated", 0.3), ("filename_fallback", 0.3)
+GUESS = "struct<artist:string,title:string,source:string,confidence:double>"
 
 
-def guess(artist: Column, title: Column, source: str, confidence: Column | float) -> Column:
-    return F.struct(artist.alias("artist"), title.alias("title"), F.lit(source).alias("source"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"))
+def guess(artist: Column, title: Column, rule: tuple[str, float]) -> Column:
+    return F.struct(artist.alias("artist"), title.alias("title"), F.lit(rule[0]).alias("source"), F.lit(rule[1]).alias("confidence"))
 
 
 def title_case(text: Column) -> Column:
@@ -22,8 +28,7 @@ def title_case(text: Column) -> Column:
 
 
 def clean_title(text: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, "[_-]", " "), r"\s+", " "))
-    return title_case(spaced)
+    return title_case(F.trim(F.regexp_replace(F.regexp_replace(text, "[_-]", " "), r"\s+", " ")))
 
 
 def clean_stem(stem: Column) -> Column:
@@ -34,77 +39,117 @@ def clean_stem(stem: Column) -> Column:
 
 def looks_like_filename(text: Column) -> Column:
     low = F.lower(text)
-    site = F.lit(False)
+    found = text.rlike(r"\d{8,}") | (F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit(""))) >= 3)
     for d in DOMAINS:
-        site = site | F.contains(low, F.lit(d))
-    return site | text.rlike(r"\d{8,}") | low.rlike(r"\.midi?$") | (F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit(""))) >= 3)
+        found = found | F.contains(low, F.lit(d))
+    for e in ENDINGS:
+        found = found | F.endswith(low, F.lit(e))
+    return found
 
 
 def from_copyright(text: Column) -> Column:
-    """The artist that a copyright line names."""
-    out = F.lit(None).cast("string")
-    for pattern in (r"(?i)^\s*by\s+(.+)$", r"(?i)\d{4}\s+(?:by\s+)?(.+)$", r"(?i)(?:©|\(c\)|copyright)\s*(.+)$"):
-        found = F.regexp_extract(text, pattern, 1)
-        out = F.coalesce(out, F.when(found != "", F.trim(found)))
+    """The artist that a copyright line names; empty if none."""
+    out = F.lit("")
+    # What stands before the name, in order of trust.
+    for pattern in reversed([r"©\s*\d{4}\s+(.+)", r"[Cc]opyright\s+(?:\d{4}\s+)?(.+)", r"by\s+(.+)"]):
+        out = F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise(out)
     return out
 
 
+def from_midi(title: Column, copyright: Column) -> Column:
+    """What the file itself says: sure only if it has a title."""
+    artist, title = F.coalesce(from_copyright(copyright), F.lit("")), F.coalesce(title, F.lit(""))
+    sure = F.struct(artist.alias("artist"), title.alias("title"), F.lit(MIDI[0]).alias("source"), F.when(title != "", MIDI[1]).otherwise(0.0).alias("confidence"))
+    return F.when((artist != "") | (title != ""), sure)
+
+
 def from_folders(parts: Column, stem: Column) -> Column:
     """.../R/Ramones/title: a folder of one letter above the artist's."""
     letter, artist = F.get(parts, F.size(parts) - 3), F.get(parts, F.size(parts) - 2)
-    return F.when(letter.rlike(r"^\p{L}$"), guess(artist, clean_title(stem), "folder", 0.8))
+    return F.when(letter.rlike(r"^\p{L}$"), guess(artist, clean_title(stem), FOLDER))
 
 
 def from_separator(stem: Column) -> Column:
-    out = F.lit(None).cast("struct<artist:string,title:string,source:string,confidence:double>")
+    """Before and after the first separator. (A dash alone between underscores is the fourth separator, two underscores are the fifth.)"""
+    out = F.lit(None).cast(GUESS)
     for s in reversed(SEPARATORS):
         at = F.instr(stem, s)
-        out = F.when(at > 0, guess(F.trim(F.substr(stem, F.lit(1), at - 1)), clean_title(F.substr(stem, at + len(s))), "filename", 0.6)).otherwise(out)
+        out = F.when(at > 0, guess(clean_title(F.substr(stem, F.lit(1), at - 1)), clean_title(F.substr(stem, at + len(s))), SEPARATOR)).otherwise(out)
     return out
 
 
-def segment(stem: Column, slugs: Column, most: int = 6) -> Column:
-    """artist-slug[-artist-slug...]-title by a dictionary of slugs (a map of slug to name): again and again the longest prefix known.
+def is_number(word: Column) -> Column:
+    return word.rlike(r"^\p{Nd}+$")
+
 
-    A fold over the words: at each round the longest of `most` words is taken, so the text is read once from left to right.
-    """
+def segment(stem: Column, slugs: Column | None = None) -> Column:
+    """artist-slug[-artist-slug...]-title by a dictionary of slugs (a map of slug to name): again and again the longest prefix that is known.
+    Without a known artist the first two of three words are the artist, or the first half of more."""
     words = F.split(F.lower(stem), "-")
+    rest = F.filter(words, lambda w: ~is_number(w))
+    joined = lambda x: title_case(F.array_join(x, " "))
+
+    def halves(x: Column) -> Column:
+        n = F.when(F.size(x) == 3, 2).otherwise(F.floor(F.size(x) / 2)).cast("int")
+        return F.when(F.size(x) >= 3, guess(joined(F.slice(x, F.lit(1), n)), joined(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))), HEURISTIC))
+
+    by_words = F.transform(F.array(rest), halves)[0]
+    if slugs is None:
+        return by_words
 
-    def longest(rest: Column) -> Column:
-        tried = F.transform(F.sequence(F.lit(most), F.lit(1), F.lit(-1)), lambda n: F.when(F.size(rest) > n, F.when(F.element_at(slugs, F.array_join(F.slice(rest, F.lit(1), n), "-")).isNotNull(), n)))
-        return F.coalesce(F.array_max(tried), F.lit(0))
+    def fold(all_words: Column) -> Column:
+        def longest(at: Column) -> Column:
+            """Words of the longest known slug from word `at` on, 0 if none."""
+            sizes = F.sequence(F.size(all_words) - at, F.lit(1), F.lit(-1))
+            known = F.filter(sizes, lambda n: F.element_at(slugs, F.array_join(F.slice(all_words, at + 1, n), "-")).isNotNull())
+            return F.when(at < F.size(all_words), F.coalesce(F.get(known, F.lit(0)), F.lit(0))).otherwise(0)
 
-    start = F.struct(words.alias("rest"), F.array().cast("array<string>").alias("names"))
+        def step(a: Column, _: Column) -> Column:
+            def take(n: Column) -> Column:
+                name = F.element_at(slugs, F.array_join(F.slice(all_words, a["at"] + 1, n), "-"))
+                return F.when(n == 0, F.struct(a["at"].alias("at"), a["names"].alias("names"), F.lit(False).alias("on"))).otherwise(F.struct((a["at"] + n).alias("at"), F.concat(a["names"], F.array(name)).alias("names"), F.lit(True).alias("on")))
 
-    def step(a: Column, _: Column) -> Column:
-        def taken(n: Column) -> Column:
-            return F.when(n == 0, a).otherwise(F.struct(F.slice(a["rest"], n + 1, F.greatest(F.size(a["rest"]) - n, F.lit(1))).alias("rest"), F.concat(a["names"], F.array(F.element_at(slugs, F.array_join(F.slice(a["rest"], F.lit(1), n), "-")))).alias("names")))
+            return F.when(a["on"], F.transform(F.array(longest(a["at"])), take)[0]).otherwise(a)
 
-        return F.transform(F.array(longest(a["rest"])), taken)[0]
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("names"), F.lit(True).alias("on"))
+        done = F.aggregate(F.sequence(F.lit(1), F.size(all_words)), start, step)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step)
-    title = lambda d: clean_title(F.array_join(F.filter(d["rest"], lambda w: ~w.rlike(r"^\d+$")), "-"))
-    return F.transform(F.array(done), lambda d: F.when(F.size(d["names"]) > 0, guess(F.array_join(d["names"], ", "), title(d), "filename", 0.8)))[0]
+        def told(d: Column) -> Column:
+            left = F.filter(F.slice(all_words, d["at"] + 1, F.size(all_words)), lambda w: ~is_number(w))
+            artist = F.array_join(d["names"], ", ")
+            named = F.when(F.size(left) > 0, guess(artist, joined(left), KNOWN)).otherwise(guess(artist, F.lit(""), KNOWN_UNTITLED))
+            return F.when(F.size(d["names"]) > 0, named).otherwise(by_words)
+
+        return F.transform(F.array(done), told)[0]
+
+    return F.when(F.size(words) >= 2, F.transform(F.array(words), fold)[0])
 
 
 def from_hyphens(stem: Column) -> Column:
-    words = F.filter(F.split(stem, "-"), lambda w: F.trim(w) != "")
-    n = F.size(words)
-    rest = title_case(F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " "))
-    one = guess(F.lit(None).cast("string"), title_case(F.get(words, F.lit(0))), "filename", 0.3)
-    more = guess(title_case(F.get(words, F.lit(0))), rest, "filename", F.when(n == 2, 0.5).otherwise(0.4))
-    return F.when(n == 1, one).when(n > 1, more)
-
-
-def metadata(files: DataFrame, path: str = "path", slugs: Column | None = None) -> DataFrame:
-    """files with artist, title, source, confidence: the surest guess, its gaps filled by the next."""
-    parts = F.split(path, "/")
-    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    """Words between hyphens, numbers left out: one is the title, of two the first is the artist. (`segment` has those of three.)"""
+    words = F.filter(F.transform(F.split(stem, "-"), lambda w: F.trim(w)), lambda w: (w != "") & ~is_number(w))
+    one = guess(F.lit(""), title_case(F.get(words, F.lit(0))), ONE_WORD)
+    two = guess(title_case(F.get(words, F.lit(0))), title_case(F.get(words, F.lit(1))), HYPHENS)
+    return F.when(F.contains(stem, F.lit("-")), F.when(F.size(words) == 1, one).when(F.size(words) == 2, two))
+
+
+def metadata(files: DataFrame, path: str = "path", slugs: Column | None = None, title: Column | None = None, copyright: Column | None = None) -> DataFrame:
+    """files with artist, title, source, confidence: the surest of what the file says (its title and copyright line, if given), its folders
+    and its name; gaps are filled by the next. Artist and title may be empty."""
+    parts = F.split(F.regexp_replace(path, "/+", "/"), "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]+$", "")
     clean = clean_stem(stem)
-    names = [from_separator(clean), *([segment(clean, slugs)] if slugs is not None else []), from_hyphens(clean)]
-    guesses = F.array(F.struct(F.lit(-0.8).alias("o"), F.lit(0).alias("k"), from_folders(parts, stem).alias("g")), F.struct(F.lit(0.0).alias("o"), F.lit(1).alias("k"), F.coalesce(*names).alias("g")))
-    ranked = F.array_sort(F.transform(F.filter(guesses, lambda x: x["g"].isNotNull()), lambda x: F.struct((-x["g"]["confidence"]).alias("o"), x["k"].alias("k"), x["g"].alias("g"))))
+    inside = from_midi(F.lit("") if title is None else title, F.lit("") if copyright is None else copyright)
+    name = F.coalesce(from_separator(clean), segment(clean, slugs), from_hyphens(clean), guess(F.lit(""), clean_title(clean), WHOLE))
+    told = F.filter(F.array(inside, from_folders(parts, stem), name), lambda g: g.isNotNull())
+    ranked = F.array_sort(F.transform(told, lambda g, k: F.struct((-g["confidence"]).alias("o"), k.alias("k"), g.alias("g"))))
     out = files.withColumn("_r", ranked)
-    first = lambda f: F.get(F.filter(F.transform("_r", lambda x: x["g"][f]), lambda v: F.coalesce(v != "", F.lit(False))), F.lit(0))
+    first = lambda f: F.coalesce(F.get(F.filter(F.transform("_r", lambda x: x["g"][f]), lambda v: v != ""), F.lit(0)), F.lit(""))
     best = F.get("_r", F.lit(0))["g"]
     return out.select(*files.columns, first("artist").alias("artist"), first("title").alias("title"), best["source"].alias("source"), best["confidence"].alias("confidence"))
+
+
+def songs(files: DataFrame, titles: DataFrame, path: str = "path", slugs: Column | None = None) -> DataFrame:
+    """files (song_id, path) with what `sources.smf.titles` read from them."""
+    told = titles.select("song_id", F.col("title").alias("_title"), F.col("copyright").alias("_copyright"))
+    return metadata(files.join(told, "song_id", "left"), path, slugs, F.col("_title"), F.col("_copyright")).drop("_title", "_copyright")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.operators.features import TRACK
+from notewright.operators.targets import against
 
 RHYTHM, PITCH = 0.9, 0.85
 GROUP = [*TRACK, "chunk_size"]
@@ -52,11 +53,13 @@ def transposition(mean_a: Column, mean_b: Column, rhythm: Column) -> Column:
     return F.when((rhythm >= RHYTHM) & (F.abs(by) <= 12), by)
 
 
-def similar_pairs(prints: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of distinct patterns of one song, track and size that share an onset step, with their similarities.
+def similar_pairs(prints: DataFrame, least: float = 0.001) -> DataFrame:
+    """Pairs of distinct patterns of one song, track and size whose similarity is `least` or more; without the rhythm threshold it is zero.
 
-    Patterns meet by equi-join on a step both sound in: only those can reach a rhythm threshold above zero.
+    Patterns meet by equi-join on a step both sound in: only those can reach the rhythm threshold, so least must be above zero.
     """
+    if least <= 0:
+        raise ValueError("pairs of similarity zero are not met")
     one = prints.groupBy(*GROUP, "pattern_id").agg(*[F.min_by(c, "start_bar").alias(c) for c in ("onset_grid", "pitch_classes", "contour", "mean_pitch")])
     # a pattern's least onset steps: two grids with Jaccard >= RHYTHM agree on one of the first ones of each
     on = F.filter(F.transform("onset_grid", lambda x, k: F.when(x == 1, k)), lambda k: k.isNotNull())
@@ -85,11 +88,13 @@ def merge_similar(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def fold(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["first_bar"])
+        named, place = {r["pattern_id"]: r for r in rows}, {r["pattern_id"]: k for k, r in enumerate(rows)}
         taken, out = set(), []
         for r in rows:
             if r["pattern_id"] in taken:
                 continue
-            own = [r] + [x for x in rows if x["first_bar"] > r["first_bar"] and x["pattern_id"] not in taken and x["pattern_id"] in (r["near"] or [])]
+            near = (named[p] for p in r["near"] or [] if p not in taken)
+            own = [r, *sorted((x for x in near if x["first_bar"] > r["first_bar"]), key=lambda x: place[x["pattern_id"]])]
             taken.update(x["pattern_id"] for x in own)
             lead = max(own, key=lambda x: x["occurrences"])
             out.append({**{c: r[c] for c in GROUP}, "leader": r["pattern_id"], "canonical": lead["pattern_id"], "merged": len(own), "occurrences": sum(x["occurrences"] for x in own), "confidence": 1.0 / len(own)})
@@ -129,9 +134,10 @@ def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataF
     return out
 
 
-def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5) -> DataFrame:
+def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5, rows: int | None = None) -> DataFrame:
     """(target, pattern_id, similarity): patterns of the length of a target row, by the mean of their onsets' Jaccard index and
-    their pitch classes' cosine; two empty vectors are alike. Targets are a stated set; they meet patterns by equi-join on length."""
-    t = target.select(F.col("pattern_id").alias("target"), "num_bars", F.col("onset_grid").alias("_g"), F.col("pitch_classes").alias("_p"))
+    their pitch classes' cosine; two empty vectors are alike. Targets are a stated set, of at most `rows` rows if that is given."""
+    t = target.select(F.col("pattern_id").alias("target"), F.col("num_bars").alias("_bars"), F.col("onset_grid").alias("_g"), F.col("pitch_classes").alias("_p"))
     score = (rhythm_similarity(F.col("onset_grid"), F.col("_g")) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
-    return patterns.join(t, "num_bars").where("pattern_id <> target").withColumn("similarity", score).where(F.col("similarity") >= least).select("target", "pattern_id", "num_bars", "similarity")
+    met = against(patterns, t, (F.col("num_bars") == F.col("_bars")) & (F.col("pattern_id") != F.col("target")), rows)
+    return met.withColumn("similarity", score).where(F.col("similarity") >= least).select("target", "pattern_id", "num_bars", "similarity")

@@ -24,12 +24,13 @@ def registered(sql: str | None = None):
 
 
 def song_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A song for every tenth customer: artist, title, and genre and tag by market segment."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0")
+    """A song for every ten customers, by the first of them: artist, title, and genre and tag by market segment."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = c.groupBy(F.expr("c_custkey div 10").alias("song_id")).agg(F.min_by(F.struct("c_custkey", "c_name", "c_mktsegment"), "c_custkey").alias("c")).select("song_id", "c.*")
     genre, tag = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s, g, t in SEGMENTS:
         genre, tag = F.when(F.col("c_mktsegment") == s, g).otherwise(genre), F.when(F.col("c_mktsegment") == s, t).otherwise(tag)
-    return c.select(F.expr("c_custkey div 10").alias("song_id"), F.col("c_name").alias("artist"), F.concat(F.lit("Song "), F.col("c_custkey").cast("string")).alias("title"), F.array_compact(F.array(genre)).alias("genres"), F.array_compact(F.array(tag)).alias("tags"))
+    return c.select("song_id", F.col("c_name").alias("artist"), F.concat(F.lit("Song "), F.col("c_custkey").cast("string")).alias("title"), F.array_compact(F.array(genre)).alias("genres"), F.array_compact(F.array(tag)).alias("tags"))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ CLIPS = [
     FEATURES,
     ROLES,
     values(SEGMENTS, "segments", "segment, genre, tag"),
-    """songs AS (SELECT c_custkey // 10 AS song_id, c_name AS artist, 'Song ' || c_custkey AS title, genre, tag FROM customer LEFT JOIN segments ON segment = c_mktsegment WHERE c_custkey % 10 = 0),
+    """songs AS (SELECT c_custkey // 10 AS song_id, c_name AS artist, 'Song ' || c_custkey AS title, genre, tag FROM (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) = 1) LEFT JOIN segments ON segment = c_mktsegment),
 clips AS (
     SELECT f.song_id || '_' || f.track_id AS clip_id, f.song_id, f.track_id, r.primary_role AS role, f.note_count, t.total_bars AS bars, f.note_density AS density, f.avg_velocity, f.avg_duration, f.pitch_range,
         s.artist, s.title, s.genre, s.tag
@@ -117,13 +118,19 @@ def browser_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(library.filter_text(clips(spark, sf_dir), "SONG 1"))
 
 
-RATIO = " + ".join(f"CASE WHEN greatest(a.{c}, b.{c}) = 0 THEN 1e0 ELSE least(a.{c}, b.{c}) / CAST(greatest(a.{c}, b.{c}) AS DOUBLE) END * {w}e0" for c, w in (("density", 0.3), ("pitch_range", 0.2), ("avg_velocity", 0.2), ("avg_duration", 0.3)))
+WEIGHED = [("density", 0.3), ("pitch_range", 0.2), ("avg_velocity", 0.2), ("avg_duration", 0.3)]
+BOTH = {c: f"a.{c} > 0 AND b.{c} > 0" for c, _ in WEIGHED}
+RATIO = " + ".join(f"CASE WHEN {BOTH[c]} THEN least(a.{c}, b.{c}) / CAST(greatest(a.{c}, b.{c}) AS DOUBLE) * {w}e0 ELSE 0e0 END" for c, w in WEIGHED)
+SHARE = " + ".join(f"CASE WHEN {BOTH[c]} THEN {w}e0 ELSE 0e0 END" for c, w in WEIGHED)
 
 
-@registered(query(*CLIPS, f"SELECT target, clip_id, {r6('similarity', 'similarity')} FROM (SELECT b.clip_id AS target, a.clip_id, {RATIO} AS similarity FROM clips a JOIN clips b ON a.role = b.role AND a.clip_id <> b.clip_id WHERE b.song_id % 5 = 0) WHERE similarity > 0.5"))
+@registered(query(*CLIPS, "ranged AS (SELECT * REPLACE (greatest(pitch_range, 1) AS pitch_range) FROM clips)", f"""SELECT target, clip_id, {r6('similarity', 'similarity')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 9) DESC, clip_id) AS place FROM (
+        SELECT b.clip_id AS target, a.clip_id, ({RATIO}) / nullif({SHARE}, 0) AS similarity FROM ranged a JOIN ranged b ON a.song_id <> b.song_id WHERE b.song_id % 100 = 0) WHERE similarity > 0.5) WHERE place <= 50"""))
 def similar_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated targets: all clips of songs whose id is divisible by 100. Of each the 50 best."""
     table = clips(spark, sf_dir)
-    return rounded(library.similar_tracks(table, table.where("song_id % 5 = 0")), "similarity")
+    return rounded(library.similar_tracks(table, table.where("song_id % 100 = 0"), limit=50), "similarity")
 
 
 @registered(query(*CLIPS, f"SELECT {LIST} FROM (SELECT * REPLACE (CASE WHEN song_id % 2 = 0 THEN 'lead' ELSE role END AS role) FROM clips) WHERE track_id <> 4"))
@@ -134,81 +141,117 @@ def dedup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(library.delete(library.upsert(table, new), F.col("track_id") == 4))
 
 
-# Names that a song takes in turn.
-NAMES = [n for names in genres.CATEGORIES.values() for n in names.split(", ")]
+# Tags that customers have in turn, with the name and category that each stands for; none for the last ones.
+TAGS = [
+    ("  Rock & Roll ", "rock", "rock"),
+    ("prog", "progressive rock", "rock"),
+    ("Synth Pop", "synth-pop", "pop"),
+    ("electropop", "electro-pop", "pop"),
+    ("EDM", "edm", "electronic"),
+    ("Electronic Dance Music", "edm", "electronic"),
+    ("drum & bass", "drum and bass", "electronic"),
+    ("fusion", "jazz fusion", "jazz"),
+    ("be-bop", "bebop", "jazz"),
+    ("jazz genre", "jazz", "jazz"),
+    ("modern classical", "contemporary classical", "classical"),
+    ("conscious hip hop", "conscious hip-hop", "hip-hop"),
+    ("rap music", "hip-hop", "hip-hop"),
+    ("neo soul", "neo-soul", "r&b"),
+    ("alternative country", "alt-country", "country"),
+    ("singer songwriter", "singer-songwriter", "folk"),
+    ("blues rock", "blues rock", "blues"),
+    ("nu metal", "nu-metal", "metal"),
+    ("hardcore", "hardcore punk", "punk"),
+    ("dub", "dub", "reggae"),
+    ("reggaetón", "reggaeton", "latin"),
+    ("afropop", "afropop", "world"),
+    ("northern soul", "northern soul", "soul"),
+    ("nu disco", "nu-disco", "funk"),
+    ("drone", "drone", "ambient"),
+    ("avant garde", "avant-garde", "experimental"),
+    ("vgm", "video game music", "soundtrack"),
+    ("conscious hip-hop", None, None),
+    ("rock  music", None, None),
+    ("xyzabc123", None, None),
+]
+# Sources and how far along the tags each is for a customer; the first two often agree.
+SOURCES = [("musicbrainz", 1, 0), ("discogs", 1, 0), ("lastfm", 7, 3), ("spotify", 1, 1), ("user", 11, 5), ("forum", 13, 2)]
 
 
 def tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of customers from three sources: their segment's genre, that with a suffix, and one by nation."""
-    songs = song_table(spark, sf_dir)
-    base = songs.select("song_id", F.get("genres", F.lit(0)).alias("genre"))
-    listed = F.array(*map(F.lit, NAMES))
-    rows = F.array(
-        F.struct(F.lit("musicbrainz").alias("source"), F.lit(0).alias("place"), F.upper("genre").alias("tag")),
-        F.struct(F.lit("discogs").alias("source"), F.lit(1).alias("place"), F.concat("genre", F.lit(" music")).alias("tag")),
-        F.struct(F.lit("lastfm").alias("source"), F.lit(2).alias("place"), F.get(listed, F.pmod("song_id", F.lit(len(NAMES))).cast("int")).alias("tag")),
-        F.struct(F.lit("user").alias("source"), F.lit(3).alias("place"), F.lit("no such genre").alias("tag")),
-    )
-    return base.select("song_id", F.explode(rows).alias("x")).select("song_id", "x.*")
+    """Tags of all customers from six sources."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    tags = F.array(*[F.lit(t) for t, _, _ in TAGS])
+    rows = [F.struct(F.lit(s).alias("source"), F.lit(k).alias("place"), F.get(tags, F.pmod(F.col("c_custkey") * by + plus, F.lit(len(TAGS))).cast("int")).alias("tag")) for k, (s, by, plus) in enumerate(SOURCES)]
+    return c.select("c_custkey", F.explode(F.array(*rows)).alias("x")).select("c_custkey", "x.*")
 
 
 TAG_SQL = [
-    values(SEGMENTS, "segments", "segment, genre, tag0"),
-    values([(k, n) for k, n in enumerate(NAMES)], "names", "k, name"),
-    values([(n, c) for c, ns in genres.CATEGORIES.items() for n in ns.split(", ")], "categories", "name, category"),
-    f"""based AS (SELECT c_custkey // 10 AS song_id, genre FROM customer JOIN segments ON segment = c_mktsegment WHERE c_custkey % 10 = 0),
-tags AS (
-    SELECT song_id, 'musicbrainz' AS source, 0 AS place, upper(genre) AS tag, genre AS canonical FROM based
-    UNION ALL SELECT song_id, 'discogs', 1, genre || ' music', genre FROM based
-    UNION ALL SELECT song_id, 'lastfm', 2, name, name FROM based JOIN names ON k = song_id % {len(NAMES)}
-    UNION ALL SELECT song_id, 'user', 3, 'no such genre', NULL FROM based
-)""",
+    values([(k, t, n or "", g or "") for k, (t, n, g) in enumerate(TAGS)], "known", "k, tag, canonical, category"),
+    values([(s, k, by, plus) for k, (s, by, plus) in enumerate(SOURCES)], "sources", "source, place, by_, plus"),
+    f"tags AS (SELECT c_custkey, source, place, tag, canonical, category FROM customer, sources JOIN known ON k = (c_custkey * by_ + plus) % {len(TAGS)})",
 ]
 
 
-@registered(query(*TAG_SQL, "SELECT song_id, source, place, tag, coalesce(canonical, '') AS canonical, coalesce(category, '') AS category FROM tags LEFT JOIN categories c ON c.name = canonical"))
+@registered(query(*TAG_SQL, "SELECT c_custkey, source, place, tag, canonical, category FROM tags"))
 def normalize_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genres.normalize(tag_table(spark, sf_dir), genres.taxonomy(spark)).fillna("", ["canonical", "category"])
 
 
-@registered(query(*TAG_SQL, f"""weights(source, w) AS (VALUES ('musicbrainz', 1e0), ('discogs', 0.9e0), ('lastfm', 0.7e0), ('user', 0.8e0)),
-known AS (SELECT t.song_id, canonical, place, w, row_number() OVER (PARTITION BY t.song_id, canonical ORDER BY place) AS nth FROM tags t JOIN weights USING (source) WHERE canonical IS NOT NULL)""",
-    f"""SELECT song_id, canonical, CAST(count(*) AS INTEGER) AS sources, {r6("least(1e0, sum(CASE WHEN nth = 1 THEN w ELSE 0.3e0 * w END))", "confidence")} FROM known GROUP BY 1, 2"""))
+@registered(query(*TAG_SQL, """weights(source, w) AS (VALUES ('musicbrainz', 1e0), ('discogs', 0.9e0), ('lastfm', 0.7e0), ('spotify', 0.8e0), ('user', 0.5e0), ('forum', 0.5e0)),
+found AS (SELECT c_custkey, canonical, place, w, row_number() OVER (PARTITION BY c_custkey, canonical ORDER BY place) AS nth FROM tags JOIN weights USING (source) WHERE canonical <> '')""",
+    f"""SELECT c_custkey, canonical, CAST(count(*) AS INTEGER) AS sources, {r6("least(1e0, sum(CASE WHEN nth = 1 THEN w ELSE 0.3e0 * w END))", "confidence")} FROM found GROUP BY 1, 2"""))
 def merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = genres.normalize(tag_table(spark, sf_dir), genres.taxonomy(spark))
-    return rounded(genres.merge(tags, ["song_id"]).select("song_id", "canonical", "sources", "confidence"), "confidence")
+    return rounded(genres.merge(tags, ["c_custkey"]).select("c_custkey", "canonical", "sources", "confidence"), "confidence")
 
 
-@registered()
+@registered("""WITH names(word, canonical) AS (VALUES
+    ('rock', 'rock'), ('rock', 'classic rock'), ('rock', 'hard rock'), ('rock', 'soft rock'), ('rock', 'progressive rock'), ('rock', 'alternative rock'), ('rock', 'indie rock'), ('rock', 'psychedelic rock'), ('rock', 'garage rock'), ('rock', 'southern rock'),
+    ('techno', 'techno'), ('jazz', 'jazz'), ('jazz', 'smooth jazz'), ('jazz', 'jazz fusion'), ('jazz', 'free jazz'), ('jazz', 'cool jazz'), ('jazz', 'latin jazz'), ('jazz', 'acid jazz'), ('jazz', 'nu-jazz'),
+    ('pop', 'pop'), ('pop', 'synth-pop'), ('pop', 'electro-pop'), ('pop', 'dance-pop'), ('pop', 'art pop'), ('pop', 'indie pop'), ('pop', 'chamber pop'), ('pop', 'dream pop'), ('pop', 'power pop'), ('pop', 'teen pop'),
+    ('metal', 'metal'), ('metal', 'heavy metal'), ('metal', 'thrash metal'), ('metal', 'death metal'), ('metal', 'black metal'), ('metal', 'doom metal'), ('metal', 'power metal'), ('metal', 'progressive metal'), ('metal', 'nu-metal'), ('metal', 'metalcore')),
+segments(segment, word) AS (VALUES ('AUTOMOBILE', 'rock'), ('BUILDING', 'techno'), ('FURNITURE', 'jazz'), ('HOUSEHOLD', 'pop'), ('MACHINERY', 'metal'))
+SELECT word, canonical FROM names WHERE word IN (SELECT word FROM customer JOIN segments ON segment = c_mktsegment)""")
 def suggest_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every genre word that customers' segments name, the names that hold it."""
-    words = song_table(spark, sf_dir).select(F.explode("genres").alias("word")).distinct()
-    names = genres.taxonomy(spark)
-    return words.join(F.broadcast(names), F.contains(F.col("alias"), F.col("word"))).select("word", "canonical").distinct()
+    """For every genre word that customers' segments name, the first ten names that hold it."""
+    words = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment").distinct()
+    words = words.join(F.broadcast(spark.createDataFrame([(s, g) for s, g, _ in SEGMENTS], "c_mktsegment string, word string")), "c_mktsegment").select("word")
+    return genres.suggest(genres.taxonomy(spark), words)
 
 
 def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths in four shapes, from customers and their nations."""
+    """Paths in eight shapes, from customers and their nations."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    t = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", F.initcap(F.lower("n_name")).alias("artist"), F.lower("c_mktsegment").alias("word"))
-    k = F.col("c_custkey").cast("string")
-    path = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("/music/"), F.substring("artist", 1, 1), F.lit("/"), F.col("artist"), F.lit("/"), F.col("word"), F.lit("_"), k, F.lit(".mid")))
-    path = path.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("/music/"), F.col("artist"), F.lit(" - "), F.col("word"), F.lit(" no "), k, F.lit(".mid")))
-    path = path.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("/music/"), F.col("word"), F.lit("-song-"), k, F.lit(".mid")))
-    return t.select("c_custkey", path.otherwise(F.concat(F.lit("/music/"), F.col("word"), k, F.lit(".mid"))).alias("path"))
+    t = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("c_custkey", F.initcap(F.lower("n_name")).alias("artist"), F.lower("c_mktsegment").alias("word"))
+    artist, word, k, text = F.col("artist"), F.col("word"), F.col("c_custkey").cast("string"), F.lit
+    shapes = [
+        F.concat(F.substring("artist", 1, 1), text("/"), artist, text("/"), word, text("_"), k),
+        F.concat(artist, text(" - "), word, text(" no "), k),
+        F.concat(word, text("-song-"), k),
+        F.concat(word, k),
+        F.concat(F.lower("artist"), text("__"), word, text("_"), k),
+        F.concat(word, text("-two-song")),
+        F.concat(word, text("-20230130024203-midi-karaoke.info")),
+        F.concat(word, text("-"), k),
+    ]
+    named = F.get(F.array(*shapes), F.pmod("c_custkey", F.lit(8)).cast("int"))
+    return t.select("c_custkey", F.concat(F.lit("/music/"), named, F.lit(".mid")).alias("path"))
 
 
 CASED = "upper(left(lower(c_mktsegment), 1)) || substr(lower(c_mktsegment), 2)"
 ARTIST = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
 
 
-@registered(f"""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN {ARTIST} WHEN 1 THEN {ARTIST} WHEN 2 THEN {CASED} ELSE '' END AS artist,
-    CASE c_custkey % 4 WHEN 0 THEN {CASED} || ' ' || c_custkey WHEN 1 THEN {CASED} || ' No ' || c_custkey WHEN 2 THEN 'Song ' || c_custkey ELSE {CASED} || c_custkey END AS title,
-    CASE c_custkey % 4 WHEN 0 THEN 0.8e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.4e0 ELSE 0.3e0 END AS confidence
+@registered(f"""SELECT c_custkey,
+    CASE c_custkey % 8 WHEN 0 THEN {ARTIST} WHEN 1 THEN replace({ARTIST}, '_', ' ') WHEN 2 THEN {CASED} WHEN 4 THEN replace({ARTIST}, '_', ' ') WHEN 5 THEN {CASED} || ' Two' ELSE '' END AS artist,
+    CASE c_custkey % 8 WHEN 0 THEN {CASED} || ' ' || c_custkey WHEN 1 THEN {CASED} || ' No ' || c_custkey WHEN 2 THEN 'Song' WHEN 3 THEN {CASED} || c_custkey WHEN 4 THEN {CASED} || ' ' || c_custkey WHEN 5 THEN 'Song' ELSE {CASED} END AS title,
+    CASE c_custkey % 8 WHEN 0 THEN 'folder_structure' WHEN 1 THEN 'filename_separator' WHEN 2 THEN 'filename_hyphenated' WHEN 3 THEN 'filename_fallback' WHEN 4 THEN 'filename_separator' WHEN 5 THEN 'filename_nonstop2k_heuristic' WHEN 6 THEN 'filename_fallback' ELSE 'filename_hyphenated' END AS source,
+    CASE c_custkey % 8 WHEN 0 THEN 0.8e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.5e0 WHEN 4 THEN 0.6e0 WHEN 5 THEN 0.4e0 ELSE 0.3e0 END AS confidence
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.metadata(file_table(spark, sf_dir)).select("c_custkey", F.coalesce("artist", F.lit("")).alias("artist"), "title", "confidence")
+    return paths.metadata(file_table(spark, sf_dir)).select("c_custkey", "artist", "title", "source", "confidence")
 
 
 @registered(query(NOTES_A, "SELECT song_id, track_id, note_seq, start_beat - 16 AS start_beat, duration_beats, pitch, velocity, channel FROM notes WHERE start_beat >= 16 AND start_beat < 32"))

@@ -92,7 +92,7 @@ def repetition_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = """
-ones AS (SELECT song_id, track_id, chunk_size, pattern_id, arg_min(onset_grid, start_bar) AS g, arg_min(pitch_classes, start_bar) AS pc, arg_min(contour, start_bar) AS c, arg_min(mean_pitch, start_bar) AS m FROM prints WHERE chunk_size <= 2 GROUP BY 1, 2, 3, 4),
+ones AS (SELECT song_id, track_id, chunk_size, pattern_id, arg_min(onset_grid, start_bar) AS g, arg_min(pitch_classes, start_bar) AS pc, arg_min(contour, start_bar) AS c, arg_min(mean_pitch, start_bar) AS m FROM prints GROUP BY 1, 2, 3, 4),
 paired AS (
     SELECT a.song_id, a.track_id, a.chunk_size, a.pattern_id AS pattern_a, b.pattern_id AS pattern_b, a.m - b.m AS shift, a.c AS ca, b.c AS cb, a.pc AS pa, b.pc AS pb,
         len(list_filter(range(1, least(len(a.g), len(b.g)) + 1), lambda k: a.g[k] = 1 AND b.g[k] = 1)) AS both_on,
@@ -110,13 +110,13 @@ rated AS (
     {r6("(CASE WHEN sa = 0 OR sb = 0 THEN 0 ELSE dot / (sqrt(sa) * sqrt(sb)) END + contour) / 2", "pitch")},
     CAST(CASE WHEN abs(round_even(shift, 0)) <= 12 THEN round_even(shift, 0) ELSE -99 END AS INTEGER) AS transposition FROM rated"""))
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = patterns.similar_pairs(prints(spark, sf_dir, (1, 2)), 0.001)
+    pairs = patterns.similar_pairs(prints(spark, sf_dir))
     return rounded(pairs.select(*GROUP, "pattern_a", "pattern_b", "rhythm", "pitch", F.coalesce("transposition", F.lit(-99)).alias("transposition")), "rhythm", "pitch")
 
 
 @registered()
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prints(spark, sf_dir, (1, 2))
+    found = prints(spark, sf_dir)
     return patterns.merge_similar(patterns.exact_clusters(found), patterns.similar_pairs(found))
 
 
@@ -156,10 +156,10 @@ def pattern_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""SELECT {LIST} FROM patterns WHERE pattern_id IN (
-    SELECT pattern_id FROM prints WHERE note_count > 0 AND song_id IN (SELECT c_custkey // 10 FROM customer WHERE c_custkey % 10 = 0 AND c_name ILIKE '%1%'))"""))
+    SELECT pattern_id FROM prints WHERE note_count > 0 AND song_id IN (SELECT song_id FROM (SELECT c_custkey // 10 AS song_id, arg_min(c_name, c_custkey) AS artist FROM customer GROUP BY 1) WHERE artist ILIKE '%1%'))"""))
 def pattern_search_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, instances = stored(spark, sf_dir)
-    songs = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 = 0").select(F.expr("c_custkey div 10").alias("song_id"), F.col("c_name").alias("artist"))
+    songs = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.expr("c_custkey div 10").alias("song_id")).agg(F.min_by("c_name", "c_custkey").alias("artist"))
     return patterns.search(found, instances, songs, artist="1").select(*SHOWN)
 
 
@@ -186,4 +186,4 @@ def pattern_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(spark, sf_dir)[0]
     targets = patterns.search(found, bars=1, limit=10)
-    return rounded(patterns.find_similar(found, targets), "similarity")
+    return rounded(patterns.find_similar(found, targets, rows=10), "similarity")

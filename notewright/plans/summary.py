@@ -55,10 +55,10 @@ def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*TRACK, "chunk_size", "start_bar", onsets.alias("onsets"), shape.alias("shape"))
 
 
-@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, "SELECT i.song_id, i.track_id, i.start_bar, i.pattern_id, i.num_bars, p.occurrences FROM prints i JOIN patterns p USING (pattern_id, rhythm_hash, pitch_hash, num_bars) WHERE i.note_count > 0 AND i.chunk_size = 2"))
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, "SELECT i.song_id, i.track_id, i.start_bar, i.pattern_id, i.num_bars, p.occurrences FROM prints i JOIN patterns p USING (pattern_id, rhythm_hash, pitch_hash, num_bars) WHERE i.note_count > 0"))
 def instances_for_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, instances = stored(spark, sf_dir)
-    return instances.where("chunk_size = 2").join(found.select("pattern_id", "num_bars", "occurrences"), ["pattern_id", "num_bars"]).select(*TRACK, "start_bar", "pattern_id", "num_bars", "occurrences")
+    return instances.join(found.select("pattern_id", "num_bars", "occurrences"), ["pattern_id", "num_bars"]).select(*TRACK, "start_bar", "pattern_id", "num_bars", "occurrences")
 
 
 @registered(query(NOTES_B, CHUNKS, PRINTS, CLUSTERS, """SELECT song_id, track_id, chunk_size, pattern_id, occurrences, CAST(place AS INTEGER) AS place FROM (
@@ -83,13 +83,13 @@ def playback_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def section_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight chord names of each section, from the notes that begin in it."""
+    """The chord names of each section, from the notes that begin in it."""
     notes = notes_from_events(spark, sf_dir)
     cuts = found_sections(spark, sf_dir).select("song_id", "section", F.explode(F.sequence("start_bar", F.col("end_bar") - 1)).alias("bar"))
     inside = notes.withColumn("bar", F.floor(F.col("start_beat") / 4).cast("int")).join(cuts, ["song_id", "bar"])
     by = ["song_id", "section"]
     names = chords.simplified(chords.smooth(chords.detect_chords(inside, by), by), by)
-    return names.select(*by, F.array_join(F.slice("names", 1, 8), " ").alias("chord_names"))
+    return names.select(*by, F.array_join("names", " ").alias("chord_names"))
 
 
 @registered()

@@ -17,7 +17,7 @@ def test_titles_from_inside_a_file(spark):
 
 
 def test_names_that_look_like_files_and_copyright(spark):
-    row = spark.createDataFrame([("a-b-c-d", "(c) 1999 The Band", "Song One")], "f string, c string, t string").select(
+    row = spark.createDataFrame([("a-b-c-d", "\u00a9 1999 The Band", "Song One")], "f string, c string, t string").select(
         paths.looks_like_filename(F.col("f")).alias("f"), paths.looks_like_filename(F.col("t")).alias("t"), paths.from_copyright(F.col("c")).alias("c")
     )
     assert tuple(row.first()) == (True, False, "The Band")

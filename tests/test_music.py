@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.operators import arpeggios, asof, chords, chunks, features, genres, keys, library, paths, patterns, roles, sections, timing
+from notewright.operators import arpeggios, asof, chords, chunks, features, genres, keys, library, paths, patterns, roles, sections, targets, timing
 from notewright.schema import NOTES
 
 
@@ -156,16 +156,77 @@ def test_genres(spark):
     tags = spark.createDataFrame([(1, "musicbrainz", 0, " Rock "), (1, "discogs", 1, "rock music"), (1, "lastfm", 2, "ROCK"), (2, "discogs", 0, "hip hop"), (2, "discogs", 1, "rap"), (2, "lastfm", 2, "nothing")], "song_id long, source string, place int, tag string")
     clean = genres.normalize(tags, names)
     merged = genres.merge(clean, ["song_id"])
-    got = {r.song_id: r for r in genres.result(merged, clean.where("canonical is not null"), ["song_id"]).collect()}
-    assert (got[1].primary, got[1].overall, got[2].primary) == ("rock", 1.0, "hip-hop")
-    assert "deep house" in [r.canonical for r in genres.suggest(names, "house").collect()]
+    got = {r.song_id: r for r in genres.result(merged, clean, ["song_id"]).collect()}
+    assert (got[1].primary, got[1].overall, got[2].primary, got[2].overall) == ("rock", 1.0, "hip-hop", 0.5)
+    assert names.count() == 227 and names.select("canonical").distinct().count() == 162
+    words = spark.createDataFrame([("HOUSE",), ("film",), ("none such",)], "word string")
+    got = sorted(map(tuple, genres.suggest(names, words).collect()))
+    assert got == [("HOUSE", "deep house"), ("HOUSE", "house"), ("HOUSE", "progressive house"), ("HOUSE", "tech house"), ("film", "film score"), ("film", "soundtrack")]
+    assert genres.suggest(names, words.where("word = 'HOUSE'"), limit=1).first().canonical == "house"
+    assert sorted(r[0] for r in genres.in_category(names, "soul").collect()) == ["motown", "northern soul", "soul"]
+
+
+def test_genre_spellings(spark):
+    known = {
+        "\tjazz\n": "jazz", "hiphop": "hip-hop", "Hip Hop": "hip-hop", "rock music": "rock", "jazz genre": "jazz", "electronica": "electronic", "edm": "edm", "electropop": "electro-pop",
+        "fusion": "jazz fusion", "nu metal": "nu-metal", "drum & bass": "drum and bass", "prog": "progressive rock", "post punk": "post-punk", "conscious hip hop": "conscious hip-hop",
+        "conscious hip-hop": None, "rock  music": None, "not a real genre": None, "": None,
+    }
+    got = genres.normalize(spark.createDataFrame(list(known.items()), "tag string, wanted string"), genres.taxonomy(spark)).collect()
+    assert {r.tag: r.canonical for r in got} == known
 
 
 def test_paths(spark):
-    files = ["/music/R/Ramones/I Wanna Be Sedated.mid", "/music/Queen - Bohemian Rhapsody.mid", "/music/le-youth-jerro-lizzy-land-lost-20230130024203-nonstop2k.com.mid", "/music/some_song.mid"]
-    slugs = F.create_map(*[F.lit(x) for x in ("le-youth", "Le Youth", "jerro", "Jerro", "lizzy-land", "Lizzy Land")])
-    got = [(r.artist, r.title) for r in paths.metadata(spark.createDataFrame([(k, f) for k, f in enumerate(files)], "k int, path string"), slugs=slugs).orderBy("k").collect()]
-    assert got == [("Ramones", "I Wanna Be Sedated"), ("Queen", "Bohemian Rhapsody"), ("Le Youth, Jerro, Lizzy Land", "Lost"), (None, "Some_Song")]
+    cases = {
+        "/music/R/Ramones/I Wanna Be Sedated.mid": ("Ramones", "I Wanna Be Sedated", "folder_structure", 0.8),
+        "/music/Queen - Bohemian Rhapsody.mid": ("Queen", "Bohemian Rhapsody", "filename_separator", 0.6),
+        "AC_DC__back-in black.mid": ("Ac Dc", "Back In Black", "filename_separator", 0.6),
+        "Artist_Name_-_Song.mid": ("Artist Name", "Song", "filename_separator", 0.6),
+        "/music/le-youth-jerro-lizzy-land-lost-20230130024203-nonstop2k.com.mid": ("Le Youth, Jerro, Lizzy Land", "Lost", "filename_nonstop2k", 0.8),
+        "a-b-c-d-e-f-jerro-le-youth-jerro-jerro-song.mid": ("A B C D E F, Jerro, Le Youth, Jerro, Jerro", "Song", "filename_nonstop2k", 0.8),
+        "le-youth-jerro.mid": ("Le Youth, Jerro", "", "filename_nonstop2k", 0.3),
+        "one-two-three.mid": ("One Two", "Three", "filename_nonstop2k_heuristic", 0.4),
+        "one-two-3-four-five-six.mid": ("One Two", "Four Five Six", "filename_nonstop2k_heuristic", 0.4),
+        "word-song-123.mid": ("Word", "Song", "filename_hyphenated", 0.5),
+        "word-123.mid": ("", "Word", "filename_hyphenated", 0.3),
+        "some_song.mid": ("", "Some Song", "filename_fallback", 0.3),
+        "tune-20230130024203-midi-karaoke.info.mid": ("", "Tune", "filename_fallback", 0.3),
+    }
+    slugs = F.create_map(*[F.lit(x) for x in ("le-youth", "Le Youth", "jerro", "Jerro", "lizzy-land", "Lizzy Land", "a-b-c-d-e-f", "A B C D E F", "a", "A")])
+    got = paths.metadata(spark.createDataFrame([(f,) for f in cases], "path string"), slugs=slugs).collect()
+    assert {r.path: (r.artist, r.title, r.source, r.confidence) for r in got} == cases
+
+
+def test_what_a_file_says_is_merged_by_confidence(spark):
+    rows = [(1, "word.mid", "Real Title", "\u00a9 1999 The Band"), (2, "/x/R/Ramones/song.mid", "Real Title", None), (3, "word.mid", None, "Copyright 2001 Some One"), (4, "word.mid", None, None)]
+    titles = spark.createDataFrame([(k, t, c) for k, _, t, c in rows], "song_id long, title string, copyright string")
+    files = spark.createDataFrame([(k, p) for k, p, _, _ in rows], "song_id long, path string")
+    got = {r.song_id: (r.artist, r.title, r.source, r.confidence) for r in paths.songs(files, titles).collect()}
+    assert got == {
+        1: ("The Band", "Real Title", "midi_metadata", 0.7),
+        2: ("Ramones", "Song", "folder_structure", 0.8),
+        3: ("Some One", "Word", "filename_fallback", 0.3),
+        4: ("", "Word", "filename_fallback", 0.3),
+    }
+
+
+def test_targets_in_blocks_and_broadcast_agree(spark, monkeypatch):
+    rows = [(f"{s}_{t}", s, "bass" if t else "lead", float(s % 3), s % 5, 1.0 + s, 0.5 * t) for s in range(12) for t in range(3)]
+    table = spark.createDataFrame(rows, "clip_id string, song_id long, role string, density double, pitch_range int, avg_velocity double, avg_duration double")
+    wanted = table.where("song_id % 3 = 0")
+    plain = sorted(map(tuple, library.similar_tracks(table, wanted).collect()))
+    monkeypatch.setattr(targets, "MOST", 4)
+    assert plain and plain == sorted(map(tuple, library.similar_tracks(table, wanted).collect()))
+    one = {r.clip_id: r.similarity for r in library.similar_tracks(table, table.where("clip_id = '0_0'")).collect()}
+    # the target has no density and no duration: range (zero counts as one) and velocity share the weight
+    assert one["1_0"] == pytest.approx((0.2 * 1.0 + 0.2 * 0.5) / 0.4) and "0_1" not in one
+
+
+def test_greedy_merging_takes_what_is_near_and_free(spark):
+    c = spark.createDataFrame([(1, 0, 1, p, n, f) for p, n, f in (("a", 2, 0), ("b", 5, 1), ("c", 1, 2), ("d", 1, 3))], "song_id long, track_id int, chunk_size int, pattern_id string, occurrences long, first_bar int")
+    pairs = spark.createDataFrame([(1, 0, 1, a, b, s) for a, b, s in (("a", "b", 0.9), ("b", "c", 0.95), ("c", "d", 0.86), ("a", "d", 0.2))], "song_id long, track_id int, chunk_size int, pattern_a string, pattern_b string, similarity double")
+    got = sorted((r.leader, r.canonical, r.merged, r.occurrences) for r in patterns.merge_similar(c, pairs).collect())
+    assert got == [("a", "b", 2, 7), ("c", "c", 2, 2)]
 
 
 def test_library_changes(spark):
