@@ -5,12 +5,16 @@ first: a priority queue gives the node whose centre promises most, and the leave
 many leaves to visit is calibrated: the exact neighbours of a sample of queries are found by brute force in blocks, and visits widen
 until the neighbours' leaves are reached for RECALL of them; if need be that is every leaf, which is exact.
 
-A large leaf is dealt out in blocks of bounded size, so no task grows with a leaf. Scores are computed in double precision on the vectors
-themselves.
+A leaf is left out, whatever the order, if none of its vectors can be as near as what the query has found in part of the sample: with
+centre p and covering radius s, no product in it is above <q, p> + s |q|. A large leaf is dealt out in blocks of bounded size, so no task
+grows with a leaf, and vectors go only to the queries that visit their leaf. Scores are computed in double precision on the vectors themselves.
+
+The tree is over the commonest length of vectors. Vectors of other lengths, which should be few, meet those of their own length in
+blocks, exactly.
 
 Defined results: vectors that are null, all zero, or hold null or non-finite components take no part, nor do null ids; of rows that
-repeat an id the least vector counts; only vectors as long as the longest group of one length meet; ties go to smaller ids; with
-no more than k candidates all are returned; other columns are ignored; empty tables give an empty table.
+repeat an id the least vector counts; vectors of different lengths don't meet; ties go to smaller ids; with no more than k candidates
+all are returned; other columns are ignored; empty tables give an empty table.
 """
 
 import heapq
@@ -24,11 +28,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.llm.lineage import cut
-from notewright.llm.vectors import best, block, matrix, one_each, sound
+from notewright.llm.vectors import block, matrix, one_each, sound
 
 #: Vectors to fit on and queries to calibrate on, at most, about.
 SAMPLE, CALIBRATE = 20_000, 256
 BRANCH, LEAF, MOST_LEAVES = 8, 400, 4096
+#: Vectors of the sample that give queries a start, at most.
+SEEDS = 4096
 #: Vectors and queries in a block.
 ROWS, ASKING = 4096, 2048
 RECALL = 0.97
@@ -88,11 +94,11 @@ class Tree:
                 node[rows] = self.first[n] + ((c**2).sum(axis=1)[None, :] - 2 * x[rows] @ c.T).argmin(axis=1)
         return self.leaf[node]
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, able: np.ndarray | None = None, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves in best-bin-first order, and more until they have `least` rows; those that are not able don't count."""
         promise = self.centre @ query
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+        heap, out, have = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or have < least):
             _, node = heapq.heappop(heap)
             while self.leaf[node] < 0:
                 kids = range(self.first[node], self.first[node] + self.count[node])
@@ -101,7 +107,10 @@ class Tree:
                     if k != top:
                         heapq.heappush(heap, (-promise[k], k))
                 node = top
-            out.append(int(self.leaf[node]))
+            leaf = int(self.leaf[node])
+            if able is None or able[leaf]:
+                out.append(leaf)
+                have += 0 if rows is None else int(rows[leaf])
         return out
 
 
@@ -109,30 +118,38 @@ PAIRS = "query_id long, vec_id long, score double, leaf int"
 
 
 def _meet(k: int):
-    """Of one block of vectors and one of queries: each query's k best in the leaves it visits there (null: in all)."""
+    """Of one block of vectors and one of queries: each query's k best in the leaves that it visits there (null: in all)."""
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         ids, m, leaf = table.column("vec_id").to_numpy(), matrix(table.column("v")).astype(np.float64), table.column("leaf").to_numpy()
         points, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        visited = table.column("leaves").to_pylist()
-        rows, cols, values = [], [], []
-        for at in range(0, len(queries), 256):
-            part = queries[at : at + 256]
-            scores = m[part] @ m[points].T
-            scores[ids[part][:, None] == ids[points][None, :]] = -np.inf
-            for row, q in enumerate(part):
-                if visited[q] is not None:
-                    scores[row, ~np.isin(leaf[points], visited[q])] = -np.inf
-            for q, s in zip(part, scores, strict=True):
-                some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                some = some[s[some] > -np.inf]
-                top = some[best(s[some], ids[points[some]], k)]
-                rows.append(np.full(len(top), q))
-                cols.append(points[top])
-                values.append(s[top])
-        row, col, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (cols, np.int64), (values, np.float64)))
-        return pa.table([pa.array(ids[row]), pa.array(ids[col]), pa.array(value), pa.array(leaf[col], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
+        lists = table.column("leaves").combine_chunks().filter(pa.array(asks))
+        jobs = [(queries[~lists.is_valid().to_numpy(zero_copy_only=False)], points)]
+        visitor = np.repeat(queries, lists.value_lengths().fill_null(0).to_numpy())
+        visited = lists.flatten().to_numpy()
+        # a leaf's rows meet the queries that visit it
+        by_leaf, by_visit = points[np.argsort(leaf[points], kind="stable")], np.argsort(visited, kind="stable")
+        for x in np.unique(visited).tolist():
+            a, b = np.searchsorted(leaf[by_leaf], [x, x + 1])
+            c, d = np.searchsorted(visited[by_visit], [x, x + 1])
+            jobs.append((visitor[by_visit[c:d]], by_leaf[a:b]))
+        found: list[np.ndarray] = []
+        for who, rows in jobs:
+            for at in range(0, len(who) if len(rows) else 0, 256):
+                part = who[at : at + 256]
+                scores = m[part] @ m[rows].T
+                scores[ids[part][:, None] == ids[rows][None, :]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(part), -np.inf)
+                row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                found.append(np.stack([part[row].astype(np.float64), rows[col].astype(np.float64), scores[row, col]]))
+        row, col, value = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
+        row, col = row.astype(np.int64), col.astype(np.int64)
+        order = np.lexsort((ids[col], -value, row))
+        begin = np.flatnonzero(np.diff(row[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        keep = order[place < k]
+        return pa.table([pa.array(ids[row[keep]]), pa.array(ids[col[keep]]), pa.array(value[keep]), pa.array(leaf[col[keep]], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
 
     return meet
 
@@ -142,17 +159,29 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _in_all(rows: DataFrame, k: int) -> DataFrame:
+    """PAIRS: rows (dim, vec_id, v, asks) by comparing each that asks with all of its length, in blocks."""
+    n = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("asks"), 1)) / (ASKING * 8)).cast("int").alias("parts")).where("parts > 0")
+    sized = rows.join(n, "dim").withColumn("leaf", F.lit(0)).withColumn("leaves", F.lit(None).cast("array<int>"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["vec_id", "v", "asks", "leaf", "leaves"]
+    points = sized.withColumn("block", block(F.col("vec_id"), F.col("blocks"))).withColumn("part", each("parts")).withColumn("asks", F.lit(False))
+    asking = sized.where("asks").withColumn("block", each("blocks")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int"))
+    return points.select("dim", "block", "part", *columns).union(asking.select("dim", "block", "part", *columns)).groupBy("dim", "block", "part").applyInArrow(_meet(k), PAIRS)
+
+
 def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """rows (vec_id, vector) -> (query_id, rank, vec_id, score, leaves_visited)."""
     spark = rows.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     clean = one_each(rows.where(sound(F.col(vector)) & F.exists(F.col(vector), lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")))
     clean = cut(clean)
-    sizes = clean.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    clean = clean.withColumn("dim", F.size("v")).withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    sizes = clean.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves_visited int")
     dim, n = int(sizes[0]), int(sizes[1])
-    clean = clean.where(F.size("v") == dim)
+    others, clean = clean.where(F.col("dim") != dim), clean.where(F.col("dim") == dim)
     drawn = lambda seed, share: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     fitted = matrix(clean.where(drawn(1, sample / n)).orderBy("vec_id").select("v").toArrow().column("v")).reshape(-1, dim)
     share = len(fitted) / n
@@ -165,7 +194,7 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("asks"), pa.array(tree.file(matrix(b.column("v")).reshape(-1, dim)), pa.int32())], ["vec_id", "v", "asks", "leaf"])
 
-    filed = cut(clean.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(file, "vec_id long, v array<double>, asks boolean, leaf int"))
+    filed = cut(clean.select("vec_id", "v", "asks").mapInArrow(file, "vec_id long, v array<double>, asks boolean, leaf int"))
 
     # calibration: exact neighbours of some queries, and where in their order of visits those leaves stand
     queries = filed.where("asks")
@@ -195,13 +224,22 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
             most = int(visits)
             break
 
+    # what leaves hold: rows, and the farthest from the centre; a query's kth best in part of the sample is a start that its leaves must beat
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree.load(model)
+        centre = tree.centre[np.argsort(np.where(tree.leaf < 0, len(tree.leaf), tree.leaf))[:leaves]]
+        for b in batches:
+            leaf = b.column("leaf").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("leaf"), pa.array(np.sqrt(((matrix(b.column("v")).reshape(-1, dim) - centre[leaf]) ** 2).sum(axis=1)))], ["leaf", "far"])
+
+    held = filed.select("v", "leaf").mapInArrow(spread, "leaf int, far double").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toArrow()
+    sizes_of, radius = np.zeros(leaves, np.int64), np.zeros(leaves)
+    sizes_of[held.column("leaf").to_numpy()], radius[held.column("leaf").to_numpy()] = held.column("n").to_numpy(), held.column("far").to_numpy()
+    seeds = fitted[:SEEDS]
+
     # the search: neighbouring leaves make units, large units have blocks, and each query goes once to each unit that it visits
-    counted = filed.groupBy("leaf").count().toArrow()
-    sizes_of = np.zeros(leaves, np.int64)
-    sizes_of[counted.column("leaf").to_numpy()] = counted.column("count").to_numpy()
     unit_of = (np.cumsum(sizes_of) - sizes_of) // ROWS
     blocks_of = np.maximum(1, -(-np.bincount(unit_of, sizes_of).astype(np.int64) // (2 * ROWS)))
-    parts = max(1, -(-asked // (ASKING * 8)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,20 +248,36 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.load(model)
+        centre = tree.centre[np.argsort(np.where(tree.leaf < 0, len(tree.leaf), tree.leaf))[:leaves]]
         for b in batches:
             owner, unit, seen = [], [], []
-            for k, q in enumerate(matrix(b.column("v")).reshape(-1, dim)):
-                own = np.array(tree.visits(q, most))
+            queries = matrix(b.column("v")).reshape(-1, dim)
+            # one of the seeds may be the query itself
+            start = np.partition(queries @ seeds.T, -k - 1, axis=1)[:, -k - 1] if len(seeds) > k else np.full(len(queries), -np.inf)
+            for n, q in enumerate(queries):
+                most_of = centre @ q + radius * np.sqrt(q @ q)
+                own = np.array(tree.visits(q, most, most_of + 1e-9 * (np.abs(most_of) + 1) >= start[n], sizes_of, k + 1), np.int64)
                 for u in np.unique(unit_of[own]).tolist():
-                    owner.append(k)
+                    owner.append(n)
                     unit.append(u)
                     seen.append(own[unit_of[own] == u])
             at, units = pa.array(owner, pa.int64()), np.array(unit, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(blocks_of[units]), b.column("vec_id").take(at), b.column("v").take(at), pa.array(seen, pa.list_(pa.int32()))], ["unit", "blocks", "vec_id", "v", "leaves"])
 
-    routed = queries.select("vec_id", "v").mapInArrow(route, "unit long, blocks long, vec_id long, v array<double>, leaves array<int>")
-    routed = routed.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int").alias("part"), "vec_id", "v", F.lit(True).alias("asks"), F.lit(-1).alias("leaf"), "leaves")
-    dealt = filed.select("vec_id", "v", "leaf").mapInArrow(deal, "unit long, blocks long, vec_id long, v array<double>, leaf int")
-    points = dealt.select("unit", block(F.col("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
-    found = points.union(routed).groupBy("unit", "block", "part").applyInArrow(_meet(k), PAIRS)
+    routed = cut(queries.select("vec_id", "v").mapInArrow(route, "unit long, blocks long, vec_id long, v array<double>, leaves array<int>"))
+    parts_of = np.zeros(len(blocks_of), np.int64)
+    for unit, n_asking in routed.groupBy("unit").count().collect():
+        parts_of[unit] = -(-n_asking // (ASKING * 8))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(parts_of[b.column("unit").to_numpy()]), *b.columns], ["parts", *b.schema.names])
+
+    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
+    routed = routed.mapInArrow(shared, "parts long, unit long, blocks long, vec_id long, v array<double>, leaves array<int>")
+    routed = routed.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), part.alias("part"), "vec_id", "v", F.lit(True).alias("asks"), F.lit(-1).alias("leaf"), "leaves")
+    # vectors of a unit that no query visits stay where they are
+    dealt = filed.select("vec_id", "v", "leaf").mapInArrow(deal, "unit long, blocks long, vec_id long, v array<double>, leaf int").mapInArrow(shared, "parts long, unit long, blocks long, vec_id long, v array<double>, leaf int").where("parts > 0")
+    points = dealt.select("unit", block(F.col("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
+    found = points.union(routed).groupBy("unit", "block", "part").applyInArrow(_meet(k), PAIRS).union(_in_all(others, k))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score", F.lit(most).alias("leaves_visited"))
