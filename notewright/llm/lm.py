@@ -1,14 +1,13 @@
 """Scoring texts by an interpolated n-gram model (deleted interpolation).
 
-A token's probability mixes its relative frequencies after the two tokens before it, after the one before it, and overall, and an
-even chance of every known token and one unknown. Which weights the mixture has depends on how often the context was seen, in
-buckets of powers of two: of the longer context, or, where that was never seen, of the shorter one. A frequency after a context that was
-never seen has no weight, so the chances of all tokens sum to one in every bucket. The weights are learned by
-expectation-maximisation on counts that were held out: training documents in fold 1 are scored by the counts of the other training
-folds. The scores then use the counts of all training folds.
+A token's probability mixes its relative frequency after the two tokens before it with that after one token, that overall, and an even chance
+of every known token and one unknown: each frequency has a weight, the shorter n-grams share the rest. The weight depends on how often the
+context was seen, in buckets of powers of two; a frequency after a context that was never seen has none, so in every context the chances
+of all tokens sum to one. The weights are learned by expectation-maximisation on counts that were held out: training documents in fold 1
+are scored by the counts of the other training folds. The scores then use the counts of all training folds.
 
-All tokens of all documents are counted and scored; n-grams meet as 64-bit hashes. The statistics for the weights are a histogram of
-probability ratios in steps of an eighth of a natural logarithm, so their size has a bound that does not depend on the corpus.
+All tokens of all documents are counted and scored; n-grams meet as 64-bit hashes. What the weights are learned from is, for each length, a
+histogram of probability ratios in steps of a 32nd of a natural logarithm: its size has a bound that does not depend on the corpus.
 
 Defined results: a null or empty text is one end token; a null id counts as an empty one (fold 0, held out); repeated
 rows count and are scored each; with no training rows the base score is of an empty model; other columns are ignored; an
@@ -31,7 +30,7 @@ from notewright.llm.words import U64, mixed, split, word_hashes
 END = U64(0x7E57ED0C0FFEE123)
 HELD_OUT, LEARN, COUNT = 0, 1, 2
 #: Words of an n-gram at most; buckets of a context's count; steps of the histogram in a natural logarithm.
-ORDER, BUCKETS, STEPS = 3, 64, 8
+ORDER, BUCKETS, STEPS = 3, 64, 32
 NONE = -(1 << 20)
 
 
@@ -91,35 +90,38 @@ class Model(NamedTuple):
     texts: int
 
 
-def chances(t: Tokens, count: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(of each token the chances to be mixed: even, overall, after one token, after two; its bucket). count: of each length, of t.keys."""
+def chances(t: Tokens, count: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each length of n-gram: (each token's relative frequency after its context, the context's bucket, -1 if it was never seen)."""
     own = [c[at] for c, at in zip(count, t.at, strict=True)]
     n = len(own[0])
-    p, bucket = [np.full(n, 1 / (model.kinds + 1)), own[0] / max(model.total, 1)], np.zeros(n, np.int64)
+    p, bucket = [own[0] / max(model.total, 1)], [np.full(n, 0 if model.total else -1)]
     for k in range(1, len(own)):
         # a token's context is the shorter n-gram that ends at the token before it; that of a first token is in every text once
         seen = np.zeros(n, np.int64)
         seen[1:] = own[k - 1][:-1]
         seen[t.first[:-1]] = model.texts
         p.append(own[k] / np.maximum(seen, 1))
-        bucket = np.where(seen > 0, k * BUCKETS + np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64), BUCKETS - 1), bucket)
-    return np.stack(p), bucket
+        bucket.append(np.where(seen > 0, np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64), BUCKETS - 1), -1))
+    return p, bucket
 
 
-def learn_weights(bucket: np.ndarray, steps: list[np.ndarray], n: np.ndarray, order: int = ORDER, rounds: int = 60) -> np.ndarray:
-    """Mixture weights of each bucket (even, overall, after one, after two) by expectation-maximisation on a histogram of held-out tokens.
+def mix(p: list[np.ndarray], bucket: list[np.ndarray], weights: list[np.ndarray], even: float) -> np.ndarray:
+    """Of each token the chance that the weights of its contexts' buckets give; what a context that was never seen says has none."""
+    out = np.full(len(p[0]), even)
+    for x, b, w in zip(p, bucket, weights, strict=True):
+        share = np.where(b >= 0, w[np.maximum(b, 0)], 0.0)
+        out = share * x + (1 - share) * out
+    return out
 
-    steps: for each chance but the even one the logarithm, in STEPS, of its ratio to the even one. One token of each kind is added to every
-    bucket, so no weight is zero but those of chances after contexts that were never seen."""
-    ratio = np.stack([np.ones(len(n)), *(np.where(s == NONE, 0, np.exp(s / STEPS)) for s in steps)], axis=1)
-    able = np.arange(order + 1)[None, :] <= 1 + np.repeat(np.arange(order), BUCKETS)[:, None]
-    weights = able / able.sum(axis=1, keepdims=True)
+
+def learn_weights(bucket: np.ndarray, step: np.ndarray, n: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Each bucket's weight of the longer n-gram's frequency, against what the shorter ones give, by expectation-maximisation on a histogram of
+    held-out tokens. step: logarithm, in STEPS, of the ratio of the two. One token of each kind is added, so no weight is 0 or 1."""
+    ratio = np.where(step == NONE, 0, np.exp(step / STEPS))
+    weights, every = np.full(BUCKETS, 0.5), np.bincount(bucket, n, BUCKETS)
     for _ in range(rounds):
         share = weights[bucket] * ratio
-        share *= (n / share.sum(axis=1))[:, None]
-        got = able.astype(np.float64)
-        np.add.at(got, bucket, share)
-        weights = got / got.sum(axis=1, keepdims=True)
+        weights = (1 + np.bincount(bucket, n * share / (share + 1 - weights[bucket]), BUCKETS)) / (2 + every)
     return weights
 
 
@@ -157,27 +159,32 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
         found: list[np.ndarray] = []
         for _, t, count in pieces(own, told, True):
             p, bucket = chances(t, count, held)
-            with np.errstate(divide="ignore"):
-                steps = [np.where(x > 0, np.rint(STEPS * np.log(np.maximum(x, 1e-300) / p[0])), NONE).astype(np.int64) for x in p[1:]]
-            found.append(np.stack([bucket, *steps]))
+            steps = [np.where(x > 0, np.rint(STEPS * np.log(np.maximum(x, 1e-300) * (held.kinds + 1))), NONE).astype(np.int64) for x in p]
+            found.append(np.stack([*bucket, *steps]))
         kept, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-        return pa.table([*(pa.array(x) for x in kept), pa.array(n.astype(np.int64))], [*marks, "n"])
+        return pa.table([*(pa.array(x.astype(np.int32)) for x in kept), pa.array(n.astype(np.int64))], [*marks, "n"])
 
-    marks = ["bucket", *(f"p{k}" for k in range(1, order + 1))]
+    marks = [*(f"b{k}" for k in range(order)), *(f"p{k}" for k in range(order))]
     learners = packed.where(F.col("part") == LEARN)
     spread = learners.groupBy("unit").cogroup(answers.join(learners.select("unit").distinct(), "unit", "left_semi").groupBy("unit"))
-    histogram = spread.applyInArrow(tally, ", ".join(f"{c} long" for c in [*marks, "n"])).groupBy(*marks).agg(F.sum("n").alias("n")).toArrow()
-    columns = [histogram.column(c).to_numpy() for c in [*marks, "n"]]
-    weights = learn_weights(columns[0], columns[1:-1], columns[-1], order)
-    if not model.total:
-        weights = np.eye(order + 1)[np.zeros(order * BUCKETS, np.int64)]
+    cells = table(spread.applyInArrow(tally, ", ".join(f"{c} int" for c in marks) + ", n long"), "lm-held-out")
+    weights: list[np.ndarray] = []
+    below = F.lit(1.0)
+    for k in range(order):
+        # the chance by shorter n-grams, as a multiple of the even one; a histogram of at most BUCKETS times a range of ratios comes to the driver
+        own = F.when(F.col(f"p{k}") == NONE, 0.0).otherwise(F.exp(F.col(f"p{k}") / STEPS))
+        step = F.when(own == 0, NONE).otherwise(F.rint(STEPS * F.log(own / below))).cast("int")
+        seen = cells.where(F.col(f"b{k}") >= 0).select(F.col(f"b{k}").alias("bucket"), step.alias("step"), "n")
+        histogram = seen.groupBy("bucket", "step").agg(F.sum("n").alias("n")).toArrow()
+        weights.append(learn_weights(*(histogram.column(c).to_numpy() for c in ("bucket", "step", "n"))))
+        share = F.when(F.col(f"b{k}") < 0, 0.0).otherwise(F.get(F.array(*map(F.lit, weights[-1].tolist())), F.col(f"b{k}")))
+        below = share * own + (1 - share) * below
 
     def read(own: pa.Table, told: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         for b, t, count in pieces(own, told, False):
-            p, bucket = chances(t, count, model)
             c = count[0][t.at[0]]
-            logs = np.log10((weights[bucket] * p.T).sum(axis=1))
+            logs = np.log10(mix(*chances(t, count, model), weights, 1 / (model.kinds + 1)))
             base = np.log10((c + 0.1) / (model.total + 0.1 * (model.kinds + 1)))
             add = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: B023, E731  every text has a token
             n = b.num_rows
