@@ -159,46 +159,51 @@ def fit(stats: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return model
 
 
-def _columns(docs: DataFrame, *more: Column) -> DataFrame:
-    length = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in docs.columns else F.lit(0.0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), length.alias("_given_length"), *more)
+def _given(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in docs.columns else F.lit(0.0)
 
 
-def _with_given(stats: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    return np.concatenate([stats, np.log1p(np.maximum(batch.column("_given_length").to_numpy(zero_copy_only=False), 0))[:, None]], axis=1)
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _given(docs).alias("given"))
 
 
-def _scores(machine: Machine | None, batch: pa.RecordBatch) -> np.ndarray:
+def _with_given(stats: np.ndarray, given: pa.Array) -> np.ndarray:
+    return np.concatenate([stats, np.log1p(np.maximum(given.to_numpy(zero_copy_only=False), 0))[:, None]], axis=1)
+
+
+def _scores(machine: Machine | None, texts: pa.Array, given: pa.Array) -> np.ndarray:
     if machine is None:
-        return np.full(batch.num_rows, 0.5)
-    stats, owner, bucket, weight = statistics(batch.column("text"))
-    z, _ = machine.logits(batch.num_rows, *_sparse(_with_given(stats, batch), machine.edges, owner, bucket, weight))
+        return np.full(len(texts), 0.5)
+    stats, owner, bucket, weight = statistics(texts)
+    z, _ = machine.logits(len(texts), *_sparse(_with_given(stats, given), machine.edges, owner, bucket, weight))
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
     """docs (doc_id, text, n_chars), labels (doc_id, label) -> the fitted machine, or None if there are no labels.
 
-    About `sample` labelled ids, drawn by hash, are sent to all tasks; their rows' features go to one task.
+    About `sample` labelled ids, drawn by hash, are sent to all tasks; their rows' features go to one task. Rows that repeat id, text and
+    label count once, and of ids that have many texts at most 2 * sample rows are taken, by hash.
     """
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).dropna()
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label")).dropna().distinct()
     share = min(1.0, sample / max(1, labels.count()))
     drawn = F.broadcast(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)))
-    rows = _columns(docs).join(drawn, "doc_id")
+    rows = _columns(docs).join(drawn, "doc_id").withColumn("mark", F.xxhash64("doc_id", "text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             stats, owner, bucket, weight = statistics(batch.column("text"))
             at = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
-            wide = _with_given(stats, batch)
+            wide = _with_given(stats, batch.column("given"))
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("mark"),
                     batch.column("label"),
                     pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * wide.shape[1], pa.int32()), pa.array(wide.ravel())),
                     pa.ListArray.from_arrays(at, pa.array(bucket, pa.int32())),
                     pa.ListArray.from_arrays(at, pa.array(weight, pa.float32())),
                 ],
-                ["label", "stats", "bucket", "weight"],
+                ["mark", "label", "stats", "bucket", "weight"],
             )
 
     def learn(table: pa.Table) -> pa.Table:
@@ -209,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | N
         model = fit(stats[order], [words[k] for k in order], y[order])
         return pa.table({"model": pa.array([model.save()], pa.binary())})
 
-    found = rows.mapInArrow(features, "label double, stats array<double>, bucket array<int>, weight array<float>").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "model binary").collect()
+    known = rows.mapInArrow(features, "mark long, label double, stats array<double>, bucket array<int>, weight array<float>").dropDuplicates(["mark", "label"])
+    found = known.orderBy("mark", "label").limit(2 * sample).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "model binary").collect()
     return bytes(found[0][0]) if found else None
 
 
@@ -219,7 +225,7 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.load(model) if model else None
         for batch in portions(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(machine, batch))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(machine, batch.column("text"), batch.column("given")))], ["doc_id", "score"])
 
     return _columns(docs).mapInArrow(scan, "doc_id long, score double").select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -227,15 +233,17 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataF
 def keep(docs: DataFrame, model: bytes | None, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
     names = docs.columns
-    given = F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)) if "n_chars" in names else F.lit(0.0)
+    given = "given"
+    while given in map(str.lower, names):
+        given += "_"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.load(model) if model else None
         for batch in portions(batches, "text"):
-            own = pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))], names)
-            yield own.filter(pa.array(_scores(machine, batch) >= threshold))
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], names)
+            yield own.filter(pa.array(_scores(machine, batch.column("text"), batch.column(given)) >= threshold))
 
-    return docs.select("*", given.alias("_given_length")).mapInArrow(scan, docs.schema)
+    return docs.select("*", _given(docs).alias(given)).mapInArrow(scan, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
