@@ -1,7 +1,9 @@
 """Near copies of texts: those whose sets of word shingles have a Jaccard index of at least LEAST.
 
-MinHash bands give the candidates, and the shingle sets themselves decide; links join into components. A pair at the least index
-shares none of the BANDS bands with a chance of (1 - LEAST ** ROWS) ** BANDS, 3 in a million here, and closer pairs with less.
+Candidates are the SimHash operator's links (fingerprints of the same shingles within RADIUS bits, compared bit-sliced), and sets that share a
+MinHash band: at the least index fingerprints are some ten bits apart, which no key of few bits finds. The shingle sets themselves decide
+on all candidates; links join into components. A pair at the least index shares none of the BANDS bands with a chance of
+(1 - LEAST ** ROWS) ** BANDS, 3 in a million here, and closer pairs with less.
 
 Defined results: words are lower-cased; a text of fewer words than a shingle has one shingle, all of it; null and empty texts have no
 shingle and count as equal; an empty table gives an empty table.
@@ -12,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notewright.llm import simhash
 from notewright.llm.components import connected_components
 from notewright.llm.lineage import cut
 from notewright.llm.words import U64, joined, mixed, portions, split, xxh64
 
-SHINGLE, LEAST = 5, 0.8
+SHINGLE, LEAST, RADIUS = 5, 0.8, 3
+#: Shingles in a chunk of sets that are compared within a task.
+MOST = 500_000
 #: Minima in a band, and bands.
 ROWS, BANDS = 4, 24
 FLIP, TIMES = np.random.default_rng(42).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=U64) * U64(2) + U64(1)
@@ -46,7 +50,8 @@ def listed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (doc_id, row, text) -> (doc_id, row, n: size of the shingle set, s and t: 128 bits that name the set, bands)."""
+    """docs (doc_id, row, text) -> (doc_id, row, n: size of the shingle set, s and t: 128 bits that name the set, fp: its
+    SimHash fingerprint, bands)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -62,53 +67,95 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                     for k in range(b * ROWS, (b + 1) * ROWS):
                         key = mixed(key ^ np.minimum.reduceat((h ^ FLIP[k]) * TIMES[k], begin))
                     bands[:, b] = key
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in names], listed(np.where(sizes > 0, BANDS, 0), bands.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "s", "t", "bands"])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in names], pa.array(simhash.simhash(batch.column("text"), shingle).view(np.int64)), listed(np.where(sizes > 0, BANDS, 0), bands.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "s", "t", "fp", "bands"])
 
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, s long, t long, bands array<long>")
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n long, s long, t long, fp long, bands array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of rows of docs (row, text) whose shingle sets have that Jaccard index."""
+def listed_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """The shingle sets, sorted, of the rows needed (row)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("row"), listed(*shingle_sets(batch.column("text"), shingle))], ["row", "shingles"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = cut(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(scan, "row long, shingles array<long>"))
+    return cut(docs.select("row", "text").join(needed, "row", "left_semi").mapInArrow(scan, "row long, shingles array<long>"))
+
+
+def alike(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of rows of docs (row, text) whose shingle sets have that Jaccard index."""
+
+    sets = listed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), shingle)
     a, b = (sets.select(F.col("row").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(a, "a").join(b, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= least).select("a", "b")
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """sets (row, fp) -> (a, b): the first row of each fingerprint with all others of it, and with the first ones of close fingerprints."""
+    lead = cut(sets.groupBy("fp").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("many")))
+    same = sets.join(lead.where("many > 1"), "fp").where("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"))
+    a, b = (lead.select(F.col("fp").alias(x), F.col("lead").alias(f"row_{x}")) for x in "ab")
+    close = simhash.links(lead.select("fp"), RADIUS).join(a, "a").join(b, "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    return same.union(close)
+
+
 def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """sets (row, n, bands; a row for each distinct set) -> (a, b): links that join all candidates that are alike.
+    """sets (row, n, fp, bands; a row for each distinct set) -> (a, b): links that join all candidates that are alike.
 
-    Each band's first set meets all others of its band. Only sets of one band that no first set, or first set of a
-    first set, has joined then meet each other, so a large group of near copies costs a link for each, not all its pairs.
+    The most central set of each band, that which shares bands with most others, meets all others of its band. Only sets of one band that
+    this has not joined then meet each other, within tasks that give a forest of links. So no group costs a row for each of its pairs.
     """
-    band = W.partitionBy("key")
-    keyed = sets.select("row", "n", F.explode("bands").alias("key"))
-    shared = cut(keyed.withColumns({"many": F.count(F.lit(1)).over(band), "lead": F.min(F.struct("row", "n")).over(band)}).where("many > 1").drop("many"))
+    keyed = cut(sets.select("row", "n", F.explode("bands").alias("key")))
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = cut(keyed.join(many, "key"))
+    central = shared.groupBy("row").agg((-F.sum("many")).alias("rank"))
+    lead = cut(shared.join(central, "row").groupBy("key").agg(F.min(F.struct("rank", "row", "n")).alias("lead")))
 
     def near(m: F.Column, n: F.Column) -> F.Column:
         """Sets whose sizes alone don't rule it out."""
         return F.least(m, n) / F.greatest(m, n) >= least
 
-    first = shared.where((F.col("row") != F.col("lead.row")) & near(F.col("n"), F.col("lead.n"))).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
+    first = shared.join(lead, "key").where((F.col("row") != F.col("lead.row")) & near(F.col("n"), F.col("lead.n"))).select(F.col("lead.row").alias("a"), F.col("row").alias("b"))
+    first = first.union(by_fingerprint(sets.where("n > 0"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = cut(first.distinct())
     found = cut(alike(first, docs, shingle, least))
 
-    to = found.groupBy(F.col("b").alias("row")).agg(F.min("a").alias("up"))
-    top = to.select(F.col("row").alias("up"), F.col("up").alias("top"))
-    of = to.join(top, "up", "left").select("row", F.coalesce("top", "up").alias("part"))
-    parts = shared.join(of, "row", "left").groupBy("key", F.coalesce("part", "row").alias("part")).agg(F.collect_list(F.struct("row", "n")).alias("members"))
-    parts = cut(parts.withColumn("many", F.count(F.lit(1)).over(band)).where("many > 1").drop("many"))
-    x, y = (parts.select("key", F.col("part").alias(f"part_{c}"), F.col("members").alias(c)) for c in "xy")
-    met = x.join(y, "key").where("part_x < part_y").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")).where(near(F.col("x.n"), F.col("y.n")))
-    rest = met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return found.union(alike(cut(rest), docs, shingle, least))
+    of = connected_components(found).select(F.col("node").alias("row"), F.col("component").alias("part"))
+    members = cut(shared.select("key", "row", "n").join(of, "row", "left").withColumn("part", F.coalesce("part", "row")))
+    # keys whose sets are not all joined yet: their pairs are compared within tasks, in pairs of chunks of bounded size
+    open_ = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.sum("n") / MOST).cast("int").alias("chunks")).where("p <> q").select("key", "chunks")
+    members = cut(members.join(open_, "key"))
+    own = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
+    meetings = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("c"), F.greatest(own, j).alias("d")))
+    dealt = members.select("key", F.explode(meetings).alias("m"), "row", "part").select("key", "m.c", "m.d", "row", "part")
+    whole = dealt.join(listed_sets(docs, members.select("row").distinct(), shingle), "row")
+    return found.union(whole.groupBy("key", "c", "d").applyInArrow(lambda t: forest(t, least), "a long, b long"))
+
+
+def forest(table: pa.Table, least: float) -> pa.Table:
+    """Links (a, b) between alike sets that join whatever rows (row, part, shingles) hang together; rows of one part do already."""
+    rows, shingles = table.column("row").to_numpy(), table.column("shingles").combine_chunks()
+    size = shingles.value_lengths().to_numpy().astype(np.int64)
+    _, root = np.unique(table.column("part").to_numpy(), return_inverse=True)
+    known, code = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(code, kind="stable")
+    who, begin = owner[order], np.searchsorted(code[order], np.arange(len(known) + 1))
+    first, out = np.cumsum(size) - size, []
+    for i in range(len(rows)):
+        other = (root != root[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
+        if not other.any():
+            continue
+        both = np.zeros(len(rows), np.int64)
+        for x in code[first[i] : first[i] + size[i]].tolist():
+            both[who[begin[x] : begin[x + 1]]] += 1  # a shingle is once in a set
+        for j in np.flatnonzero(other & (both / (size + size[i] - both) >= least)).tolist():
+            if root[j] != root[i]:
+                out.append((rows[i], rows[j]))
+                root[root == root[j]] = root[i]
+    return pa.table([pa.array([int(min(x)) for x in out], pa.int64()), pa.array([int(max(x)) for x in out], pa.int64())], ["a", "b"])
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -119,7 +166,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) ->
     row = F.monotonically_increasing_id()
     texts = docs.select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text"))
     place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("place")
-    sets = cut(signed(texts, shingle).groupBy("n", "s", "t").agg(place, F.first("bands").alias("bands")).select(F.col("place.row").alias("row"), "place", "n", "bands"))
-    of = connected_components(links(sets.select("row", "n", "bands"), texts, shingle, least)).withColumnRenamed("node", "row")
+    sets = cut(signed(texts, shingle).groupBy("n", "s", "t").agg(place, F.first("fp").alias("fp"), F.first("bands").alias("bands")).select(F.col("place.row").alias("row"), "place", "n", "fp", "bands"))
+    of = connected_components(links(sets.select("row", "n", "fp", "bands"), texts, shingle, least)).withColumnRenamed("node", "row")
     kept = sets.join(of, "row", "left").groupBy(F.coalesce("component", "row").alias("part")).agg(F.min("place").alias("place")).select(F.col("place.row").alias("kept"))
     return docs.select(F.struct(*docs.columns).alias("whole"), row.alias("row")).join(kept, F.col("row") == F.col("kept"), "left_semi").select("whole.*")
