@@ -17,19 +17,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line chunks that came before; n_chars follows the text."""
-    short = line_dedup.dedup_lines(docs).select(docs.columns)
-    return short.withColumn("n_chars", F.length("text").cast("long"))
+    row = F.struct(*docs.columns).alias("row")
+    short = line_dedup.dedup_lines(docs.select("doc_id", "text", row))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return short.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by sets of five-word shingles: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id. Candidates are the SimHash operator's links and shared MinHash
+    bands; sets of five-word shingles, of a Jaccard index of 0.8 or more, decide."""
     return near_copies.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    row = F.struct(*docs.columns).alias("row")
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", row)).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. What lies between stages is written to the folder that executors share."""
-    from notewright.llm.lineage import shared_folder
+    """All stages over the documents of sf_dir. What lies between stages is written to the folder that executors share, and removed when
+    the next stage has been written; only the last stage's input stays, for whoever reads the result."""
+    from notewright.llm.lineage import drop, shared_folder
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            drop(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
