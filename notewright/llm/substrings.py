@@ -92,10 +92,10 @@ class Passages(NamedTuple):
     alone: np.ndarray
 
 
-def passages(windows: np.ndarray, at: np.ndarray, keys: np.ndarray, total: np.ndarray) -> Passages:
-    """Those of anchors that occur more than once in the corpus. total: occurrences of each window's anchor."""
+def passages(windows: np.ndarray, at: np.ndarray, keys: np.ndarray, total: np.ndarray, most: int = HOT) -> Passages:
+    """Those of anchors that occur more than once in the corpus. total: occurrences of each window's anchor; above `most` windows stand alone."""
     keep = total > 1
-    windows, at, keys, hot = windows[keep], at[keep], keys[keep], total[keep] > HOT
+    windows, at, keys, hot = windows[keep], at[keep], keys[keep], total[keep] > most
     new = np.ones(len(windows), bool)
     new[1:] = (at[1:] != at[:-1]) | hot[1:]
     begin = np.flatnonzero(new)
@@ -128,7 +128,7 @@ def _keys(rows: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 SENT = "unit long, place int, shard int, spread long, offset int, windows int, words binary, least long, n long"
 
 
-def send(own: pa.Table, told: pa.Table, shards: int) -> pa.Table:
+def send(own: pa.Table, told: pa.Table, shards: int, hot: int = HOT) -> pa.Table:
     out, notes, row = [], [], 0
     if not own.num_rows:
         raise RuntimeError(exchange.CHANGED)
@@ -137,7 +137,7 @@ def send(own: pa.Table, told: pa.Table, shards: int) -> pa.Table:
     (total,) = exchange.values_of(told, len(keys), 1)
     for _, ids, w in _pieces(blob):
         windows, at, anchor = anchors(w)
-        p = passages(windows, at, anchor, total[np.searchsorted(keys, anchor)])
+        p = passages(windows, at, anchor, total[np.searchsorted(keys, anchor)], hot)
         doc = np.searchsorted(w.first, p.start, "right") - 1
         last = p.start + p.windows + WINDOW - 2
         words = _slices(w.data, w.starts[p.start], w.starts[last] + w.lengths[last])
@@ -292,8 +292,9 @@ def _spread(lists: pa.ChunkedArray, of: np.ndarray, inner: np.ndarray) -> tuple[
     return values[begin[of] + np.where(short, 0, inner)], short
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept: the words left, joined by one space)."""
+def dedup_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept: the words left, joined by one space). hot: occurrences above which an anchor's
+    windows are dealt one by one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = exchange.all_bytes(docs)
     shards = size // SHARD + 16
@@ -304,7 +305,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     told = exchange.tell(exchange.units(docs, F.lit(0), ask, exchange.ASKED), size, 0.2, [np.add]).select("unit", "shard", "size", "body")
     packed = exchange.packed(docs, F.lit(0))
-    sent = packed.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(lambda own, told: send(own, told, shards), SENT)
+    sent = packed.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(lambda own, told: send(own, told, shards, hot), SENT)
     sent = table(sent.withColumns({"h1": F.xxhash64("words", "spread"), "h2": F.xxhash64(F.lit(7), "spread", "words")}), "passages")
     # equal passages of all units become one row within the shard's own partition
     once = sent.where("place >= 0").repartition("shard").groupBy("shard", "spread", "words", "offset", "windows", "h1", "h2").agg(F.min("least").alias("least"), F.sum("n").alias("n"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from notewright.llm import components, line_dedup, lm, mixing, packing, quality, simhash, substrings, words
+from notewright.llm import components, exchange, line_dedup, lm, mixing, packing, quality, simhash, substrings, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -165,12 +165,87 @@ def test_scores_equal_counts(spark):
     assert all(r.score <= 0 for r in got)
 
 
-def test_interpolation_is_a_distribution(spark):
-    """Chances of all known tokens and one unknown after a context sum to one; scores follow by hand from counts and weights."""
-    bucket = np.array([0, 1, 1, 3])
-    weights = lm.learn_weights(bucket, np.array([lm.NONE, 40, 40, 8]), np.array([8, 8, 16, lm.NONE]), np.array([5, 50, 20, 10]))
-    assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
-    assert weights[1, 0] > 0.8 and weights[0, 0] < 0.35
+class PlainModel:
+    """The same model in plain Python, with given weights: counts of n-grams of up to three words, contexts padded with ends."""
+
+    def __init__(self, tokens, weights):
+        self.counts, self.contexts, self.weights = [Counter() for _ in range(3)], [Counter() for _ in range(3)], weights
+        for text in tokens:
+            padded = [None, None, *text]
+            for k in range(2, len(padded)):
+                for n in range(3):
+                    self.counts[n][tuple(padded[k - n : k + 1])] += 1
+                    self.contexts[n][tuple(padded[k - n : k])] += 1
+
+    def chance(self, before, word):
+        p = 1 / (len(self.counts[0]) + 1)
+        for n in range(3):
+            context = tuple(before[2 - n :])
+            seen = self.contexts[n][context]
+            if seen:
+                share = self.weights[n][0 if n == 0 else min(int(math.log2(seen)), 63)]
+                p = share * self.counts[n][(*context, word)] / seen + (1 - share) * p
+        return p
+
+
+def test_scores_follow_from_counts_and_weights_and_chances_sum_to_one(spark, monkeypatch):
+    learned, learn = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a, **k: learned.append(learn(*a, **k)) or learned[-1])
+    rows = [(k, t) for k, t in corpus(4)] + [(None, "the of"), (3, "the the"), (77, "of the of the of")]
+    got = {(str(r.doc_id), round(r.score, 8)) for r in lm.score(docs(spark, rows)).collect()}
+    fold = [zlib.crc32(str(i).encode() if i is not None else b"") % 10 for i, _ in rows]
+    tokens = [[*WORD.findall((t or "").translate(LOW)), None] for _, t in rows]
+    model = PlainModel([t for t, f in zip(tokens, fold, strict=True) if f], learned)
+    for (i, _), t in zip(rows, tokens, strict=True):
+        padded = [None, None, *t]
+        want = sum(math.log10(model.chance(padded[k - 2 : k], padded[k])) for k in range(2, len(padded)))
+        assert (str(i), round(want, 8)) in got
+    # after contexts that were seen, half seen, at a begin, and never seen
+    every = [w for (w,) in model.counts[0]] + ["no such word"]
+    for before in ([None, None], [None, "the"], ["the", "of"], ["nothing", "the"], ["the", "nothing"], ["nothing", "nothing"]):
+        assert sum(model.chance(before, w) for w in every) == pytest.approx(1, abs=1e-12)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_every_length_of_n_gram_scores(spark, order):
+    got = lm.score(docs(spark, corpus(2)), order=order).collect()
+    assert len(got) == len(corpus(2)) and all(r.score < 0 for r in got)
+
+
+def test_steps_of_the_histogram_hardly_move_the_weights():
+    draw = np.random.default_rng(0)
+    bucket, ratio = draw.integers(0, 8, 5000), np.exp(draw.normal(0.5, 2.0, 5000))
+    ratio[draw.random(5000) < 0.3] = 0
+    plain, n = np.full(lm.BUCKETS, 0.5), np.bincount(bucket, minlength=lm.BUCKETS)
+    for _ in range(100):
+        share = plain[bucket] * ratio
+        plain = (1 + np.bincount(bucket, share / (share + 1 - plain[bucket]), lm.BUCKETS)) / (2 + n)
+    step = np.where(ratio > 0, np.rint(lm.STEPS * np.log(np.maximum(ratio, 1e-300))), lm.NONE)
+    assert np.abs(lm.learn_weights(bucket, step, np.ones(5000)) - plain).max() < 0.002
+
+
+def test_exchange_in_two_steps_and_small_units_changes_nothing(spark, monkeypatch):
+    rows = corpus(6)
+    plain = {(str(r.doc_id), r.n_known, r.train_tokens, round(r.score, 8)) for r in lm.score(docs(spark, rows)).collect()}
+    monkeypatch.setattr(exchange, "UNIT", 3000)
+    monkeypatch.setattr(exchange, "MOST_KEYS", 1)
+    monkeypatch.setattr(exchange, "COARSE", 8)
+    assert plain == {(str(r.doc_id), r.n_known, r.train_tokens, round(r.score, 8)) for r in lm.score(docs(spark, rows)).collect()}
+
+
+def test_messages_grow_with_the_text():
+    keys = np.sort(words.mixed(np.arange(50_000, dtype=np.uint64)))
+    asked = exchange.questions(1, keys, [np.ones(len(keys), np.int64)])
+    assert asked.num_rows == exchange.COARSE and sum(asked.column("size").to_pylist()) == len(keys)
+    back = [exchange.expand(b.as_py(), n, np.uint64, np.int64)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
+    assert (np.concatenate(back) == keys).all()
+
+
+def test_answers_that_are_not_there_are_an_error():
+    told = pa.table({"shard": pa.array([0], pa.int32()), "size": [2], "body": [exchange.squeeze(np.array([4, 5]))]})
+    assert exchange.values_of(told, 2, 1)[0].tolist() == [4, 5]
+    with pytest.raises(RuntimeError):
+        exchange.values_of(told, 3, 1)
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
@@ -221,6 +296,58 @@ def test_passages_equal_brute_force(spark, seed):
     assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got.collect()) == without_passages(rows)
 
 
+def test_hot_phrases_and_small_units(spark, monkeypatch):
+    rows = [(k * 3 % 71, t) for k, t in corpus(1)] + [(80 + k, f"own{k} " + "all rights are reserved by the owner of this text and " + " ".join(f"t{k * j % 5}" for j in range(30))) for k in range(40)]
+    monkeypatch.setattr(exchange, "UNIT", 2000)
+    monkeypatch.setattr(exchange, "MOST_KEYS", 1)
+    monkeypatch.setattr(exchange, "COARSE", 8)
+    monkeypatch.setattr(substrings, "SHARD", 5000)
+    got = substrings.dedup_passages(docs(spark, rows), hot=3).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got.collect()) == without_passages(rows)
+
+
+def test_passages_of_very_long_texts(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(3000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x", *long[20_000:20_100], "y"])), (3, "z " * 50_000)]
+    got = substrings.dedup_passages(docs(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got.collect()) == without_passages(rows)
+
+
+def passage_table(texts, spread=1):
+    """Passages of one shard, each of one window, all under one key."""
+    n = len(texts)
+    return pa.table(
+        {
+            "shard": pa.array([0] * n, pa.int32()), "spread": pa.array([spread] * n), "words": pa.array([t.encode() for t in texts], pa.binary()), "offset": pa.array([4] * n, pa.int32()), "windows": pa.array([1] * n, pa.int32()),
+            "h1": pa.array(range(n), pa.int64()), "h2": pa.array(range(n), pa.int64()), "least": pa.array(range(10, 10 + n)), "n": pa.array([1] * n),
+        }
+    )
+
+
+def test_only_the_automaton_finds_candidates(monkeypatch):
+    a = " ".join(f"w{k}" for k in range(20))
+    own = passage_table([a, a])
+    assert substrings.decide(own).column("lesser").to_pylist() == [[10], [10]]
+    monkeypatch.setattr(substrings, "hits", lambda texts, phrases: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert substrings.decide(own).num_rows == 0
+
+
+def test_phrases_and_windows_are_confirmed_by_their_words():
+    # one key, as if hashes had collided: other phrases, then equal phrases in other windows
+    a, b = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(20))
+    assert substrings.decide(passage_table([a, b])).num_rows == 0
+    c = a.replace("w19", "other")
+    assert substrings.decide(passage_table([a, c])).num_rows == 0
+    assert substrings.decide(passage_table([a, c, a])).column("h1").to_pylist() == [0, 2]
+    assert substrings.confirmed([b"x y", b"z", b"x y"], [1, 1, 1]) == [b"x y"]
+
+
+def test_the_automaton_locates_every_occurrence():
+    text, behind = substrings.hits([b"a b c a b", b"xa b", b"a b"], [b"a b", b"b c"])
+    assert sorted(zip(text.tolist(), behind.tolist(), strict=True)) == [(0, 3), (0, 5), (0, 9), (2, 3)]
+
+
 # op7
 
 

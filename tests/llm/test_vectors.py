@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.llm import cover_tree, kmeans_tree
+from notewright.llm import cover_tree, kmeans_tree, queries
 
 ODD = [(900, None), (901, [float("nan")] * 6), (902, [float("inf")] + [0.0] * 5), (903, [None] + [0.1] * 5), (904, [0.0] * 6), (None, [0.2] * 6), (905, [0.5] * 4)]
 
@@ -53,6 +53,52 @@ def test_huge_components_stay_exact(spark):
     assert [r.score for r in sorted(got, key=lambda r: r.rank)] == sorted(exact[1:], reverse=True)[:3]
 
 
+def clustered(n=6000, dim=24, seed=3):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(60, dim))
+    return np.floor(256 * (centres[draw.integers(0, 60, n)] + 0.05 * draw.normal(size=(n, dim)))).astype(np.int64)
+
+
+def as_vectors(spark, x):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<long>")
+
+
+def test_the_trees_leave_most_pairs_of_clustered_vectors_out(spark):
+    x = clustered()
+    x[7, 3] = 10**12  # its own cell: the others stay on the tree
+    queries = F.col("vec_id") % 50 == 0
+    vectors = as_vectors(spark, x).repartition(4)
+    assert cover_tree.pairs_met(vectors, queries, 5) < 0.3 * len(x) * len(range(0, len(x), 50))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in cover_tree.top_k(vectors, queries, 5).collect()}
+    for q in range(0, len(x), 500):
+        scores = [int(s) for s in x.astype(object) @ x[q].astype(object)]
+        best = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(i, -s) for s, i in best]
+
+
+def test_one_dual_descent_prunes_and_keeps_ties():
+    x = clustered(2000).astype(np.float64)
+    x[11] = x[3]
+    ids = np.arange(len(x))
+    at, met = cover_tree.dual_search(x[:100], ids[:100], x, ids, 4, np.full(100, -np.inf))
+    assert met < 0.3 * 100 * len(x)
+    scores = x[:100] @ x.T
+    scores[np.arange(100), np.arange(100)] = -np.inf
+    assert all(at[q].tolist() == np.lexsort((ids, -scores[q]))[:4].tolist() for q in range(100))
+
+
+def test_careful_search_decides_in_whole_numbers():
+    draw = np.random.default_rng(1)
+    x = (draw.integers(-(2**40), 2**40, (300, 5)) // 1000 * 1000).astype(np.int64)
+    x[20] = x[10]
+    x[20, 0] += 1
+    ids = np.arange(len(x))
+    at = cover_tree.careful_search(x[:20], ids[:20], x, ids, 6)
+    for q in range(20):
+        exact = sorted((-sum(int(a) * int(b) for a, b in zip(x[q], x[j], strict=True)), j) for j in range(len(x)) if j != q)[:6]
+        assert at[q].tolist() == [j for _, j in exact]
+
+
 def test_few_candidates_are_all_returned(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = cover_tree.top_k(cover_tree.whole_numbers(frame, "embedding"), F.col("vec_id") % 50 == 0, 5).collect()
@@ -103,6 +149,43 @@ def test_approximate_search_recalls_and_scores_exactly(spark, monkeypatch):
     assert set(found) == {q for q in v if q % 20 == 0} and hits / total >= 0.9
 
 
+def test_every_length_of_vector_is_searched(spark):
+    x = clustered(900, 8).tolist()
+    rows = [(k, v) for k, v in enumerate(x)] + [(1000 + k, [float(k % 7), 1.0]) for k in range(30)] + [(2000, [1.0])]
+    frame = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in kmeans_tree.search(frame, "embedding", F.col("vec_id") % 20 == 0, 6).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in (1000, 1020):
+        own = [(k, v) for k, v in rows if 1000 <= k < 2000 and k != q]
+        best = sorted((-sum(a * b for a, b in zip(v, dict(rows)[q], strict=True)), k) for k, v in own)[:6]
+        assert [got[q][k] for k in range(1, 7)] == [k for _, k in best]
+    assert all(len(got[q]) == 6 for q in range(0, 900, 20)) and 2000 not in got
+
+
+def test_recall_on_the_given_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    frame = table.toPandas()
+    m, ids = np.stack(frame.embedding).astype(np.float64), frame.vec_id.to_numpy()
+    got = queries.op4_kmeans_tree(spark, "/root/testdata/sf0.01").toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = m @ m[q]
+        scores[q] = -np.inf
+        hits += len(set(got[got.query_id == ids[q]].vec_id) & set(ids[np.lexsort((ids, -scores))[:20]]))
+    assert hits / len(got) >= 0.9
+
+
+def test_visits_leave_out_leaves_that_are_not_able():
+    x = clustered(500, 4).astype(np.float64)
+    tree = kmeans_tree.Tree.fit(x, 20)
+    able = np.arange(tree.leaves()) % 3 == 0
+    rows = np.bincount(tree.file(x), minlength=tree.leaves())
+    assert set(tree.visits(x[0], tree.leaves(), able)) == set(np.flatnonzero(able))
+    few = tree.visits(x[0], 1, able, rows, 60)
+    assert rows[few].sum() >= 60 and few == [k for k in tree.visits(x[0], tree.leaves()) if able[k]][: len(few)]
+
+
 def test_visits_reach_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(500, 4))
     tree = kmeans_tree.Tree.fit(x, 20)
