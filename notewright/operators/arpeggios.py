@@ -1,20 +1,22 @@
 """Arpeggios: chords, intervals, rates and gates of tumbling windows."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.operators.chords import candidates
+from notewright.operators.chords import compared
 from notewright.operators.features import TRACK
 
 # Note values by their length in beats.
 RATES = [(0.125, "1/32"), (0.1875, "1/16T"), (0.25, "1/16"), (0.375, "1/8T"), (0.5, "1/8"), (0.75, "1/4T"), (1.0, "1/4")]
 
 
-def infer_chord(bits: Column) -> Column:
-    """The template with the best coverage, a tenth off for each note outside; all roots, the first of equals. Null below three notes."""
-    scored = F.array_max(candidates(bits, lambda common, extra, size, root: common / size.cast("double") - extra * F.lit(0.1)))
-    good = lambda b: (F.bit_count(bits) >= 3) & (b["score"] > 0)
-    return F.transform(F.array(scored), lambda b: F.when(good(b), F.struct(b["root"].alias("root"), b["quality"].alias("quality"), F.least(F.lit(1.0), b["score"]).alias("confidence"))))[0]
+def inferred(spark: SparkSession) -> DataFrame:
+    """(bits, chord): of every set of three pitch classes or more the template with the best coverage, a tenth off for each note outside; all
+    roots, the first of equals. A table of fixed size."""
+    score = F.col("common") / F.col("size").cast("double") - F.col("extra") * F.lit(0.1)
+    scored = compared(spark).where(F.bit_count("bits") >= 3).withColumn("score", score)
+    best = scored.groupBy("bits").agg(F.max(F.struct("score", (-F.col("order")).alias("order"), "root", "quality")).alias("b")).where("b.score > 0")
+    return best.select("bits", F.struct(F.col("b.root").alias("root"), F.col("b.quality").alias("quality"), F.least(F.lit(1.0), F.col("b.score")).alias("confidence")).alias("chord"))
 
 
 def rate(delta: Column) -> Column:
@@ -39,7 +41,8 @@ def windows(notes: DataFrame, width: float = 4.0, least: int = 4) -> DataFrame:
         F.avg("duration_beats").alias("avg_duration"),
         (F.max("start_beat") - F.min("start_beat")).alias("span"),
     )
-    found = grouped.where(F.col("notes") >= least).withColumn("chord", infer_chord(F.col("bits"))).withColumn("delta", F.col("span") / (F.col("notes") - 1))
+    table = F.broadcast(inferred(notes.sparkSession))
+    found = grouped.where(F.col("notes") >= least).withColumn("bits", F.col("bits").cast("int")).join(table, "bits", "left").withColumn("delta", F.col("span") / (F.col("notes") - 1))
     root = F.col("chord.root")
     return found.select(
         *TRACK,

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,16 +29,16 @@ TEMPLATES = {
 NUMERALS_MAJOR = ["I", "bII", "II", "bIII", "III", "IV", "#IV", "V", "bVI", "VI", "bVII", "VII"]
 NUMERALS_MINOR = ["i", "bII", "ii", "bIII", "III", "iv", "#iv", "v", "bVI", "VI", "bVII", "VII"]
 PROGRESSIONS = {
-    "I-IV-V-I": "I IV V I",
-    "I-V-vi-IV": "I V vi IV",
-    "ii-V-I": "ii V I",
-    "I-vi-IV-V": "I vi IV V",
-    "I-IV-vi-V": "I IV vi V",
-    "vi-IV-I-V": "vi IV I V",
-    "I-V-IV": "I V IV",
-    "12-bar blues": "I I I I IV IV I I V IV I V",
-    "Andalusian cadence": "i VII VI V",
-    "Circle of fifths": "I IV vii° iii vi ii V I",
+    "I-IV-V-I": ["I", "IV", "V", "I"],
+    "I-V-vi-IV": ["I", "V", "vi", "IV"],
+    "ii-V-I": ["ii", "V", "I"],
+    "I-vi-IV-V": ["I", "vi", "IV", "V"],
+    "I-IV-vi-V": ["I", "IV", "vi", "V"],
+    "vi-IV-I-V": ["vi", "IV", "I", "V"],
+    "I-V-IV": ["I", "V", "IV"],
+    "12-bar blues": ["I", "I", "I", "I", "IV", "IV", "I", "I", "V", "IV", "I", "V"],
+    "Andalusian cadence": ["i", "VII", "VI", "V"],
+    "Circle of fifths": ["I", "IV", "vii°", "iii", "vi", "ii", "V", "I"],
 }
 MINOR_FAMILY = ["minor", "m7", "dim", "dim7", "m7b5"]
 SUFFIXES = {"dim": "°", "aug": "+"} | {q: q for q in ("7", "maj7", "m7", "dim7", "m7b5")}
@@ -59,49 +59,53 @@ def _mask(template: list[int]) -> int:
     return sum(1 << k for k in template)
 
 
-def candidates(bits: Column, score: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """Every root with every template, roots first: array of struct (score, order, root, quality, present).
+def compared(spark: SparkSession) -> DataFrame:
+    """Every set of pitch classes (bits, one each) with every template on every root: (bits, order, root, quality, present: whether the root
+    is in the set, common: notes of the template that are there, extra: others, size: of the template). 4095 sets, whatever the notes."""
+    masks, sizes, qualities = (F.array(*map(F.lit, x)) for x in ([_mask(t) for t in TEMPLATES.values()], [len(t) for t in TEMPLATES.values()], list(TEMPLATES)))
+    n = len(TEMPLATES)
+    sets = spark.range(1, 4096).select(F.col("id").cast("int").alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("root"))
+    down, up = F.call_function("shiftright", "bits", "root"), F.call_function("shiftleft", "bits", 12 - F.col("root"))
+    turned = sets.select("bits", "root", down.bitwiseOR(up).bitwiseAND(4095).alias("turned"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    k, common = F.col("k"), F.bit_count(F.col("turned").bitwiseAND(F.get(masks, F.col("k"))))
+    return turned.select("bits", (F.col("root") * n + k).alias("order"), "root", F.get(qualities, k).alias("quality"), (F.col("turned").bitwiseAND(1) == 1).alias("present"), common.alias("common"), (F.bit_count("bits") - common).alias("extra"), F.get(sizes, k).alias("size"))
 
-    bits: the pitch classes, one bit each. score gets how many of the template's notes are there, how many others, the
-    template's size, and the root.
-    """
-    masks, sizes, names_ = (F.array(*map(F.lit, x)) for x in ([_mask(t) for t in TEMPLATES.values()], [len(t) for t in TEMPLATES.values()], list(TEMPLATES)))
 
-    def one(i: Column) -> Column:
-        root, k = F.floor(i / 12).cast("int"), i % 12
-        down, up = F.call_function("shiftright", bits, root), F.call_function("shiftleft", bits, 12 - root)
-        turned = down.bitwiseOR(up).bitwiseAND(4095)
-        common = F.bit_count(turned.bitwiseAND(F.get(masks, k)))
-        return F.struct(score(common, F.bit_count(bits) - common, F.get(sizes, k), root).alias("score"), (-i).alias("order"), root.alias("root"), F.get(names_, k).alias("quality"), (down.bitwiseAND(1) == 1).alias("present"))
+def matches(spark: SparkSession) -> DataFrame:
+    """(bits, found): for every set of pitch classes what can be its chord: array of struct (base, order, root, quality, late).
 
-    return F.transform(F.sequence(F.lit(0), F.lit(12 * len(TEMPLATES) - 1)), one)
+    Of each root that is present the best template with a score above zero, the first of equals, and apart from it the power chord.
+    base: (notes that are there, less half of those beside the template, less three tenths of those missing) by the template's size.
+    late: a power chord before which another template, by root and place in the list, has scored."""
+    base = (F.col("common") - F.col("extra") * F.lit(0.5) - (F.col("size") - F.col("common")) * F.lit(0.3)) / F.col("size").cast("double")
+    scored = compared(spark).where("present").withColumn("base", base).where("base > 0").withColumn("first", F.min("order").over(W.partitionBy("bits")))
+    power = F.col("quality") == "5"
+    one = F.struct("base", (-F.col("order")).alias("order"), "root", "quality", (power & (F.col("order") > F.col("first"))).alias("late"))
+    return scored.groupBy("bits", "root", power.alias("power")).agg(F.max(one).alias("x")).groupBy("bits").agg(F.collect_list("x").alias("found"))
 
 
-def match_chord(bits: Column, weights: Column) -> Column:
-    """The best template over the pitch classes that are present: struct (root, quality, confidence).
+def match_chord(grouped: DataFrame) -> DataFrame:
+    """grouped (bits, weights, ...) with the best template over the pitch classes that are present, c: struct (root, quality, confidence).
 
-    Roots ascend and templates keep their order; the first of equal scores wins. A power chord counts four fifths once anything
-    before it has scored.
-    """
+    A root's weight adds to its scores. Roots ascend and templates keep their order; the first of equal scores wins. A power chord counts
+    four fifths once anything before it has scored. The table of matches has a fixed size, so it is broadcast."""
+    table = matches(grouped.sparkSession).select(F.col("bits").alias("_bits"), "found")
 
-    def score(common: Column, extra: Column, size: Column, root: Column) -> Column:
-        return (common - extra * F.lit(0.5) - (size - common) * F.lit(0.3)) / size.cast("double") * (1.0 + F.get(weights, root) * 0.1)
-
-    scored = F.filter(candidates(bits, score), lambda c: c["present"] & (c["score"] > 0))
-
-    def best(all_: Column) -> Column:
-        lead = F.array_max(F.transform(all_, lambda c: c["order"]))
-        return F.transform(F.array(lead), lambda first: F.array_max(F.transform(all_, lambda c: F.struct(F.when((c["quality"] == "5") & (c["order"] < first), c["score"] * F.lit(0.8)).otherwise(c["score"]).alias("score"), c["order"].alias("order"), c["root"].alias("root"), c["quality"].alias("quality")))))[0]
+    def weighed(c: Column) -> Column:
+        score = c["base"] * (1.0 + F.get("weights", c["root"]) * 0.1)
+        return F.struct(F.when(c["late"], score * F.lit(0.8)).otherwise(score).alias("score"), c["order"].alias("order"), c["root"].alias("root"), c["quality"].alias("quality"))
 
+    out = grouped.join(F.broadcast(table), F.col("bits") == F.col("_bits"), "left").withColumn("_best", F.array_max(F.transform("found", weighed)))
     none = F.struct(F.lit(0).alias("root"), F.lit("?").alias("quality"), F.lit(0.0).alias("confidence"))
-    return F.transform(F.transform(F.array(scored), best), lambda b: F.when(b.isNull(), none).otherwise(F.struct(b["root"].alias("root"), b["quality"].alias("quality"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), b["score"])).alias("confidence"))))[0]
+    best = F.struct(F.col("_best.root").alias("root"), F.col("_best.quality").alias("quality"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_best.score"))).alias("confidence"))
+    return out.withColumn("c", F.when(F.col("_best").isNull(), none).otherwise(best)).drop("_bits", "found", "_best")
 
 
 def detect_chords(notes: DataFrame, by: list[str], width: float = 2.0, hop: float = 1.0, least: int = 2, inversions: bool = True) -> DataFrame:
     """(by, window, start_beat, end_beat, root, quality, bass, confidence) of every window with enough pitch classes."""
     weights = F.array(*[F.coalesce(F.sum(F.when(F.col("pc") == k, F.col("weight"))), F.lit(0.0)) for k in range(12)])
     grouped = windows(notes, by, width, hop).groupBy(*by, "window", "start_beat", "end_beat").agg(F.sum(F.expr("shiftleft(1, pc)")).cast("int").alias("bits"), weights.alias("weights"), F.count(F.lit(1)).alias("pcs"), F.pmod(F.min("low"), F.lit(12)).alias("low_pc"))
-    out = grouped.where(F.col("pcs") >= least).withColumn("c", match_chord(F.col("bits"), F.col("weights")))
+    out = match_chord(grouped.where(F.col("pcs") >= least))
     bass = F.when(F.col("low_pc") != F.col("c.root"), F.col("low_pc")) if inversions else F.lit(None).cast("int")
     return out.select(*by, "window", "start_beat", "end_beat", "c.root", "c.quality", bass.alias("bass"), "c.confidence")
 
@@ -160,8 +164,7 @@ def _mismatches(numerals: Column, pattern: list[str]) -> Callable[[Column], Colu
 def match_progression(numerals: DataFrame, by: list[str], tolerance: int = 0) -> DataFrame:
     """numerals (by, numerals array) -> with `progression`, the first known one that stands anywhere in it."""
     col, found = F.col("numerals"), F.lit(None).cast("string")
-    for name, text in reversed(PROGRESSIONS.items()):
-        pattern = text.split(" ")
+    for name, pattern in reversed(PROGRESSIONS.items()):
         starts = F.sequence(F.lit(0), F.greatest(F.size(col) - len(pattern), F.lit(0)))
         hit = (F.size(col) >= len(pattern)) & (F.array_min(F.transform(starts, _mismatches(col, pattern))) <= tolerance)
         found = F.when(hit, name).otherwise(found)

@@ -36,25 +36,53 @@ def hash16(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
+def _bars(notes: DataFrame, beats_per_bar: float, grid: int) -> DataFrame:
+    """Every bar of every track, empty ones too: (song, track, bar, bars, onsets and accents by step, pitches in order)."""
+    bar = F.floor(F.col("start_beat") / beats_per_bar).cast("int")
+    inside = F.col("start_beat") - bar * beats_per_bar
+    step = F.floor(inside / F.lit(beats_per_bar / grid)).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(inside.alias("at"), "note_seq", "pitch", step.alias("step"), (F.col("velocity") / 127.0).alias("accent"))))
+    filled = notes.groupBy(*TRACK, bar.alias("bar")).agg(listed.alias("inside"))
+    tracks = notes.select(*TRACK).distinct().join(song_length(notes, beats_per_bar), "song_id")
+    every = tracks.select(*TRACK, "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("bar"))
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    loudest = F.transform(steps, lambda k: F.array_max(F.transform(F.filter("inside", lambda n: n["step"] == k), lambda n: n["accent"])))
+    empty = lambda value, kind: F.array_repeat(F.lit(value).cast(kind), grid)
+    out = every.join(filled, [*TRACK, "bar"], "left").withColumn("loudest", F.when(F.col("inside").isNotNull(), loudest))
+    return out.select(
+        *TRACK,
+        "bar",
+        "bars",
+        F.coalesce(F.transform("loudest", lambda x: x.isNotNull().cast("int")), empty(0, "int")).alias("on"),
+        F.coalesce(F.transform("loudest", lambda x: F.coalesce(x, F.lit(0.0))), empty(0.0, "double")).alias("accents"),
+        F.coalesce(F.transform("inside", lambda n: n["pitch"]), F.array().cast("array<int>")).alias("pitches"),
+    )
+
+
 def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0, grid: int = 16) -> DataFrame:
-    """Rhythm, pitch and combined fingerprints of all chunks; empty chunks have empty grids of their length."""
-    step = F.floor(F.col("local_start") / F.lit(beats_per_bar / grid)).cast("int")
-    inside = placed(notes, sizes, beats_per_bar).groupBy(*CHUNK).agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct(step.alias("k"), F.lit(1).alias("v"))))).alias("on"),
-        F.collect_list(F.struct(step.alias("step"), (F.col("velocity") / 127.0).alias("accent"))).alias("accents"),
-        F.transform(F.array_sort(F.collect_list(F.struct("local_start", "note_seq", "pitch"))), lambda x: x["pitch"]).alias("pitches"),
+    """Rhythm, pitch and combined fingerprints of all chunks; empty chunks have empty grids of their length.
+
+    Notes are grouped once, by bar; chunks of every size are put together from bars."""
+    size = F.col("chunk_size")
+    sized = _bars(notes, beats_per_bar, grid).withColumn("chunk_size", F.explode(F.array(*map(F.lit, sizes))))
+    grouped = sized.groupBy(*TRACK, "chunk_size", (F.col("bar") - F.col("bar") % size).alias("start_bar")).agg(F.array_sort(F.collect_list(F.struct("bar", "on", "accents", "pitches"))).alias("own"), F.first("bars").alias("bars"))
+    joined = lambda field: F.flatten(F.transform("own", lambda b: b[field]))
+    base = grouped.withColumn("end_bar", F.least(F.col("start_bar") + size, F.col("bars"))).select(
+        *CHUNK,
+        "end_bar",
+        (F.col("end_bar") - F.col("start_bar")).alias("num_bars"),
+        (F.col("start_bar") * beats_per_bar).alias("start_beat"),
+        (F.col("end_bar") * beats_per_bar).alias("end_beat"),
+        joined("on").alias("onset_grid"),
+        joined("accents").alias("accent_grid"),
+        joined("pitches").alias("pitches"),
     )
-    base = chunks(notes, sizes, beats_per_bar).join(inside, CHUNK, "left")
-    base = base.withColumn("pitches", F.coalesce("pitches", F.array().cast("array<int>")))
-    steps = F.sequence(F.lit(0), F.col("num_bars") * grid - 1)
     n = F.size("pitches")
     intervals = F.when(n > 1, F.zip_with(F.slice("pitches", 2, F.greatest(n - 1, F.lit(1))), F.slice("pitches", 1, F.greatest(n - 1, F.lit(1))), lambda b, a: b - a)).otherwise(F.array().cast("array<int>"))
-    out = base.withColumns({"onset_grid": F.transform(steps, lambda k: F.coalesce(F.element_at("on", k), F.lit(0))), "intervals": intervals})
-    accent = F.transform(steps, lambda k: F.coalesce(F.array_max(F.transform(F.filter("accents", lambda a: a["step"] == k), lambda a: a["accent"])), F.lit(0.0)))
+    out = base.withColumns({"note_count": n.cast("long"), "intervals": intervals})
     mean = F.when(n > 0, F.aggregate("pitches", F.lit(0), lambda a, x: a + x) / n).otherwise(0.0)
     out = out.withColumns(
         {
-            "accent_grid": accent,
             "contour": F.transform("intervals", lambda x: F.signum(x.cast("double")).cast("int")),
             "pitch_classes": F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter("pitches", lambda p: F.pmod(p, F.lit(12)) == k))),
             "range_semitones": F.when(n > 0, F.array_max("pitches") - F.array_min("pitches")).otherwise(0),
@@ -64,4 +92,4 @@ def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar
             "density": F.aggregate("onset_grid", F.lit(0), lambda a, x: a + x) / F.size("onset_grid"),
         }
     )
-    return out.withColumn("pattern_id", hash16(F.concat_ws(":", "rhythm_hash", "pitch_hash"))).drop("on", "accents")
+    return out.withColumn("pattern_id", hash16(F.concat_ws(":", "rhythm_hash", "pitch_hash")))

@@ -32,16 +32,17 @@ def correlations(histograms: DataFrame, by: list[str], compat: bool = True) -> D
     """
     mean = F.aggregate("histogram", F.lit(0.0), lambda a, x: a + x) / 12
     centred = histograms.withColumn("_mean", mean).withColumn("_h", F.transform("histogram", lambda x: x - F.col("_mean"))).withColumn("_size", F.aggregate("_h", F.lit(0.0), lambda a, x: a + x * x))
-    candidates = []
+    rotated = []
     for mode, profile in (("major", MAJOR), ("minor", MINOR)):
         p = _centred(profile)
-        size = sum(x * x for x in p)
         for root in range(12):
             shift = root if compat else -root
-            dot = sum((F.get("_h", F.lit(k)) * p[(k + shift) % 12] for k in range(12)), F.lit(0.0))
-            r = F.when(F.col("_size") * size == 0, 0.0).otherwise(dot / F.sqrt(F.col("_size") * size))
-            candidates.append(F.struct(F.lit(root).alias("root"), F.lit(mode).alias("mode"), r.alias("correlation")))
-    return centred.select(*by, F.explode(F.array(*candidates)).alias("k")).select(*by, "k.*")
+            turned = F.array(*[F.lit(p[(k + shift) % 12]) for k in range(12)])
+            rotated.append(F.struct(F.lit(root).alias("root"), F.lit(mode).alias("mode"), F.lit(sum(x * x for x in p)).alias("size"), turned.alias("profile")))
+    met = centred.select(*by, "_h", "_size", F.explode(F.array(*rotated)).alias("k"))
+    dot = F.aggregate(F.zip_with("_h", "k.profile", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    square = F.col("_size") * F.col("k.size")
+    return met.select(*by, "k.root", "k.mode", F.when(square == 0, 0.0).otherwise(dot / F.sqrt(square)).alias("correlation"))
 
 
 def best_key(correlated: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,5 @@
 """Song sections: features of bars, novelty between them, boundaries, forms and hints at their function."""
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,49 +77,69 @@ def sections(bars: DataFrame, found: DataFrame, least: int = LEAST_BARS) -> Data
     return cuts.select("song_id", "section", "start_bar", "end_bar").join(means, ["song_id", "section"])
 
 
-FORM = "song_id long, section int, start_bar int, end_bar int, form string, hint string, hint_confidence double"
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _gap(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
+
+
+def form_letters(found: DataFrame) -> DataFrame:
+    """found with form: letters by leader clustering, a fold over one song's few sections in order.
+
+    A section joins the nearest leader, which moves a fifth of the way to it, if it is within seven tenths of the least gap between
+    leaders (half, while there is only one) or there are FORMS leaders; else it is a leader itself."""
+    kept = [c for c in found.columns if c != "song_id"]
+    listed = found.withColumn("v", vector()).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("section", F.struct(*kept).alias("row"), "v"))).alias("s"))
+
+    def step(state: Column, x: Column) -> Column:
+        leaders, letters, v = state["leaders"], state["letters"], x["v"]
+        between = F.array_min(F.flatten(F.transform(leaders, lambda a, i: F.transform(F.slice(leaders, F.lit(1), i), lambda b: _gap(a, b)))))
+        limit = F.when(F.size(leaders) > 1, between * 0.7).otherwise(0.5)
+
+        def joined(gaps: Column) -> Column:
+            near = F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
+            apart = (F.size(gaps) == 0) | ((F.array_min(gaps) > limit) & (F.size(gaps) < FORMS))
+            moved = F.transform(leaders, lambda c, i: F.when(i == near, F.zip_with(c, v, lambda p, q: (p * F.lit(0.8).cast("float") + q * F.lit(0.2).cast("float")).cast("float"))).otherwise(c))
+            return F.struct(F.when(apart, F.concat(leaders, F.array(v))).otherwise(moved).alias("leaders"), F.concat(letters, F.array(F.when(apart, F.size(gaps)).otherwise(near))).alias("letters"))
+
+        return _once(F.transform(leaders, lambda c: _gap(c, v)), joined)
+
+    start = F.struct(F.array().cast("array<array<float>>").alias("leaders"), F.array().cast("array<int>").alias("letters"))
+    labelled = listed.withColumn("letters", F.aggregate("s", start, step)["letters"]).select("song_id", F.explode(F.zip_with("s", "letters", lambda x, k: F.struct(x["row"].alias("row"), k.alias("letter")))).alias("x"))
+    return labelled.select("song_id", "x.row.*", F.chr(F.col("x.letter") + 65).alias("form"))
+
+
+def hints(labelled: DataFrame) -> DataFrame:
+    """labelled sections with hint and hint_confidence: what a section is likely for, from how it stands to its neighbours.
+
+    A section much fuller than the one before it builds up; of such sections in a row every second one is where it drops, as is a fuller
+    section after one that builds up."""
+    w = W.partitionBy("song_id").orderBy("section")
+    n, tracks = F.col("note_count"), F.col("active_tracks")
+    seen = labelled.withColumns({"place": F.row_number().over(w), "of": F.count(F.lit(1)).over(W.partitionBy("song_id")), "n0": F.lag("note_count").over(w), "rises": F.coalesce((n > F.lag("note_count").over(w) * 1.3) & (tracks > F.lag("active_tracks").over(w)), F.lit(False))})
+    run = F.col("place") - F.max(F.when(~F.col("rises"), F.col("place"))).over(w)
+    seen = seen.withColumn("builds", F.col("rises") & (run % 2 == 1)).withColumn("after", F.coalesce(F.lag("builds").over(w), F.lit(False)))
+    by_form = W.partitionBy("song_id", "form")
+    seen = seen.withColumns({"often": F.count(F.lit(1)).over(by_form), "first": F.min("place").over(by_form)})
+    seen = seen.withColumn("rank", F.dense_rank().over(W.partitionBy("song_id").orderBy(F.col("often").desc(), "first")))
+    # What sections are for, and how sure each guess is; the first that holds counts.
+    guesses = [
+        ("drop", 0.7, F.col("after") & (n > F.col("n0"))),
+        ("breakdown", 0.6, (n < F.col("n0") * 0.4) & (F.col("density_drums") < 0.5)),
+        ("build", 0.5, F.col("builds")),
+        ("outro", 0.5, (F.col("place") == F.col("of")) & (n < F.col("n0") * 0.7)),
+        ("intro", 0.6, (F.col("place") == 1) & ((n < 20) | (tracks < 3))),
+        ("verse", 0.4, F.col("rank") == 1),
+        ("chorus", 0.4, F.col("rank") == 2),
+        ("bridge", 0.3, F.lit(True)),
+    ]
+    of = F.coalesce(*[F.when(holds, F.struct(F.lit(name).alias("hint"), F.lit(sure).alias("sure"))) for name, sure, holds in guesses])
+    return seen.withColumn("_of", of).select(*labelled.columns, "_of.hint", F.col("_of.sure").alias("hint_confidence"))
 
 
 def forms(found: DataFrame) -> DataFrame:
-    """Form letters by leader clustering, and hints at the sections' function: a fold over one song's few sections in order."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["section"])
-        leaders: list[np.ndarray] = []
-        labels: list[str] = []
-        for r in rows:
-            v = np.array([r["v"][k] for k in range(13)], np.float32)
-            gaps = [float(np.linalg.norm(v - c)) for c in leaders]
-            near = int(np.argmin(gaps)) if gaps else -1
-            limit = 0.7 * min(float(np.linalg.norm(a - b)) for k, a in enumerate(leaders) for b in leaders[:k]) if len(leaders) > 1 else 0.5
-            if near < 0 or gaps[near] > limit and len(leaders) < FORMS:
-                near = len(leaders)
-                leaders.append(v)
-            else:
-                leaders[near] = (leaders[near] * 0.8 + v * 0.2).astype(np.float32)
-            labels.append(chr(65 + near))
-        hints = _hints(rows, labels)
-        return pa.Table.from_pylist([{**{c: r[c] for c in ("song_id", "section", "start_bar", "end_bar")}, "form": f, "hint": h[0], "hint_confidence": h[1]} for r, f, h in zip(rows, labels, hints, strict=True)], pa.schema([("song_id", pa.int64()), ("section", pa.int32()), ("start_bar", pa.int32()), ("end_bar", pa.int32()), ("form", pa.string()), ("hint", pa.string()), ("hint_confidence", pa.float64())]))
-
-    return found.withColumn("v", vector()).groupBy("song_id").applyInArrow(fold, FORM)
-
-
-def _hints(rows: list[dict], labels: list[str]) -> list[tuple[str, float]]:
-    out: list[tuple[str, float] | None] = [None] * len(rows)
-    n = [r["note_count"] for r in rows]
-    if n[0] < 20 or rows[0]["active_tracks"] < 3:
-        out[0] = ("intro", 0.6)
-    if len(rows) > 1 and n[-1] < 0.7 * n[-2]:
-        out[-1] = ("outro", 0.5)
-    for k in range(1, len(rows)):
-        thinner, fuller = n[k] < n[k - 1] * 0.4, n[k] > n[k - 1] * 1.3 and rows[k]["active_tracks"] > rows[k - 1]["active_tracks"]
-        if thinner and rows[k]["density_drums"] < 0.5:
-            out[k] = ("breakdown", 0.6)
-        elif fuller and not thinner:
-            out[k] = ("build", 0.5)
-        before = out[k - 1]
-        if before and before[0] == "build" and n[k] > n[k - 1]:
-            out[k] = ("drop", 0.7)
-    often = sorted(dict.fromkeys(labels), key=lambda f: -labels.count(f))
-    rest = {often[0]: ("verse", 0.4)} | ({often[1]: ("chorus", 0.4)} if len(often) > 1 else {})
-    return [h or rest.get(f, ("bridge", 0.3)) for h, f in zip(out, labels, strict=True)]
+    """(song_id, section, start_bar, end_bar, form, hint, hint_confidence)."""
+    return hints(form_letters(found)).select("song_id", "section", "start_bar", "end_bar", "form", "hint", "hint_confidence")

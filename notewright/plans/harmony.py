@@ -117,7 +117,7 @@ def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LISTED = "listed AS (SELECT song_id, ' ' || string_agg(numeral, ' ' ORDER BY position) || ' ' AS text FROM numerals GROUP BY 1)"
-FOUND = "CASE " + " ".join(f"WHEN contains(text, ' {p} ') THEN '{n}'" for n, p in chords.PROGRESSIONS.items()) + " END"
+FOUND = "CASE " + " ".join(f"WHEN contains(text, ' {p} ') THEN '{n}'" for n, p in ((n, ' '.join(p)) for n, p in chords.PROGRESSIONS.items())) + " END"
 
 
 @registered(query(NOTES_A, ALL_NOTES, HISTOGRAM, PROFILES, CORRELATED, KEYED, WINDOWS, TEMPLATES, DETECTED, SMOOTHED, NUMERALS, LISTED, f"SELECT song_id, coalesce({FOUND}, 'none') AS progression FROM listed"))
@@ -259,6 +259,36 @@ def section_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found_sections(spark, sf_dir), "avg_velocity", *DENSITIES)
 
 
-@registered()
+GAP = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)))"
+FORMS = f"""
+places AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY section) AS place, {VECTOR} AS v FROM sections),
+led(song_id, place, leaders, letter) AS (
+    SELECT song_id, place, [v], CAST(0 AS BIGINT) FROM places WHERE place = 1
+    UNION ALL
+    SELECT song_id, place, CASE WHEN apart THEN list_append(leaders, v) ELSE list_transform(leaders, lambda c, i: CASE WHEN i = near THEN list_transform(list_zip(c, v), lambda z: CAST(z[1] * CAST(0.8 AS FLOAT) + z[2] * CAST(0.2 AS FLOAT) AS FLOAT)) ELSE c END) END,
+        CASE WHEN apart THEN len(leaders) ELSE near - 1 END
+    FROM (
+        SELECT *, list_position(gaps, list_min(gaps)) AS near, list_min(gaps) > lim AND len(leaders) < {sections.FORMS} AS apart FROM (
+            SELECT p.song_id, p.place, l.leaders, p.v, list_transform(l.leaders, lambda c: {GAP.format("c", "p.v")}) AS gaps,
+                CASE WHEN len(l.leaders) > 1 THEN 0.7e0 * list_min(flatten(list_transform(l.leaders, lambda a, i: list_transform(l.leaders[1:i - 1], lambda b: {GAP.format("a", "b")})))) ELSE 0.5e0 END AS lim
+            FROM led l JOIN places p ON p.song_id = l.song_id AND p.place = l.place + 1))
+), labelled AS (SELECT p.*, chr(CAST(65 + letter AS INTEGER)) AS form FROM places p JOIN led USING (song_id, place)),
+told(song_id, place, builds, drops) AS (
+    SELECT song_id, place, false, false FROM labelled WHERE place = 1
+    UNION ALL
+    SELECT b.song_id, b.place, b.note_count > 1.3e0 * a.note_count AND b.active_tracks > a.active_tracks AND NOT (t.builds AND b.note_count > a.note_count), t.builds AND b.note_count > a.note_count
+    FROM told t JOIN labelled a ON a.song_id = t.song_id AND a.place = t.place JOIN labelled b ON b.song_id = t.song_id AND b.place = t.place + 1
+), form_counts AS (SELECT song_id, form, row_number() OVER (PARTITION BY song_id ORDER BY count(*) DESC, min(place)) AS rank FROM labelled GROUP BY 1, 2),
+hinted AS (
+    SELECT l.song_id, l.section, l.start_bar, l.end_bar, l.form, CASE
+        WHEN t.drops THEN 'drop' WHEN l.note_count < 0.4e0 * before AND l.density_drums < 0.5 THEN 'breakdown' WHEN t.builds THEN 'build'
+        WHEN l.place = of AND l.note_count < 0.7e0 * before THEN 'outro' WHEN l.place = 1 AND (l.note_count < 20 OR l.active_tracks < 3) THEN 'intro'
+        WHEN rank = 1 THEN 'verse' WHEN rank = 2 THEN 'chorus' ELSE 'bridge' END AS hint
+    FROM (SELECT *, lag(note_count) OVER (PARTITION BY song_id ORDER BY place) AS before, count(*) OVER (PARTITION BY song_id) AS of FROM labelled) l JOIN told t USING (song_id, place) JOIN form_counts c ON c.song_id = l.song_id AND c.form = l.form
+)"""
+SURE = "CASE hint WHEN 'drop' THEN 0.7e0 WHEN 'breakdown' THEN 0.6e0 WHEN 'intro' THEN 0.6e0 WHEN 'build' THEN 0.5e0 WHEN 'outro' THEN 0.5e0 WHEN 'bridge' THEN 0.3e0 ELSE 0.4e0 END"
+
+
+@registered(query(NOTES_A, FEATURES, ROLES, BARS, NOVEL, BOUNDARIES, SECTIONS, FORMS, f"SELECT song_id, section, start_bar, end_bar, form, hint, {SURE} AS hint_confidence FROM hinted").replace("WITH ", "WITH RECURSIVE ", 1))
 def section_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.forms(found_sections(spark, sf_dir))

@@ -80,8 +80,7 @@ def test_key_text(spark):
 
 @pytest.mark.parametrize(("pcs", "root", "quality"), [({0, 4, 7}, 0, "major"), ({9, 0, 4}, 9, "minor"), ({7, 11, 2, 5}, 7, "7"), (set(), 0, "?")])
 def test_match_chord(spark, pcs, root, quality):
-    bits = F.lit(sum(1 << p for p in pcs))
-    c = spark.range(1).select(chords.match_chord(bits, F.array(*[F.lit(0.0)] * 12)).alias("c")).first().c
+    c = chords.match_chord(spark.range(1).select(F.lit(sum(1 << p for p in pcs)).alias("bits"), F.array(*[F.lit(0.0)] * 12).alias("weights"))).first().c
     assert (c.root, c.quality) == (root, quality)
 
 
@@ -151,6 +150,19 @@ def test_sections_find_a_change(spark):
     assert [x.form for x in named] == ["A", "B"] and named[0].hint == "intro"
 
 
+def test_hints_follow_from_neighbours(spark):
+    cases = [
+        # notes, tracks, drums and form of each section in order, and what each is for
+        ([(10, 4, 1, "A"), (30, 5, 1, "A"), (50, 6, 1, "B"), (80, 7, 1, "B"), (120, 8, 1, "C"), (130, 8, 1, "C")], ["intro", "build", "drop", "build", "drop", "bridge"]),
+        ([(50, 4, 1, "A"), (90, 5, 1, "B"), (91, 5, 1, "A"), (30, 5, 0, "A"), (30, 5, 0, "C"), (20, 5, 0, "D")], ["verse", "build", "drop", "breakdown", "bridge", "outro"]),
+        ([(50, 2, 1, "A")], ["intro"]),
+        ([(50, 4, 1, "A"), (10, 4, 1, "B")], ["verse", "outro"]),
+    ]
+    rows = [(song, k, n, t, float(d), f) for song, (given, _) in enumerate(cases) for k, (n, t, d, f) in enumerate(given)]
+    got = sections.hints(spark.createDataFrame(rows, "song_id long, section int, note_count int, active_tracks int, density_drums double, form string")).orderBy("song_id", "section").collect()
+    assert [r.hint for r in got] == [h for _, wanted in cases for h in wanted]
+
+
 def test_genres(spark):
     names = genres.taxonomy(spark)
     tags = spark.createDataFrame([(1, "musicbrainz", 0, " Rock "), (1, "discogs", 1, "rock music"), (1, "lastfm", 2, "ROCK"), (2, "discogs", 0, "hip hop"), (2, "discogs", 1, "rap"), (2, "lastfm", 2, "nothing")], "song_id long, source string, place int, tag string")
