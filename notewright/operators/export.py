@@ -6,8 +6,38 @@ from pyspark.sql import functions as F
 
 from notewright.operators.features import TRACK, end_beat
 
-# General MIDI programs offered for each role, in turn.
-PROGRAMS = {"drums": [0], "bass": [33, 32, 34, 38, 39], "chords": [0, 4, 5, 24, 25], "pad": [89, 88, 90, 91], "lead": [80, 81, 73, 56], "arp": [81, 80, 46, 11], "other": [0]}
+# The General MIDI program of each role, and those offered for it in turn.
+PROGRAM = {"drums": 0, "bass": 33, "chords": 4, "pad": 89, "lead": 80, "arp": 81, "other": 0}
+PROGRAMS = {
+    "drums": [0],
+    "bass": [33, 34, 35, 36, 38, 39],
+    "chords": [0, 4, 5, 6, 24, 25, 26, 27],
+    "pad": [48, 49, 50, 51, 89, 90, 91, 92],
+    "lead": [56, 57, 73, 80, 81],
+    "arp": [11, 12, 13, 46, 81],
+    "other": [0, 4, 24, 40, 48],
+}
+
+
+# The 128 instruments of General MIDI, in order.
+INSTRUMENTS = [
+    "Acoustic Grand Piano", "Bright Acoustic Piano", "Electric Grand Piano", "Honky-tonk Piano", "Electric Piano 1", "Electric Piano 2", "Harpsichord", "Clavinet",
+    "Celesta", "Glockenspiel", "Music Box", "Vibraphone", "Marimba", "Xylophone", "Tubular Bells", "Dulcimer",
+    "Drawbar Organ", "Percussive Organ", "Rock Organ", "Church Organ", "Reed Organ", "Accordion", "Harmonica", "Tango Accordion",
+    "Acoustic Guitar (nylon)", "Acoustic Guitar (steel)", "Electric Guitar (jazz)", "Electric Guitar (clean)", "Electric Guitar (muted)", "Overdriven Guitar", "Distortion Guitar", "Guitar Harmonics",
+    "Acoustic Bass", "Electric Bass (finger)", "Electric Bass (pick)", "Fretless Bass", "Slap Bass 1", "Slap Bass 2", "Synth Bass 1", "Synth Bass 2",
+    "Violin", "Viola", "Cello", "Contrabass", "Tremolo Strings", "Pizzicato Strings", "Orchestral Harp", "Timpani",
+    "String Ensemble 1", "String Ensemble 2", "Synth Strings 1", "Synth Strings 2", "Choir Aahs", "Voice Oohs", "Synth Voice", "Orchestra Hit",
+    "Trumpet", "Trombone", "Tuba", "Muted Trumpet", "French Horn", "Brass Section", "Synth Brass 1", "Synth Brass 2",
+    "Soprano Sax", "Alto Sax", "Tenor Sax", "Baritone Sax", "Oboe", "English Horn", "Bassoon", "Clarinet",
+    "Piccolo", "Flute", "Recorder", "Pan Flute", "Blown Bottle", "Shakuhachi", "Whistle", "Ocarina",
+    "Lead 1 (square)", "Lead 2 (sawtooth)", "Lead 3 (calliope)", "Lead 4 (chiff)", "Lead 5 (charang)", "Lead 6 (voice)", "Lead 7 (fifths)", "Lead 8 (bass + lead)",
+    "Pad 1 (new age)", "Pad 2 (warm)", "Pad 3 (polysynth)", "Pad 4 (choir)", "Pad 5 (bowed)", "Pad 6 (metallic)", "Pad 7 (halo)", "Pad 8 (sweep)",
+    "FX 1 (rain)", "FX 2 (soundtrack)", "FX 3 (crystal)", "FX 4 (atmosphere)", "FX 5 (brightness)", "FX 6 (goblins)", "FX 7 (echoes)", "FX 8 (sci-fi)",
+    "Sitar", "Banjo", "Shamisen", "Koto", "Kalimba", "Bagpipe", "Fiddle", "Shanai",
+    "Tinkle Bell", "Agogo", "Steel Drums", "Woodblock", "Taiko Drum", "Melodic Tom", "Synth Drum", "Reverse Cymbal",
+    "Guitar Fret Noise", "Breath Noise", "Seashore", "Bird Tweet", "Telephone Ring", "Helicopter", "Applause", "Gunshot",
+]
 
 
 def extract(notes: DataFrame, start_bar: int, end_bar: int, beats_per_bar: float = 4.0) -> DataFrame:
@@ -60,8 +90,14 @@ def duration_seconds(notes: DataFrame, bpm: float = 120.0) -> DataFrame:
     return notes.groupBy("song_id").agg(((F.max(end_beat()) - F.min("start_beat")) * 60.0 / bpm).alias("seconds"))
 
 
-def program(role: F.Column, variation: int = 0) -> F.Column:
+def program(role: F.Column, variation: int | None = None) -> F.Column:
+    """A role's General MIDI program; with a variation one of those offered for it, in turn. 0 for what is no role."""
     out = F.lit(0)
     for name, choice in PROGRAMS.items():
-        out = F.when(role == name, choice[variation % len(choice)]).otherwise(out)
+        out = F.when(role == name, PROGRAM[name] if variation is None else choice[variation % len(choice)]).otherwise(out)
     return out
+
+
+def instrument_name(program: F.Column) -> F.Column:
+    """The name of a General MIDI program, numbers beyond 0 to 127 as they are."""
+    return F.when((program >= 0) & (program < len(INSTRUMENTS)), F.get(F.array(*map(F.lit, INSTRUMENTS)), program)).otherwise(F.concat(F.lit("Program "), program.cast("string")))

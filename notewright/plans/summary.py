@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from notewright.operators import chords, export, features, keys, meter, patterns, sections
 from notewright.operators.features import TRACK
-from notewright.plans.harmony import bars_of, found_sections
+from notewright.plans.harmony import BARS, BOUNDARIES, DETECTED, FORMS, NAMED, NOVEL, SECTIONS, SMOOTHED, TEMPLATES, WINDOWS, bars_of, found_sections
 from notewright.plans.repeats import CHUNKS, CLUSTERS, PRINTS, STORE, prints, stored
-from notewright.plans.sql import NOTES_A, NOTES_B, query
-from notewright.plans.tracks import METER, all_roles, maps
+from notewright.plans.sql import FEATURES, NOTES_A, NOTES_B, ROLES, query
+from notewright.plans.tracks import CORRELATED, HISTOGRAM, KEYED, METER, NO_DRUMS, PROFILES, all_roles, maps
 from notewright.sources.notes import notes_from_events
 
 QUERIES: dict = {}
@@ -81,7 +81,10 @@ def playback_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*TRACK, "position", "kind", "pitch", "out_channel", (F.floor(F.col("seconds") * 1e6 + 0.5) / 1e6).alias("seconds"))
 
 
-@registered()
+@registered(query(NOTES_A, FEATURES, ROLES, BARS, NOVEL, BOUNDARIES, SECTIONS,
+    "inside AS (SELECT n.* REPLACE (n.song_id * 1000 + c.section AS song_id) FROM notes n JOIN sections c ON c.song_id = n.song_id AND floor(n.start_beat / 4) >= c.start_bar AND floor(n.start_beat / 4) < c.end_bar)",
+    WINDOWS.replace("FROM notes", "FROM inside"), TEMPLATES, DETECTED, SMOOTHED, NAMED, """SELECT song_id // 1000 AS song_id, CAST(song_id % 1000 AS INTEGER) AS section, string_agg(name, ' ' ORDER BY position) AS chord_names
+FROM (SELECT *, lag(name) OVER (PARTITION BY song_id ORDER BY position) AS before FROM named) WHERE before IS NULL OR before <> name GROUP BY song_id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def section_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chord names of each section, from the notes that begin in it."""
     notes = notes_from_events(spark, sf_dir)
@@ -92,7 +95,11 @@ def section_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(*by, F.array_join("names", " ").alias("chord_names"))
 
 
-@registered()
+@registered(query(NOTES_A, FEATURES, ROLES, NO_DRUMS, HISTOGRAM, PROFILES, CORRELATED, KEYED, BARS, NOVEL, BOUNDARIES, SECTIONS, FORMS, """SELECT song_id, notes, tracks, total_bars, roles, coalesce(key, '') AS key, coalesce(form, '') AS form
+FROM (SELECT song_id, count(*) AS notes, count(DISTINCT track_id) AS tracks FROM notes GROUP BY 1) JOIN total USING (song_id)
+    JOIN (SELECT song_id, string_agg(primary_role, ',' ORDER BY primary_role) AS roles FROM roles GROUP BY 1) USING (song_id)
+    LEFT JOIN (SELECT song_id, name AS key FROM keyed) USING (song_id)
+    LEFT JOIN (SELECT song_id, string_agg(form, '' ORDER BY section) AS form FROM labelled GROUP BY 1) USING (song_id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def song_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each song its key, bars, notes, tracks by role, and form."""
     notes = notes_from_events(spark, sf_dir)
@@ -103,4 +110,4 @@ def song_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_of(spark, sf_dir)
     form = sections.forms(sections.sections(bars, sections.boundaries(sections.novelty(bars)))).groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "form"))), lambda x: x["form"]), "").alias("form"))
     out = counts.join(features.song_bars(notes), "song_id").join(by_role, "song_id")
-    return out.join(key, "song_id", "left").join(form, "song_id", "left")
+    return out.join(key, "song_id", "left").join(form, "song_id", "left").fillna("", ["key", "form"])

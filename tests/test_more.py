@@ -38,7 +38,8 @@ def test_export(spark):
     assert ticks[:3] == [(0, 1), (480, 0), (480, 1)]
     assert len(json.loads(export.as_json(n).first().json)) == 4
     assert export.duration_seconds(n).first().seconds == 2.5
-    assert spark.range(1).select(export.program(F.lit("bass"), 6)).first()[0] == 32
+    row = spark.range(1).select(export.program(F.lit("bass"), 4), export.program(F.lit("bass"), 6), export.program(F.lit("chords")), export.program(F.lit("?"), 3), export.instrument_name(F.lit(33)), export.instrument_name(F.lit(200)))
+    assert tuple(row.first()) == (38, 33, 4, 0, "Electric Bass (finger)", "Program 200")
 
 
 def test_bars_under_meters(spark):
