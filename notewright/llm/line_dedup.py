@@ -5,8 +5,9 @@ borders shift with the text. A chunk has at least two lines, unless its text is
 still, as in a run of one line, a chunk ends at every second line. A chunk of two lines or more whose bytes have occurred before (in
 a smaller doc_id, or earlier in the document) is removed; single lines stay.
 
-Hashes of all chunks are grouped first. Only chunks whose hash repeats carry their text through a second grouping, in
-which each is compared, byte by byte, with the first of its hash; chunks of different text under one hash all stay.
+Hashes of all chunks are grouped first. Of hashes that repeat the bytes are compared: the least and the greatest of each, which every task
+finds among its own chunks before they travel, so no chunk is a hot group. Chunks of different text under one hash all stay; of
+equal ones all but the first go.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line; a null doc_id comes before
 all others; rows that repeat a document in id and text are one document and come out alike; other columns stay as they
@@ -18,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.llm.lineage import table
+
 #: Lines in the rolling hash, and lines in a chunk at most.
 WINDOW, LONGEST = 2, 32
 
@@ -65,26 +68,29 @@ def chunks(text: Column) -> Column:
     return let(F.split(text, "\n", -1), cut_up)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, key, text) -> (doc_id, key, gone: positions of chunks to remove), for documents that have some."""
-    whole = docs.where("text is not null").select("doc_id", "key", chunks(F.col("text")).alias("chunks"))
-    # single lines carry no hash: they are not candidates
-    each = F.filter(
-        F.transform("chunks", lambda c, i: let(F.when(F.size(c) > 1, F.array_join(c, "\n")), lambda s: F.struct(i.alias("at"), F.xxhash64(s).alias("h"), F.length(s).alias("chars")))),
-        lambda x: x["chars"].isNotNull(),
-    )
-    marks = whole.select("doc_id", "key", F.explode(each).alias("x")).select("doc_id", "key", "x.at", "x.h", "x.chars")
+def each_chunk(parts: Column) -> Column:
+    """Of chunks of two lines or more: position, hash and length. Single lines are no candidates."""
+    hashed = F.transform(parts, lambda c, i: let(F.when(F.size(c) > 1, F.array_join(c, "\n")), lambda s: F.struct(i.alias("at"), F.xxhash64(s).alias("h"), F.length(s).alias("chars"))))
+    return F.filter(hashed, lambda x: x["chars"].isNotNull())
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, key, text) -> (doc_id, key, at, h, chars, is_first): every chunk whose hash and length repeat."""
+    marks = docs.where("text is not null").select("doc_id", "key", F.explode(each_chunk(chunks(F.col("text")))).alias("x")).select("doc_id", "key", "x.at", "x.h", "x.chars")
     place = F.struct("doc_id", "key", "at")
-    known = marks.groupBy("h", "chars").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "chars", "first")
-    found = marks.join(known, ["h", "chars"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "h", "chars", (place == F.col("first")).alias("is_first"))).alias("marks"))
+    # a table of its own, so that both sides of the join are plain exchanges, which adaptive execution splits where a chunk is everywhere
+    known = table(marks.groupBy("h", "chars").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "chars", "first"), "chunks")
+    return marks.join(known.hint("merge"), ["h", "chars"]).select("doc_id", "key", "at", "h", "chars", (place == F.col("first")).alias("is_first"))
+
+
+def cut_out(text: Column, gone: Column) -> Column:
+    """The lines that are left without the chunks at the positions `gone`. Linear in chunks."""
+
+    def left(c: Column, g: Column) -> Column:
+        begin, end = F.concat(F.array(F.lit(0)), F.transform(g, lambda i: i + 1)), F.concat(g, F.array(F.size(c)))
+        return F.flatten(F.flatten(F.zip_with(begin, end, lambda a, b: F.slice(c, a + 1, b - a))))
 
-    d, f = docs.alias("d"), found.alias("f")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key"))
-    texts = d.join(f, same).select("d.doc_id", "d.key", chunks(F.col("d.text")).alias("chunks"), "marks")
-    carried = texts.select("doc_id", "key", F.explode(F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["h"].alias("h"), m["chars"].alias("chars"), m["is_first"].alias("is_first"), F.array_join(F.get("chunks", m["at"]), "\n").alias("bytes")))).alias("x")).select("doc_id", "key", "x.*")
-    firsts = carried.where("is_first").select(F.col("h").alias("h1"), F.col("chars").alias("chars1"), F.col("bytes").alias("first_bytes")).distinct()
-    gone = carried.where("not is_first").join(firsts, (F.col("h") == F.col("h1")) & (F.col("chars") == F.col("chars1")) & (F.col("bytes") == F.col("first_bytes")))
-    return gone.groupBy("doc_id", "key").agg(F.collect_set("at").alias("gone"))
+    return let(chunks(text), lambda c: left(c, gone))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -93,11 +99,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
     keep = [c for c in docs.columns if c not in added]
     keyed = docs.select(F.struct(*keep).alias("row"), "doc_id", F.xxhash64("text").alias("key"), "text")
-    gone = repeated(keyed.select("doc_id", "key", "text")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "gone")
-    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
-    parts = F.filter(chunks(F.col("text")), lambda c, i: ~F.array_contains("gone", i))
-    out = out.withColumn("left_lines", F.when(F.col("gone").isNotNull(), F.flatten(parts)))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left_lines", "\n"))
+    same = lambda x: F.col("doc_id").eqNullSafe(F.col(f"{x}_id")) & (F.col("key") == F.col(f"{x}_key"))
+    named = lambda df, x, **columns: df.groupBy(F.col("doc_id").alias(f"{x}_id"), F.col("key").alias(f"{x}_key")).agg(*[v.alias(c) for c, v in columns.items()])
+    marks = marked(keyed.select("doc_id", "key", "text"))
+    found = keyed.join(named(marks, "marked", marks=F.collect_set(F.struct("at", "h", "chars", "is_first"))).hint("merge"), same("marked"), "left")
+
+    def carried(text: Column, marks: Column) -> Column:
+        return let(chunks(text), lambda c: F.transform(marks, lambda m: F.struct(m["h"].alias("h"), m["chars"].alias("chars"), F.array_join(F.get(c, m["at"]), "\n").alias("bytes"))))
+
+    # bytes of all chunks of one hash and length: the least and the greatest, so that a chunk that is everywhere is one row from each task
+    bytes_ = found.where("marks is not null").select(F.explode(carried(F.col("text"), F.col("marks"))).alias("x")).select("x.*")
+    apart = table(bytes_.groupBy("h", "chars").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("h", "chars"), "collisions")
+    if not apart.isEmpty():
+        marks = marks.join(apart.hint("merge"), ["h", "chars"], "left_anti")
+        found = keyed.join(named(marks, "marked", marks=F.collect_set(F.struct("at", "h", "chars", "is_first"))).hint("merge"), same("marked"), "left")
+    later = F.filter("marks", lambda m: ~m["is_first"])
+    out = found.withColumn("gone", F.array_sort(F.array_distinct(F.transform(later, lambda m: m["at"]))))
+    out = out.withColumn("lines", F.when(F.size("gone") > 0, cut_out(F.col("text"), F.col("gone"))))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join("lines", "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    kept = F.when(F.col("gone").isNull(), n).otherwise(F.size("left_lines")).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in keep], n.alias(added[0]), (n - kept).alias(added[1]), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[2]))
+    kept = F.when(F.col("lines").isNull(), n).otherwise(F.size("lines")).cast("long")
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in keep], n.alias(added[0]), (n - kept).alias(added[1]), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias(added[2]))
