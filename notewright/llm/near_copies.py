@@ -108,7 +108,8 @@ def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataF
     this has not joined then meet each other, within tasks that give a forest of links. So no group costs a row for each of its pairs.
     """
     keyed = cut(sets.select("row", "n", F.explode("bands").alias("key")))
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    # tables of their own: a join with what is grouped in the same stage could not be split where one key has many rows
+    many = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
     shared = cut(keyed.join(many, "key"))
     central = shared.groupBy("row").agg((-F.sum("many")).alias("rank"))
     lead = cut(shared.join(central, "row").groupBy("key").agg(F.min(F.struct("rank", "row", "n")).alias("lead")))
@@ -125,7 +126,7 @@ def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataF
     of = connected_components(found).select(F.col("node").alias("row"), F.col("component").alias("part"))
     members = cut(shared.select("key", "row", "n").join(of, "row", "left").withColumn("part", F.coalesce("part", "row")))
     # keys whose sets are not all joined yet: their pairs are compared within tasks, in pairs of chunks of bounded size
-    open_ = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.sum("n") / MOST).cast("int").alias("chunks")).where("p <> q").select("key", "chunks")
+    open_ = cut(members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.sum("n") / MOST).cast("int").alias("chunks")).where("p <> q").select("key", "chunks"))
     members = cut(members.join(open_, "key"))
     own = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
     meetings = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("c"), F.greatest(own, j).alias("d")))
