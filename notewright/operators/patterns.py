@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.operators.features import TRACK
@@ -115,8 +116,11 @@ def store(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return patterns, instances
 
 
-def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataFrame | None = None, *, rhythm_hash: str | None = None, pitch_hash: str | None = None, bars: int | None = None, least: int | None = None, most: int | None = None, track: int | None = None, artist: str | None = None, order: str = "occurrences", ascending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Patterns that meet every criterion given; those on songs and tracks by semi-joins, so nothing is counted twice."""
+def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataFrame | None = None, roles: DataFrame | None = None, *, rhythm_hash: str | None = None, pitch_hash: str | None = None, bars: int | None = None, least: int | None = None, most: int | None = None, track: int | None = None, artist: str | None = None, genre: str | None = None, tags: list[str] | None = None, role: str | None = None, order: str = "occurrences", ascending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Patterns that meet every criterion given; those on songs and tracks by semi-joins, so nothing is counted twice.
+
+    songs: (song_id, artist, genres, tags); one tag of those asked is enough. roles: (song_id, track_id, primary_role). Criteria on songs
+    and tracks must hold for one and the same instance."""
     out = patterns
     for column, value in (("rhythm_hash", rhythm_hash), ("pitch_hash", pitch_hash), ("num_bars", bars)):
         if value is not None:
@@ -125,19 +129,45 @@ def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataF
         out = out.where(F.col("occurrences") >= least)
     if most is not None:
         out = out.where(F.col("occurrences") <= most)
+    placed = instances
     if track is not None:
-        out = out.join(instances.where(F.col("track_id") == track), "pattern_id", "left_semi")
+        placed = placed.where(F.col("track_id") == track)
     if artist is not None:
-        out = out.join(instances.join(songs.where(F.col("artist").ilike(f"%{artist}%")), "song_id", "left_semi"), "pattern_id", "left_semi")
+        placed = placed.join(songs.where(F.col("artist").ilike(f"%{artist}%")), "song_id", "left_semi")
+    if genre is not None:
+        placed = placed.join(songs.where(F.exists("genres", lambda g: g.ilike(f"%{genre}%"))), "song_id", "left_semi")
+    if tags:
+        placed = placed.join(songs.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))), "song_id", "left_semi")
+    if role is not None:
+        placed = placed.join(roles.where(F.col("primary_role") == role), TRACK, "left_semi")
+    if placed is not instances:
+        out = out.join(placed, "pattern_id", "left_semi")
     if limit is not None:
         out = out.orderBy(F.col(order).asc() if ascending else F.col(order).desc(), "pattern_id", "num_bars").offset(offset).limit(limit)
     return out
 
 
-def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5, rows: int | None = None) -> DataFrame:
-    """(target, pattern_id, similarity): patterns of the length of a target row, by the mean of their onsets' Jaccard index and
+def page(found: DataFrame, offset: int = 0, limit: int = 50) -> tuple[DataFrame, int, bool]:
+    """(a page of what `search` found, the number of all, whether there are more)."""
+    total = found.count()
+    rows = found.orderBy(F.col("occurrences").desc(), "pattern_id", "num_bars").offset(offset).limit(limit)
+    return rows, total, offset + limit < total
+
+
+def described(found: DataFrame, instances: DataFrame, songs: DataFrame, most: int = 10) -> DataFrame:
+    """found with the first `most` songs it stands in, by id, and their artists and genres."""
+    of = instances.join(found.select("pattern_id").distinct(), "pattern_id", "left_semi").select("pattern_id", "song_id").distinct()
+    place = F.row_number().over(W.partitionBy("pattern_id").orderBy("song_id"))
+    first = of.withColumn("_n", place).where(F.col("_n") <= most).join(songs.select("song_id", "artist", "genres"), "song_id", "left")
+    listed = first.groupBy("pattern_id").agg(F.array_sort(F.collect_set("song_id")).alias("song_ids"), F.array_sort(F.collect_set(F.nullif("artist", F.lit("")))).alias("artists"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("genres", F.array()))))).alias("genres"))
+    return found.join(listed, "pattern_id", "left")
+
+
+def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5, rows: int | None = None, same_length: bool = False) -> DataFrame:
+    """(target, pattern_id, similarity): patterns of any length, or of the target's, by the mean of their onsets' Jaccard index and
     their pitch classes' cosine; two empty vectors are alike. Targets are a stated set, of at most `rows` rows if that is given."""
     t = target.select(F.col("pattern_id").alias("target"), F.col("num_bars").alias("_bars"), F.col("onset_grid").alias("_g"), F.col("pitch_classes").alias("_p"))
     score = (rhythm_similarity(F.col("onset_grid"), F.col("_g")) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
-    met = against(patterns, t, (F.col("num_bars") == F.col("_bars")) & (F.col("pattern_id") != F.col("target")), rows)
+    other = F.col("pattern_id") != F.col("target")
+    met = against(patterns, t, other & (F.col("num_bars") == F.col("_bars")) if same_length else other, rows)
     return met.withColumn("similarity", score).where(F.col("similarity") >= least).select("target", "pattern_id", "num_bars", "similarity")

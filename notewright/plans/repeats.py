@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.operators import chunks, patterns
+from notewright.operators import chunks, features, patterns, roles
 from notewright.operators.features import TRACK
 from notewright.plans.harmony import text
-from notewright.plans.sql import NOTES_B, query
+from notewright.plans.sql import FEATURES, NOTES_B, ROLES, query
 from notewright.plans.tracks import r6, rounded
 from notewright.sources.notes import notes_from_orders
 
@@ -155,12 +155,43 @@ def pattern_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(most), "rhythm_hash", "left_semi").select(*SHOWN)
 
 
-@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""SELECT {LIST} FROM patterns WHERE pattern_id IN (
-    SELECT pattern_id FROM prints WHERE note_count > 0 AND song_id IN (SELECT song_id FROM (SELECT c_custkey // 10 AS song_id, arg_min(c_name, c_custkey) AS artist FROM customer GROUP BY 1) WHERE artist ILIKE '%1%'))"""))
+SONGS = """songs AS (SELECT song_id, c_name AS artist, c_mktsegment AS segment FROM (SELECT *, c_custkey // 10 AS song_id FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) = 1)),
+places AS (SELECT DISTINCT p.pattern_id, p.song_id, s.artist, s.segment FROM prints p LEFT JOIN songs s USING (song_id) WHERE note_count > 0)"""
+
+
+def song_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(song_id, artist, genres, tags): of ten customers the first one's name, segment and nation."""
+    first = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.expr("c_custkey div 10").alias("song_id")).agg(F.min_by(F.struct("c_name", "c_mktsegment", "c_nationkey"), "c_custkey").alias("c"))
+    return first.select("song_id", F.col("c.c_name").alias("artist"), F.array(F.lower("c.c_mktsegment")).alias("genres"), F.array(F.concat(F.lit("nation "), F.col("c.c_nationkey").cast("string"))).alias("tags"))
+
+
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, SONGS, f"SELECT {LIST} FROM patterns WHERE pattern_id IN (SELECT pattern_id FROM places WHERE artist ILIKE '%1%')"))
 def pattern_search_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, instances = stored(spark, sf_dir)
-    songs = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.expr("c_custkey div 10").alias("song_id")).agg(F.min_by("c_name", "c_custkey").alias("artist"))
-    return patterns.search(found, instances, songs, artist="1").select(*SHOWN)
+    return patterns.search(found, instances, song_rows(spark, sf_dir), artist="1").select(*SHOWN)
+
+
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, SONGS, f"SELECT {LIST} FROM patterns WHERE pattern_id IN (SELECT pattern_id FROM places WHERE segment ILIKE '%build%')"))
+def pattern_search_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, instances = stored(spark, sf_dir)
+    return patterns.search(found, instances, song_rows(spark, sf_dir), genre="build").select(*SHOWN)
+
+
+@registered(query(NOTES_B, FEATURES, ROLES, CHUNKS, PRINTS, STORE, f"SELECT {LIST} FROM patterns WHERE pattern_id IN (SELECT pattern_id FROM prints JOIN roles USING (song_id, track_id) WHERE prints.note_count > 0 AND primary_role = 'bass') AND occurrences >= 2"))
+def pattern_search_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, instances = stored(spark, sf_dir)
+    likely = roles.role_probabilities(features.track_features(notes_from_orders(spark, sf_dir)))
+    return patterns.search(found, instances, roles=likely, role="bass", least=2).select(*SHOWN)
+
+
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, SONGS, """listed AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY song_id) AS place FROM places)""",
+    """SELECT pattern_id, num_bars, occurrences, string_agg(CAST(l.song_id AS VARCHAR), ',' ORDER BY l.song_id) AS song_ids, coalesce(string_agg(DISTINCT l.artist, ',' ORDER BY l.artist), '') AS artists, coalesce(string_agg(DISTINCT lower(l.segment), ',' ORDER BY lower(l.segment)), '') AS genres
+FROM (SELECT * FROM patterns ORDER BY occurrences DESC, pattern_id, num_bars LIMIT 20) p JOIN listed l USING (pattern_id) WHERE place <= 10 GROUP BY 1, 2, 3"""))
+def pattern_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most common patterns with their first ten songs, and those songs' artists and genres."""
+    found, instances = stored(spark, sf_dir)
+    rows = patterns.described(patterns.search(found, limit=20), instances, song_rows(spark, sf_dir))
+    return rows.select("pattern_id", "num_bars", "occurrences", text("song_ids"), F.array_join("artists", ",").alias("artists"), F.array_join("genres", ",").alias("genres"))
 
 
 @registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"SELECT {LIST} FROM patterns ORDER BY occurrences DESC, pattern_id, num_bars LIMIT 50 OFFSET 50"))
@@ -178,11 +209,13 @@ def pattern_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir)[1]
 
 
-@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""targets AS (SELECT pattern_id AS target, num_bars, onset_grid AS g, pitch_classes AS pc FROM patterns WHERE num_bars = 1 ORDER BY occurrences DESC, pattern_id LIMIT 10)""",
-    f"""SELECT target, pattern_id, num_bars, {r6("similarity", "similarity")} FROM (
-    SELECT target, p.pattern_id, num_bars, (len(list_filter(range(1, 17), lambda k: p.onset_grid[k] = 1 AND g[k] = 1)) / CAST(len(list_filter(range(1, 17), lambda k: p.onset_grid[k] = 1 OR g[k] = 1)) AS DOUBLE)
-        + list_sum(list_transform(list_zip(p.pitch_classes, pc), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(p.pitch_classes, lambda x: x * x))) * sqrt(list_sum(list_transform(pc, lambda x: x * x))))) / 2 AS similarity
-    FROM patterns p JOIN targets USING (num_bars) WHERE p.pattern_id <> target) WHERE similarity >= 0.5"""))
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""targets AS (SELECT pattern_id AS target, onset_grid AS g, pitch_classes AS tc FROM patterns WHERE num_bars = 1 ORDER BY occurrences DESC, pattern_id LIMIT 10),
+rated AS (
+    SELECT target, p.pattern_id, num_bars, len(list_filter(range(1, least(len(onset_grid), len(g)) + 1), lambda k: onset_grid[k] = 1 AND g[k] = 1)) AS both_on,
+        len(list_filter(range(1, greatest(len(onset_grid), len(g)) + 1), lambda k: coalesce(onset_grid[k], 0) = 1 OR coalesce(g[k], 0) = 1)) AS either_on,
+        list_sum(list_transform(list_zip(pitch_classes, tc), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(pitch_classes, lambda x: x * x))) * sqrt(list_sum(list_transform(tc, lambda x: x * x)))) AS pitch
+    FROM patterns p JOIN targets ON p.pattern_id <> target
+)""", f"""SELECT target, pattern_id, num_bars, {r6("(both_on / CAST(either_on AS DOUBLE) + pitch) / 2", "similarity")} FROM rated WHERE (both_on / CAST(either_on AS DOUBLE) + pitch) / 2 >= 0.5"""))
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(spark, sf_dir)[0]
     targets = patterns.search(found, bars=1, limit=10)

@@ -54,11 +54,56 @@ class Client:
         return None
 
 
+NAMED = "struct<name:string,count:int>"
+
+
+def _credit(c: str) -> F.Column:
+    """The first credited artist's name."""
+    return F.get(F.col(f"{c}.artist-credit"), F.lit(0))["artist"]["name"]
+
+
+def _tags(c: str) -> F.Column:
+    return F.coalesce(F.transform(F.col(f"{c}.tags"), lambda t: t["name"]), F.array().cast("array<string>"))
+
+
 def recordings(answers: DataFrame) -> DataFrame:
-    """answers (key, body) -> (key, title, artist, tags): nested JSON as columns, the first credit only."""
-    schema = "struct<recordings:array<struct<title:string,`artist-credit`:array<struct<artist:struct<name:string>>>,tags:array<struct<name:string,count:int>>>>>"
-    rows = answers.select("key", F.explode(F.from_json("body", schema)["recordings"]).alias("r"))
-    return rows.select("key", F.col("r.title").alias("title"), F.get(F.col("r.artist-credit"), F.lit(0))["artist"]["name"].alias("artist"), F.transform("r.tags", lambda t: t["name"]).alias("tags"))
+    """answers (key, body) -> (key, place, id, title, artist, tags): nested JSON as columns, the first credit only."""
+    schema = f"struct<recordings:array<struct<id:string,title:string,`artist-credit`:array<struct<artist:struct<name:string>>>,tags:array<{NAMED}>>>>"
+    rows = answers.select("key", F.posexplode(F.from_json("body", schema)["recordings"]).alias("place", "r"))
+    return rows.select("key", "place", F.col("r.id").alias("id"), F.col("r.title").alias("title"), _credit("r").alias("artist"), _tags("r").alias("tags"))
+
+
+def artists(answers: DataFrame) -> DataFrame:
+    """answers (key, body) -> (key, place, id, name, sort_name, country, type, tags)."""
+    schema = f"struct<artists:array<struct<id:string,name:string,`sort-name`:string,country:string,type:string,tags:array<{NAMED}>>>>"
+    rows = answers.select("key", F.posexplode(F.from_json("body", schema)["artists"]).alias("place", "r"))
+    return rows.select("key", "place", F.col("r.id").alias("id"), F.col("r.name").alias("name"), F.col("r.sort-name").alias("sort_name"), F.col("r.country").alias("country"), F.col("r.type").alias("type"), _tags("r").alias("tags"))
+
+
+def releases(answers: DataFrame) -> DataFrame:
+    """answers (key, body) -> (key, place, id, title, artist, date, country, label, tags): the first credit and the first label only."""
+    schema = f"struct<releases:array<struct<id:string,title:string,date:string,country:string,`artist-credit`:array<struct<artist:struct<name:string>>>,`label-info`:array<struct<label:struct<name:string>>>,tags:array<{NAMED}>>>>"
+    rows = answers.select("key", F.posexplode(F.from_json("body", schema)["releases"]).alias("place", "r"))
+    label = F.get(F.col("r.label-info"), F.lit(0))["label"]["name"]
+    return rows.select("key", "place", F.col("r.id").alias("id"), F.col("r.title").alias("title"), _credit("r").alias("artist"), F.col("r.date").alias("date"), F.col("r.country").alias("country"), label.alias("label"), _tags("r").alias("tags"))
+
+
+def genre_tags(*parsed: DataFrame) -> DataFrame:
+    """(key, tags): the sorted union of the tags of recordings, releases or artists."""
+    every = None
+    for p in parsed:
+        rows = p.select("key", F.explode("tags").alias("tag"))
+        every = rows if every is None else every.union(rows)
+    return every.groupBy("key").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+def lookup(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """questions (key, title, artist, ...) with the first recording that their answer (key, body) has, its tags, and how sure the match is;
+    without an answer they stay, with a confidence of zero."""
+    best = recordings(answers).where("place = 0").select("key", F.col("id").alias("found_id"), F.col("title").alias("found_title"), F.col("artist").alias("found_artist"), "tags")
+    out = questions.join(best, "key", "left")
+    sure = match_confidence(F.col("title"), F.col("artist"), F.col("found_title"), F.col("found_artist"))
+    return out.withColumn("confidence", F.when(F.col("found_title").isNull(), 0.0).otherwise(sure))
 
 
 def match_confidence(asked_title: F.Column, asked_artist: F.Column, title: F.Column, artist: F.Column) -> F.Column:

@@ -95,6 +95,17 @@ def test_nested_answers(spark):
     assert (r.title, r.artist, list(r.tags)) == ("T", "A", ["rock"])
 
 
+def test_questions_meet_their_answers(spark):
+    body = '{"recordings": [{"id": "1", "title": "My Song (live)", "artist-credit": [{"artist": {"name": "The Band"}}], "tags": [{"name": "rock"}, {"name": "live"}]}, {"id": "2", "title": "Other"}], "releases": [{"id": "9", "title": "R", "label-info": [{"label": {"name": "L"}}], "tags": [{"name": "pop"}, {"name": "rock"}]}], "artists": [{"id": "7", "name": "The Band", "sort-name": "Band, The", "country": "CA"}]}'
+    answers = spark.createDataFrame([("k", body)], "key string, body string")
+    questions = spark.createDataFrame([("k", "my song", "the band"), ("none", "x", "y")], "key string, title string, artist string")
+    got = {r.key: r for r in cache.lookup(questions, answers).collect()}
+    assert (got["k"].found_id, got["k"].confidence, list(got["k"].tags)) == ("1", 0.9, ["rock", "live"])
+    assert (got["none"].found_id, got["none"].confidence) == (None, 0.0)
+    assert list(cache.genre_tags(cache.recordings(answers), cache.releases(answers)).first().tags) == ["live", "pop", "rock"]
+    assert cache.releases(answers).first().label == "L" and cache.artists(answers).first().sort_name == "Band, The"
+
+
 @pytest.mark.parametrize("data", [b"MThd", b"MThd\x00\x00\x00\x06\x00\x00\x00\x01\x80\x00"])
 def test_decoder_refuses(data):
     with pytest.raises((ValueError, struct.error)):
