@@ -211,3 +211,27 @@ def suggest(names: DataFrame, words: DataFrame, limit: int = 10) -> DataFrame:
 
 def in_category(names: DataFrame, category: str) -> DataFrame:
     return names.where(F.col("category") == category).select("canonical").distinct()
+
+
+# Words that a genre's name has in it, the length below which any tag counts as one, and how many genres and tags are shown.
+GENRE_WORDS = [
+    "rock", "pop", "jazz", "electronic", "classical", "metal", "hip hop", "r&b", "country", "folk", "blues", "soul", "funk",
+    "reggae", "punk", "indie", "alternative", "dance", "house", "techno", "trance", "ambient", "soundtrack", "world",
+]
+SHORT, GENRES_SHOWN, TAGS_SHOWN = 15, 15, 20
+
+
+def ranked_tags(tags: DataFrame, by: list[str]) -> DataFrame:
+    """tags (by, tag, count, place) -> (by, genres, tags): the most counted tags first, each with the largest of its counts, then in order of
+    appearance; the first TAGS_SHOWN of all, and the first GENRES_SHOWN of those that look like genres."""
+    most = tags.where("tag <> ''").groupBy(*by, "tag").agg(F.max("count").alias("count"), F.min("place").alias("place"))
+    low = F.lower("tag")
+    like = F.length("tag") < SHORT
+    for word in GENRE_WORDS:
+        like = like | F.contains(low, F.lit(word))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.col("count").desc(), "place", "tag"))
+    ranked = most.withColumns({"rank": rank, "like": like})
+    nth = F.sum(F.col("like").cast("int")).over(W.partitionBy(*by).orderBy("rank"))
+    kept = ranked.withColumn("nth", nth).where((F.col("rank") <= TAGS_SHOWN) | (F.col("like") & (F.col("nth") <= GENRES_SHOWN)))
+    listed = lambda holds: F.transform(F.array_sort(F.collect_list(F.when(holds, F.struct("rank", "tag")))), lambda x: x["tag"])
+    return kept.groupBy(*by).agg(listed(F.col("like") & (F.col("nth") <= GENRES_SHOWN)).alias("genres"), listed(F.col("rank") <= TAGS_SHOWN).alias("tags"))

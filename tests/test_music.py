@@ -178,6 +178,14 @@ def test_genres(spark):
     assert sorted(r[0] for r in genres.in_category(names, "soul").collect()) == ["motown", "northern soul", "soul"]
 
 
+def test_tags_by_count(spark):
+    given = [("rock", 3), ("a very long descriptive tag", 9), ("short", 3), ("rock", 5), ("progressive rock of the seventies", 1)] + [(f"tag number {k:02d} of very many", 0) for k in range(30)]
+    rows = spark.createDataFrame([(1, t, c, k) for k, (t, c) in enumerate(given)], "song_id long, tag string, count int, place int")
+    got = genres.ranked_tags(rows, ["song_id"]).first()
+    assert got.genres == ["rock", "short", "progressive rock of the seventies"]
+    assert got.tags[:4] == ["a very long descriptive tag", "rock", "short", "progressive rock of the seventies"] and len(got.tags) == 20
+
+
 def test_genre_spellings(spark):
     known = {
         "\tjazz\n": "jazz", "hiphop": "hip-hop", "Hip Hop": "hip-hop", "rock music": "rock", "jazz genre": "jazz", "electronica": "electronic", "edm": "edm", "electropop": "electro-pop",

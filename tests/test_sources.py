@@ -5,6 +5,7 @@ import struct
 import pytest
 
 from notewright.schema import NOTES
+from notewright import analysis
 from notewright.sources import cache, smf
 from notewright.streaming import ingest
 
@@ -67,6 +68,24 @@ def test_ingest_reads_new_files_only(spark, tmp_path):
     assert spark.read.parquet(target).count() == 2 * once
 
 
+def test_one_call_from_files_to_the_analysis(spark, tmp_path):
+    def events(pitches, channel):
+        return sorted([(480 * k, 1, channel, p, 90) for k, p in enumerate(pitches)] + [(480 * k + 240, 0, channel, p, 0) for k, p in enumerate(pitches)])
+
+    folder = tmp_path / "Q" / "Queen"
+    folder.mkdir(parents=True)
+    (folder / "my_song.mid").write_bytes(smf.encode([("Song Title", events([60, 64, 67, 72] * 12, 0)), ("Drums", events([36, 38] * 24, 9))], bpm=90))
+    (tmp_path / "broken.mid").write_bytes(b"MThd")
+    a = analysis.analyze(spark, str(tmp_path))
+    song = a.songs.first()
+    assert (song.artist, song.title, song.source, song.total_bars) == ("Queen", "My Song", "folder_structure", 12)
+    assert a.notes.count() == 96 and a.errors.count() == 1
+    assert a.keys.first().root is not None and a.roles.where("primary_role = 'drums'").count() == 1
+    assert a.chords.count() > 0 and a.bars.count() == 12 and a.swing.count() >= 1
+    assert a.clusters.where("occurrences > 1").count() > 0 and a.instances.count() >= a.patterns.count() > 0
+    assert a.arpeggios.count() > 0 and a.sections.columns[0] == "song_id" and a.features.count() == 2 and a.tracks.count() == 2
+
+
 def test_cache_forgets(spark):
     day = 86400.0
     rows = spark.createDataFrame([("a", "search", "{}", 0.0), ("b", "musicbrainz", "{}", 0.0)], "key string, source string, body string, stored double")
