@@ -375,6 +375,26 @@ def test_pieces_are_the_tokenizers_ids(spark):
         assert at <= 2048
 
 
+def test_both_tokenizers_agree_on_odd_text_and_on_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder()
+    r = random.Random(12)
+    pools = ["abcXYZ'", "0123456789", " \t\n\r\u00a0\u2003\u2028\u3000", "éüßøÅñ", "\u0301\u0308\u200d\u200b\ufeff", "中文字日本語한국어", "😀👩🏽🇩🇪\ufe0f", "ЖдиДня", "اللغةʼ", ".,;:!?-_()[]{}'\"…—", "\x00\x1f\x7f\x85", "ⅣⅫ①²½"]
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    texts += ["I'm you'll it's WE'RE don'T 's 't", "  two  spaces  \n\n\n x", "<|endoftext|> <|pad|>", "a" * 3000, "\n" * 500]
+    texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if x.text is not None]
+    for t in texts:
+        assert np.array(fast(t)).tolist() == slow.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_padding_is_little(spark):
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    used = got.groupby("sequence_id").length.sum()
+    assert used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.97
+
+
 def test_millions_of_spaces_go_to_the_other_tokenizer():
     encode = packing.Encoder()
     assert len(encode(" " * 2_000_000)) > 0 and encode.slow is not None
@@ -456,6 +476,11 @@ def test_classifier_without_labels_says_half(spark):
     assert [x.score for x in quality.classify(docs(spark, [(1, "a")]), labels).collect()] == [0.5]
 
 
+def test_classifier_on_an_empty_table(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, label int")
+    assert quality.classify(docs(spark, []), labels).collect() == []
+
+
 def test_linear_time_sum_equals_all_pairs():
     draw = np.random.default_rng(0)
     model = quality.Machine(np.zeros((0, 1)), 0.3, draw.normal(size=9), draw.normal(size=(9, quality.RANK)))
