@@ -30,7 +30,7 @@ from notewright.llm.lineage import cut
 from notewright.llm.vectors import block, matrix, one_each, sound
 
 #: Rows in a leaf of candidates and of queries, rows that make a ball worth a leaf of its own, how much smaller a child's ball is.
-LEAF, QUERY_LEAF, WORTH, SHRINK = 64, 32, 16, 0.7
+LEAF, QUERY_LEAF, WORTH, SHRINK = 128, 64, 16, 0.7
 #: Rows in a candidate block, in a query tree, and query trees in a group.
 CANDIDATES, QUERIES, GROUP = 8192, 512, 16
 #: Candidates in the sample, and cells of the top of the tree, at most, about.
