@@ -116,25 +116,18 @@ def chord_name(root: Column, quality: Column, bass: Column) -> Column:
 
 
 def smooth(chords: DataFrame, by: list[str], least: float = 1.0) -> DataFrame:
-    """Chords of (by) joined where neighbours agree in root and quality; one that stays below `least` beats and isn't the first
-    falls to the one before it. A left-to-right fold over each song's chords in order."""
-    fields = ["start_beat", "end_beat", "root", "quality", "bass", "confidence"]
-    listed = chords.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("window", *fields))).alias("c"))
-    empty = F.filter(F.transform("c", lambda x: F.struct(*[x[f].alias(f) for f in fields])), lambda x: F.lit(False))
-
-    def with_end(x: Column, end: Column) -> Column:
-        return F.struct(*[(end if f == "end_beat" else x[f]).alias(f) for f in fields])
-
-    def step(done: Column, x: Column) -> Column:
-        new = F.struct(*[x[f].alias(f) for f in fields])
-        n = F.size(done)
-        last, head = F.get(done, n - 1), F.slice(done, 1, F.greatest(n - 1, F.lit(0)))
-        same = (last["root"] == new["root"]) & (last["quality"] == new["quality"])
-        short = (last["end_beat"] - last["start_beat"] < least) & (n > 1)
-        before, rest = F.get(done, n - 2), F.slice(done, 1, F.greatest(n - 2, F.lit(0)))
-        return F.when(n == 0, F.array(new)).when(same, F.concat(head, F.array(with_end(last, new["end_beat"])))).when(short, F.concat(rest, F.array(with_end(before, last["end_beat"])), F.array(new))).otherwise(F.concat(done, F.array(new)))
-
-    return listed.select(*by, F.posexplode(F.aggregate("c", empty, step)).alias("position", "x")).select(*by, "position", "x.*")
+    """Chords of (by) joined where neighbours agree in root and quality. One that stays below `least` beats, and is neither the first nor the
+    last, falls to the one before it. (by, position, start_beat, end_beat, root, quality, bass, confidence), the first window's where joined."""
+    w = W.partitionBy(*by).orderBy("window")
+    new = F.coalesce((F.col("root") != F.lag("root").over(w)) | (F.col("quality") != F.lag("quality").over(w)), F.lit(True))
+    numbered = chords.withColumn("run", F.sum(new.cast("int")).over(w))
+    first = F.struct("start_beat", "root", "quality", "bass", "confidence")
+    runs = numbered.groupBy(*by, "run").agg(F.min_by(first, "window").alias("x"), F.max_by("end_beat", "window").alias("end_beat"))
+    along = W.partitionBy(*by).orderBy("run")
+    stays = (F.col("run") == 1) | F.lead("run").over(along).isNull() | (F.col("end_beat") - F.col("x.start_beat") >= least)
+    held = runs.withColumn("stays", stays).withColumn("position", F.sum(F.col("stays").cast("int")).over(along).cast("int") - 1)
+    out = held.groupBy(*by, "position").agg(F.min_by("x", "run").alias("x"), F.max_by("end_beat", "run").alias("end_beat"))
+    return out.select(*by, "position", "x.start_beat", "end_beat", "x.root", "x.quality", "x.bass", "x.confidence")
 
 
 def roman_numeral(root: Column, quality: Column, key_root: Column, mode: Column) -> Column:

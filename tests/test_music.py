@@ -1,5 +1,7 @@
 """Operators on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,33 @@ def test_match_chord(spark, pcs, root, quality):
     assert (c.root, c.quality) == (root, quality)
 
 
+def test_smoothing_equals_a_plain_fold(spark):
+    r = random.Random(3)
+    songs = []
+    for song in range(12):
+        at, rows = 0.0, []
+        for k in range(r.choice([1, 2, 5, 30])):
+            end = at + r.choice([0.25, 0.5, 1.0, 1.5])
+            rows.append((song, k, at, end, r.randrange(3), r.choice(["major", "minor"]), r.choice([None, 4]), 0.1 * k))
+            at = end
+        songs.append(rows)
+    want = []
+    for rows in songs:
+        done = []
+        for _, _, start, end, *rest in rows:
+            if done and done[-1][2:4] == rest[:2]:
+                done[-1][1] = end
+                continue
+            if len(done) > 1 and done[-1][1] - done[-1][0] < 1.0:
+                last = done.pop()
+                done[-1][1] = last[1]
+            done.append([start, end, *rest])
+        want += [(rows[0][0], k, *x) for k, x in enumerate(done)]
+    frame = spark.createDataFrame([x for rows in songs for x in rows], "song_id long, window long, start_beat double, end_beat double, root int, quality string, bass int, confidence double")
+    got = chords.smooth(frame, ["song_id"]).orderBy("song_id", "position").collect()
+    assert [tuple(x) for x in got] == want
+
+
 def test_window_weight_is_the_overlap(spark):
     got = chords.windows(notes(spark, [(60, 90, 0, 4)]), ["song_id"], width=1.0).where("window = 1").first()
     assert (got.weight, got.pc) == (1.0, 0)
