@@ -114,7 +114,27 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.select(*GROUP, "pattern_a", "pattern_b", "rhythm", "pitch", F.coalesce("transposition", F.lit(-99)).alias("transposition")), "rhythm", "pitch")
 
 
-@registered()
+MERGED = """
+near AS (
+    SELECT song_id, track_id, chunk_size, pattern_a, pattern_b FROM rated
+    WHERE (rhythm + (CASE WHEN sa = 0 OR sb = 0 THEN 0 ELSE dot / (sqrt(sa) * sqrt(sb)) END + contour) / 2) / 2 >= 0.85
+), ways AS (SELECT song_id, track_id, chunk_size, pattern_a AS p, pattern_b AS q FROM near UNION ALL SELECT song_id, track_id, chunk_size, pattern_b, pattern_a FROM near),
+lined AS (SELECT *, row_number() OVER (PARTITION BY song_id, track_id, chunk_size ORDER BY first_bar) AS k FROM clusters),
+later AS (
+    SELECT a.song_id, a.track_id, a.chunk_size, a.k, a.pattern_id AS p, coalesce(list(b.pattern_id ORDER BY b.k) FILTER (b.k > a.k), []) AS near
+    FROM lined a LEFT JOIN ways w ON w.song_id = a.song_id AND w.track_id = a.track_id AND w.chunk_size = a.chunk_size AND w.p = a.pattern_id
+    LEFT JOIN lined b ON b.song_id = a.song_id AND b.track_id = a.track_id AND b.chunk_size = a.chunk_size AND b.pattern_id = w.q GROUP BY 1, 2, 3, 4, 5
+), taken(song_id, track_id, chunk_size, k, gone, own) AS (
+    SELECT song_id, track_id, chunk_size, k, [p] || near, [p] || near FROM later WHERE k = 1
+    UNION ALL
+    SELECT t.song_id, t.track_id, t.chunk_size, l.k, CASE WHEN list_contains(gone, l.p) THEN gone ELSE gone || [l.p] || list_filter(l.near, lambda x: NOT list_contains(gone, x)) END,
+        CASE WHEN list_contains(gone, l.p) THEN [] ELSE [l.p] || list_filter(l.near, lambda x: NOT list_contains(gone, x)) END
+    FROM taken t JOIN later l ON l.song_id = t.song_id AND l.track_id = t.track_id AND l.chunk_size = t.chunk_size AND l.k = t.k + 1
+), members AS (SELECT song_id, track_id, chunk_size, own[1] AS leader, unnest(own) AS pattern_id, unnest(range(len(own))) AS place FROM taken WHERE len(own) > 0)"""
+
+
+@registered(query(NOTES_B, CHUNKS, PRINTS, CLUSTERS, PAIRS, MERGED, """SELECT song_id, track_id, chunk_size, leader, arg_max(pattern_id, occurrences * 100000 - place) AS canonical, count(*) AS merged, CAST(sum(occurrences) AS BIGINT) AS occurrences, 1e0 / count(*) AS confidence
+FROM members JOIN clusters USING (song_id, track_id, chunk_size, pattern_id) GROUP BY 1, 2, 3, 4""").replace("WITH ", "WITH RECURSIVE ", 1))
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prints(spark, sf_dir)
     return patterns.merge_similar(patterns.exact_clusters(found), patterns.similar_pairs(found))
