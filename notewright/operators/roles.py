@@ -39,21 +39,23 @@ def scores() -> dict[str, Column]:
 
 
 def role_probabilities(features: DataFrame) -> DataFrame:
-    """(song_id, track_id, one column a role, primary_role). Without a score to speak of a track is `other`."""
+    """(song_id, track_id, one column a role, primary_role: the largest, the first of equals). Without a score to speak of a track is `other`.
+
+    The scores stand in one array, so that what builds on them mentions them once, however plans are put together."""
     raw = scores()
-    scored = features.withColumns({f"_{r}": s for r, s in raw.items()})
-    total = sum((F.col(f"_{r}") for r in raw), F.lit(0.0))
-    scored = scored.withColumn("_total", total)
-    none = F.col("_total") < 0.1
-    probs = {r: F.when(none, 0.0).otherwise(F.col(f"_{r}") / F.col("_total")) for r in raw} | {"other": F.when(none, 1.0).otherwise(0.0)}
-    out = scored.select("song_id", "track_id", *[p.alias(r) for r, p in probs.items()])
-    return out.withColumn("primary_role", primary(*ROLES))
-
-
-def primary(*roles: str) -> Column:
-    """The role with the largest column, the first of equals."""
-    most = F.greatest(*roles)
-    out = F.lit(roles[-1])
-    for r in reversed(roles[:-1]):
-        out = F.when(F.col(r) == most, F.lit(r)).otherwise(out)
-    return out
+    names = [r for r in ROLES if r in raw]
+
+    def shares(s: Column, total: Column) -> Column:
+        none = total < 0.1
+        return F.concat(F.transform(s, lambda x: F.when(none, 0.0).otherwise(x / total)), F.array(F.when(none, 1.0).otherwise(0.0)))
+
+    def named(p: Column) -> Column:
+        first = F.array_position(p, F.array_max(p)).cast("int") - 1
+        return F.struct(*[p[k].alias(r) for k, r in enumerate([*names, "other"])], F.get(F.array(*map(F.lit, [*names, "other"])), first).alias("primary_role"))
+
+    def told(s: Column) -> Column:
+        sums = F.array(F.aggregate(s, F.lit(0.0), lambda a, x: a + x))
+        return F.transform(F.transform(sums, lambda total: shares(s, total)), named)[0]
+
+    out = features.select("song_id", "track_id", F.transform(F.array(F.array(*[raw[r] for r in names])), told)[0].alias("_r"))
+    return out.select("song_id", "track_id", *[F.col(f"_r.{r}").alias(r) for r in ROLES], "_r.primary_role")
