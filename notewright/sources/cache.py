@@ -17,17 +17,22 @@ def key(source: str, question: dict) -> str:
     return hashlib.sha256(f"{source}:{json.dumps(question, sort_keys=True)}".encode()).hexdigest()
 
 
-def fresh(cache: DataFrame, now: float) -> DataFrame:
-    """Rows (key, source, body, stored) that have not expired."""
+def is_fresh(now: float) -> F.Column:
     days = F.lit(7)
     for source, n in DAYS.items():
         days = F.when(F.col("source") == source, n).otherwise(days)
-    return cache.where(F.col("stored") + days * 86400 > now)
+    return F.col("stored") + days * 86400 > now
+
+
+def fresh(cache: DataFrame, now: float) -> DataFrame:
+    """Rows (key, source, body, stored) that have not expired."""
+    return cache.where(is_fresh(now))
 
 
 def stats(cache: DataFrame, now: float) -> DataFrame:
-    live = fresh(cache, now).select(F.count(F.lit(1)).alias("live"))
-    return cache.agg(F.count(F.lit(1)).alias("answers"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("size")).crossJoin(F.broadcast(live)).withColumn("expired", F.col("answers") - F.col("live"))
+    """(answers, size, live, expired): one row."""
+    live = F.count_if(is_fresh(now))
+    return cache.agg(F.count(F.lit(1)).alias("answers"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("size"), live.alias("live"), (F.count(F.lit(1)) - live).alias("expired"))
 
 
 def missing(questions: DataFrame, cache: DataFrame, now: float) -> DataFrame:
