@@ -132,31 +132,60 @@ def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataF
     meetings = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("c"), F.greatest(own, j).alias("d")))
     dealt = members.select("key", F.explode(meetings).alias("m"), "row", "part").select("key", "m.c", "m.d", "row", "part")
     whole = dealt.join(listed_sets(docs, members.select("row").distinct(), shingle), "row")
-    return found.union(whole.groupBy("key", "c", "d").applyInArrow(lambda t: forest(t, least), "a long, b long"))
-
-
-def forest(table: pa.Table, least: float) -> pa.Table:
-    """Links (a, b) between alike sets that join whatever rows (row, part, shingles) hang together; rows of one part do already."""
-    rows, shingles = table.column("row").to_numpy(), table.column("shingles").combine_chunks()
-    size = shingles.value_lengths().to_numpy().astype(np.int64)
-    _, root = np.unique(table.column("part").to_numpy(), return_inverse=True)
-    known, code = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), size)
+    together = whole.select("key", "c", "d", "row", "part", "shingles").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d")
+    return found.union(together.mapInArrow(lambda batches: forests(batches, least), "a long, b long"))
+
+
+def forests(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each group of rows (key, c, d, row, part, shingles), which stand together."""
+    left: list[pa.RecordBatch] = []
+
+    def links_of(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        row, part, lists = table.column("row").to_numpy(), table.column("part").to_numpy(), table.column("shingles").combine_chunks()
+        size, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(size)])
+        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in forest(row[a:b], part[a:b], size[a:b], values[at[a] : at[b]], least)]
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([*left, batch])
+        names = [table.column(c).to_numpy() for c in ("key", "c", "d")]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist()]
+        # the last group may go on in the next batch
+        left = table.slice(cuts[-1]).to_batches()
+        if len(cuts) > 1:
+            yield links_of(table.slice(0, cuts[-1]), cuts)
+    if left:
+        table = pa.Table.from_batches(left)
+        yield links_of(table, [0, table.num_rows])
+
+
+def forest(rows: np.ndarray, part: np.ndarray, size: np.ndarray, shingles: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between alike sets, listed one behind another, that join whatever rows hang together; rows of one part do already."""
+    _, root = np.unique(part, return_inverse=True)
+    if not root.any():
+        return []
+    _, code, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(rows)), size), times[code] > 1
+    # shingles of one set alone are in no intersection
+    code, owner = code[shared], owner[shared]
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
     order = np.argsort(code, kind="stable")
-    who, begin = owner[order], np.searchsorted(code[order], np.arange(len(known) + 1))
-    first, out = np.cumsum(size) - size, []
+    who, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(times)))])
+    out = []
     for i in range(len(rows)):
-        other = (root != root[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
+        other = (root != root[i]) & (np.minimum(size, size[i]) / np.maximum(size, size[i]) >= least)
         if not other.any():
             continue
-        both = np.zeros(len(rows), np.int64)
-        for x in code[first[i] : first[i] + size[i]].tolist():
-            both[who[begin[x] : begin[x + 1]]] += 1  # a shingle is once in a set
+        own = code[first[i] : first[i + 1]]
+        start, n = begin[own], begin[own + 1] - begin[own]
+        met = who[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        both = np.bincount(met, minlength=len(rows))
         for j in np.flatnonzero(other & (both / (size + size[i] - both) >= least)).tolist():
             if root[j] != root[i]:
-                out.append((rows[i], rows[j]))
+                out.append((int(rows[i]), int(rows[j])))
                 root[root == root[j]] = root[i]
-    return pa.table([pa.array([int(min(x)) for x in out], pa.int64()), pa.array([int(max(x)) for x in out], pa.int64())], ["a", "b"])
+    return out
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
