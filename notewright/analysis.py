@@ -36,12 +36,14 @@ def analyze(spark: SparkSession, path: str, slugs: Column | None = None) -> Anal
     """Analyse all Standard MIDI Files below a path. slugs: a map of artists' slugs to names, for files that are named by them."""
     events = smf.read_events(spark, path)
     notes = smf.notes(events).drop("start_tick")
-    found = features.track_features(notes)
+    meters = smf.signature_map(events)
+    totals = smf.totals(events)
+    found = features.track_features(notes, lengths=totals)
     likely = roles.role_probabilities(found)
     files = events.where("kind <> 'error'").select("song_id", "path").distinct()
-    songs = paths.songs(files, smf.titles(events), slugs=slugs).join(smf.totals(events).drop("path"), "song_id", "left")
-    bars = sections.bar_features(notes, likely)
-    prints = chunks.fingerprints(notes)
+    songs = paths.songs(files, smf.titles(events), slugs=slugs).join(totals.drop("path"), "song_id", "left")
+    bars = sections.bar_features(notes, likely, signatures=meters)
+    prints = chunks.fingerprints(notes, signatures=meters)
     stored, instances = patterns.store(prints)
     return Analysis(
         events=events,
@@ -51,11 +53,11 @@ def analyze(spark: SparkSession, path: str, slugs: Column | None = None) -> Anal
         features=found,
         roles=likely,
         keys=keys.song_keys(notes, likely),
-        chords=chords.smooth(chords.detect_chords(notes, ["song_id"]), ["song_id"]),
+        chords=chords.smooth(chords.detect_chords(chords.song_notes(notes, likely), ["song_id"]), ["song_id"]),
         swing=timing.swing(notes, ["song_id"]),
         bars=bars,
         sections=sections.forms(sections.sections(bars, sections.boundaries(sections.novelty(bars)))),
-        arpeggios=arpeggios.windows(notes),
+        arpeggios=arpeggios.windows(notes, signatures=meters),
         fingerprints=prints,
         clusters=patterns.exact_clusters(prints),
         patterns=stored,

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.operators import meter
 from notewright.operators.chords import compared
 from notewright.operators.features import TRACK
 
@@ -26,15 +27,16 @@ def rate(delta: Column) -> Column:
     return out
 
 
-def windows(notes: DataFrame, width: float = 4.0, least: int = 4) -> DataFrame:
+def windows(notes: DataFrame, width: float = 4.0, least: int = 4, signatures: DataFrame | None = None) -> DataFrame:
     """(song, track, window, start_beat, notes, root, quality, confidence, intervals, octaves, rate, gate, avg_duration) of windows
-    counted from the track's first onset that have enough notes."""
+    counted from the track's first onset that have enough notes. With signatures a window is a bar of the song's first meter, else `width` beats."""
     first = notes.groupBy(*TRACK).agg(F.min("start_beat").alias("_t0"))
     note = F.struct("start_beat", "note_seq", "pitch")
-    placed = notes.join(first, TRACK).withColumn("window", F.floor((F.col("start_beat") - F.col("_t0")) / width))
+    beats = F.col("beats_per_bar")
+    placed = meter.with_first_meter(notes.join(first, TRACK), signatures, width).withColumn("window", F.floor((F.col("start_beat") - F.col("_t0")) / beats))
     grouped = placed.groupBy(*TRACK, "window").agg(
         F.count(F.lit(1)).alias("notes"),
-        F.min(F.col("_t0") + F.col("window") * width).alias("window_start"),
+        F.min(F.col("_t0") + F.col("window") * beats).alias("window_start"),
         F.array_sort(F.collect_list(note)).alias("s"),
         F.bit_or(F.expr("shiftleft(1, pmod(pitch, 12))")).alias("bits"),
         F.min("pitch").alias("low"),

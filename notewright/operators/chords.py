@@ -101,6 +101,16 @@ def match_chord(grouped: DataFrame) -> DataFrame:
     return out.withColumn("c", F.when(F.col("_best").isNull(), none).otherwise(best)).drop("_bits", "found", "_best")
 
 
+def song_notes(notes: DataFrame, roles: DataFrame, combine: bool = True, drums: bool = False) -> DataFrame:
+    """The notes that a song's chords are taken from: of all tracks but drums (by role), or with combine=False of the first such track."""
+    tracks = notes.select("song_id", "track_id").distinct()
+    if not drums:
+        tracks = tracks.join(roles.where("primary_role = 'drums'").select("song_id", "track_id"), ["song_id", "track_id"], "left_anti")
+    if not combine:
+        tracks = tracks.groupBy("song_id").agg(F.min("track_id").alias("track_id"))
+    return notes.join(tracks, ["song_id", "track_id"], "left_semi")
+
+
 def detect_chords(notes: DataFrame, by: list[str], width: float = 2.0, hop: float = 1.0, least: int = 2, inversions: bool = True) -> DataFrame:
     """(by, window, start_beat, end_beat, root, quality, bass, confidence) of every window with enough pitch classes."""
     weights = F.array(*[F.coalesce(F.sum(F.when(F.col("pc") == k, F.col("weight"))), F.lit(0.0)) for k in range(12)])

@@ -1,8 +1,13 @@
-"""Tumbling chunks of bars, and their rhythm and pitch fingerprints."""
+"""Tumbling chunks of bars, and their rhythm and pitch fingerprints.
+
+Bars have one length, or that of the signatures given: the chunk that starts at a bar has its meter, and lies at that bar's number times the meter's beats; with
+compat=False each bar has its own length, and lies after all bars before it.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notewright.operators import meter
 from notewright.operators.features import TRACK, end_beat
 
 SIZES = (1, 2, 4, 8, 16)
@@ -13,16 +18,50 @@ def song_length(notes: DataFrame, beats_per_bar: float = 4.0) -> DataFrame:
     return notes.groupBy("song_id").agg((F.floor(F.max(end_beat()) / beats_per_bar) + 1).cast("int").alias("bars"))
 
 
-def chunks(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0) -> DataFrame:
+def chunks(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0, signatures: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """Every chunk of every track and size, empty ones too; the last may be short. (song, track, chunk_size, start_bar, end_bar,
-    num_bars, start_beat, end_beat, note_count)."""
-    tracks = notes.select(*TRACK).distinct().join(song_length(notes, beats_per_bar), "song_id")
+    num_bars, start_beat, end_beat, note_count), and with signatures beats_per_bar."""
+    if signatures is None:
+        out = _spans(notes, sizes, song_length(notes, beats_per_bar)).withColumns({"start_beat": F.col("start_bar") * beats_per_bar, "end_beat": F.col("end_bar") * beats_per_bar})
+        found, key, more = placed(notes, sizes, beats_per_bar), CHUNK, []
+    else:
+        out = _metered_spans(notes, sizes, signatures, compat)
+        found, key = _sized(meter.in_bars(notes, signatures, compat), sizes), _key(compat)
+        if not compat:
+            found = found.drop("beats_per_bar")
+        # a bar's number times a later, longer length may lie behind the song's last bar
+        found, more = found.join(meter.song_length(notes, signatures, compat), "song_id").where("bar < bars"), ["beats_per_bar"]
+    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("note_count"))
+    out = out.join(counts, key, "left").fillna({"note_count": 0})
+    return out.select(*CHUNK, "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("num_bars"), "start_beat", "end_beat", "note_count", *more)
+
+
+def _spans(notes: DataFrame, sizes: tuple[int, ...], lengths: DataFrame) -> DataFrame:
+    """(song, track, chunk_size, start_bar, end_bar) of all chunks of all tracks."""
+    tracks = notes.select(*TRACK).distinct().join(lengths, "song_id")
     size = F.explode(F.array(*map(F.lit, sizes)))
     spans = tracks.select(*TRACK, "bars", size.alias("chunk_size")).select(*TRACK, "bars", "chunk_size", F.explode(F.sequence(F.lit(0), F.col("bars") - 1, F.col("chunk_size"))).alias("start_bar"))
-    spans = spans.withColumn("end_bar", F.least(F.col("start_bar") + F.col("chunk_size"), F.col("bars")))
-    counts = placed(notes, sizes, beats_per_bar).groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("note_count"))
-    out = spans.join(counts, CHUNK, "left").fillna({"note_count": 0})
-    return out.select(*CHUNK, "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("num_bars"), (F.col("start_bar") * beats_per_bar).alias("start_beat"), (F.col("end_bar") * beats_per_bar).alias("end_beat"), "note_count")
+    return spans.select(*CHUNK, F.least(F.col("start_bar") + F.col("chunk_size"), F.col("bars")).alias("end_bar"))
+
+
+def _metered_spans(notes: DataFrame, sizes: tuple[int, ...], signatures: DataFrame, compat: bool) -> DataFrame:
+    """The same with beats_per_bar, start_beat and end_beat."""
+    spans = meter.at_bar(_spans(notes, sizes, meter.song_length(notes, signatures, compat)), signatures, "start_bar", compat).withColumnRenamed("bar_beat", "start_beat")
+    if compat:
+        return spans.withColumn("end_beat", F.col("end_bar") * F.col("beats_per_bar"))
+    ends = meter.at_bar(spans.withColumnRenamed("beats_per_bar", "first_beats"), signatures, "end_bar", False)
+    return ends.drop("beats_per_bar").withColumnsRenamed({"first_beats": "beats_per_bar", "bar_beat": "end_beat"})
+
+
+def _key(compat: bool) -> list[str]:
+    """What a chunk's bars share with it: with compat its length of bar, too."""
+    return [*CHUNK, "beats_per_bar"] if compat else CHUNK
+
+
+def _sized(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """rows (bar) once for each size, with the start_bar of the chunk that a bar is in."""
+    out = rows.withColumn("chunk_size", F.explode(F.array(*map(F.lit, sizes))))
+    return out.withColumn("start_bar", F.col("bar") - F.col("bar") % F.col("chunk_size"))
 
 
 def placed(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0) -> DataFrame:
@@ -36,47 +75,46 @@ def hash16(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
-def _bars(notes: DataFrame, beats_per_bar: float, grid: int) -> DataFrame:
-    """Every bar of every track, empty ones too: (song, track, bar, bars, onsets and accents by step, pitches in order)."""
-    bar = F.floor(F.col("start_beat") / beats_per_bar).cast("int")
-    inside = F.col("start_beat") - bar * beats_per_bar
-    step = F.floor(inside / F.lit(beats_per_bar / grid)).cast("int")
-    listed = F.array_sort(F.collect_list(F.struct(inside.alias("at"), "note_seq", "pitch", step.alias("step"), (F.col("velocity") / 127.0).alias("accent"))))
-    filled = notes.groupBy(*TRACK, bar.alias("bar")).agg(listed.alias("inside"))
-    tracks = notes.select(*TRACK).distinct().join(song_length(notes, beats_per_bar), "song_id")
-    every = tracks.select(*TRACK, "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("bar"))
+def _filled(rows: DataFrame, by: list[str], grid: int) -> DataFrame:
+    """rows (bar, inside, beats_per_bar) -> (by, on, accents, pitches) of bars with notes: onsets and accents by step, pitches in order."""
+    step = F.floor(F.col("inside") / (F.col("beats_per_bar") / grid)).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("inside").alias("at"), "note_seq", "pitch", step.alias("step"), (F.col("velocity") / 127.0).alias("accent"))))
     steps = F.sequence(F.lit(0), F.lit(grid - 1))
-    loudest = F.transform(steps, lambda k: F.array_max(F.transform(F.filter("inside", lambda n: n["step"] == k), lambda n: n["accent"])))
+    loudest = F.transform(steps, lambda k: F.array_max(F.transform(F.filter("notes", lambda n: n["step"] == k), lambda n: n["accent"])))
+    out = rows.groupBy(*by).agg(listed.alias("notes")).withColumn("loudest", loudest)
+    return out.select(*by, F.transform("loudest", lambda x: x.isNotNull().cast("int")).alias("on"), F.transform("loudest", lambda x: F.coalesce(x, F.lit(0.0))).alias("accents"), F.transform("notes", lambda n: n["pitch"]).alias("pitches"))
+
+
+def _joined(bars: DataFrame, by: list[str], grid: int) -> DataFrame:
+    """bars (by, bar, on, accents, pitches; null for a bar without notes) -> (by, onset_grid, accent_grid, pitches), bars one after another."""
     empty = lambda value, kind: F.array_repeat(F.lit(value).cast(kind), grid)
-    out = every.join(filled, [*TRACK, "bar"], "left").withColumn("loudest", F.when(F.col("inside").isNotNull(), loudest))
-    return out.select(
-        *TRACK,
-        "bar",
-        "bars",
-        F.coalesce(F.transform("loudest", lambda x: x.isNotNull().cast("int")), empty(0, "int")).alias("on"),
-        F.coalesce(F.transform("loudest", lambda x: F.coalesce(x, F.lit(0.0))), empty(0.0, "double")).alias("accents"),
-        F.coalesce(F.transform("inside", lambda n: n["pitch"]), F.array().cast("array<int>")).alias("pitches"),
-    )
+    one = F.struct("bar", F.coalesce("on", empty(0, "int")).alias("on"), F.coalesce("accents", empty(0.0, "double")).alias("accents"), F.coalesce("pitches", F.array().cast("array<int>")).alias("pitches"))
+    grouped = bars.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("own"))
+    joined = lambda field: F.flatten(F.transform("own", lambda b: b[field]))
+    return grouped.select(*by, joined("on").alias("onset_grid"), joined("accents").alias("accent_grid"), joined("pitches").alias("pitches"))
 
 
-def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0, grid: int = 16) -> DataFrame:
+def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0, grid: int = 16, signatures: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """Rhythm, pitch and combined fingerprints of all chunks; empty chunks have empty grids of their length.
 
     Notes are grouped once, by bar; chunks of every size are put together from bars."""
     size = F.col("chunk_size")
-    sized = _bars(notes, beats_per_bar, grid).withColumn("chunk_size", F.explode(F.array(*map(F.lit, sizes))))
-    grouped = sized.groupBy(*TRACK, "chunk_size", (F.col("bar") - F.col("bar") % size).alias("start_bar")).agg(F.array_sort(F.collect_list(F.struct("bar", "on", "accents", "pitches"))).alias("own"), F.first("bars").alias("bars"))
-    joined = lambda field: F.flatten(F.transform("own", lambda b: b[field]))
-    base = grouped.withColumn("end_bar", F.least(F.col("start_bar") + size, F.col("bars"))).select(
-        *CHUNK,
-        "end_bar",
-        (F.col("end_bar") - F.col("start_bar")).alias("num_bars"),
-        (F.col("start_bar") * beats_per_bar).alias("start_beat"),
-        (F.col("end_bar") * beats_per_bar).alias("end_beat"),
-        joined("on").alias("onset_grid"),
-        joined("accents").alias("accent_grid"),
-        joined("pitches").alias("pitches"),
-    )
+    if signatures is None:
+        rows = notes.withColumns({"bar": F.floor(F.col("start_beat") / beats_per_bar).cast("int"), "beats_per_bar": F.lit(beats_per_bar)}).withColumn("inside", F.col("start_beat") - F.col("bar") * beats_per_bar)
+        tracks = notes.select(*TRACK).distinct().join(song_length(notes, beats_per_bar), "song_id")
+        every = tracks.select(*TRACK, "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("bar"))
+        sized = _sized(every.join(_filled(rows, [*TRACK, "bar"], grid), [*TRACK, "bar"], "left"), sizes)
+        whole = _joined(sized.withColumn("end_bar", F.least(F.col("start_bar") + size, F.col("bars"))), [*CHUNK, "end_bar"], grid)
+        whole = whole.withColumns({"start_beat": F.col("start_bar") * beats_per_bar, "end_beat": F.col("end_bar") * beats_per_bar})
+        more = []
+    else:
+        spans = _metered_spans(notes, sizes, signatures, compat)
+        key, more = [*TRACK, "bar", "beats_per_bar"] if compat else [*TRACK, "bar"], ["beats_per_bar"]
+        filled = _filled(meter.in_bars(notes, signatures, compat), [*TRACK, "bar", "beats_per_bar"], grid)
+        every = spans.withColumn("bar", F.explode(F.sequence(F.col("start_bar"), F.col("end_bar") - 1)))
+        bars = every.join(filled if compat else filled.drop("beats_per_bar"), key, "left")
+        whole = _joined(bars, [*CHUNK, "end_bar", "beats_per_bar", "start_beat", "end_beat"], grid)
+    base = whole.select(*CHUNK, "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("num_bars"), "start_beat", "end_beat", "onset_grid", "accent_grid", "pitches", *more)
     n = F.size("pitches")
     intervals = F.when(n > 1, F.zip_with(F.slice("pitches", 2, F.greatest(n - 1, F.lit(1))), F.slice("pitches", 1, F.greatest(n - 1, F.lit(1))), lambda b, a: b - a)).otherwise(F.array().cast("array<int>"))
     out = base.withColumns({"note_count": n.cast("long"), "intervals": intervals})

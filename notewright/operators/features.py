@@ -61,9 +61,9 @@ def entropy(notes: DataFrame) -> DataFrame:
     return counts.select(*TRACK, _entropy(F.col("counts"), F.col("n")).alias("pitch_class_entropy"))
 
 
-def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
+def track_features(notes: DataFrame, compat: bool = True, lengths: DataFrame | None = None) -> DataFrame:
     """All features of every track that has notes. The notes are dealt out by track once; every window, grouping and join of tracks keeps to
-    that."""
+    that. lengths: (song_id, total_bars), as files tell them; without, bars of four beats up to the last note."""
     dealt = notes.repartition(*TRACK)
     over = F.max("over") if compat else F.avg("over")
     basic = dealt.withColumn("over", _overlap()).groupBy(*TRACK).agg(
@@ -81,6 +81,9 @@ def track_features(notes: DataFrame, compat: bool = True) -> DataFrame:
         _class_counts().alias("class_counts"),
     )
     found = basic.withColumn("pitch_class_entropy", _entropy(F.col("class_counts"), F.col("note_count"))).drop("class_counts").join(repetition(dealt), TRACK)
+    if lengths is not None:
+        bars = F.greatest(F.coalesce("total_bars", F.lit(1)), F.lit(1))
+        return found.join(lengths.select("song_id", "total_bars"), "song_id", "left").withColumn("note_density", F.col("note_count") / bars).drop("last_beat", "total_bars")
     # the song's bars follow from its tracks' ends, a row each
     bars = F.greatest(F.floor(F.max("last_beat").over(W.partitionBy("song_id")) / 4.0) + 1, F.lit(1))
     return found.withColumn("note_density", F.col("note_count") / bars).drop("last_beat")

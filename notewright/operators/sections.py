@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notewright.operators import meter
 from notewright.operators.features import TRACK, end_beat
 
 #: The order in which a bar's vector has the roles, and that breaks ties (the last only where none is likely).
@@ -20,12 +21,29 @@ def section_role() -> Column:
     return F.when(most > 0.3, out).otherwise("other")
 
 
-def bar_features(notes: DataFrame, roles: DataFrame, beats_per_bar: float = 4.0) -> DataFrame:
-    """A row for each bar of each song, silent ones too: counts, density by role, harmonic rhythm, velocity, pitches."""
+def bar_features(notes: DataFrame, roles: DataFrame, beats_per_bar: float = 4.0, signatures: DataFrame | None = None) -> DataFrame:
+    """A row for each bar of each song, silent ones too: counts, density by role, harmonic rhythm, velocity, pitches. All bars of a song
+    are as long as its first meter, if signatures are given."""
+    if signatures is not None:
+        return _metered_bars(notes, roles, signatures)
     bars = notes.groupBy("song_id").agg(F.ceil(F.max(end_beat()) / beats_per_bar).cast("int").alias("n"))
     every = bars.where("n > 0").select("song_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bar"))
     role = roles.select(*TRACK, section_role().alias("role"), (F.col("bass") > 0.5).alias("is_bass"))
     placed = notes.join(role, TRACK, "left").fillna({"role": "other", "is_bass": False}).withColumn("bar", F.floor(F.col("start_beat") / beats_per_bar).cast("int"))
+    return _counted(every, placed, F.lit(beats_per_bar))
+
+
+def _metered_bars(notes: DataFrame, roles: DataFrame, signatures: DataFrame) -> DataFrame:
+    ends = meter.with_first_meter(notes.groupBy("song_id").agg(F.max(end_beat()).alias("end")), signatures)
+    bars = ends.select("song_id", "beats_per_bar", F.ceil(F.col("end") / F.col("beats_per_bar")).cast("int").alias("n")).where("n > 0")
+    every = bars.select("song_id", F.col("beats_per_bar").alias("bar_beats"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bar"))
+    role = roles.select(*TRACK, section_role().alias("role"), (F.col("bass") > 0.5).alias("is_bass"))
+    placed = meter.with_first_meter(notes, signatures).join(role, TRACK, "left").fillna({"role": "other", "is_bass": False}).withColumn("bar", F.floor(F.col("start_beat") / F.col("beats_per_bar")).cast("int"))
+    return _counted(every, placed, F.first("beats_per_bar"), F.col("bar_beats")).withColumnRenamed("bar_beats", "beats_per_bar")
+
+
+def _counted(every: DataFrame, placed: DataFrame, beats: Column, bar_beats: Column | None = None) -> DataFrame:
+    """Of every (song_id, bar) the features of the notes placed there; beats: a bar's length, as an aggregate, bar_beats: as a column of every."""
     pc = F.pmod("pitch", F.lit(12))
     before = F.lag(pc).over(W.partitionBy("song_id", "bar").orderBy("start_beat", "track_id", "note_seq"))
     changes = placed.where("is_bass").withColumn("change", (pc != before).cast("int")).groupBy("song_id", "bar").agg(F.coalesce(F.sum("change"), F.lit(0)).cast("int").alias("harmonic_rhythm"))
@@ -35,10 +53,10 @@ def bar_features(notes: DataFrame, roles: DataFrame, beats_per_bar: float = 4.0)
         F.avg("velocity").alias("avg_velocity"),
         (F.max("pitch") - F.min("pitch")).alias("pitch_range"),
         F.count_distinct("pitch").cast("int").alias("unique_pitches"),
-        *[(F.count_if(F.col("role") == r) / beats_per_bar).alias(f"density_{r}") for r in ROLES],
+        *[(F.count_if(F.col("role") == r) / beats).alias(f"density_{r}") for r in ROLES],
     )
     out = every.join(counts, ["song_id", "bar"], "left").join(changes, ["song_id", "bar"], "left")
-    return out.fillna(0).withColumn("start_beat", F.col("bar") * beats_per_bar)
+    return out.fillna(0).withColumn("start_beat", F.col("bar") * (beats if bar_beats is None else bar_beats))
 
 
 def vector() -> Column:
