@@ -2,8 +2,8 @@
 
 A vector is cut in segments, and of each segment the mean and the deviation from it (the norm of what the mean leaves) are kept. The inner
 product of two vectors is the sum over segments of the product of means times the segment's length, give or take at most the product of deviations. Segments are
-nested: 1, 4, 16 and, for long vectors, more of them. A block of candidates meets an anchor by one segment first; who can still reach what the anchor looks for
-is bounded again by finer segments, and only who is left is scored exactly, the most promising first, so that the scores found narrow the search.
+nested: 1, 4, 16 and, for long vectors, more of them. Candidates of a block, the longest vectors first, meet some anchors at a time by one segment; pairs that can still reach
+what the anchor looks for are bounded again by finer segments, and what is left is scored exactly, so that the scores found narrow the search among the rows that follow.
 
 Two rounds over the same layout, blocks of CANDIDATES rows times groups of ANCHORS anchors: the first finds the positives (the best rows of the anchor's label), the second
 the negatives: for each anchor and positive the best rows of other labels with a score between `low` and `high` per cent of the positive's. Each block returns its best, which are
@@ -30,10 +30,10 @@ from notewright.llm.vectors import matrix, sound
 
 #: Rows in a block of candidates, and anchors that meet a block at a time.
 CANDIDATES, ANCHORS = 8192, 1024
-#: Segments at each level are a power of this; a segment has two components or more. Rows that are scored at a time once summaries leave them.
-FANOUT, BATCH = 4, 512
-#: Anchors whose first bounds are computed at once.
-TILE = 32
+#: Segments at each level are a power of this; a segment has two components or more.
+FANOUT = 4
+#: Rows and anchors that meet at a time.
+BATCH, TILE = 2048, 32
 FOUND = "row long, place int, vec_id long, score long"
 
 
@@ -61,74 +61,74 @@ class Summaries:
             total = np.add.reduceat(square, edges[:-1], axis=1)
             self.deviation.append(np.sqrt(np.maximum(total - mean**2, 0) + 1e-12 * total))
 
-    def bounds(self, level: int, rows: np.ndarray | slice, of: "Summaries", one: int | slice) -> tuple[np.ndarray, np.ndarray]:
-        """(middle, reach): the scores of rows with vectors of another table lie within middle - reach and middle + reach."""
-        middle = self.mean[level][rows] @ of.mean[level][one].T
-        return middle, self.deviation[level][rows] @ of.deviation[level][one].T
-
 
 class Block:
-    """Candidates of one block."""
+    """Candidates of one block, the longest vectors first."""
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray):
-        self.x, self.rows, self.ids, self.labels = x, rows, ids, labels
-        self.summaries = Summaries(x)
-        self.size = np.sqrt((x**2).sum(axis=1))
+        size = np.sqrt((x**2).sum(axis=1))
+        order = np.argsort(-size, kind="stable")
+        self.x, self.rows, self.ids, self.labels, self.size = x[order], rows[order], ids[order], labels[order], size[order]
+        self.summaries = Summaries(self.x)
         self.scored = 0
 
-    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact scores, as 64-bit or Python integers."""
-        self.scored += len(at)
+    def scores(self, at: np.ndarray, q: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """(rows x anchors) exact scores of the pairs alive: doubles while these are exact, else Python integers."""
         x = self.x[at]
-        if not len(at) or len(q) * float(np.abs(q).max()) * float(np.abs(x).max()) < 2.0**53:
-            return (x @ q).astype(np.int64)
-        whole = [int(v) for v in q]
-        return np.array([sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x] + [None], object)[:-1]
-
-
-def best_in_range(block: Block, able: np.ndarray, q: np.ndarray, of: Summaries, one: int, first: tuple[np.ndarray, np.ndarray], wanted: list[tuple[int | None, int | None]], k: int) -> list[list[tuple[int, int]]]:
-    """For each range (low, high; None: open) of wanted the k best (score, place in the block) among the places of able, ties by id.
-
-    first: bounds of all rows at the coarsest level.
-    """
-    best: list[list[tuple[int, int]]] = [[] for _ in wanted]
-    floors = [-np.inf if low is None else float(low) for low, _ in wanted]
-    ceilings = [np.inf if high is None else float(high) for _, high in wanted]
-    slack = 1e-9 * block.size * float(np.sqrt((q**2).sum())) + 1e-9
-
-    def open_rows(at: np.ndarray, middle: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        high, low = middle + reach + slack[at], middle - reach - slack[at]
-        keep = np.zeros(len(at), bool)
-        for f, c in zip(floors, ceilings, strict=True):
-            # doubles may round the ends of a range that doesn't fit them
-            keep |= (high >= f - abs(f) * 1e-15) & (low <= c + abs(c) * 1e-15) if f <= c else False
-        return keep
-
-    middle, reach = first[0][able], first[1][able]
-    keep = open_rows(able, middle, reach)
-    at, middle, reach = able[keep], middle[keep], reach[keep]
-    # the most promising first: their scores raise the floors for the rest
-    at = at[np.argsort(-(middle + reach), kind="stable")]
-    for start in range(0, len(at), BATCH):
-        part = at[start : start + BATCH]
-        for level in range(len(block.summaries.mean)):
-            middle, reach = block.summaries.bounds(level, part, of, one)
-            part = part[open_rows(part, middle, reach)]
-        if not len(part):
+        if q.shape[1] * float(np.abs(q).max()) * float(np.abs(x).max()) < 2.0**53:
+            return x @ q.T
+        whole = [[int(v) for v in row] for row in q]
+        out = np.full(alive.shape, 0, object)
+        for r, c in zip(*np.nonzero(alive), strict=True):
+            out[r, c] = sum(int(a) * b for a, b in zip(x[r], whole[c], strict=True))
+        return out
+
+
+def ranked(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to smaller ids."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda n: (-scores[n], ids[n]))[:k], int)
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    return np.lexsort((ids, -scores))[:k]
+
+
+def best_in_ranges(block: Block, able: np.ndarray, q: np.ndarray, low: list[list], high: list[list], k: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each anchor of q and each of its ranges [low, high] the k best (scores, places in the block), ties by id. able: rows x anchors."""
+    n, of = len(q), Summaries(q)
+    floors, tops = np.array(low, object).reshape(n, -1), np.array(high, object).reshape(n, -1)
+    none = (np.zeros(0, object), np.zeros(0, int))
+    best = [[none] * floors.shape[1] for _ in range(n)]
+    size = np.sqrt((q**2).sum(axis=1))
+    for start in range(0, len(block.x), BATCH):
+        at = np.arange(start, min(start + BATCH, len(block.x)))
+        alive = able[at]
+        least, most = (floors.min(axis=1, initial=np.inf).astype(float), tops.max(axis=1, initial=-np.inf).astype(float))
+        # doubles may round the ends of a range that doesn't fit them
+        least, most = least - np.abs(least) * 1e-15, most + np.abs(most) * 1e-15
+        for level, mean in enumerate(block.summaries.mean):
+            some = alive.any(axis=1)
+            at, alive = at[some], alive[some]
+            middle = mean[at] @ of.mean[level].T
+            reach = block.summaries.deviation[level][at] @ of.deviation[level].T + 1e-9 * block.size[at][:, None] * size + 1e-9
+            alive = alive & (middle + reach >= least) & (middle - reach <= most)
+        some = alive.any(axis=1)
+        at, alive = at[some], alive[some]
+        if not len(at):
             continue
-        scores = block.scores(part, q)
-        for n, (low, high) in enumerate(wanted):
-            fits = np.ones(len(part), bool)
-            if low is not None:
-                fits &= (scores >= low).astype(bool)
-            if high is not None:
-                fits &= (scores <= high).astype(bool)
-            if not fits.any():
-                continue
-            best[n] += list(zip(scores[fits].tolist(), part[fits].tolist(), strict=True))
-            best[n] = sorted(best[n], key=lambda b: (-b[0], block.ids[b[1]]))[:k]
-            if len(best[n]) == k:
-                floors[n] = max(floors[n], float(best[n][-1][0]))
+        block.scored += int(alive.sum())
+        scores = block.scores(at, q, alive)
+        number = object if scores.dtype == object else float
+        for r in range(floors.shape[1]):
+            fits = alive & (scores >= floors[:, r].astype(number)).astype(bool) & (scores <= tops[:, r].astype(number)).astype(bool)
+            for a in np.flatnonzero(fits.any(axis=0)):
+                hit = np.flatnonzero(fits[:, a])
+                s, p = np.concatenate([best[a][r][0].astype(number), scores[hit, a]]), np.concatenate([best[a][r][1], at[hit]])
+                order = ranked(s, block.ids[p], k)
+                best[a][r] = s[order], p[order]
+                if len(order) == k:
+                    floors[a, r] = max(floors[a, r], s[order[-1]])
     return best
 
 
@@ -139,21 +139,20 @@ def _meet(points: pa.Table, asks: pa.Table, scale: float, same: bool, k: int, lo
     if points.num_rows and asks.num_rows:
         names = pa.chunked_array([*points.column("label").chunks, *asks.column("a_label").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
         block = Block(np.floor(scale * matrix(points.column("v")).astype(np.float64)), points.column("row").to_numpy(), points.column("vec_id").to_numpy(), names[: points.num_rows])
-        by_label = np.argsort(block.labels, kind="stable")
-        edges = np.searchsorted(block.labels[by_label], np.arange(names.max() + 2))
         q = np.floor(scale * matrix(asks.column("a_v")).astype(np.float64))
-        of, rows, labels = Summaries(q), asks.column("a_row").to_numpy(), names[points.num_rows :]
-        positives = None if same else asks.column("a_positives").to_pylist()
+        rows, labels = asks.column("a_row").to_numpy(), names[points.num_rows :]
+        # positives of an anchor, and the scores its negatives may have; all have as many ranges, of which those left over are empty
+        found = [[] for _ in q] if same else asks.column("a_positives").to_pylist()
+        most = max(map(len, found))
+        lows = [[-np.inf]] * len(q) if same else [[-(-low * s // 100) for s in own] + [np.inf] * (most - len(own)) for own in found]
+        highs = [[np.inf]] * len(q) if same else [[high * s // 100 for s in own] + [-np.inf] * (most - len(own)) for own in found]
         for tile in range(0, len(q), TILE):
-            tiled = slice(tile, tile + TILE)
-            middle, reach = block.summaries.bounds(0, slice(None), of, tiled)
-            for one in range(tile, min(tile + TILE, len(q))):
-                a, b = edges[labels[one]], edges[labels[one] + 1]
-                able = by_label[a:b] if same else np.concatenate([by_label[:a], by_label[b:]])
-                able = able[block.rows[able] != rows[one]]
-                ranges = [(None, None)] if same else [(-(-low * s // 100), high * s // 100) for s in positives[one]]
-                best = best_in_range(block, able, q[one], of, one, (middle[:, one - tile], reach[:, one - tile]), ranges, k)
-                out += [(int(rows[one]), n, int(block.ids[at]), max(-(2**63), min(2**63 - 1, s))) for n, found in enumerate(best) for s, at in found]
+            part = slice(tile, tile + TILE)
+            able = (block.labels[:, None] == labels[part]) == same
+            able &= block.rows[:, None] != rows[part]
+            for one, ranges in enumerate(best_in_ranges(block, able, q[part], lows[part], highs[part], k), tile):
+                for place, (scores, at) in enumerate(ranges):
+                    out += [(int(rows[one]), place, int(block.ids[p]), max(-(2**63), min(2**63 - 1, int(s)))) for s, p in zip(scores, at, strict=True)]
         scored = block.scored
     out.append((None, 0, None, scored))
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
