@@ -1,14 +1,20 @@
-"""Repeated patterns: exact clusters, similarity, greedy merging, and searching the pattern store."""
+"""Repeated patterns: exact clusters, similarity, greedy merging, and searching the pattern store.
+
+Pairs of similar patterns are found by prefixes: with the steps of a grid ordered from rare to common, two grids whose Jaccard index is j or more share one of the first
+n - ceil(j n) + 1 of n steps. A pair is met at the first step that both prefixes hold, so it is met once.
+"""
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.operators.features import TRACK
 from notewright.operators.targets import against
+from notewright.shared import cut
 
 RHYTHM, PITCH = 0.9, 0.85
+#: Steps that a grid may have: their frequencies go to the driver. Patterns that one deal of the index holds.
+MOST_STEPS, DEAL = 16_384, 1_000_000
 GROUP = [*TRACK, "chunk_size"]
 
 
@@ -34,6 +40,12 @@ def rhythm_similarity(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """The same of two sets of steps."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def cosine(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Of two vectors; with a zero vector 0, or `empty` if both are zero."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce((x * y).cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
@@ -54,57 +66,84 @@ def transposition(mean_a: Column, mean_b: Column, rhythm: Column) -> Column:
     return F.when((rhythm >= RHYTHM) & (F.abs(by) <= 12), by)
 
 
+def onsets(grid: Column) -> Column:
+    """The steps of a grid that sound."""
+    return F.filter(F.transform(grid, lambda x, k: F.when(x == 1, k)), lambda k: k.isNotNull())
+
+
+def by_rarity(grids: DataFrame) -> Column:
+    """An expression that orders the steps in column `on` from rare to common over all of grids (onset_grid). A grid's length bounds what comes to the driver."""
+    counted = grids.select(F.explode(onsets(F.col("onset_grid"))).alias("step")).groupBy("step").count().orderBy("count", "step").limit(MOST_STEPS + 1).collect()
+    if len(counted) > MOST_STEPS:
+        raise ValueError(f"grids of over {MOST_STEPS} steps")
+    place = {r.step: n for n, r in enumerate(counted)}
+    ranks = F.array(*[F.lit(place.get(k, len(place))) for k in range(max(place, default=0) + 1)])
+    return F.transform(F.array_sort(F.transform("on", lambda k: F.struct(F.get(ranks, k).alias("rank"), k.alias("step")))), lambda x: x["step"])
+
+
+def prefix(steps: Column, jaccard: float) -> Column:
+    """Of ordered steps those of which sets that are so similar share one; an empty set has the step -1."""
+    n = F.size(steps)
+    # a hair below, as the index is compared in doubles
+    most = n - F.ceil(n * F.lit(jaccard) - 1e-9).cast("int") + 1
+    return F.when(n > 0, F.slice(steps, F.lit(1), F.least(n, most))).otherwise(F.array(F.lit(-1)))
+
+
 def similar_pairs(prints: DataFrame, least: float = 0.001) -> DataFrame:
     """Pairs of distinct patterns of one song, track and size whose similarity is `least` or more; without the rhythm threshold it is zero.
 
-    Patterns meet by equi-join on a step both sound in: only those can reach the rhythm threshold, so least must be above zero.
+    Patterns meet by equi-join on a step of both prefixes: only those can reach the rhythm threshold, so least must be above zero.
     """
     if least <= 0:
         raise ValueError("pairs of similarity zero are not met")
     one = prints.groupBy(*GROUP, "pattern_id").agg(*[F.min_by(c, "start_bar").alias(c) for c in ("onset_grid", "pitch_classes", "contour", "mean_pitch")])
-    # a pattern's least onset steps: two grids with Jaccard >= RHYTHM agree on one of the first ones of each
-    on = F.filter(F.transform("onset_grid", lambda x, k: F.when(x == 1, k)), lambda k: k.isNotNull())
-    prefix = F.slice(on, F.lit(1), F.size(on) - F.ceil(F.size(on) * F.lit(RHYTHM)).cast("int") + 1)
-    keyed = one.withColumn("step", F.explode(F.when(F.size(on) > 0, prefix).otherwise(F.array(F.lit(-1)))))
+    sized = one.withColumn("on", onsets(F.col("onset_grid"))).drop("onset_grid")
+    keyed = sized.withColumn("first", prefix(by_rarity(one), RHYTHM)).withColumn("n", F.size("on")).withColumn("step", F.explode("first"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*GROUP, "step")]).where("a.pattern_id < b.pattern_id")
-    rhythm = rhythm_similarity(F.col("a.onset_grid"), F.col("b.onset_grid"))
+    once = F.get(F.array_intersect("a.first", "b.first"), F.lit(0)) == F.col("a.step")
+    alike = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(RHYTHM) - 1e-9
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*GROUP, "step")]).where((F.col("a.pattern_id") < F.col("b.pattern_id")) & alike & once)
+    rhythm = jaccard(F.col("a.on"), F.col("b.on"))
     pitch = pitch_similarity(F.col("a.pitch_classes"), F.col("b.pitch_classes"), F.col("a.contour"), F.col("b.contour"))
-    out = met.select(*[F.col(f"a.{c}") for c in GROUP], F.col("a.pattern_id").alias("pattern_a"), F.col("b.pattern_id").alias("pattern_b"), rhythm.alias("rhythm"), pitch.alias("pitch"), F.col("a.mean_pitch").alias("mean_a"), F.col("b.mean_pitch").alias("mean_b")).distinct()
-    out = out.withColumn("similarity", F.when(F.col("rhythm") < RHYTHM, 0.0).otherwise((F.col("rhythm") + F.col("pitch")) / 2)).withColumn("transposition", transposition(F.col("mean_a"), F.col("mean_b"), F.col("rhythm")))
-    return out.where(F.col("similarity") >= least).drop("mean_a", "mean_b")
+    out = met.where(rhythm >= RHYTHM).select(*[F.col(f"a.{c}") for c in GROUP], F.col("a.pattern_id").alias("pattern_a"), F.col("b.pattern_id").alias("pattern_b"), rhythm.alias("rhythm"), pitch.alias("pitch"), F.col("a.mean_pitch").alias("mean_a"), F.col("b.mean_pitch").alias("mean_b"))
+    out = out.withColumn("similarity", (F.col("rhythm") + F.col("pitch")) / 2).withColumn("transposition", transposition(F.col("mean_a"), F.col("mean_b"), F.col("rhythm")))
+    # pitches never take away, so all that reach the rhythm threshold reach half of it
+    return (out.where(F.col("similarity") >= least) if least > RHYTHM / 2 else out).drop("mean_a", "mean_b")
 
 
-def merge_similar(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy merging: clusters in the order they appear; each not yet taken takes all later ones similar enough to it.
+def followers(edges: DataFrame, by: list[str]) -> DataFrame:
+    """edges (by, p, q; p stands before q) -> (by, q) of the nodes that are no leaders, a leader being a node that has no leader before it among its neighbours.
 
-    (song, track, chunk_size, leader, canonical, merged, occurrences, confidence.) The fold needs a song's clusters in order, and holds
-    one track's patterns, with the pairs that Spark found.
+    In rounds: a node before which no open neighbour is left leads, and whoever stands after it follows; both leave. A round is a few joins by node,
+    whatever the size of a group, and there are as many as the longest chain of nodes that wait for one another.
     """
-    enough = min(RHYTHM, PITCH)
-    near = pairs.where(F.col("similarity") >= enough)
-    linked = near.select(*GROUP, F.col("pattern_a").alias("p"), F.col("pattern_b").alias("q")).union(near.select(*GROUP, "pattern_b", "pattern_a"))
-    links = linked.groupBy(*GROUP, F.col("p").alias("pattern_id")).agg(F.collect_set("q").alias("near"))
-    rows = clusters.select(*GROUP, "pattern_id", "occurrences", "first_bar").join(links, [*GROUP, "pattern_id"], "left")
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["first_bar"])
-        named, place = {r["pattern_id"]: r for r in rows}, {r["pattern_id"]: k for k, r in enumerate(rows)}
-        taken, out = set(), []
-        for r in rows:
-            if r["pattern_id"] in taken:
-                continue
-            near = (named[p] for p in r["near"] or [] if p not in taken)
-            own = [r, *sorted((x for x in near if x["first_bar"] > r["first_bar"]), key=lambda x: place[x["pattern_id"]])]
-            taken.update(x["pattern_id"] for x in own)
-            lead = max(own, key=lambda x: x["occurrences"])
-            out.append({**{c: r[c] for c in GROUP}, "leader": r["pattern_id"], "canonical": lead["pattern_id"], "merged": len(own), "occurrences": sum(x["occurrences"] for x in own), "confidence": 1.0 / len(own)})
-        return pa.Table.from_pylist(out, SCHEMA)
+    key = [*by, "q"]
+    open_, found = cut(edges.select(*by, "p", "q").distinct()), None
+    while not open_.isEmpty():
+        waiting = open_.select(*by, F.col("q").alias("p")).distinct()
+        gone = cut(open_.join(waiting, [*by, "p"], "left_anti").select(*key).distinct())
+        found = gone if found is None else found.union(gone)
+        open_ = cut(open_.join(gone, key, "left_anti").join(gone.withColumnRenamed("q", "p"), [*by, "p"], "left_anti"))
+    return found if found is not None else open_.select(*key)
 
-    return rows.groupBy(*GROUP).applyInArrow(fold, "song_id long, track_id int, chunk_size int, leader string, canonical string, merged long, occurrences long, confidence double")
 
+def merge_similar(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Greedy merging: clusters in the order they appear; each not yet taken takes all later ones similar enough to it.
 
-SCHEMA = pa.schema([("song_id", pa.int64()), ("track_id", pa.int32()), ("chunk_size", pa.int32()), ("leader", pa.string()), ("canonical", pa.string()), ("merged", pa.int64()), ("occurrences", pa.int64()), ("confidence", pa.float64())])
+    (song, track, chunk_size, leader, canonical, merged, occurrences, confidence.) Who takes and who is taken follows from rounds over the graph of
+    similar pairs; a taken cluster goes to its first taker.
+    """
+    enough = min(RHYTHM, PITCH)
+    rows = clusters.select(*GROUP, "pattern_id", "occurrences", "first_bar")
+    place = lambda c: rows.select(*GROUP, F.col("pattern_id").alias(f"pattern_{c}"), F.col("first_bar").alias(f"bar_{c}"))
+    near = pairs.where(F.col("similarity") >= enough).select(*GROUP, "pattern_a", "pattern_b").join(place("a"), [*GROUP, "pattern_a"]).join(place("b"), [*GROUP, "pattern_b"])
+    ordered = F.col("bar_a") < F.col("bar_b")
+    edges = cut(near.select(*GROUP, F.when(ordered, F.col("pattern_a")).otherwise(F.col("pattern_b")).alias("p"), F.when(ordered, F.col("pattern_b")).otherwise(F.col("pattern_a")).alias("q"), F.least("bar_a", "bar_b").alias("bar")))
+    taken = followers(edges, GROUP)
+    takers = edges.join(taken.withColumnRenamed("q", "p"), [*GROUP, "p"], "left_anti").groupBy(*GROUP, F.col("q").alias("pattern_id")).agg(F.min_by("p", "bar").alias("leader"))
+    led = rows.join(takers, [*GROUP, "pattern_id"], "left").withColumn("leader", F.coalesce("leader", "pattern_id"))
+    out = led.groupBy(*GROUP, "leader").agg(F.max_by("pattern_id", F.struct("occurrences", -F.col("first_bar"))).alias("canonical"), F.count(F.lit(1)).alias("merged"), F.sum("occurrences").alias("occurrences"))
+    return out.withColumn("confidence", 1.0 / F.col("merged"))
 
 
 def store(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,11 +202,44 @@ def described(found: DataFrame, instances: DataFrame, songs: DataFrame, most: in
     return found.join(listed, "pattern_id", "left")
 
 
-def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.5, rows: int | None = None, same_length: bool = False) -> DataFrame:
-    """(target, pattern_id, similarity): patterns of any length, or of the target's, by the mean of their onsets' Jaccard index and
-    their pitch classes' cosine; two empty vectors are alike. Targets are a stated set, of at most `rows` rows if that is given."""
-    t = target.select(F.col("pattern_id").alias("target"), F.col("num_bars").alias("_bars"), F.col("onset_grid").alias("_g"), F.col("pitch_classes").alias("_p"))
-    score = (rhythm_similarity(F.col("onset_grid"), F.col("_g")) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
+def find_similar(patterns: DataFrame, target: DataFrame, least: float = 0.8, rows: int | None = None, same_length: bool = False) -> DataFrame:
+    """(target, pattern_id, num_bars, similarity): patterns of any length, or of the target's, by the mean of their onsets' Jaccard index and
+    their pitch classes' cosine; two empty vectors are alike. Targets are any rows of patterns.
+
+    The cosine is at most 1, so the Jaccard index is 2 * least - 1 or more: patterns are looked up by the steps of their prefixes. A least of a half or
+    less says nothing of steps; then targets, of at most `rows` rows if that is given, meet every pattern."""
+    t = target.select(F.col("pattern_id").alias("target"), F.col("num_bars").alias("_bars"), onsets(F.col("onset_grid")).alias("_g"), F.col("pitch_classes").alias("_p"))
     other = F.col("pattern_id") != F.col("target")
-    met = against(patterns, t, other & (F.col("num_bars") == F.col("_bars")) if same_length else other, rows)
+    score = (jaccard(F.col("_on"), F.col("_g")) + cosine(F.col("pitch_classes"), F.col("_p"), 1.0)) / 2
+    if least <= 0.5:
+        met = against(patterns.withColumn("_on", onsets(F.col("onset_grid"))), t, other & (F.col("num_bars") == F.col("_bars")) if same_length else other, rows)
+    else:
+        whole = patterns.select("pattern_id", "num_bars", onsets(F.col("onset_grid")).alias("_on"), "pitch_classes")
+        met = candidates(patterns, target, 2 * least - 1).join(whole, ["pattern_id", "num_bars"]).join(t, "target").where(other)
+        met = met.where(F.col("num_bars") == F.col("_bars")) if same_length else met
     return met.withColumn("similarity", score).where(F.col("similarity") >= least).select("target", "pattern_id", "num_bars", "similarity")
+
+
+def candidates(patterns: DataFrame, target: DataFrame, least: float) -> DataFrame:
+    """(target, pattern_id, num_bars): the pairs whose onsets may have that Jaccard index, each once.
+
+    Postings of a pattern: the steps of its prefix, each with its number of steps. A target asks for its own prefix at every number of steps that is close enough,
+    and a pair stays if the steps behind the first common one can make up the overlap. Patterns are dealt out in parts of DEAL, so a common step is not one task.
+    """
+    order = by_rarity(patterns)
+    parts = max(1, -(-patterns.count() // DEAL))
+
+    def posted(rows: DataFrame, *names: Column) -> DataFrame:
+        out = rows.withColumn("on", onsets(F.col("onset_grid"))).withColumn("on", order)
+        out = out.select(*names, F.size("on").alias("n"), prefix(F.col("on"), least).alias("first"))
+        return out.select("*", F.posexplode("first").alias("at", "step"))
+
+    own = posted(patterns, "pattern_id", "num_bars").withColumn("part", F.pmod(F.xxhash64("pattern_id"), F.lit(parts)))
+    asked = posted(target, F.col("pattern_id").alias("target")).withColumnsRenamed({"n": "m", "first": "asked", "at": "place"})
+    sizes = F.sequence(F.ceil(F.col("m") * F.lit(least) - 1e-9).cast("int"), F.floor(F.col("m") / F.lit(least) + 1e-9).cast("int"))
+    asked = asked.withColumn("n", F.explode(sizes)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    met = own.join(asked, ["step", "n", "part"])
+    once = F.get(F.array_intersect("first", "asked"), F.lit(0)) == F.col("step")
+    overlap = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+    able = (F.col("n") == 0) | (overlap >= (F.col("n") + F.col("m")) * F.lit(least / (1 + least)) - 1e-9)
+    return met.where(once & able).select("target", "pattern_id", "num_bars")

@@ -8,6 +8,7 @@ from notewright.operators.features import TRACK
 from notewright.plans.harmony import text
 from notewright.plans.sql import FEATURES, NOTES_B, ROLES, query
 from notewright.plans.tracks import r6, rounded
+from notewright.shared import cut
 from notewright.sources.notes import notes_from_orders
 
 QUERIES: dict = {}
@@ -110,7 +111,7 @@ rated AS (
     {r6("(CASE WHEN sa = 0 OR sb = 0 THEN 0 ELSE dot / (sqrt(sa) * sqrt(sb)) END + contour) / 2", "pitch")},
     CAST(CASE WHEN abs(round_even(shift, 0)) <= 12 THEN round_even(shift, 0) ELSE -99 END AS INTEGER) AS transposition FROM rated"""))
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = patterns.similar_pairs(prints(spark, sf_dir))
+    pairs = patterns.similar_pairs(cut(prints(spark, sf_dir)))
     return rounded(pairs.select(*GROUP, "pattern_a", "pattern_b", "rhythm", "pitch", F.coalesce("transposition", F.lit(-99)).alias("transposition")), "rhythm", "pitch")
 
 
@@ -136,7 +137,7 @@ later AS (
 @registered(query(NOTES_B, CHUNKS, PRINTS, CLUSTERS, PAIRS, MERGED, """SELECT song_id, track_id, chunk_size, leader, arg_max(pattern_id, occurrences * 100000 - place) AS canonical, count(*) AS merged, CAST(sum(occurrences) AS BIGINT) AS occurrences, 1e0 / count(*) AS confidence
 FROM members JOIN clusters USING (song_id, track_id, chunk_size, pattern_id) GROUP BY 1, 2, 3, 4""").replace("WITH ", "WITH RECURSIVE ", 1))
 def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prints(spark, sf_dir)
+    found = cut(prints(spark, sf_dir))
     return patterns.merge_similar(patterns.exact_clusters(found), patterns.similar_pairs(found))
 
 
@@ -229,14 +230,19 @@ def pattern_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir)[1]
 
 
-@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""targets AS (SELECT pattern_id AS target, onset_grid AS g, pitch_classes AS tc FROM patterns WHERE num_bars = 1 ORDER BY occurrences DESC, pattern_id LIMIT 10),
-rated AS (
-    SELECT target, p.pattern_id, num_bars, len(list_filter(range(1, least(len(onset_grid), len(g)) + 1), lambda k: onset_grid[k] = 1 AND g[k] = 1)) AS both_on,
-        len(list_filter(range(1, greatest(len(onset_grid), len(g)) + 1), lambda k: coalesce(onset_grid[k], 0) = 1 OR coalesce(g[k], 0) = 1)) AS either_on,
-        list_sum(list_transform(list_zip(pitch_classes, tc), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(pitch_classes, lambda x: x * x))) * sqrt(list_sum(list_transform(tc, lambda x: x * x)))) AS pitch
-    FROM patterns p JOIN targets ON p.pattern_id <> target
-)""", f"""SELECT target, pattern_id, num_bars, {r6("(both_on / CAST(either_on AS DOUBLE) + pitch) / 2", "similarity")} FROM rated WHERE (both_on / CAST(either_on AS DOUBLE) + pitch) / 2 >= 0.5"""))
+#: Targets are the patterns whose id ends so, about one of 85.
+TARGETS = ("00", "55", "aa")
+
+
+@registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"""placed AS (
+    SELECT pattern_id, num_bars, pitch_classes AS pc, list_filter(range(1, len(onset_grid) + 1), lambda k: onset_grid[k] = 1) AS steps, sqrt(list_sum(list_transform(pitch_classes, lambda x: x * x))) AS size FROM patterns
+), near AS (
+    SELECT t.pattern_id AS target, p.pattern_id, p.num_bars, len(list_intersect(p.steps, t.steps)) AS both_on, len(p.steps) AS a, len(t.steps) AS b, p.pc AS pa, t.pc AS pb, p.size AS sa, t.size AS sb
+    FROM placed p JOIN placed t ON right(t.pattern_id, 2) IN {TARGETS} AND p.pattern_id <> t.pattern_id AND len(p.steps) >= 0.59 * len(t.steps) AND len(t.steps) >= 0.59 * len(p.steps)
+), rated AS (
+    SELECT target, pattern_id, num_bars, (both_on / CAST(a + b - both_on AS DOUBLE) + list_sum(list_transform(list_zip(pa, pb), lambda z: z[1] * z[2])) / (sa * sb)) / 2 AS similarity
+    FROM near WHERE both_on >= 0.59 * (a + b - both_on)
+)""", f"""SELECT target, pattern_id, num_bars, {r6("similarity", "similarity")} FROM rated WHERE similarity >= 0.8"""))
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stored(spark, sf_dir)[0]
-    targets = patterns.search(found, bars=1, limit=10)
-    return rounded(patterns.find_similar(found, targets, rows=10), "similarity")
+    found = cut(stored(spark, sf_dir)[0])
+    return rounded(patterns.find_similar(found, found.where(F.right("pattern_id", F.lit(2)).isin(*TARGETS))), "similarity")
