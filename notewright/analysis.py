@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.operators import arpeggios, chords, chunks, features, keys, paths, patterns, roles, sections, timing
+from notewright.shared import cut
 from notewright.sources import smf
 
 
 @dataclass
 class Analysis:
-    """Tables of all songs below a path, each lazy: nothing is read before a table is asked for."""
+    """Tables of all songs below a path. The files are decoded once, into events; all else is lazy."""
 
     events: DataFrame
     songs: DataFrame
@@ -34,7 +35,7 @@ class Analysis:
 
 def analyze(spark: SparkSession, path: str, slugs: Column | None = None) -> Analysis:
     """Analyse all Standard MIDI Files below a path. slugs: a map of artists' slugs to names, for files that are named by them."""
-    events = smf.read_events(spark, path)
+    events = cut(smf.read_events(spark, path))
     notes = smf.notes(events).drop("start_tick")
     meters = smf.signature_map(events)
     totals = smf.totals(events)

@@ -1,10 +1,13 @@
 """Queries on Standard MIDI Files: note tables written as files, and read again."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright import shared
 from notewright.plans.sql import NOTES_A, query
-from notewright.sources import smf
+from notewright.sources import scores, smf
 from notewright.sources.notes import notes_from_events
 
 QUERIES: dict = {}
@@ -45,7 +48,10 @@ onoff AS (
 FROM paired JOIN main_channel USING (song_id, track_id) WHERE kind = 1 AND off_kind = 0"""))
 def file_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes as they come back from files: paired by pitch and channel, in the files' tracks (the first is the conductor's)."""
-    events = smf.decode_files(files(spark, sf_dir))
+    return numbered_notes(shared.cut(smf.decode_files(files(spark, sf_dir))))
+
+
+def numbered_notes(events: DataFrame) -> DataFrame:
     songs = events.select("song_id", number().alias("n")).distinct()
     return smf.notes(events).join(songs, "song_id").select(F.col("n").alias("song_id"), F.col("track_id").cast("long").alias("track_id"), "start_beat", "duration_beats", "pitch", "velocity", "channel")
 
@@ -54,7 +60,7 @@ def file_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT string_agg('Track ' || t, ',' ORDER BY t) FROM (SELECT DISTINCT track_id AS t FROM notes n WHERE n.song_id = ends.song_id)) AS names, 120e0 AS bpm, 4 AS numerator, 4 AS denominator FROM ends"""))
 def file_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What files say of their songs: length, tracks and their names, tempo and meter."""
-    events = smf.decode_files(files(spark, sf_dir))
+    events = shared.cut(smf.decode_files(files(spark, sf_dir)))
     tracks = smf.tracks(events).groupBy("song_id").agg(F.count(F.lit(1)).alias("tracks"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
     maps = smf.tempo_map(events).select("song_id", "bpm").join(smf.signature_map(events).select("song_id", "numerator", "denominator"), "song_id")
     out = smf.totals(events).join(tracks, "song_id").join(maps, "song_id")
@@ -68,3 +74,34 @@ def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = given.withColumn("content", F.when(number() % 3 == 0, F.expr("substring(content, 1, length(content) - 3)")).otherwise(F.col("content")))
     events = smf.decode_files(short)
     return events.groupBy(number().alias("song_id")).agg(F.max((F.col("kind") == "error").cast("int")).alias("bad"), F.count_if(F.col("kind") == "note_on").alias("notes_on"))
+
+
+def folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files, one for each song, below the folder that all executors share."""
+    scores.register(spark)
+    to = f"{shared.folder(spark)}/scores-{uuid.uuid4().hex}"
+    files(spark, sf_dir).write.format("scores").mode("append").save(to)
+    return to
+
+
+@registered(ORACLE_SQL["file_notes"])
+def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of a folder of files, written and read by the data source, which takes the conditions on kinds of events."""
+    events = spark.read.format("scores").load(folder(spark, sf_dir)).where(F.col("kind").isin("note_on", "note_off"))
+    return numbered_notes(shared.cut(events))
+
+
+@registered(query(NOTES_A, ON_OFF, "SELECT song_id, place AS track_id, count(*) FILTER (kind = 1) AS ons, count(*) FILTER (kind = 0) AS offs, max(tick) AS last_tick FROM placed WHERE place = 2 GROUP BY 1, 2"))
+def source_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one track of each file, its notes: the source passes the other tracks over."""
+    events = spark.read.format("scores").load(folder(spark, sf_dir)).where((F.col("track_id") == 2) & F.col("kind").isin("note_on", "note_off"))
+    out = events.groupBy(number().alias("song_id"), F.col("track_id").cast("long").alias("track_id"))
+    return out.agg(F.count_if(F.col("kind") == "note_on").alias("ons"), F.count_if(F.col("kind") == "note_off").alias("offs"), F.max("tick").cast("int").alias("last_tick"))
+
+
+@registered(query(NOTES_A, ON_OFF, "SELECT song_id, count(*) FILTER (kind = 1) AS ons, count(*) FILTER (kind = 0) AS offs FROM onoff GROUP BY 1"))
+def table_function_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of contents in a table, by the table function."""
+    scores.register(spark)
+    events = scores.DecodeSmf(files(spark, sf_dir).asTable())
+    return events.groupBy(number().alias("song_id")).agg(F.count_if(F.col("kind") == "note_on").alias("ons"), F.count_if(F.col("kind") == "note_off").alias("offs"))

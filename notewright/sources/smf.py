@@ -5,7 +5,7 @@ names, totals) is windows and groupings over the event table. A file that can't
 """
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 EVENTS = "path string, song_id string, format int, ppq int, track_id int, seq long, tick long, kind string, channel int, data1 int, data2 int, text string, error string"
 META = {1: "text", 2: "copyright", 3: "track_name", 47: "end_of_track", 81: "set_tempo", 88: "time_signature"}
+#: Columns of EVENTS as Arrow types; events that a batch holds about.
+ARROW = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[kind]) for name, kind in (f.split(" ") for f in EVENTS.split(", "))])
+BATCH = 65_536
+#: Kinds of events that decoding gives, besides error.
+KINDS = (*META.values(), "note_on", "note_off", "end")
 #: Data bytes of channel messages by their high nibble.
 LENGTHS = {0x8: 2, 0x9: 2, 0xA: 2, 0xB: 2, 0xC: 1, 0xD: 1, 0xE: 2}
 
@@ -28,8 +33,9 @@ def _number(data: bytes, at: int) -> tuple[int, int]:
             return value, at
 
 
-def decode(data: bytes) -> Iterator[tuple]:
-    """(format, ppq, track, seq, tick, kind, channel, data1, data2, text) of every event that matters. Raises ValueError."""
+def decode(data: bytes, tracks_wanted: Container[int] | None = None) -> Iterator[tuple]:
+    """(format, ppq, track, seq, tick, kind, channel, data1, data2, text) of every event that matters, of the tracks wanted (all, if None).
+    Raises ValueError; what is wrong inside a track that isn't wanted goes unseen."""
     if data[:4] != b"MThd":
         raise ValueError("not a MIDI file")
     size, kind, tracks, ppq = struct.unpack(">IHHH", data[4:14])
@@ -43,6 +49,9 @@ def decode(data: bytes) -> Iterator[tuple]:
             continue
         if len(body) < length:
             raise ValueError("a track is cut short")
+        if tracks_wanted is not None and track not in tracks_wanted:
+            track += 1
+            continue
         k, tick, status = 0, 0, 0
         while k < len(body):
             delta, k = _number(body, k)
@@ -90,24 +99,41 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return decode_files(files.select("path", "content"))
 
 
+def event_batches(files: Iterator[tuple[str, str, Callable[[], bytes]]], tracks_wanted: Container[int] | None = None, kinds: Container[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of EVENTS of (path, song_id, content) files, about BATCH events each; kinds: those wanted, if not all. A file that can't be read or decoded is
+    one row of kind error."""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+    held: list[tuple] = []
+    for path, song, content in files:
+        try:
+            rows = [(path, song, *event, None) for event in decode(content(), tracks_wanted) if kinds is None or event[5] in kinds]
+        except (ValueError, IndexError, struct.error, OSError) as e:
+            rows = [(path, song, None, None, None, None, None, "error", None, None, None, None, str(e))] if kinds is None or "error" in kinds else []
+        held += rows
+        if len(held) >= BATCH:
+            yield packed(held)
+            held = []
+    if held:
+        yield packed(held)
+
+
+def song_id(path: F.Column) -> F.Column:
+    """A song is known by the start of its path's MD5."""
+    return F.substring(F.md5(path.cast("binary")), 1, 12)
+
+
 def decode_files(files: DataFrame) -> DataFrame:
+    """files (path, content) -> EVENTS."""
     clean = F.regexp_replace("path", "^file:(//)?", "")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split(" ")[0] for f in EVENTS.split(", ")]
-        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-        schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in EVENTS.split(", ")])
-        for batch in batches:
-            for path, song, content in zip(*(batch.column(c).to_pylist() for c in ("path", "song_id", "content")), strict=True):
-                rows = []
-                try:
-                    for kind, ppq, track, seq, tick, label, channel, a, b, text in decode(content):
-                        rows.append((path, song, kind, ppq, track, seq, tick, label, channel, a, b, text, None))
-                except (ValueError, IndexError, struct.error) as e:
-                    rows = [(path, song, None, None, None, None, None, "error", None, None, None, None, str(e))]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-
-    return files.select(clean.alias("path"), F.substring(F.md5(clean.cast("binary")), 1, 12).alias("song_id"), "content").mapInArrow(scan, EVENTS)
+        given = ((path.as_py(), song.as_py(), content.as_py) for b in batches for path, song, content in zip(*(b.column(c) for c in ("path", "song_id", "content")), strict=True))
+        return event_batches(given)
+
+    return files.select(clean.alias("path"), song_id(clean).alias("song_id"), "content").mapInArrow(scan, EVENTS)
 
 
 def notes(events: DataFrame) -> DataFrame:
