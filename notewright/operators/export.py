@@ -101,3 +101,20 @@ def program(role: F.Column, variation: int | None = None) -> F.Column:
 def instrument_name(program: F.Column) -> F.Column:
     """The name of a General MIDI program, numbers beyond 0 to 127 as they are."""
     return F.when((program >= 0) & (program < len(INSTRUMENTS)), F.get(F.array(*map(F.lit, INSTRUMENTS)), program)).otherwise(F.concat(F.lit("Program "), program.cast("string")))
+
+
+def clip_json(clips: DataFrame, notes: DataFrame) -> DataFrame:
+    """(clip_id, json) of clips (clip_id, song_id, track_id, role, artist, genres, note_count) with their notes, and track_name if it is there."""
+    note = F.struct("start_beat", "note_seq", F.struct("pitch", "velocity", "start_beat", "duration_beats").alias("n"))
+    own = notes.join(clips.select(*TRACK).distinct(), TRACK, "left_semi").groupBy(*TRACK).agg(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["n"]).alias("notes"))
+    named = clips if "track_name" in clips.columns else clips.withColumn("track_name", F.lit(""))
+    shown = ["clip_id", "track_name", "role", "artist", "genres", "note_count", "notes"]
+    return named.join(own, TRACK, "left").fillna({"track_name": "", "artist": ""}).select("clip_id", F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def clip_files(clips: DataFrame, notes: DataFrame, bpm: float = 120.0, transpose: int = 0) -> DataFrame:
+    """(clip_id, content): a file of each clip's track, from its first note on."""
+    from notewright.sources.smf import encode_songs
+
+    own = transform(notes.join(clips.select("clip_id", *TRACK), TRACK), transpose=transpose)
+    return encode_songs(own.drop("song_id").withColumnRenamed("clip_id", "song_id"), bpm).withColumnRenamed("song_id", "clip_id")
