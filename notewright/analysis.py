@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.operators import arpeggios, chords, chunks, features, keys, paths, patterns, roles, sections, timing
@@ -33,8 +33,8 @@ class Analysis:
     errors: DataFrame
 
 
-def analyze(spark: SparkSession, path: str, slugs: Column | None = None) -> Analysis:
-    """Analyse all Standard MIDI Files below a path. slugs: a map of artists' slugs to names, for files that are named by them."""
+def analyze(spark: SparkSession, path: str, slugs: DataFrame | None = None) -> Analysis:
+    """Analyse all Standard MIDI Files below a path. slugs: (slug, name) of artists, for files that are named by them."""
     events = cut(smf.read_events(spark, path))
     notes = smf.notes(events).drop("start_tick")
     meters = smf.signature_map(events)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notewright.operators import grams
 from notewright.operators.features import TRACK
 from notewright.operators.targets import against
 
@@ -57,6 +58,11 @@ def find(table: DataFrame, q: ClipQuery) -> DataFrame:
     return table if q.limit is None else table.orderBy(c("note_count").desc(), "clip_id").offset(q.offset).limit(q.limit)
 
 
+def find_indexed(table: DataFrame, q: ClipQuery, index: DataFrame) -> DataFrame:
+    """What `find` gives, by an index of artists (grams.postings by clip_id)."""
+    return grams.search(table, index, "clip_id", q.artist or "", lambda rows: find(rows, q))
+
+
 def stats(table: DataFrame) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("clips"), F.count_distinct("song_id").alias("songs"), F.count_distinct(F.nullif("artist", F.lit(""))).alias("artists"))
 
@@ -100,6 +106,16 @@ def filter_text(table: DataFrame, text: str) -> DataFrame:
     return table.where(F.contains(F.lower(F.concat_ws("\n", "artist", "title", F.array_join("genres", "\n"))), F.lit(low)))
 
 
+def browser_text() -> Column:
+    """What `filter_text` looks into."""
+    return F.concat_ws("\n", "artist", "title", F.array_join("genres", "\n"))
+
+
+def filter_indexed(table: DataFrame, text: str, index: DataFrame) -> DataFrame:
+    """What `filter_text` gives, by an index of `browser_text` (grams.postings by clip_id). % and _ stand for themselves."""
+    return grams.search(table, index, "clip_id", text, lambda rows: filter_text(rows, text))
+
+
 def songs_per_artist(table: DataFrame) -> DataFrame:
     return table.groupBy(F.coalesce(F.nullif("artist", F.lit("")), F.lit("Unknown")).alias("artist")).agg(F.count_distinct("song_id").alias("songs"))
 

@@ -82,9 +82,9 @@ def is_number(word: Column) -> Column:
     return word.rlike(r"^\p{Nd}+$")
 
 
-def segment(stem: Column, slugs: Column | None = None) -> Column:
-    """artist-slug[-artist-slug...]-title by a dictionary of slugs (a map of slug to name): again and again the longest prefix that is known.
-    Without a known artist the first two of three words are the artist, or the first half of more."""
+def segment(stem: Column, known: Column | None = None) -> Column:
+    """artist-slug[-artist-slug...]-title. known (of `known_artists`): names of the artists that it begins with, and the words these take. Without
+    a known artist the first two of three words are the artist, or the first half of more."""
     words = F.split(F.lower(stem), "-")
     rest = F.filter(words, lambda w: ~is_number(w))
     joined = lambda x: title_case(F.array_join(x, " "))
@@ -94,35 +94,37 @@ def segment(stem: Column, slugs: Column | None = None) -> Column:
         return F.when(F.size(x) >= 3, guess(joined(F.slice(x, F.lit(1), n)), joined(F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))), HEURISTIC))
 
     by_words = F.transform(F.array(rest), halves)[0]
-    if slugs is None:
+    if known is None:
         return by_words
+    left = F.filter(F.slice(words, known["words"] + 1, F.size(words)), lambda w: ~is_number(w))
+    artist = F.array_join(known["names"], ", ")
+    named = F.when(F.size(left) > 0, guess(artist, joined(left), KNOWN)).otherwise(guess(artist, F.lit(""), KNOWN_UNTITLED))
+    return F.when(F.size(words) >= 2, F.when(known.isNotNull(), named).otherwise(by_words))
 
-    def fold(all_words: Column) -> Column:
-        def longest(at: Column) -> Column:
-            """Words of the longest known slug from word `at` on, 0 if none."""
-            sizes = F.sequence(F.size(all_words) - at, F.lit(1), F.lit(-1))
-            known = F.filter(sizes, lambda n: F.element_at(slugs, F.array_join(F.slice(all_words, at + 1, n), "-")).isNotNull())
-            return F.when(at < F.size(all_words), F.coalesce(F.get(known, F.lit(0)), F.lit(0))).otherwise(0)
 
-        def step(a: Column, _: Column) -> Column:
-            def take(n: Column) -> Column:
-                name = F.element_at(slugs, F.array_join(F.slice(all_words, a["at"] + 1, n), "-"))
-                return F.when(n == 0, F.struct(a["at"].alias("at"), a["names"].alias("names"), F.lit(False).alias("on"))).otherwise(F.struct((a["at"] + n).alias("at"), F.concat(a["names"], F.array(name)).alias("names"), F.lit(True).alias("on")))
+def known_artists(stems: DataFrame, slugs: DataFrame) -> DataFrame:
+    """stems (stem), slugs (slug, name) -> (stem, known: names, words) of the stems that begin with a known slug: again and again the longest one that the
+    words go on with.
 
-            return F.when(a["on"], F.transform(F.array(longest(a["at"])), take)[0]).otherwise(a)
+    Every run of words of a stem, up to the longest slug's number of words, meets the dictionary by one equi-join, of any size on both sides; what is found is walked from
+    word to word within a stem's row. Of repeated slugs the least name counts.
+    """
+    one = slugs.where("slug is not null").groupBy(F.lower("slug").alias("slug")).agg(F.min("name").alias("name"))
+    longest = one.agg(F.max(F.size(F.split("slug", "-")))).first()[0] or 0
+    cut_up = stems.select("stem").distinct().withColumn("w", F.split(F.lower("stem"), "-")).where(F.size("w") >= 2)
+    most = lambda at: F.least(F.lit(longest), F.size("w") - at)
+    at = cut_up.select("stem", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
+    runs = at.where(most(F.col("at")) >= 1).select("stem", "at", "w", F.explode(F.sequence(F.lit(1), most(F.col("at")))).alias("n"))
+    met = runs.select("stem", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), "-").alias("slug")).join(one, "slug")
+    best = met.groupBy("stem", "at").agg(F.max(F.struct("n", "name")).alias("x"))
+    listed = best.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("found"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("names"), F.lit(True).alias("on"))
-        done = F.aggregate(F.sequence(F.lit(1), F.size(all_words)), start, step)
+    def step(a: Column, _: Column) -> Column:
+        return F.transform(F.array(F.element_at("found", a["words"])), lambda x: F.when(x.isNull(), a).otherwise(F.struct((a["words"] + x["n"]).alias("words"), F.concat(a["names"], F.array(x["name"])).alias("names"))))[0]
 
-        def told(d: Column) -> Column:
-            left = F.filter(F.slice(all_words, d["at"] + 1, F.size(all_words)), lambda w: ~is_number(w))
-            artist = F.array_join(d["names"], ", ")
-            named = F.when(F.size(left) > 0, guess(artist, joined(left), KNOWN)).otherwise(guess(artist, F.lit(""), KNOWN_UNTITLED))
-            return F.when(F.size(d["names"]) > 0, named).otherwise(by_words)
-
-        return F.transform(F.array(done), told)[0]
-
-    return F.when(F.size(words) >= 2, F.transform(F.array(words), fold)[0])
+    start = F.struct(F.lit(0).alias("words"), F.array().cast("array<string>").alias("names"))
+    walked = listed.withColumn("known", F.aggregate(F.sequence(F.lit(1), F.size("found")), start, step))
+    return walked.where("known.words > 0").select("stem", "known")
 
 
 def from_hyphens(stem: Column) -> Column:
@@ -133,23 +135,27 @@ def from_hyphens(stem: Column) -> Column:
     return F.when(F.contains(stem, F.lit("-")), F.when(F.size(words) == 1, one).when(F.size(words) == 2, two))
 
 
-def metadata(files: DataFrame, path: str = "path", slugs: Column | None = None, title: Column | None = None, copyright: Column | None = None) -> DataFrame:
+def metadata(files: DataFrame, path: str = "path", slugs: DataFrame | None = None, title: Column | None = None, copyright: Column | None = None) -> DataFrame:
     """files with artist, title, source, confidence: the surest of what the file says (its title and copyright line, if given), its folders
-    and its name; gaps are filled by the next. Artist and title may be empty."""
+    and its name; gaps are filled by the next. Artist and title may be empty. slugs: (slug, name) of known artists."""
     parts = F.split(F.regexp_replace(path, "/+", "/"), "/")
     stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]+$", "")
     clean = clean_stem(stem)
     inside = from_midi(F.lit("") if title is None else title, F.lit("") if copyright is None else copyright)
-    name = F.coalesce(from_separator(clean), segment(clean, slugs), from_hyphens(clean), guess(F.lit(""), clean_title(clean), WHOLE))
+    given, known = files, None
+    if slugs is not None:
+        found = known_artists(files.select(clean.alias("stem")), slugs).withColumnRenamed("stem", "_stem")
+        files, known = files.join(found.withColumnRenamed("known", "_known"), clean == F.col("_stem"), "left"), F.col("_known")
+    name = F.coalesce(from_separator(clean), segment(clean, known), from_hyphens(clean), guess(F.lit(""), clean_title(clean), WHOLE))
     told = F.filter(F.array(inside, from_folders(parts, stem), name), lambda g: g.isNotNull())
     ranked = F.array_sort(F.transform(told, lambda g, k: F.struct((-g["confidence"]).alias("o"), k.alias("k"), g.alias("g"))))
     out = files.withColumn("_r", ranked)
     first = lambda f: F.coalesce(F.get(F.filter(F.transform("_r", lambda x: x["g"][f]), lambda v: v != ""), F.lit(0)), F.lit(""))
     best = F.get("_r", F.lit(0))["g"]
-    return out.select(*files.columns, first("artist").alias("artist"), first("title").alias("title"), best["source"].alias("source"), best["confidence"].alias("confidence"))
+    return out.select(*given.columns, first("artist").alias("artist"), first("title").alias("title"), best["source"].alias("source"), best["confidence"].alias("confidence"))
 
 
-def songs(files: DataFrame, titles: DataFrame, path: str = "path", slugs: Column | None = None) -> DataFrame:
+def songs(files: DataFrame, titles: DataFrame, path: str = "path", slugs: DataFrame | None = None) -> DataFrame:
     """files (song_id, path) with what `sources.smf.titles` read from them."""
     told = titles.select("song_id", F.col("title").alias("_title"), F.col("copyright").alias("_copyright"))
     return metadata(files.join(told, "song_id", "left"), path, slugs, F.col("_title"), F.col("_copyright")).drop("_title", "_copyright")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notewright.operators import grams
 from notewright.operators.features import TRACK
 from notewright.operators.targets import against
 from notewright.shared import cut
@@ -155,10 +156,10 @@ def store(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return patterns, instances
 
 
-def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataFrame | None = None, roles: DataFrame | None = None, *, rhythm_hash: str | None = None, pitch_hash: str | None = None, bars: int | None = None, least: int | None = None, most: int | None = None, track: int | None = None, artist: str | None = None, genre: str | None = None, tags: list[str] | None = None, role: str | None = None, order: str = "occurrences", ascending: bool = False, offset: int = 0, limit: int | None = None) -> DataFrame:
+def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataFrame | None = None, roles: DataFrame | None = None, *, rhythm_hash: str | None = None, pitch_hash: str | None = None, bars: int | None = None, least: int | None = None, most: int | None = None, track: int | None = None, artist: str | None = None, genre: str | None = None, tags: list[str] | None = None, role: str | None = None, order: str = "occurrences", ascending: bool = False, offset: int = 0, limit: int | None = None, artists: DataFrame | None = None) -> DataFrame:
     """Patterns that meet every criterion given; those on songs and tracks by semi-joins, so nothing is counted twice.
 
-    songs: (song_id, artist, genres, tags); one tag of those asked is enough. roles: (song_id, track_id, primary_role). Criteria on songs
+    artists: an index of the songs' artists (grams.postings by song_id), if there is one. songs: (song_id, artist, genres, tags); one tag of those asked is enough. roles: (song_id, track_id, primary_role). Criteria on songs
     and tracks must hold for one and the same instance."""
     out = patterns
     for column, value in (("rhythm_hash", rhythm_hash), ("pitch_hash", pitch_hash), ("num_bars", bars)):
@@ -172,7 +173,8 @@ def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataF
     if track is not None:
         placed = placed.where(F.col("track_id") == track)
     if artist is not None:
-        placed = placed.join(songs.where(F.col("artist").ilike(f"%{artist}%")), "song_id", "left_semi")
+        holds = lambda rows: rows.where(F.col("artist").ilike(f"%{artist}%"))
+        placed = placed.join(holds(songs) if artists is None else grams.search(songs, artists, "song_id", artist, holds), "song_id", "left_semi")
     if genre is not None:
         placed = placed.join(songs.where(F.exists("genres", lambda g: g.ilike(f"%{genre}%"))), "song_id", "left_semi")
     if tags:
