@@ -241,7 +241,7 @@ def test_paths(spark):
         "some_song.mid": ("", "Some Song", "filename_fallback", 0.3),
         "tune-20230130024203-midi-karaoke.info.mid": ("", "Tune", "filename_fallback", 0.3),
     }
-    slugs = F.create_map(*[F.lit(x) for x in ("le-youth", "Le Youth", "jerro", "Jerro", "lizzy-land", "Lizzy Land", "a-b-c-d-e-f", "A B C D E F", "a", "A")])
+    slugs = spark.createDataFrame([("le-youth", "Le Youth"), ("jerro", "Jerro"), ("lizzy-land", "Lizzy Land"), ("a-b-c-d-e-f", "A B C D E F"), ("a", "A")], "slug string, name string")
     got = paths.metadata(spark.createDataFrame([(f,) for f in cases], "path string"), slugs=slugs).collect()
     assert {r.path: (r.artist, r.title, r.source, r.confidence) for r in got} == cases
 
