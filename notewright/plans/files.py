@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from notewright import shared
 from notewright.plans.sql import NOTES_A, query
+from notewright.operators import changes
 from notewright.sources import scores, smf
 from notewright.sources.notes import notes_from_events
+from notewright.streaming import index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +107,39 @@ def table_function_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores.register(spark)
     events = scores.DecodeSmf(files(spark, sf_dir).asTable())
     return events.groupBy(number().alias("song_id")).agg(F.count_if(F.col("kind") == "note_on").alias("ons"), F.count_if(F.col("kind") == "note_off").alias("offs"))
+
+
+INDEXED = """
+paired AS (SELECT *, lead(kind) OVER w AS off_kind FROM placed WINDOW w AS (PARTITION BY song_id, track_id, pitch ORDER BY position)),
+counted AS (SELECT song_id, track_id, place, count(*) AS note_count FROM paired WHERE kind = 1 AND off_kind = 0 GROUP BY 1, 2, 3),
+ends AS (SELECT song_id, CAST(floor(max(tick) / 480e0 / 4) AS INTEGER) + 1 AS duration_bars FROM onoff GROUP BY 1),
+clips AS (
+    SELECT left(md5('/x/Artist ' || song_id % 3 || ' - Song ' || song_id || '.mid'), 12) || '_' || place AS clip_id, song_id, place, note_count, duration_bars, m.channel, 'Track ' || track_id AS track_name, song_id % 3 AS a
+    FROM counted JOIN ends USING (song_id) JOIN main_channel m USING (song_id, track_id)
+)"""
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content, modificationTime) of files named by artist and title."""
+    path = F.concat(F.lit("/x/Artist "), (number() % 3).cast("string"), F.lit(" - Song "), number().cast("string"), F.lit(".mid"))
+    return files(spark, sf_dir).select(path.alias("path"), "content", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"))
+
+
+@registered(query(NOTES_A, ON_OFF, INDEXED, "SELECT clip_id, CAST(place AS INTEGER) AS track_id, note_count, duration_bars, channel, track_name, 'Artist ' || a AS artist, 'Song ' || song_id AS title, 'rock,jazz' AS genres, 'new' AS tags FROM clips"))
+def index_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a folder's clips, of which each file has come twice; an unknown genre is left out."""
+    given, to = shared.cut(named_files(spark, sf_dir)), f"{shared.folder(spark)}/clips-{uuid.uuid4().hex}"
+    for _ in range(2):
+        index.index_files(given, to, genres_given=["Rock", "jazz music", "no such genre", "rock"], tags=["new"])
+    out = changes.load(spark, to)
+    return out.select("clip_id", "track_id", "note_count", "duration_bars", "channel", "track_name", "artist", "title", F.array_join("genres", ",").alias("genres"), F.array_join("tags", ",").alias("tags"))
+
+
+@registered(query(NOTES_A, ON_OFF, INDEXED, "SELECT clip_id, CASE WHEN song_id % 2 = 0 THEN 'Song ' || song_id ELSE 'old' END AS title, CASE WHEN place = 2 THEN 'rock,no such genre' ELSE '' END AS genres FROM clips"))
+def update_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles derived again from paths, where these say one; genres given later keep what isn't known."""
+    clips = shared.cut(index.described(shared.cut(smf.decode_files(named_files(spark, sf_dir).select("path", "content"))), title="old"))
+    odd = F.regexp_extract("source_path", r"(\d+)\.mid$", 1).cast("long") % 2 == 1
+    silent = clips.withColumn("source_path", F.when(odd, F.lit("")).otherwise(F.col("source_path")))
+    named = index.update_metadata(index.update_titles(silent), F.col("track_id") == 2, genres_given=["Rock", "no such genre"])
+    return named.select("clip_id", "title", F.array_join("genres", ",").alias("genres"))

@@ -7,6 +7,7 @@ from notewright.operators import export, features, genres, library, paths
 from notewright.plans.sql import FEATURES, NOTES_A, ROLES, query, values
 from notewright.plans.tracks import all_roles, r6, rounded
 from notewright.sources.notes import notes_from_events
+from notewright.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -279,8 +280,12 @@ def song_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.duration_seconds(notes_from_events(spark, sf_dir))
 
 
-@registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@registered("""SELECT path, md5(path || ':' || length || ':2024-01-01 00:00:00') AS key FROM (SELECT *, '/songs/' || c_custkey || '.mid' AS path, c_custkey % 1000 + 100 AS length FROM customer)
+WHERE c_custkey % 5 = 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
 def unprocessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What has not been processed: an anti-join with what has."""
-    done = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(done, "c_custkey", "left_anti")
+    """Files that aren't done: those of customers with finished orders are, but every fifth has changed in length since."""
+    when = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("/songs/"), F.col("c_custkey").cast("string"), F.lit(".mid")).alias("path"), (F.col("c_custkey") % 1000 + 100).alias("length"), when.alias("modificationTime"))
+    finished = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    seen = files.join(finished, "c_custkey", "left_semi").withColumn("length", F.col("length") - (F.col("c_custkey") % 5 == 0).cast("long"))
+    return ingest.unprocessed(files, seen.select(ingest.file_key().alias("key"))).select("path", "key")
