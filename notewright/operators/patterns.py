@@ -4,7 +4,7 @@ Pairs of similar patterns are found by prefixes: with the steps of a grid ordere
 n - ceil(j n) + 1 of n steps. A pair is met at the first step that both prefixes hold, so it is met once.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -189,10 +189,13 @@ def search(patterns: DataFrame, instances: DataFrame | None = None, songs: DataF
 
 
 def page(found: DataFrame, offset: int = 0, limit: int = 50) -> tuple[DataFrame, int, bool]:
-    """(a page of what `search` found, the number of all, whether there are more)."""
-    total = found.count()
-    rows = found.orderBy(F.col("occurrences").desc(), "pattern_id", "num_bars").offset(offset).limit(limit)
-    return rows, total, offset + limit < total
+    """(a page of what `search` found, the number of all, whether there are more), of one job: the rows are counted as they pass to the
+    page's top. The page itself, `limit` rows, comes to the driver."""
+    seen = Observation()
+    counted = found.observe(seen, F.count(F.lit(1)).alias("total"))
+    rows = counted.orderBy(F.col("occurrences").desc(), "pattern_id", "num_bars").offset(offset).limit(limit).collect()
+    total = seen.get["total"] or 0
+    return found.sparkSession.createDataFrame(rows, found.schema), total, offset + limit < total
 
 
 def described(found: DataFrame, instances: DataFrame, songs: DataFrame, most: int = 10) -> DataFrame:

@@ -59,7 +59,13 @@ def delete(spark: SparkSession, root: str, song_id: int, buckets: int = BUCKETS)
         left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
 
 
-def listing(songs: DataFrame, metadata: DataFrame, artist: str | None = None) -> DataFrame:
-    """Songs with their metadata; with an artist only those that have it."""
-    both = songs.where("song_id is not null").join(metadata, "song_id", "left")
-    return both if artist is None else both.where(F.col("artist").ilike(f"%{artist}%"))
+def listing(songs: DataFrame, metadata: DataFrame, artist: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Songs with their metadata. With an artist only those that have it, by artist and title; else, if a limit is given, a page of all, the youngest first (created_at, then
+    song_id)."""
+    real = songs.where("song_id is not null")
+    if artist is not None:
+        out, order = real.join(metadata, "song_id").where(F.col("artist").ilike(f"%{artist}%")), ["artist", "title", "song_id"]
+        return out.orderBy(*order) if limit is None else out.orderBy(*order).offset(offset).limit(limit)
+    out = real.join(metadata, "song_id", "left")
+    young = [F.col("created_at").desc()] if "created_at" in songs.columns else []
+    return out if limit is None else out.orderBy(*young, "song_id").offset(offset).limit(limit)

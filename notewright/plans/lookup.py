@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.operators import grams, library, paths, patterns
+from notewright.operators import grams, library, paths, patterns, store
 from notewright.plans import library as clips_plan
 from notewright.plans import repeats
-from notewright.plans.sql import query
+from notewright.plans.sql import NOTES_B, query
+from notewright.sources import cache
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,3 +80,50 @@ def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems, slugs = slug_tables(spark, sf_dir)
     known = paths.known_artists(stems, slugs)
     return stems.join(known, "stem").select("c_custkey", F.col("known.words").alias("words"), F.array_join("known.names", ", ").alias("artists"))
+
+
+@registered(query(NOTES_B, repeats.CHUNKS, repeats.PRINTS, repeats.STORE, f"SELECT {repeats.LIST}, (SELECT count(*) FROM patterns) AS total, (SELECT count(*) FROM patterns) > 100 AS has_more FROM patterns ORDER BY occurrences DESC, pattern_id, num_bars LIMIT 50 OFFSET 50"))
+def pattern_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of patterns, how many there are, and whether more follow, of one job."""
+    rows, total, more = patterns.page(patterns.search(repeats.stored(spark, sf_dir)[0]), offset=50, limit=50)
+    return rows.select(*repeats.SHOWN, F.lit(total).cast("long").alias("total"), F.lit(more).alias("has_more"))
+
+
+LISTED = """
+songs AS (SELECT c_custkey AS song_id, c_custkey * 7919 % 1000003 AS created_at FROM customer),
+metadata AS (SELECT c_custkey AS song_id, c_name AS artist, lower(c_mktsegment) AS title FROM customer WHERE c_custkey % 3 > 0)"""
+
+
+def song_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    songs = c.select(F.col("c_custkey").alias("song_id"), (F.col("c_custkey") * 7919 % 1000003).alias("created_at"))
+    return songs, c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("song_id"), F.col("c_name").alias("artist"), F.lower("c_mktsegment").alias("title"))
+
+
+@registered(query(LISTED, "SELECT song_id, created_at, coalesce(artist, '') AS artist, coalesce(title, '') AS title FROM songs LEFT JOIN metadata USING (song_id) ORDER BY created_at DESC, song_id LIMIT 40 OFFSET 20"))
+def song_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of all songs, the youngest first."""
+    return store.listing(*song_tables(spark, sf_dir), limit=40, offset=20).fillna("").select("song_id", "created_at", "artist", "title")
+
+
+@registered(query(LISTED, "SELECT song_id, created_at, artist, title FROM songs JOIN metadata USING (song_id) WHERE artist ILIKE '%customer#_%7'"))
+def song_listing_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.listing(*song_tables(spark, sf_dir), artist="CUSTOMER#_%7").where(F.col("artist").endswith("7")).select("song_id", "created_at", "artist", "title")
+
+
+NOW = 1_000_000
+
+
+@registered("""WITH answers AS (
+    SELECT user_id % 500 AS k, event_id, CASE event_type WHEN 'click' THEN 'search' WHEN 'error' THEN 'discogs' ELSE 'musicbrainz' END AS source, event_id * 137 % 1000003 AS stored, props AS body FROM events
+), youngest AS (SELECT * FROM answers WHERE event_type_kept(source) QUALIFY row_number() OVER (PARTITION BY k ORDER BY stored DESC) = 1)
+SELECT 'k' || k AS key, source, stored, body FROM youngest WHERE source <> 'discogs' AND k % 10 <> 3 AND stored + CASE source WHEN 'search' THEN 86400 ELSE 604800 END >= 1000000""".replace(" WHERE event_type_kept(source)", ""))
+def cache_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of answers after some were put in twice over, some removed, those of a source cleared, and what has expired cleaned up."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = F.when(F.col("event_type") == "click", "search").when(F.col("event_type") == "error", "discogs").otherwise("musicbrainz")
+    rows = e.select(F.concat(F.lit("k"), (F.col("user_id") % 500).cast("string")).alias("key"), source.alias("source"), (F.col("event_id") * 137 % 1000003).alias("stored"), F.col("props").alias("body"))
+    half = F.pmod(F.xxhash64("stored"), F.lit(2)) == 0
+    held = cache.put(cache.put(rows.where(half), rows.where(~half)), rows.where(half))
+    gone = rows.where(F.substring("key", -1, 1) == "3")
+    return cache.cleanup(cache.clear(cache.remove(held, gone), "discogs"), NOW)

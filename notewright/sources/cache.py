@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notewright.operators import changes
+
 # Days that an answer lives, by source.
 DAYS = {"search": 1, "musicbrainz": 7, "discogs": 7, "lastfm": 7}
 
@@ -17,11 +19,15 @@ def key(source: str, question: dict) -> str:
     return hashlib.sha256(f"{source}:{json.dumps(question, sort_keys=True)}".encode()).hexdigest()
 
 
-def is_fresh(now: float) -> F.Column:
+def expires() -> F.Column:
     days = F.lit(7)
     for source, n in DAYS.items():
         days = F.when(F.col("source") == source, n).otherwise(days)
-    return F.col("stored") + days * 86400 > now
+    return F.col("stored") + days * 86400
+
+
+def is_fresh(now: float) -> F.Column:
+    return expires() > now
 
 
 def fresh(cache: DataFrame, now: float) -> DataFrame:
@@ -40,6 +46,25 @@ def missing(questions: DataFrame, cache: DataFrame, now: float) -> DataFrame:
     return questions.join(fresh(cache, now).select("key"), "key", "left_anti")
 
 
+def put(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """cache with answers (key, source, body, stored), the youngest of each key."""
+    return changes.merged(cache, answers, "key", "stored")
+
+
+def remove(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    return cache.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def clear(cache: DataFrame, source: str | None = None) -> DataFrame:
+    """cache without all answers, or without those of a source."""
+    return cache.where(F.lit(False) if source is None else ~F.col("source").eqNullSafe(F.lit(source)))
+
+
+def cleanup(cache: DataFrame, now: float) -> DataFrame:
+    """cache without answers whose time has come; those that expire right now stay, though they are no longer given out."""
+    return cache.where(F.coalesce(expires() >= now, F.lit(True)))
+
+
 class Client:
     """Calls transport(question), at least `gap` seconds apart; errors double the wait, to five minutes at most."""
 
@@ -93,6 +118,12 @@ def releases(answers: DataFrame) -> DataFrame:
     return rows.select("key", "place", F.col("r.id").alias("id"), F.col("r.title").alias("title"), _credit("r").alias("artist"), F.col("r.date").alias("date"), F.col("r.country").alias("country"), label.alias("label"), _tags("r").alias("tags"))
 
 
+def by_id(answers: DataFrame, kind: str) -> DataFrame:
+    """answers (key, body) to questions by id, whose body is one thing and not a list: as `recordings`, `artists` or `releases` give it, a row each."""
+    parse = {"recording": recordings, "artist": artists, "release": releases}[kind]
+    return parse(answers.where("body is not null").select("key", F.concat(F.lit(f'{{"{kind}s":['), "body", F.lit("]}")).alias("body"))).drop("place")
+
+
 def genre_tags(*parsed: DataFrame) -> DataFrame:
     """(key, tags): the sorted union of the tags of recordings, releases or artists."""
     every = None
