@@ -41,7 +41,7 @@ def decode(data: bytes, tracks_wanted: Container[int] | None = None) -> Iterator
     size, kind, tracks, ppq = struct.unpack(">IHHH", data[4:14])
     if ppq & 0x8000:
         raise ValueError("SMPTE time is not supported")
-    at, seq, track = 8 + size, 0, 0
+    at, track = 8 + size, 0
     while track < tracks and at + 8 <= len(data):
         name, length = data[at : at + 4], struct.unpack(">I", data[at + 4 : at + 8])[0]
         body, at = data[at + 8 : at + 8 + length], at + 8 + length
@@ -52,7 +52,8 @@ def decode(data: bytes, tracks_wanted: Container[int] | None = None) -> Iterator
         if tracks_wanted is not None and track not in tracks_wanted:
             track += 1
             continue
-        k, tick, status = 0, 0, 0
+        # numbered from the track on, so that they don't depend on what else is decoded
+        k, tick, status, seq = 0, 0, 0, track << 32
         while k < len(body):
             delta, k = _number(body, k)
             tick += delta
