@@ -1,15 +1,15 @@
 """Figures of keys over the whole corpus, told to every unit of text that has them.
 
 An operator that needs, for every word or phrase of a text, a figure of the whole corpus deals its rows into units of text. A
-unit asks once for each distinct key: its sorted keys go out in at most COARSE messages, one for each range of keys, each with as many
+unit asks once for each distinct key: its sorted keys go out in one message for each range of keys that it has any of, with as many
 values as the operator adds up. A range adds up what all units sent and answers each. Keys travel as compressed planes of bytes.
 
-The number of messages is units times COARSE, so it grows with the text. Where the keys of a range would not fit a task, the ranges work in
-two steps: the messages of a range are first merged by slices of units, then each slice asks in finer ranges, and answers come back
-the same way. A key that every unit has is one entry of each message, and of each slice in the second step.
+There are as many ranges as the text needs for a range's keys to fit a task, and RANGES at least, so that small texts go the way of some 30 GB. A
+message holds one key or more, so there are never more messages than keys, and both grow with the text alone; from some 30 TB on, where a unit has a
+key or so in each range, a message is much like a row of a plain grouping by key.
 
-A unit is known by a hash of its rows, so that its answers find it however the scan that makes it is split; a unit whose answers are not
-there (because its input was not read alike) fails, and no count goes to another text.
+Units are written to the shared folder once, and all that is said of a unit is said of what was written: an executor that is lost
+changes none. A unit whose answers are not there fails, and no count goes to another text.
 """
 
 from collections.abc import Callable, Iterator
@@ -26,14 +26,14 @@ from notewright.llm.words import U64, portions, text_bytes
 
 #: Bytes of text in a unit, and of a piece that is worked on at once, about.
 UNIT, PIECE = 16_000_000, 2_000_000
-#: Ranges of keys that a unit asks; keys that a range, or a range's slice, may have in one task, about.
-COARSE, MOST_KEYS = 1024, 4_000_000
-#: Bytes of text to a token, about; only memory depends on it.
+#: Ranges of keys, at least; keys that all units send to a range, about.
+RANGES, MOST_KEYS = 4096, 4_000_000
+#: Bytes of text to a token, about; only the number of ranges depends on it.
 TOKEN = 5
 
 ASKED = "shard int, unit long, size int, body binary"
 TOLD = "unit long, shard int, size int, body binary, stats array<long>"
-CHANGED = "a unit's answers are not there: its input was not read alike each time"
+CHANGED = "a unit's answers are not there"
 Stats = Callable[[np.ndarray, list[np.ndarray]], list[int]]
 
 
@@ -82,16 +82,29 @@ def pack_rows(rows: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def packed(docs: DataFrame, part: Column) -> DataFrame:
-    """docs (doc_id, text) -> (unit, part, blob): the units' rows."""
+def stored(docs: DataFrame, part: Column) -> DataFrame:
+    """docs (doc_id, text) -> (unit, part, blob): the units' rows, written."""
 
     def keep(unit: int, k: int, rows: list[pa.RecordBatch]) -> pa.Table:
         return pa.table([pa.array([unit]), pa.array([k], pa.int32()), pa.array([pack_rows(rows)], pa.binary())], ["unit", "part", "blob"])
 
-    return units(docs, part, keep, "unit long, part int, blob binary")
+    # a file is looked at for its size after each unit, so that a group of rows that a task reads at once stays small
+    small = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2}
+    return table(units(docs, part, keep, "unit long, part int, blob binary"), "units", **small)
 
 
-def unpacked(blob: bytes) -> Iterator[pa.RecordBatch]:
+def each(stored: DataFrame, then: Callable[[int, int, Iterator[pa.RecordBatch]], pa.Table], schema: str) -> DataFrame:
+    """What `then` makes of each unit (its number, its part, its rows)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for unit, k, blob in zip(*b.columns, strict=True):
+                yield from then(unit.as_py(), k.as_py(), unpacked(blob.as_buffer())).to_batches()
+
+    return stored.select("unit", "part", "blob").mapInArrow(scan, schema)
+
+
+def unpacked(blob: bytes | pa.Buffer) -> Iterator[pa.RecordBatch]:
     """The rows of a unit, piece by piece."""
     yield from pa.ipc.open_stream(blob)
 
@@ -113,9 +126,14 @@ def runs(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(k, int(bounds[k]), int(bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds)).tolist()]
 
 
-def questions(unit: int, keys: np.ndarray, values: list[np.ndarray], shards: int | None = None) -> pa.Table:
+def ranges(bytes_in_all: int, per_token: float) -> int:
+    """Ranges for a text of that size, of which units send per_token keys for each token, about."""
+    return max(RANGES, -(-int(bytes_in_all / TOKEN * per_token) // MOST_KEYS))
+
+
+def questions(unit: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> pa.Table:
     """Messages of a unit: sorted distinct keys and the values (int64) that it adds to each."""
-    parts = runs(keys, shards or COARSE)
+    parts = runs(keys, shards)
     bodies = [squeeze(keys[a:b], *(v[a:b] for v in values)) for _, a, b in parts]
     return pa.table(
         [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([unit] * len(parts), pa.int64()), pa.array([b - a for _, a, b in parts], pa.int32()), pa.array(bodies, pa.binary())],
@@ -141,45 +159,18 @@ def _read(asked: pa.Table, columns: int) -> tuple[list[np.ndarray], list[list[np
     return [g[0] for g in got], [g[1:] for g in got]
 
 
-def tell(asked: DataFrame, text_bytes_in_all: int, per_token: float, how: list[np.ufunc], stats: Stats | None = None) -> DataFrame:
+def tell(asked: DataFrame, how: list[np.ufunc], stats: Stats | None = None) -> DataFrame:
     """asked (ASKED) -> TOLD: of each message the keys' values over all messages, in the order of its keys. stats: figures of the distinct
     keys, in one row of each range."""
-    n = len(how)
+    names = ["unit", "shard", "size"]
 
-    def top(asked: pa.Table, names: tuple[str, ...]) -> pa.Table:
-        keys, values = _read(asked, n)
+    def answer(asked: pa.Table) -> pa.Table:
+        keys, values = _read(asked, len(how))
         known, total, of = added(keys, values, how)
         noted = [list(stats(known, total)) if stats else None] + [None] * (len(of) - 1)
         return pa.table([*(asked.column(c) for c in names), pa.array([squeeze(*(t[o] for t in total)) for o in of], pa.binary()), pa.array(noted, pa.list_(pa.int64()))], [*names, "body", "stats"])
 
-    finer = -(-int(text_bytes_in_all / TOKEN * per_token) // (COARSE * MOST_KEYS))
-    if finer <= 1:
-        return asked.groupBy("shard").applyInArrow(lambda t: top(t, ("unit", "shard", "size")), TOLD)
-
-    def merge(asked: pa.Table) -> pa.Table:
-        keys, values = _read(asked, n)
-        known, total, _ = added(keys, values, how)
-        out = questions(0, known, total, COARSE * finer)
-        same = [pa.array([asked.column(c)[0].as_py()] * out.num_rows, pa.int32()) for c in ("shard", "slice")]
-        return pa.table([out.column("shard"), *same, out.column("size"), out.column("body")], ["fine", "shard", "slice", "size", "body"])
-
-    def down(asked: pa.Table, answered: pa.Table) -> pa.Table:
-        keys, values = _read(asked, n)
-        known, _, of = added(keys, values, how)
-        order = np.argsort(answered.column("fine").to_numpy())
-        sizes, bodies, noted = answered.column("size").to_pylist(), answered.column("body"), answered.column("stats").to_pylist()
-        got = [expand(bodies[k].as_py(), sizes[k], *[np.int64] * n) for k in order.tolist()]
-        total = [np.concatenate([g[c] for g in got]) for c in range(n)]
-        if len(total[0]) != len(known):
-            raise RuntimeError("a slice has changed since it asked")
-        sums = [s for s in noted if s]
-        first = [[sum(x) for x in zip(*sums, strict=True)] if sums else None] + [None] * (len(of) - 1)
-        return pa.table([asked.column("unit"), asked.column("shard"), asked.column("size"), pa.array([squeeze(*(t[o] for t in total)) for o in of], pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["unit", "shard", "size", "body", "stats"])
-
-    sliced = table(asked.withColumn("slice", F.pmod(F.xxhash64("unit"), F.lit(finer)).cast("int")), "asked")
-    up = sliced.groupBy("shard", "slice").applyInArrow(merge, "fine int, shard int, slice int, size int, body binary")
-    answered = up.groupBy("fine").applyInArrow(lambda t: top(t, ("fine", "shard", "slice", "size")), "fine int, shard int, slice int, size int, body binary, stats array<long>")
-    return sliced.groupBy("shard", "slice").cogroup(answered.groupBy("shard", "slice")).applyInArrow(down, TOLD)
+    return asked.groupBy("shard").applyInArrow(answer, TOLD)
 
 
 def values_of(told: pa.Table, size: int, columns: int) -> list[np.ndarray]:

@@ -23,10 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, **options: object) -> DataFrame:
     """df, written to the shared folder now and read from there."""
     to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(to)
+    df.write.options(compression="zstd", **options).parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 

@@ -133,17 +133,18 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     part = F.when(fold == 0, HELD_OUT).when(fold == 1, LEARN).otherwise(COUNT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def ask(unit: int, k: int, rows: list[pa.RecordBatch]) -> pa.Table:
+    ranges = exchange.ranges(exchange.all_bytes(docs), order)
+
+    def ask(unit: int, k: int, rows: Iterator[pa.RecordBatch]) -> pa.Table:
         keys, n = unit_keys(rows, order)
         none = np.zeros(len(keys), np.int64)
-        return exchange.questions(unit, keys, [n if k == COUNT else none, n if k == LEARN else none])
+        return exchange.questions(unit, keys, [n if k == COUNT else none, n if k == LEARN else none], ranges)
 
-    asked = exchange.units(docs, part, ask, exchange.ASKED)
-    told = table(exchange.tell(asked, exchange.all_bytes(docs), order, [np.add, np.add], word_stats), "lm")
+    packed = exchange.stored(docs, part)
+    told = table(exchange.tell(exchange.each(packed, ask, exchange.ASKED), [np.add, np.add], word_stats), "lm")
     texts = docs.agg(F.count(F.when(part != HELD_OUT, 1)), F.count(F.when(part == COUNT, 1))).first()
     sums = told.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(4))).first()
     model, held = Model(int(sums[0]), int(sums[1]), int(texts[0])), Model(int(sums[2]), int(sums[3]), int(texts[1]))
-    packed = exchange.packed(docs, part)
     answers = told.select("unit", "shard", "size", "body")
 
     def pieces(own: pa.Table, told: pa.Table, without_learners: bool) -> Iterator[tuple[pa.RecordBatch, Tokens, list[np.ndarray]]]:

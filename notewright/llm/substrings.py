@@ -297,14 +297,14 @@ def dedup_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     windows are dealt one by one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = exchange.all_bytes(docs)
-    shards = size // SHARD + 16
+    shards, ranges = size // SHARD + 16, exchange.ranges(size, 0.2)
 
-    def ask(unit: int, _: int, rows: list[pa.RecordBatch]) -> pa.Table:
+    def ask(unit: int, _: int, rows: Iterator[pa.RecordBatch]) -> pa.Table:
         keys, n = _keys(rows)
-        return exchange.questions(unit, keys, [n])
+        return exchange.questions(unit, keys, [n], ranges)
 
-    told = exchange.tell(exchange.units(docs, F.lit(0), ask, exchange.ASKED), size, 0.2, [np.add]).select("unit", "shard", "size", "body")
-    packed = exchange.packed(docs, F.lit(0))
+    packed = exchange.stored(docs, F.lit(0))
+    told = exchange.tell(exchange.each(packed, ask, exchange.ASKED), [np.add]).select("unit", "shard", "size", "body")
     sent = packed.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(lambda own, told: send(own, told, shards, hot), SENT)
     sent = table(sent.withColumns({"h1": F.xxhash64("words", "spread"), "h2": F.xxhash64(F.lit(7), "spread", "words")}), "passages")
     # equal passages of all units become one row within the shard's own partition

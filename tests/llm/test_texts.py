@@ -224,21 +224,37 @@ def test_steps_of_the_histogram_hardly_move_the_weights():
     assert np.abs(lm.learn_weights(bucket, step, np.ones(5000)) - plain).max() < 0.002
 
 
-def test_exchange_in_two_steps_and_small_units_changes_nothing(spark, monkeypatch):
+def test_small_units_and_more_ranges_change_nothing(spark, monkeypatch):
     rows = corpus(6)
     plain = {(str(r.doc_id), r.n_known, r.train_tokens, round(r.score, 8)) for r in lm.score(docs(spark, rows)).collect()}
     monkeypatch.setattr(exchange, "UNIT", 3000)
-    monkeypatch.setattr(exchange, "MOST_KEYS", 1)
-    monkeypatch.setattr(exchange, "COARSE", 8)
+    monkeypatch.setattr(exchange, "MOST_KEYS", 20)
+    monkeypatch.setattr(exchange, "RANGES", 8)
     assert plain == {(str(r.doc_id), r.n_known, r.train_tokens, round(r.score, 8)) for r in lm.score(docs(spark, rows)).collect()}
 
 
-def test_messages_grow_with_the_text():
+def test_messages_are_never_more_than_keys_and_ranges_grow_with_the_text():
     keys = np.sort(words.mixed(np.arange(50_000, dtype=np.uint64)))
-    asked = exchange.questions(1, keys, [np.ones(len(keys), np.int64)])
-    assert asked.num_rows == exchange.COARSE and sum(asked.column("size").to_pylist()) == len(keys)
-    back = [exchange.expand(b.as_py(), n, np.uint64, np.int64)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
-    assert (np.concatenate(back) == keys).all()
+    for ranges in (exchange.RANGES, 20 * len(keys)):
+        asked = exchange.questions(1, keys, [np.ones(len(keys), np.int64)], ranges)
+        assert asked.num_rows <= min(ranges, len(keys)) and sum(asked.column("size").to_pylist()) == len(keys)
+        back = [exchange.expand(b.as_py(), n, np.uint64, np.int64)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
+        assert (np.concatenate(back) == keys).all()
+    assert exchange.ranges(10**8, 3) == exchange.RANGES and exchange.ranges(10**14, 3) == 10 * exchange.ranges(10**13, 3)
+
+
+def test_units_are_written_once_and_read_back_whole(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "UNIT", 2000)
+    rows = corpus(5)
+    stored = exchange.stored(docs(spark, rows).select("doc_id", "text"), F.col("doc_id").cast("int") % 3)
+
+    def back(unit, part, batches):
+        t = pa.Table.from_batches(list(batches))
+        return pa.table([pa.array([unit] * t.num_rows), pa.array([part] * t.num_rows, pa.int32()), t.column("doc_id"), t.column("text")], ["unit", "part", "doc_id", "text"])
+
+    got = exchange.each(stored, back, "unit long, part int, doc_id long, text string").collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in got) == sorted((i, t or "", t is None) for i, t in rows)
+    assert all(r.part == r.doc_id % 3 for r in got) and len({r.unit for r in got}) > 3
 
 
 def test_answers_that_are_not_there_are_an_error():
@@ -299,8 +315,8 @@ def test_passages_equal_brute_force(spark, seed):
 def test_hot_phrases_and_small_units(spark, monkeypatch):
     rows = [(k * 3 % 71, t) for k, t in corpus(1)] + [(80 + k, f"own{k} " + "all rights are reserved by the owner of this text and " + " ".join(f"t{k * j % 5}" for j in range(30))) for k in range(40)]
     monkeypatch.setattr(exchange, "UNIT", 2000)
-    monkeypatch.setattr(exchange, "MOST_KEYS", 1)
-    monkeypatch.setattr(exchange, "COARSE", 8)
+    monkeypatch.setattr(exchange, "MOST_KEYS", 20)
+    monkeypatch.setattr(exchange, "RANGES", 8)
     monkeypatch.setattr(substrings, "SHARD", 5000)
     got = substrings.dedup_passages(docs(spark, rows), hot=3).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
     assert sorted((str(r[0]), r[1], r[2], r[3]) for r in got.collect()) == without_passages(rows)
