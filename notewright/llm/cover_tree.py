@@ -11,8 +11,9 @@ Scores are whole numbers, computed exactly: in double precision where no sum can
 their own; there doubles, with a bound of their error, only choose which pairs are computed in Python integers. The result is a 64-bit number,
 so larger scores are cut to its range.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; of rows that repeat an
-id the least vector counts; vectors of different lengths don't meet (lengths are few: a length is a row on the driver); ties go to smaller ids; with fewer candidates than k all are
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; rows that share an id
+are candidates each, and each that asks is a query of its own, so that its id has as many lists of ranks; only a query's own row is left out for it; a component whose whole number
+does not fit 64 bits is cut to their range; vectors of different lengths don't meet (lengths are few: a length is a row on the driver); ties go to smaller ids; with fewer candidates than k all are
 returned; other columns are ignored; empty tables give an empty table.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.llm.lineage import cut
-from notewright.llm.vectors import block, matrix, one_each, sound
+from notewright.llm.vectors import block, matrix, sound
 
 #: Rows in a leaf of candidates and of queries, rows that make a ball worth a leaf of its own, how much smaller a child's ball is.
 LEAF, QUERY_LEAF, WORTH, SHRINK = 128, 64, 16, 0.7
@@ -94,8 +95,10 @@ class CoverTree:
                 stack.append((own, int(own[0]), self._squares(own, int(own[0])), node, False))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, start: np.ndarray, tree: "CoverTree | None" = None) -> tuple[np.ndarray, int]:
-    """(places in points of each query's k best that reach its start, -1 where there are fewer; pairs compared). A query's own id is left out."""
+def dual_search(queries: np.ndarray, query_rows: np.ndarray, points: np.ndarray, rows_of: np.ndarray, k: int, start: np.ndarray, tree: "CoverTree | None" = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(places in points of each query's k best that reach its start, -1 where there are fewer; pairs compared). A query's own row is left out;
+    ties go to smaller ids (by default, rows)."""
+    ids = rows_of if ids is None else ids
     n = len(queries)
     best_score, best_at = np.full((n, k), -np.inf), np.full((n, k), -1)
     best_id = np.full((n, k), np.iinfo(np.int64).max)
@@ -133,7 +136,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         rows = rows[top + 1e-9 * (np.abs(top) + size_q[rows] * size_b[y] + 1) >= kth[rows]]
         met += len(rows) * len(cols)
         scores = queries[rows] @ points[cols].T
-        scores[query_ids[rows][:, None] == ids[cols][None, :]] = -np.inf
+        scores[query_rows[rows][:, None] == rows_of[cols][None, :]] = -np.inf
         hit = (scores >= kth[rows][:, None]) & (scores > -np.inf)
         some, which = hit.any(axis=1), hit.any(axis=0)
         if not some.any():
@@ -172,19 +175,19 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
     return best_at, met
 
 
-def careful_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def careful_search(queries: np.ndarray, query_rows: np.ndarray, points: np.ndarray, rows_of: np.ndarray, k: int, ids: np.ndarray | None = None) -> np.ndarray:
     """The same for components so large that doubles round: they choose, and Python integers decide among all that may be among the best."""
-    out = np.full((len(queries), k), -1)
+    out, ids = np.full((len(queries), k), -1), rows_of if ids is None else ids
     if not len(points):
         return out
     p, size_p = points.astype(np.float64), np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
-    for n, (q, own) in enumerate(zip(queries, query_ids, strict=True)):
+    for n, (q, own) in enumerate(zip(queries, query_rows, strict=True)):
         q_float = q.astype(np.float64)
         about = p @ q_float
         off = (2 * len(q) + 4) * 2.0**-52 * size_p * np.sqrt((q_float**2).sum())
-        low = np.where(ids != own, about - off, -np.inf)
+        low = np.where(rows_of != own, about - off, -np.inf)
         least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-        some = np.flatnonzero((about + off >= least) & (ids != own))
+        some = np.flatnonzero((about + off >= least) & (rows_of != own))
         exact = {int(j): sum(int(x) * int(y) for x, y in zip(points[j], q, strict=True)) for j in some}
         order = sorted(exact, key=lambda j: (-exact[j], ids[j]))[:k]
         out[n, : len(order)] = order
@@ -192,19 +195,19 @@ def careful_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarra
 
 
 class Top(NamedTuple):
-    """Of vectors of one length: sampled candidates and their ids, and the centres among them, each far from those before."""
+    """Of vectors of one length: sampled candidates and their rows' numbers, and the centres among them, each far from those before."""
 
     points: np.ndarray
-    ids: np.ndarray
+    rows: np.ndarray
     centres: np.ndarray
 
     @classmethod
-    def fit(cls, points: np.ndarray, ids: np.ndarray) -> "Top":
+    def fit(cls, points: np.ndarray, rows: np.ndarray) -> "Top":
         order, far = [0], ((points - points[0]) ** 2).sum(axis=1)
         while len(order) < min(CELLS, max(1, len(points) // 8)) and far.max() > 0:
             order.append(int(far.argmax()))
             far = np.minimum(far, ((points - points[order[-1]]) ** 2).sum(axis=1))
-        return cls(points, ids, points[order])
+        return cls(points, rows, points[order])
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nearest centre, distance to it)."""
@@ -216,22 +219,23 @@ class Top(NamedTuple):
 
 #: The cell of vectors with large components, and, where the sample has no vector of that length, of all.
 LARGE, ALL = -1, 0
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "row long, query_id long, vec_id long, score long"
 
 
 def _meetings(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """FOUND: the best of each block; under a null query, how many pairs were compared there."""
+    """FOUND: the best of each block; under a null row, how many pairs were compared there."""
     largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     large = F.coalesce(largest * largest * F.size("v") >= 2.0**53, F.lit(False))
-    vectors = cut(vectors.select("vec_id", "v", F.size("v").alias("dim"), is_query.alias("is_query"), large.alias("large")))
+    # a row is known by a number of its own, fixed once it is written
+    vectors = cut(vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim"), is_query.alias("is_query"), large.alias("large")))
     vectors = vectors.join(vectors.where("is_query").select("dim").distinct(), "dim", "left_semi")
     n = vectors.count()
-    drawn = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
-    sample = vectors.where(drawn & ~F.col("large") & (F.col("dim") > 0)).orderBy("vec_id").select("dim", "vec_id", "v").toArrow()
+    drawn = F.pmod(F.xxhash64("row", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    sample = vectors.where(drawn & ~F.col("large") & (F.col("dim") > 0)).orderBy("row").select("dim", "row", "v").toArrow()
     tops: dict[int, Top] = {}
     for dim in np.unique(sample.column("dim").to_numpy()).tolist():
         own = sample.filter(pa.array(sample.column("dim").to_numpy() == dim))
-        tops[dim] = Top.fit(matrix(own.column("v")).astype(np.float64), own.column("vec_id").to_numpy())
+        tops[dim] = Top.fit(matrix(own.column("v")).astype(np.float64), own.column("row").to_numpy())
 
     def by_dim(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, bool]]:
         dims, large = b.column("dim").to_numpy(), b.column("large").to_numpy(zero_copy_only=False)
@@ -247,9 +251,9 @@ def _meetings(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 cell, far = np.full(own.num_rows, LARGE if big else ALL), np.full(own.num_rows, np.inf)
                 if dim in tops and not big:
                     cell, far = tops[dim].cells(matrix(own.column("v")).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(cell, pa.int32()), pa.array(far), own.column("vec_id"), own.column("v")], ["dim", "cell", "far", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(cell, pa.int32()), pa.array(far), own.column("row"), own.column("vec_id"), own.column("v")], ["dim", "cell", "far", "row", "vec_id", "v"])
 
-    filed = cut(vectors.select("dim", "vec_id", "v", "large").mapInArrow(file, "dim int, cell int, far double, vec_id long, v array<long>"))
+    filed = cut(vectors.select("dim", "row", "vec_id", "v", "large").mapInArrow(file, "dim int, cell int, far double, row long, vec_id long, v array<long>"))
     counted = filed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toArrow()
     radius: dict[int, dict[int, tuple[float, int]]] = {}
     for dim, cell, rows, far in zip(*(counted.column(c).to_pylist() for c in ("dim", "cell", "n", "far")), strict=True):
@@ -263,7 +267,7 @@ def _meetings(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 if dim in tops and not big:
                     q, t = matrix(own.column("v")).astype(np.float64), tops[dim]
                     seen = q @ t.points.T
-                    seen[own.column("vec_id").to_numpy()[:, None] == t.ids[None, :]] = -np.inf
+                    seen[own.column("row").to_numpy()[:, None] == t.rows[None, :]] = -np.inf
                     if seen.shape[1] >= k:
                         start = np.partition(seen, -k, axis=1)[:, -k]
                     size = np.sqrt((q**2).sum(axis=1))[:, None]
@@ -273,48 +277,51 @@ def _meetings(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 who, where = np.nonzero(wanted)
                 at, to = pa.array(who), cells[where]
                 blocks = np.array([radius[dim][c][1] for c in to.tolist()], np.int32)
-                yield pa.RecordBatch.from_arrays([own.column("dim").take(at), pa.array(to, pa.int32()), pa.array(blocks), own.column("vec_id").take(at), own.column("v").take(at), pa.array(start).take(at)], ["dim", "cell", "blocks", "vec_id", "v", "start"])
+                yield pa.RecordBatch.from_arrays([own.column("dim").take(at), pa.array(to, pa.int32()), pa.array(blocks), own.column("row").take(at), own.column("vec_id").take(at), own.column("v").take(at), pa.array(start).take(at)], ["dim", "cell", "blocks", "row", "vec_id", "v", "start"])
 
-    routed = cut(vectors.where("is_query").select("dim", "vec_id", "v", "large").mapInArrow(route, "dim int, cell int, blocks int, vec_id long, v array<long>, start double"))
+    routed = cut(vectors.where("is_query").select("dim", "row", "vec_id", "v", "large").mapInArrow(route, "dim int, cell int, blocks int, row long, vec_id long, v array<long>, start double"))
     # groups of queries in a cell; a cell that no query needs has none, and its candidates stay where they are
     groups = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / (QUERIES * GROUP)).cast("int").alias("groups"), F.first("blocks").alias("blocks"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    points = filed.join(F.broadcast(groups), ["dim", "cell"]).select("dim", "cell", block(F.col("vec_id"), F.col("blocks")).alias("block"), each("groups").alias("group"), "vec_id", "v", F.lit(None).cast("double").alias("start"))
-    asking = routed.join(F.broadcast(groups.drop("blocks")), ["dim", "cell"]).select("dim", "cell", each("blocks").alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("groups")).cast("int").alias("group"), "vec_id", "v", "start")
+    points = filed.join(F.broadcast(groups), ["dim", "cell"]).select("dim", "cell", block(F.col("row"), F.col("blocks")).alias("block"), each("groups").alias("group"), "row", "vec_id", "v", F.lit(None).cast("double").alias("start"))
+    asking = routed.join(F.broadcast(groups.drop("blocks")), ["dim", "cell"]).select("dim", "cell", each("blocks").alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("groups")).cast("int").alias("group"), "row", "vec_id", "v", "start")
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("start").is_valid().to_numpy()
-        ids, m = table.column("vec_id").to_numpy(), matrix(table.column("v"))
+        row_of, ids, m = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("v"))
         start = table.column("start").to_numpy()
-        found: list[list[np.ndarray]] = [[], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], []]
         met = 0
         large = m.shape[1] * (np.abs(m.astype(np.float64)).max(axis=1, initial=0.0) ** 2) >= 2.0**53
-        p, p_ids = m[~asks], ids[~asks]
+        p, p_rows, p_ids = m[~asks], row_of[~asks], ids[~asks]
         plain = not large[~asks].any()
         exact, tree = p.astype(np.float64), None
         for kind in (False, True):
-            q, q_ids, q_start = m[asks & (large == kind)], ids[asks & (large == kind)], start[asks & (large == kind)]
+            own = asks & (large == kind)
+            q, q_rows, q_ids, q_start = m[own], row_of[own], ids[own], start[own]
             for at in range(0, len(q), QUERIES):
-                part, part_ids = q[at : at + QUERIES], q_ids[at : at + QUERIES]
+                part, part_rows, part_ids = (x[at : at + QUERIES] for x in (q, q_rows, q_ids))
                 if plain and not kind:
                     tree = tree or (CoverTree(exact, LEAF) if len(p) else None)
-                    where, more = dual_search(part.astype(np.float64), part_ids, exact, p_ids, k, q_start[at : at + QUERIES], tree)
+                    where, more = dual_search(part.astype(np.float64), part_rows, exact, p_rows, k, q_start[at : at + QUERIES], tree, p_ids)
                     met += more
                 else:
-                    where = careful_search(part, part_ids, p, p_ids, k)
+                    where = careful_search(part, part_rows, p, p_rows, k, p_ids)
                     met += len(part) * len(p)
                 row, col = np.nonzero(where >= 0)
                 place = where[row, col]
-                found[0].append(part_ids[row])
-                found[1].append(p_ids[place])
+                found[0].append(part_rows[row])
+                found[1].append(part_ids[row])
+                found[2].append(p_ids[place])
                 if plain and not kind:
-                    found[2].append((part[row] * p[place]).sum(axis=1).astype(np.int64))
+                    found[3].append((part[row] * p[place]).sum(axis=1).astype(np.int64))
                 else:
                     sums = [sum(int(x) * int(y) for x, y in zip(part[r], p[c], strict=True)) for r, c in zip(row, place, strict=True)]
-                    found[2].append(np.array([max(-(2**63), min(2**63 - 1, x)) for x in sums], np.int64))
+                    found[3].append(np.array([max(-(2**63), min(2**63 - 1, x)) for x in sums], np.int64))
         columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found]
-        note = pa.table([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([met])], ["query_id", "vec_id", "score"])
-        return pa.concat_tables([pa.table(columns, ["query_id", "vec_id", "score"]), note])
+        names = ["row", "query_id", "vec_id", "score"]
+        note = pa.table([*[pa.array([None], pa.int64())] * 3, pa.array([met])], names)
+        return pa.concat_tables([pa.table(columns, names), note])
 
     return points.union(asking).groupBy("dim", "cell", "block", "group").applyInArrow(search, FOUND)
 
@@ -322,17 +329,17 @@ def _meetings(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """vectors (vec_id, v array<long>) -> (query_id, rank, vec_id, score): of each row that is_query names the k largest inner
     products with the other rows."""
-    found = _meetings(vectors, is_query, k).where("query_id is not null")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = _meetings(vectors, is_query, k).where("row is not null")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def pairs_met(vectors: DataFrame, is_query: Column, k: int) -> int:
     """How many pairs of a query and a candidate the same search compares."""
-    return _meetings(vectors, is_query, k).where("query_id is null").agg(F.coalesce(F.sum("score"), F.lit(0))).first()[0]
+    return _meetings(vectors, is_query, k).where("row is null").agg(F.coalesce(F.sum("score"), F.lit(0))).first()[0]
 
 
 def whole_numbers(rows: DataFrame, vector: str, scale: float = 256.0) -> DataFrame:
     """rows (vec_id, vector) -> (vec_id, v): floor(scale * x) of each component in double precision, sound vectors only."""
     whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
-    return one_each(rows.where(sound(F.col(vector))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")))
+    return rows.where(sound(F.col(vector)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))

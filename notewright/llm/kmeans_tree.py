@@ -12,8 +12,8 @@ grows with a leaf, and vectors go only to the queries that visit their leaf. Sco
 The tree is over the commonest length of vectors. Vectors of other lengths, which should be few, meet those of their own length in
 blocks, exactly.
 
-Defined results: vectors that are null, all zero, or hold null or non-finite components take no part, nor do null ids; of rows that
-repeat an id the least vector counts; vectors of different lengths don't meet; ties go to smaller ids; with no more than k candidates
+Defined results: vectors that are null, all zero, or hold null or non-finite components take no part, nor do null ids; rows that
+share an id are candidates each, and each that asks is a query of its own; only a query's own row is left out for it; vectors of different lengths don't meet; ties go to smaller ids; with no more than k candidates
 all are returned; other columns are ignored; empty tables give an empty table.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.llm.lineage import cut
-from notewright.llm.vectors import block, matrix, one_each, sound
+from notewright.llm.vectors import block, matrix, sound
 
 #: Vectors to fit on and queries to calibrate on, at most, about.
 SAMPLE, CALIBRATE = 20_000, 256
@@ -114,7 +114,7 @@ class Tree:
         return out
 
 
-PAIRS = "query_id long, vec_id long, score double, leaf int"
+PAIRS = "row long, query_id long, vec_id long, score double, leaf int"
 
 
 def _meet(k: int):
@@ -122,7 +122,7 @@ def _meet(k: int):
 
     def meet(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        ids, m, leaf = table.column("vec_id").to_numpy(), matrix(table.column("v")).astype(np.float64), table.column("leaf").to_numpy()
+        row_of, ids, m, leaf = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), matrix(table.column("v")).astype(np.float64), table.column("leaf").to_numpy()
         points, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
         lists = table.column("leaves").combine_chunks().filter(pa.array(asks))
         jobs = [(queries[~lists.is_valid().to_numpy(zero_copy_only=False)], points)]
@@ -139,7 +139,7 @@ def _meet(k: int):
             for at in range(0, len(who) if len(rows) else 0, 256):
                 part = who[at : at + 256]
                 scores = m[part] @ m[rows].T
-                scores[ids[part][:, None] == ids[rows][None, :]] = -np.inf
+                scores[row_of[part][:, None] == row_of[rows][None, :]] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(part), -np.inf)
                 row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
                 found.append(np.stack([part[row].astype(np.float64), rows[col].astype(np.float64), scores[row, col]]))
@@ -149,24 +149,24 @@ def _meet(k: int):
         begin = np.flatnonzero(np.diff(row[order], prepend=-1))
         place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
         keep = order[place < k]
-        return pa.table([pa.array(ids[row[keep]]), pa.array(ids[col[keep]]), pa.array(value[keep]), pa.array(leaf[col[keep]], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
+        return pa.table([pa.array(row_of[row[keep]]), pa.array(ids[row[keep]]), pa.array(ids[col[keep]]), pa.array(value[keep]), pa.array(leaf[col[keep]], pa.int32())], ["row", "query_id", "vec_id", "score", "leaf"])
 
     return meet
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _in_all(rows: DataFrame, k: int) -> DataFrame:
-    """PAIRS: rows (dim, vec_id, v, asks) by comparing each that asks with all of its length, in blocks."""
+    """PAIRS: rows (dim, row, vec_id, v, asks) by comparing each that asks with all of its length, in blocks."""
     n = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("asks"), 1)) / (ASKING * 8)).cast("int").alias("parts")).where("parts > 0")
     sized = rows.join(n, "dim").withColumn("leaf", F.lit(0)).withColumn("leaves", F.lit(None).cast("array<int>"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["vec_id", "v", "asks", "leaf", "leaves"]
-    points = sized.withColumn("block", block(F.col("vec_id"), F.col("blocks"))).withColumn("part", each("parts")).withColumn("asks", F.lit(False))
-    asking = sized.where("asks").withColumn("block", each("blocks")).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int"))
+    columns = ["row", "vec_id", "v", "asks", "leaf", "leaves"]
+    points = sized.withColumn("block", block(F.col("row"), F.col("blocks"))).withColumn("part", each("parts")).withColumn("asks", F.lit(False))
+    asking = sized.where("asks").withColumn("block", each("blocks")).withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")).cast("int"))
     return points.select("dim", "block", "part", *columns).union(asking.select("dim", "block", "part", *columns)).groupBy("dim", "block", "part").applyInArrow(_meet(k), PAIRS)
 
 
@@ -174,16 +174,17 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
     """rows (vec_id, vector) -> (query_id, rank, vec_id, score, leaves_visited)."""
     spark = rows.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    clean = one_each(rows.where(sound(F.col(vector)) & F.exists(F.col(vector), lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")))
-    clean = cut(clean)
+    clean = rows.where(sound(F.col(vector)) & F.exists(F.col(vector), lambda x: x != 0) & F.col("vec_id").isNotNull())
+    # a row is known by a number of its own, fixed once it is written
+    clean = cut(clean.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")))
     clean = clean.withColumn("dim", F.size("v")).withColumn("asks", F.coalesce(is_query, F.lit(False)))
     sizes = clean.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves_visited int")
     dim, n = int(sizes[0]), int(sizes[1])
     others, clean = clean.where(F.col("dim") != dim), clean.where(F.col("dim") == dim)
-    drawn = lambda seed, share: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-    fitted = matrix(clean.where(drawn(1, sample / n)).orderBy("vec_id").select("v").toArrow().column("v")).reshape(-1, dim)
+    drawn = lambda seed, share: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    fitted = matrix(clean.where(drawn(1, sample / n)).orderBy("row").select("v").toArrow().column("v")).reshape(-1, dim)
     share = len(fitted) / n
     leaf_rows = max(LEAF * share, len(fitted) / MOST_LEAVES * BRANCH, 2)
     model = Tree.fit(fitted, leaf_rows).save()
@@ -192,9 +193,9 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.load(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("asks"), pa.array(tree.file(matrix(b.column("v")).reshape(-1, dim)), pa.int32())], ["vec_id", "v", "asks", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.file(matrix(b.column("v")).reshape(-1, dim)), pa.int32())], ["row", "vec_id", "v", "asks", "leaf"])
 
-    filed = cut(clean.select("vec_id", "v", "asks").mapInArrow(file, "vec_id long, v array<double>, asks boolean, leaf int"))
+    filed = cut(clean.select("row", "vec_id", "v", "asks").mapInArrow(file, "row long, vec_id long, v array<double>, asks boolean, leaf int"))
 
     # calibration: exact neighbours of some queries, and where in their order of visits those leaves stand
     queries = filed.where("asks")
@@ -202,10 +203,10 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
     some = queries.where(drawn(2, CALIBRATE / asked))
     blocks = -(-n // ROWS)
     nowhere = F.lit(None).cast("array<int>").alias("leaves")
-    points = filed.select(block(F.col("vec_id"), blocks).alias("block"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
-    trial = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(True).alias("asks"), "leaf", nowhere)
+    points = filed.select(block(F.col("row"), blocks).alias("block"), "row", "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
+    trial = some.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "row", "vec_id", "v", F.lit(True).alias("asks"), "leaf", nowhere)
     exact = _ranked(points.union(trial).groupBy("block").applyInArrow(_meet(k), PAIRS), k)
-    true_leaves = exact.groupBy("query_id").agg(F.collect_list("leaf").alias("true")).join(some.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    true_leaves = exact.groupBy("row").agg(F.collect_list("leaf").alias("true")).join(some.select("row", "v"), "row")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.load(model)
@@ -244,7 +245,7 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit = unit_of[b.column("leaf").to_numpy()]
-            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(blocks_of[unit]), *(b.column(c) for c in ("vec_id", "v", "leaf"))], ["unit", "blocks", "vec_id", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(blocks_of[unit]), *(b.column(c) for c in ("row", "vec_id", "v", "leaf"))], ["unit", "blocks", "row", "vec_id", "v", "leaf"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree.load(model)
@@ -262,9 +263,9 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
                     unit.append(u)
                     seen.append(own[unit_of[own] == u])
             at, units = pa.array(owner, pa.int64()), np.array(unit, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(blocks_of[units]), b.column("vec_id").take(at), b.column("v").take(at), pa.array(seen, pa.list_(pa.int32()))], ["unit", "blocks", "vec_id", "v", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(blocks_of[units]), b.column("row").take(at), b.column("vec_id").take(at), b.column("v").take(at), pa.array(seen, pa.list_(pa.int32()))], ["unit", "blocks", "row", "vec_id", "v", "leaves"])
 
-    routed = cut(queries.select("vec_id", "v").mapInArrow(route, "unit long, blocks long, vec_id long, v array<double>, leaves array<int>"))
+    routed = cut(queries.select("row", "vec_id", "v").mapInArrow(route, "unit long, blocks long, row long, vec_id long, v array<double>, leaves array<int>"))
     parts_of = np.zeros(len(blocks_of), np.int64)
     for unit, n_asking in routed.groupBy("unit").count().collect():
         parts_of[unit] = -(-n_asking // (ASKING * 8))
@@ -273,11 +274,11 @@ def search(rows: DataFrame, vector: str, is_query: Column, k: int, recall: float
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(parts_of[b.column("unit").to_numpy()]), *b.columns], ["parts", *b.schema.names])
 
-    part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int")
-    routed = routed.mapInArrow(shared, "parts long, unit long, blocks long, vec_id long, v array<double>, leaves array<int>")
-    routed = routed.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), part.alias("part"), "vec_id", "v", F.lit(True).alias("asks"), F.lit(-1).alias("leaf"), "leaves")
+    part = F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")).cast("int")
+    routed = routed.mapInArrow(shared, "parts long, unit long, blocks long, row long, vec_id long, v array<double>, leaves array<int>")
+    routed = routed.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), part.alias("part"), "row", "vec_id", "v", F.lit(True).alias("asks"), F.lit(-1).alias("leaf"), "leaves")
     # vectors of a unit that no query visits stay where they are
-    dealt = filed.select("vec_id", "v", "leaf").mapInArrow(deal, "unit long, blocks long, vec_id long, v array<double>, leaf int").mapInArrow(shared, "parts long, unit long, blocks long, vec_id long, v array<double>, leaf int").where("parts > 0")
-    points = dealt.select("unit", block(F.col("vec_id"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
+    dealt = filed.select("row", "vec_id", "v", "leaf").mapInArrow(deal, "unit long, blocks long, row long, vec_id long, v array<double>, leaf int").mapInArrow(shared, "parts long, unit long, blocks long, row long, vec_id long, v array<double>, leaf int").where("parts > 0")
+    points = dealt.select("unit", block(F.col("row"), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), "row", "vec_id", "v", F.lit(False).alias("asks"), "leaf", nowhere)
     found = points.union(routed).groupBy("unit", "block", "part").applyInArrow(_meet(k), PAIRS).union(_in_all(others, k))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score", F.lit(most).alias("leaves_visited"))

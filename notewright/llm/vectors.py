@@ -11,11 +11,6 @@ def sound(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def one_each(rows: DataFrame) -> DataFrame:
-    """rows (vec_id, v) -> one row for each id that is not null: of repeated rows the least vector."""
-    return rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
 def matrix(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of lists of one length as a matrix."""
     if isinstance(lists, pa.ChunkedArray):

@@ -16,17 +16,19 @@ def table(spark, n=400, dim=6, seed=0, more=()):
     centre = draw.normal(size=(5, dim))
     rows = [(k, (centre[k % 5] + 0.3 * draw.normal(size=dim)).round(2).tolist()) for k in range(n)]
     rows += [(n + k, rows[k][1]) for k in range(0, 60, 7)]  # ties
-    rows += [rows[3], (5, rows[5][1])]  # repeated rows
+    rows += [rows[3], (5, rows[5][1]), (10, rows[11][1]), (20, rows[22][1]), (20, rows[21][1]), (7, rows[8][1])]  # repeated rows, ids with more than one vector
     rows += list(more)
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "leaf", "rank", "asks")}), rows
 
 
 def sound(rows, dim=6):
-    out = {}
-    for i, v in rows:
-        if i is not None and v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v):
-            out[i] = np.array(v, np.float32).astype(np.float64)
-    return out
+    fit = lambda v: v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)
+    return [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows if i is not None and fit(v)]
+
+
+def nearest(v, q, k):
+    """(score, id) of the k best rows but the q-th."""
+    return [(-s, i) for s, i in sorted((-(v[q][1] @ x), i) for at, (i, x) in enumerate(v) if at != q)[:k]]
 
 
 def test_cover_tree_equals_all_pairs(spark, monkeypatch):
@@ -35,12 +37,8 @@ def test_cover_tree_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "LEAF", 16)
     frame, rows = table(spark, more=ODD)
     got = cover_tree.top_k(cover_tree.whole_numbers(frame, "embedding"), F.col("vec_id") % 5 == 0, 7).collect()
-    v = {i: np.floor(256 * x).astype(np.int64) for i, x in sound(rows).items()}
-    want = []
-    for q in v:
-        if q % 5 == 0:
-            ranked = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:7]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
+    v = [(i, np.floor(256 * x).astype(np.int64)) for i, x in sound(rows)]
+    want = [(i, k, other, s) for q, (i, _) in enumerate(v) if i % 5 == 0 for k, (s, other) in enumerate(nearest(v, q, 7), 1)]
     # 905 is shorter: it meets nothing of its length
     assert sorted(map(tuple, got)) == sorted(want)
 
@@ -133,20 +131,35 @@ def test_approximate_search_recalls_and_scores_exactly(spark, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "ROWS", 100)
     frame, rows = table(spark, n=1500, seed=4, more=ODD)
     got = kmeans_tree.search(frame, "embedding", F.col("vec_id") % 20 == 0, 10).collect()
-    v = {i: x for i, x in sound(rows).items() if x.any()}
-    found = {}
+    v = [(i, x) for i, x in sound(rows) if x.any()]
+    mine, want = {}, {}
     for r in got:
-        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    hits = total = 0
-    for q in v:
-        if q % 20 == 0:
-            ranked = [i for _, i in sorted((-(v[q] @ v[i]), i) for i in v if i != q)[:10]]
-            mine = [found[q][k][0] for k in range(1, 11)]
-            hits, total = hits + len(set(ranked) & set(mine)), total + 10
-            assert all(found[q][k][1] == pytest.approx(v[q] @ v[i], abs=1e-12) for k, i in enumerate(mine, 1))
-            order = [(-s, i) for i, s in (found[q][k] for k in range(1, 11))]
+        mine.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, (i, _) in enumerate(v):
+        if i % 20 == 0:
+            want.setdefault(i, []).extend((k, other, s) for k, (s, other) in enumerate(nearest(v, q, 10), 1))
+    near = lambda answers: {(k, round(s, 9)) for k, _, s in answers}
+    assert {q: len(a) for q, a in mine.items()} == {q: len(a) for q, a in want.items()} and len(want[20]) == 30
+    assert sum(len(near(mine[q]) & near(want[q])) for q in want) >= 0.9 * sum(len(near(want[q])) for q in want)
+    # scores are those of rows that there are, and one list follows its order
+    for q, answers in mine.items():
+        made = {(i, round(float(x @ y), 9)) for own, x in v if own == q for i, y in v}
+        assert all((i, round(s, 9)) in made for _, i, s in answers)
+        if len(answers) == 10:
+            order = [(-s, i) for _, i, s in sorted(answers)]
             assert order == sorted(order)
-    assert set(found) == {q for q in v if q % 20 == 0} and hits / total >= 0.9
+
+
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.5]), (0, [0.25, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = cover_tree.top_k(cover_tree.whole_numbers(frame, "embedding"), F.col("vec_id") == 0, 5).collect()
+    first, second = [(1, 58880), (1, 32768), (0, 16384)], [(0, 16384), (1, 14720), (1, 8192)]
+    want = [(0, k, i, s) for answers in (first, second) for k, (i, s) in enumerate(answers, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    got = kmeans_tree.search(frame, "embedding", F.col("vec_id") == 0, 5).select("query_id", "rank", "vec_id", F.round(F.col("score") * 65536).cast("long")).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(w[:3] for w in want)
+    assert all(abs(a[3] - b[3]) <= 256 for a, b in zip(sorted(map(tuple, got)), sorted(want), strict=True))
 
 
 def test_every_length_of_vector_is_searched(spark):
