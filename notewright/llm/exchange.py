@@ -31,8 +31,8 @@ RANGES, MOST_KEYS = 4096, 4_000_000
 #: Bytes of text to a token, about; only the number of ranges depends on it.
 TOKEN = 5
 
-ASKED = "shard int, unit long, size int, body binary"
-TOLD = "unit long, shard int, size int, body binary, stats array<long>"
+ASKED = "shard int, unit long, part int, size int, body binary"
+TOLD = "unit long, part int, shard int, size int, body binary, stats array<long>"
 CHANGED = "a unit's answers are not there"
 Stats = Callable[[np.ndarray, list[np.ndarray]], list[int]]
 
@@ -131,13 +131,13 @@ def ranges(bytes_in_all: int, per_token: float) -> int:
     return max(RANGES, -(-int(bytes_in_all / TOKEN * per_token) // MOST_KEYS))
 
 
-def questions(unit: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> pa.Table:
+def questions(unit: int, part: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> pa.Table:
     """Messages of a unit: sorted distinct keys and the values (int64) that it adds to each."""
     parts = runs(keys, shards)
     bodies = [squeeze(keys[a:b], *(v[a:b] for v in values)) for _, a, b in parts]
     return pa.table(
-        [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([unit] * len(parts), pa.int64()), pa.array([b - a for _, a, b in parts], pa.int32()), pa.array(bodies, pa.binary())],
-        ["shard", "unit", "size", "body"],
+        [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([unit] * len(parts), pa.int64()), pa.array([part] * len(parts), pa.int32()), pa.array([b - a for _, a, b in parts], pa.int32()), pa.array(bodies, pa.binary())],
+        ["shard", "unit", "part", "size", "body"],
     )
 
 
@@ -162,7 +162,7 @@ def _read(asked: pa.Table, columns: int) -> tuple[list[np.ndarray], list[list[np
 def tell(asked: DataFrame, how: list[np.ufunc], stats: Stats | None = None) -> DataFrame:
     """asked (ASKED) -> TOLD: of each message the keys' values over all messages, in the order of its keys. stats: figures of the distinct
     keys, in one row of each range."""
-    names = ["unit", "shard", "size"]
+    names = ["unit", "part", "shard", "size"]
 
     def answer(asked: pa.Table) -> pa.Table:
         keys, values = _read(asked, len(how))

@@ -138,14 +138,14 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     def ask(unit: int, k: int, rows: Iterator[pa.RecordBatch]) -> pa.Table:
         keys, n = unit_keys(rows, order)
         none = np.zeros(len(keys), np.int64)
-        return exchange.questions(unit, keys, [n if k == COUNT else none, n if k == LEARN else none], ranges)
+        return exchange.questions(unit, k, keys, [n if k == COUNT else none, n if k == LEARN else none], ranges)
 
     packed = exchange.stored(docs, part)
     told = table(exchange.tell(exchange.each(packed, ask, exchange.ASKED), [np.add, np.add], word_stats), "lm")
     texts = docs.agg(F.count(F.when(part != HELD_OUT, 1)), F.count(F.when(part == COUNT, 1))).first()
     sums = told.agg(*(F.coalesce(F.sum(F.get("stats", F.lit(k))), F.lit(0)) for k in range(4))).first()
     model, held = Model(int(sums[0]), int(sums[1]), int(texts[0])), Model(int(sums[2]), int(sums[3]), int(texts[1]))
-    answers = told.select("unit", "shard", "size", "body")
+    answers = told.select("unit", "part", "shard", "size", "body")
 
     def pieces(own: pa.Table, told: pa.Table, without_learners: bool) -> Iterator[tuple[pa.RecordBatch, Tokens, list[np.ndarray]]]:
         for blob in own.column("blob"):
@@ -167,7 +167,7 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
 
     marks = [*(f"b{k}" for k in range(order)), *(f"p{k}" for k in range(order))]
     learners = packed.where(F.col("part") == LEARN)
-    spread = learners.groupBy("unit").cogroup(answers.join(learners.select("unit").distinct(), "unit", "left_semi").groupBy("unit"))
+    spread = learners.groupBy("unit").cogroup(answers.where(F.col("part") == LEARN).groupBy("unit"))
     cells = table(spread.applyInArrow(tally, ", ".join(f"{c} int" for c in marks) + ", n long"), "lm-held-out")
     weights: list[np.ndarray] = []
     below = F.lit(1.0)
@@ -197,4 +197,4 @@ def score(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
             )
         return pa.concat_tables(out)
 
-    return packed.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("unit").cogroup(answers.drop("part").groupBy("unit")).applyInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -299,9 +299,9 @@ def dedup_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     size = exchange.all_bytes(docs)
     shards, ranges = size // SHARD + 16, exchange.ranges(size, 0.2)
 
-    def ask(unit: int, _: int, rows: Iterator[pa.RecordBatch]) -> pa.Table:
+    def ask(unit: int, part: int, rows: Iterator[pa.RecordBatch]) -> pa.Table:
         keys, n = _keys(rows)
-        return exchange.questions(unit, keys, [n], ranges)
+        return exchange.questions(unit, part, keys, [n], ranges)
 
     packed = exchange.stored(docs, F.lit(0))
     told = exchange.tell(exchange.each(packed, ask, exchange.ASKED), [np.add]).select("unit", "shard", "size", "body")

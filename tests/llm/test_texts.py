@@ -236,7 +236,7 @@ def test_small_units_and_more_ranges_change_nothing(spark, monkeypatch):
 def test_messages_are_never_more_than_keys_and_ranges_grow_with_the_text():
     keys = np.sort(words.mixed(np.arange(50_000, dtype=np.uint64)))
     for ranges in (exchange.RANGES, 20 * len(keys)):
-        asked = exchange.questions(1, keys, [np.ones(len(keys), np.int64)], ranges)
+        asked = exchange.questions(1, 0, keys, [np.ones(len(keys), np.int64)], ranges)
         assert asked.num_rows <= min(ranges, len(keys)) and sum(asked.column("size").to_pylist()) == len(keys)
         back = [exchange.expand(b.as_py(), n, np.uint64, np.int64)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
         assert (np.concatenate(back) == keys).all()
