@@ -120,6 +120,22 @@ def expand(body: bytes, size: int, *kinds: type) -> list[np.ndarray]:
     return [np.ascontiguousarray(data[8 * size * k : 8 * size * (k + 1)].reshape(8, size).T).view(kind).ravel() for k, kind in enumerate(kinds)]
 
 
+def written(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    """Sorted distinct keys, as gaps, and values: bytes of the gaps that are below their mean's are noise and stay as they are."""
+    planes = np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+    noise = int(np.log2(float(keys[-1] - keys[0]) / len(keys) + 1)) // 8
+    rest = np.concatenate([planes[noise:].ravel(), *(np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8).T.ravel() for v in values)])
+    return bytes([noise]) + planes[:noise].tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
+
+
+def read(body: bytes, size: int, values: int) -> list[np.ndarray]:
+    """The keys and values (int64) of a message."""
+    noise = body[0]
+    planes = np.concatenate([np.frombuffer(body, np.uint8, noise * size, 1), np.frombuffer(zstandard.ZstdDecompressor().decompress(body[1 + noise * size :]), np.uint8)]).reshape(-1, 8, size)
+    gaps, *others = (np.ascontiguousarray(p.T) for p in planes)
+    return [np.cumsum(gaps.view(U64).ravel(), dtype=U64), *(v.view(np.int64).ravel() for v in others)][: 1 + values]
+
+
 def runs(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) of the ranges that sorted keys fall into."""
     bounds = np.searchsorted(((keys >> U64(32)) * U64(shards)) >> U64(32), np.arange(shards + 1, dtype=U64))
@@ -134,7 +150,7 @@ def ranges(bytes_in_all: int, per_token: float) -> int:
 def questions(unit: int, part: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> pa.Table:
     """Messages of a unit: sorted distinct keys and the values (int64) that it adds to each."""
     parts = runs(keys, shards)
-    bodies = [squeeze(keys[a:b], *(v[a:b] for v in values)) for _, a, b in parts]
+    bodies = [written(keys[a:b], *(v[a:b] for v in values)) for _, a, b in parts]
     return pa.table(
         [pa.array([k for k, _, _ in parts], pa.int32()), pa.array([unit] * len(parts), pa.int64()), pa.array([part] * len(parts), pa.int32()), pa.array([b - a for _, a, b in parts], pa.int32()), pa.array(bodies, pa.binary())],
         ["shard", "unit", "part", "size", "body"],
@@ -155,7 +171,7 @@ def added(keys: list[np.ndarray], values: list[list[np.ndarray]], how: list[np.u
 
 
 def _read(asked: pa.Table, columns: int) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
-    got = [expand(b.as_py(), n, U64, *[np.int64] * columns) for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
+    got = [read(b.as_py(), n, columns) for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
     return [g[0] for g in got], [g[1:] for g in got]
 
 

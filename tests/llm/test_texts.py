@@ -238,7 +238,7 @@ def test_messages_are_never_more_than_keys_and_ranges_grow_with_the_text():
     for ranges in (exchange.RANGES, 20 * len(keys)):
         asked = exchange.questions(1, 0, keys, [np.ones(len(keys), np.int64)], ranges)
         assert asked.num_rows <= min(ranges, len(keys)) and sum(asked.column("size").to_pylist()) == len(keys)
-        back = [exchange.expand(b.as_py(), n, np.uint64, np.int64)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
+        back = [exchange.read(b.as_py(), n, 1)[0] for b, n in zip(asked.column("body"), asked.column("size").to_pylist(), strict=True)]
         assert (np.concatenate(back) == keys).all()
     assert exchange.ranges(10**8, 3) == exchange.RANGES and exchange.ranges(10**14, 3) == 10 * exchange.ranges(10**13, 3)
 
@@ -257,6 +257,14 @@ def test_units_are_written_once_and_read_back_whole(spark, monkeypatch):
     assert all(r.part == r.doc_id % 3 for r in got) and len({r.unit for r in got}) > 3
 
 
+@pytest.mark.parametrize("keys", [[0], [7], [2**64 - 1], [0, 1, 2**64 - 1], range(500), range(0, 2**64, 2**55)])
+def test_messages_keep_keys_and_values(keys):
+    keys = np.array(list(keys), np.uint64)
+    values = [np.arange(len(keys)) - 3, np.full(len(keys), -(2**62))]
+    back = exchange.read(exchange.written(keys, *values), len(keys), 2)
+    assert all((x == y).all() for x, y in zip(back, [keys, *values], strict=True))
+
+
 def test_answers_that_are_not_there_are_an_error():
     told = pa.table({"shard": pa.array([0], pa.int32()), "size": [2], "body": [exchange.squeeze(np.array([4, 5]))]})
     assert exchange.values_of(told, 2, 1)[0].tolist() == [4, 5]
