@@ -5,6 +5,7 @@ compat=False each bar has its own length, and lies after all bars before it.
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notewright.operators import meter
@@ -75,6 +76,54 @@ def hash16(text: Column) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
+def _families(sizes: tuple[int, ...]) -> list[list[int]]:
+    """The sizes, put together with the largest that they divide."""
+    out: list[list[int]] = []
+    for size in sorted(set(sizes), reverse=True):
+        for family in out:
+            if family[0] % size == 0:
+                family.append(size)
+                break
+        else:
+            out.append([size])
+    return out
+
+
+def _blocks(rows: DataFrame, by: list[str], most: int, grid: int) -> DataFrame:
+    """rows (bar, inside, beats_per_bar, bars: how many the song has) -> (by, bars, first, upto, on, accents, pitches) for every `most` bars, also those without
+    notes: the first bar, how many notes lie before each of its bars, onsets and accents by step, pitches in order.
+
+    A note is in one row of one block, whatever the sizes are."""
+    step = F.floor(F.col("inside") / (F.col("beats_per_bar") / grid)).cast("int")
+    # a track whose notes all lie before the first bar has chunks, too
+    inside = F.col("bar") >= 0
+    block = F.when(inside, F.floor(F.col("bar") / most)).otherwise(-1).cast("int")
+    note = F.when(inside, F.struct("bar", F.col("inside").alias("at"), "note_seq", "pitch", step.alias("step"), "velocity"))
+    last = F.ceil(F.col("bars") / most).cast("int") - 1
+    # a track's first note brings all of its blocks along
+    w = W.partitionBy(*by).orderBy("bar")
+    brought = F.when((F.row_number().over(w) == 1) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("brought", brought).select(*by, "bars", note.alias("note"), F.posexplode(F.concat(F.array(block), "brought")).alias("pos", "block"))
+    filled = rows.where(F.col("block").between(0, last)).groupBy(*by, "bars", "block").agg(F.array_sort(F.collect_list(F.when(F.col("pos") == 0, F.col("note")))).alias("notes"))
+    first = F.col("block") * most
+    whole = filled.select(*by, "bars", first.alias("first"), F.least(F.lit(most), F.col("bars") - first).alias("n"), "notes")
+    bars = F.sequence(F.col("first"), F.col("first") + F.col("n"))
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    own = F.transform(F.slice(bars, 1, F.col("n")), lambda b: F.filter("notes", lambda x: x["bar"] == b))
+    sounds = lambda of: F.transform(steps, lambda k: F.exists(of, lambda x: x["step"] == k).cast("int"))
+    loudest = lambda of: F.transform(steps, lambda k: F.coalesce(F.array_max(F.transform(F.filter(of, lambda x: x["step"] == k), lambda x: x["velocity"])) / 127.0, F.lit(0.0)))
+    upto = F.transform(bars, lambda b: F.size(F.filter("notes", lambda x: x["bar"] < b)))
+    return whole.select(*by, "bars", "first", "n", upto.alias("upto"), F.flatten(F.transform(own, sounds)).alias("on"), F.flatten(F.transform(own, loudest)).alias("accents"), F.col("notes.pitch").alias("pitches"))
+
+
+def _taken(grid: int) -> dict[str, Column]:
+    """onset_grid, accent_grid and pitches of chunks (start_bar, end_bar) in blocks."""
+    at, n = F.col("start_bar") - F.col("first"), F.col("end_bar") - F.col("start_bar")
+    before = F.get("upto", at)
+    out = {to: F.slice(c, at * grid + 1, n * grid) for to, c in (("onset_grid", "on"), ("accent_grid", "accents"))}
+    return out | {"pitches": F.slice("pitches", before + 1, F.get("upto", at + n) - before)}
+
+
 def _filled(rows: DataFrame, by: list[str], grid: int) -> DataFrame:
     """rows (bar, inside, beats_per_bar) -> (by, on, accents, pitches) of bars with notes: onsets and accents by step, pitches in order."""
     step = F.floor(F.col("inside") / (F.col("beats_per_bar") / grid)).cast("int")
@@ -97,14 +146,19 @@ def _joined(bars: DataFrame, by: list[str], grid: int) -> DataFrame:
 def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar: float = 4.0, grid: int = 16, signatures: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """Rhythm, pitch and combined fingerprints of all chunks; empty chunks have empty grids of their length.
 
-    Notes are grouped once, by bar; chunks of every size are put together from bars."""
+    Notes are grouped once, by as many bars as the largest size has; chunks of every size that divides it are cut out of that."""
     size = F.col("chunk_size")
     if signatures is None:
-        rows = notes.withColumns({"bar": F.floor(F.col("start_beat") / beats_per_bar).cast("int"), "beats_per_bar": F.lit(beats_per_bar)}).withColumn("inside", F.col("start_beat") - F.col("bar") * beats_per_bar)
-        tracks = notes.select(*TRACK).distinct().join(song_length(notes, beats_per_bar), "song_id")
-        every = tracks.select(*TRACK, "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("bar"))
-        sized = _sized(every.join(_filled(rows, [*TRACK, "bar"], grid), [*TRACK, "bar"], "left"), sizes)
-        whole = _joined(sized.withColumn("end_bar", F.least(F.col("start_bar") + size, F.col("bars"))), [*CHUNK, "end_bar"], grid)
+        # the song's length as a window: notes that are together by song stay so
+        known = notes.where("song_id IS NOT NULL").withColumn("bars", (F.floor(F.max(end_beat()).over(W.partitionBy("song_id")) / beats_per_bar) + 1).cast("int"))
+        rows = known.withColumns({"bar": F.floor(F.col("start_beat") / beats_per_bar).cast("int"), "beats_per_bar": F.lit(beats_per_bar)}).withColumn("inside", F.col("start_beat") - F.col("bar") * beats_per_bar)
+        whole = None
+        for family in _families(sizes):
+            starts = lambda k: F.transform(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(k)), lambda b: F.struct(F.lit(k).alias("chunk_size"), b.alias("start_bar")))
+            each = _blocks(rows, TRACK, family[0], grid).withColumn("c", F.explode(F.flatten(F.array(*map(starts, family)))))
+            each = each.select("*", "c.*").withColumn("end_bar", F.least(F.col("start_bar") + size, F.col("bars")))
+            each = each.select(*CHUNK, "end_bar", *[c.alias(name) for name, c in _taken(grid).items()])
+            whole = each if whole is None else whole.union(each)
         whole = whole.withColumns({"start_beat": F.col("start_bar") * beats_per_bar, "end_beat": F.col("end_bar") * beats_per_bar})
         more = []
     else:

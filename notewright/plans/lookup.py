@@ -85,7 +85,7 @@ def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(query(NOTES_B, repeats.CHUNKS, repeats.PRINTS, repeats.STORE, f"SELECT {repeats.LIST}, (SELECT count(*) FROM patterns) AS total, (SELECT count(*) FROM patterns) > 100 AS has_more FROM patterns ORDER BY occurrences DESC, pattern_id, num_bars LIMIT 50 OFFSET 50"))
 def pattern_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of patterns, how many there are, and whether more follow, of one job."""
-    rows, total, more = patterns.page(patterns.search(repeats.stored(spark, sf_dir)[0]), offset=50, limit=50)
+    rows, total, more = patterns.page(patterns.search(repeats.stored(spark, sf_dir)[0]).select(*repeats.SHOWN), offset=50, limit=50)
     return rows.select(*repeats.SHOWN, F.lit(total).cast("long").alias("total"), F.lit(more).alias("has_more"))
 
 

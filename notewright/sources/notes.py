@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 TRACKS = ["click", "error", "purchase", "signup"]
 
 
+def by_song(rows: DataFrame, song: str) -> DataFrame:
+    """rows with their song_id, all of a song in one of the session's shuffle partitions, whose number stays: notes grow to many times these rows, so
+    their size is no reason to put partitions together. The number of a song is a column before it partitions, so what follows by song needs no other exchange."""
+    return rows.withColumn("song_id", F.expr(song)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "song_id")
+
+
 def notes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A song for ten users, a track for each kind of event; notes follow one another an eighth of a beat apart."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     track = F.lit(4)
     for k in reversed(range(4)):
         track = F.when(F.col("event_type") == TRACKS[k], k).otherwise(track)
-    ranked = events.select(
-        F.expr("user_id div 10").alias("song_id"),
+    ranked = by_song(events, "user_id div 10").select(
+        "song_id",
         track.cast("int").alias("track_id"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 100).cast("long").alias("v"),
         "event_id",
-        (F.row_number().over(W.partitionBy(F.expr("user_id div 10")).orderBy("ts", "event_id")) - 1).alias("rn"),
+        (F.row_number().over(W.partitionBy("song_id").orderBy("ts", "event_id")) - 1).alias("rn"),
     )
 
     def by_track(*values):
@@ -41,12 +47,11 @@ def notes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A song for ten customers, one bar of four notes for each order; few motifs, so bars repeat."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    song = F.expr("o_custkey div 10")
-    bars = orders.select(
-        song.alias("song_id"),
+    bars = by_song(orders, "o_custkey div 10").select(
+        "song_id",
         F.substring("o_orderpriority", 1, 1).cast("int").alias("motif"),
         F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 5).otherwise(7).alias("shift"),
-        (F.row_number().over(W.partitionBy(song).orderBy("o_orderdate", "o_orderkey")) - 1).cast("long").alias("bar"),
+        (F.row_number().over(W.partitionBy("song_id").orderBy("o_orderdate", "o_orderkey")) - 1).cast("long").alias("bar"),
     )
     # after the numbering, as a generator beside a window would come before it
     bars = bars.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
