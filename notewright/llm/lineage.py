@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_and_count(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """cut(df), and of how many rows a condition holds (all, if none is given), told by the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1) if which is None else F.when(which, 1)).alias("n")))
+    return out, seen.get["n"] or 0
+
+
 def table(df: DataFrame, name: str, **options: object) -> DataFrame:
     """df, written to the shared folder now and read from there."""
     to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
