@@ -53,8 +53,11 @@ def with_first_meter(rows: DataFrame, signatures: DataFrame | None, beats_per_ba
 def at_bar(rows: DataFrame, signatures: DataFrame, bar: str, compat: bool = True) -> DataFrame:
     """rows with beats_per_bar, the length that holds at a bar, and bar_beat, where that bar starts: its number times that length, or
     with compat=False after the beats of all bars before it."""
-    held = clock(signatures).withColumn(bar, F.col("sig_bar"))
-    out = asof_backward(rows, held, bar, ["song_id"], ["sig_bar", "sig_start", "beats_per_bar"]).fillna({"sig_bar": 0, "sig_start": 0.0, "beats_per_bar": COMMON})
+    # a song's signatures are few beside what they are looked up for, so they come along as a list: nothing is sorted by bar
+    known = clock(signatures).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("sig_bar", "sig_start", "beats_per_bar"))).alias("_clock"))
+    held = F.filter("_clock", lambda c: c["sig_bar"] <= F.col(bar))
+    out = rows.join(known, "song_id", "left").withColumn("_held", F.get(held, F.size(held) - 1))
+    out = out.select(*rows.columns, *[F.col(f"_held.{c}").alias(c) for c in ("sig_bar", "sig_start", "beats_per_bar")]).fillna({"sig_bar": 0, "sig_start": 0.0, "beats_per_bar": COMMON})
     start = F.col(bar) * F.col("beats_per_bar") if compat else F.col("sig_start") + (F.col(bar) - F.col("sig_bar")) * F.col("beats_per_bar")
     return out.withColumn("bar_beat", start).drop("sig_bar", "sig_start")
 

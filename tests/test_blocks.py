@@ -39,3 +39,12 @@ def test_sizes_that_share_no_block_and_notes_outside_the_song(spark):
         assert r.onset_grid == [int(x in steps) for x in range(16 * (stop - k[3]))]
         assert r.accent_grid == [max([n[6] / 127.0 for n, s in zip(own, steps, strict=True) if s == x], default=0.0) for x in range(16 * (stop - k[3]))]
         assert r.pitch_classes == [sum(n[5] % 12 == c for n in own) for c in range(12)]
+
+
+def test_metered_chunks_are_cut_out_of_blocks(spark):
+    from notewright.plans import meters
+
+    for name in ("chunks_with_meter", "fingerprints_with_meter"):
+        text = plan(meters.QUERIES[name](spark, DATA))
+        # spans are not sorted with signatures as a union, and meet blocks, not bars
+        assert "Union" not in text and text.count("collect_list(CASE") % 2 == 0 and "collect_list(struct(bar" not in text, name
