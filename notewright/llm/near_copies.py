@@ -101,11 +101,12 @@ def by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.union(close)
 
 
-def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """sets (row, n, fp, bands; a row for each distinct set) -> (a, b): links that join all candidates that are alike.
+def parts(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """sets (row, n, fp, bands; a row for each distinct set) -> (row, component): each row with others that are alike, and the smallest row it reaches by candidates that are.
 
     The most central set of each band, that which shares bands with most others, meets all others of its band. Only sets of one band that
-    this has not joined then meet each other, within tasks that give a forest of links. So no group costs a row for each of its pairs.
+    this has not joined then meet each other, within tasks that give a forest of links. So no group costs a row for each of its pairs. These last
+    links are between parts that are joined already, so rows are labelled once and parts, which are few, once more.
     """
     keyed = cut(sets.select("row", "n", F.explode("bands").alias("key")))
     # tables of their own: a join with what is grouped in the same stage could not be split where one key has many rows
@@ -132,19 +133,21 @@ def links(sets: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataF
     meetings = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("c"), F.greatest(own, j).alias("d")))
     dealt = members.select("key", F.explode(meetings).alias("m"), "row", "part").select("key", "m.c", "m.d", "row", "part")
     whole = dealt.join(listed_sets(docs, members.select("row").distinct(), shingle), "row")
-    together = whole.select("key", "c", "d", "row", "part", "shingles").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d")
-    return found.union(together.mapInArrow(lambda batches: forests(batches, least), "a long, b long"))
+    together = whole.select("key", "c", "d", "part", "shingles").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d")
+    over = connected_components(together.mapInArrow(lambda batches: forests(batches, least), "a long, b long")).withColumnRenamed("node", "part")
+    # a part that no row of `of` is in is a row of its own
+    return of.join(over, "part", "full").select(F.coalesce("row", "part").alias("row"), F.coalesce("component", "part").alias("component"))
 
 
 def forests(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each group of rows (key, c, d, row, part, shingles), which stand together."""
+    """Links (a, b) of parts in each group of rows (key, c, d, part, shingles), which stand together."""
     left: list[pa.RecordBatch] = []
 
     def links_of(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-        row, part, lists = table.column("row").to_numpy(), table.column("part").to_numpy(), table.column("shingles").combine_chunks()
+        part, lists = table.column("part").to_numpy(), table.column("shingles").combine_chunks()
         size, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
         at = np.concatenate([[0], np.cumsum(size)])
-        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in forest(row[a:b], part[a:b], size[a:b], values[at[a] : at[b]], least)]
+        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in forest(part[a:b], size[a:b], values[at[a] : at[b]], least)]
         return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -160,30 +163,30 @@ def forests(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield links_of(table, [0, table.num_rows])
 
 
-def forest(rows: np.ndarray, part: np.ndarray, size: np.ndarray, shingles: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links between alike sets, listed one behind another, that join whatever rows hang together; rows of one part do already."""
+def forest(part: np.ndarray, size: np.ndarray, shingles: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between the parts of alike sets, listed one behind another, that join whatever hangs together; rows of one part do already."""
     _, root = np.unique(part, return_inverse=True)
     if not root.any():
         return []
     _, code, times = np.unique(shingles, return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(len(rows)), size), times[code] > 1
+    owner, shared = np.repeat(np.arange(len(part)), size), times[code] > 1
     # shingles of one set alone are in no intersection
     code, owner = code[shared], owner[shared]
-    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    first = np.searchsorted(owner, np.arange(len(part) + 1))
     order = np.argsort(code, kind="stable")
     who, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(times)))])
     out = []
-    for i in range(len(rows)):
+    for i in range(len(part)):
         other = (root != root[i]) & (np.minimum(size, size[i]) / np.maximum(size, size[i]) >= least)
         if not other.any():
             continue
         own = code[first[i] : first[i + 1]]
         start, n = begin[own], begin[own + 1] - begin[own]
         met = who[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        both = np.bincount(met, minlength=len(rows))
+        both = np.bincount(met, minlength=len(part))
         for j in np.flatnonzero(other & (both / (size + size[i] - both) >= least)).tolist():
             if root[j] != root[i]:
-                out.append((int(rows[i]), int(rows[j])))
+                out.append((int(part[i]), int(part[j])))
                 root[root == root[j]] = root[i]
     return out
 
@@ -197,6 +200,6 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) ->
     texts = docs.select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text"))
     place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("place")
     sets = cut(signed(texts, shingle).groupBy("n", "s", "t").agg(place, F.first("fp").alias("fp"), F.first("bands").alias("bands")).select(F.col("place.row").alias("row"), "place", "n", "fp", "bands"))
-    of = connected_components(links(sets.select("row", "n", "fp", "bands"), texts, shingle, least)).withColumnRenamed("node", "row")
+    of = parts(sets.select("row", "n", "fp", "bands"), texts, shingle, least)
     kept = sets.join(of, "row", "left").groupBy(F.coalesce("component", "row").alias("part")).agg(F.min("place").alias("place")).select(F.col("place.row").alias("kept"))
     return docs.select(F.struct(*docs.columns).alias("whole"), row.alias("row")).join(kept, F.col("row") == F.col("kept"), "left_semi").select("whole.*")

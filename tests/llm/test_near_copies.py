@@ -64,3 +64,19 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "d"))
     assert near_copies.keep_first(spark.read.parquet(str(tmp_path / "d"))).count() == 0
+
+
+def test_rows_are_labelled_once_and_then_only_parts(spark, tmp_path, monkeypatch):
+    """The second search for components meets labels of the first and rows of their own, never the rows' links again."""
+    rows, calls, of = planted(1), [], near_copies.connected_components
+
+    def watched(edges):
+        out = of(edges)
+        calls.append(({x for r in edges.collect() for x in r}, {r.node: r.component for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near_copies, "connected_components", watched)
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))
+    assert sorted(r.doc_id for r in near_copies.keep_first(spark.read.parquet(str(tmp_path / "d"))).collect()) == [i for i, _ in firsts(rows)]
+    (_, first), (parts, _) = calls
+    assert len(first) > 50 and all(first.get(x, x) == x for x in parts)
