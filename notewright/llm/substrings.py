@@ -306,11 +306,13 @@ def dedup_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     packed = exchange.stored(docs, F.lit(0))
     told = exchange.tell(exchange.each(packed, ask, exchange.ASKED), [np.add]).select("unit", "shard", "size", "body")
     sent = packed.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(lambda own, told: send(own, told, shards, hot), SENT)
-    sent = table(sent.withColumns({"h1": F.xxhash64("words", "spread"), "h2": F.xxhash64(F.lit(7), "spread", "words")}), "passages")
+    sent = table(sent, "passages")
+    # a passage's name of 128 bits is worked out where it is needed: bytes that are noise are neither written nor exchanged with its words
+    named = lambda rows: rows.withColumns({"h1": F.xxhash64("words", "spread"), "h2": F.xxhash64(F.lit(7), "spread", "words")})
     # equal passages of all units become one row within the shard's own partition
-    once = sent.where("place >= 0").repartition("shard").groupBy("shard", "spread", "words", "offset", "windows", "h1", "h2").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-    decided = once.groupBy("shard").applyInArrow(decide, DECIDED)
-    back = sent.where("place >= 0").select("unit", "place", "shard", "h1", "h2").join(decided, ["shard", "h1", "h2"]).select("unit", "place", "shard", F.lit(None).cast("int").alias("windows"), F.lit(None).cast("binary").alias("words"), "lesser", "numbers")
+    once = sent.where("place >= 0").repartition("shard").groupBy("shard", "spread", "words", "offset", "windows").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    decided = named(once).groupBy("shard").applyInArrow(decide, DECIDED)
+    back = named(sent.where("place >= 0")).select("unit", "place", "shard", "h1", "h2").join(decided, ["shard", "h1", "h2"]).select("unit", "place", "shard", F.lit(None).cast("int").alias("windows"), F.lit(None).cast("binary").alias("words"), "lesser", "numbers")
     notes = sent.where("place < 0").select("unit", "place", "shard", "windows", "words", F.lit(None).cast("array<long>").alias("lesser"), F.lit(None).cast("array<int>").alias("numbers"))
 
     def cut(own: pa.Table, mail: pa.Table) -> pa.Table:

@@ -574,3 +574,12 @@ def test_only_a_text_of_one_line_makes_a_chunk_of_one_line(spark):
     for x in got:
         assert [y for c in x.c for y in c] == x.text.split("\n")
         assert min(map(len, x.c)) >= min(2, len(x.text.split("\n"))) and max(map(len, x.c)) <= line_dedup.LONGEST
+
+
+def test_names_of_passages_are_neither_written_nor_exchanged_with_words(spark, monkeypatch):
+    held, keep = [], substrings.table
+    monkeypatch.setattr(substrings, "table", lambda df, name, **o: held.append(df.columns) or keep(df, name, **o))
+    body = " ".join(f"w{k}" for k in range(40))
+    got = substrings.dedup_passages(docs(spark, [(1, f"a {body} b"), (2, f"c {body} d")]))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 42, 0), (2, 42, 40)]
+    assert held == [[c.split()[0] for c in substrings.SENT.split(", ")]]
