@@ -73,8 +73,9 @@ def _families(sizes: tuple[int, ...]) -> list[list[int]]:
 
 
 def _blocks(rows: DataFrame, by: list[str], most: int, grid: int) -> DataFrame:
-    """rows (bar, inside, beats_per_bar, bars: how many the song has) -> (by, bars, first, upto, on, accents, pitches) for every `most` bars, also those without
-    notes: the first bar, how many notes lie before each of its bars, onsets and accents by step, pitches in order.
+    """rows (bar, inside, beats_per_bar, bars: how many the song has) -> (by, bars, first, n, upto, on, sounding, accents, pitches, between, said, ways, classes) for every
+    `most` bars, also those without notes: the first bar, how many bars, how many notes lie before each of them, onsets (also as text) and accents by step,
+    pitches in order, intervals (also as texts), their directions and pitch classes. So each is worked out once, and not again for each size.
 
     A note is in one row of one block, whatever the sizes are."""
     step = F.floor(F.col("inside") / (F.col("beats_per_bar") / grid)).cast("int")
@@ -87,24 +88,34 @@ def _blocks(rows: DataFrame, by: list[str], most: int, grid: int) -> DataFrame:
     w = W.partitionBy(*by).orderBy("bar")
     brought = F.when((F.row_number().over(w) == 1) & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("brought", brought).select(*by, "bars", note.alias("note"), F.posexplode(F.concat(F.array(block), "brought")).alias("pos", "block"))
-    filled = rows.where(F.col("block").between(0, last)).groupBy(*by, "bars", "block").agg(F.array_sort(F.collect_list(F.when(F.col("pos") == 0, F.col("note")))).alias("notes"))
+    filled = rows.where(F.col("block").between(0, last)).groupBy(*by, "bars", "block").agg(F.sort_array(F.collect_list(F.when(F.col("pos") == 0, F.col("note")))).alias("notes"))
     first = F.col("block") * most
     whole = filled.select(*by, "bars", first.alias("first"), F.least(F.lit(most), F.col("bars") - first).alias("n"), "notes")
     bars = F.sequence(F.col("first"), F.col("first") + F.col("n"))
+    whole = whole.withColumn("upto", F.transform(bars, lambda b: F.size(F.filter(F.col("notes.bar"), lambda x: x < b))))
     steps = F.sequence(F.lit(0), F.lit(grid - 1))
-    own = F.transform(F.slice(bars, 1, F.col("n")), lambda b: F.filter("notes", lambda x: x["bar"] == b))
+    # notes are in order, so those of a bar are neighbours
+    own = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("notes", F.get("upto", i) + 1, F.get("upto", i + 1) - F.get("upto", i)))
     sounds = lambda of: F.transform(steps, lambda k: F.exists(of, lambda x: x["step"] == k).cast("int"))
-    loudest = lambda of: F.transform(steps, lambda k: F.coalesce(F.array_max(F.transform(F.filter(of, lambda x: x["step"] == k), lambda x: x["velocity"])) / 127.0, F.lit(0.0)))
-    upto = F.transform(bars, lambda b: F.size(F.filter("notes", lambda x: x["bar"] < b)))
-    return whole.select(*by, "bars", "first", "n", upto.alias("upto"), F.flatten(F.transform(own, sounds)).alias("on"), F.flatten(F.transform(own, loudest)).alias("accents"), F.col("notes.pitch").alias("pitches"))
+    loud = lambda of, k: F.coalesce(F.array_max(F.transform(F.filter(of, lambda x: x["step"] == k), lambda x: x["velocity"])) / 127.0, F.lit(0.0))
+    loudest = lambda of: F.transform(steps, lambda k: F.when(F.exists(of, lambda x: x["step"] == k), loud(of, k)).otherwise(0.0))
+    whole = whole.select(*by, "bars", "first", "n", "upto", F.flatten(F.transform(own, sounds)).alias("on"), F.flatten(F.transform(own, loudest)).alias("accents"), F.col("notes.pitch").alias("pitches"))
+    many = F.greatest(F.size("pitches") - 1, F.lit(0))
+    whole = whole.withColumn("between", F.zip_with(F.slice("pitches", 2, many), F.slice("pitches", 1, many), lambda b, a: b - a))
+    texts = {to: F.transform(c, lambda x: x.cast("string")) for to, c in (("sounding", "on"), ("said", "between"))}
+    signs = F.transform("between", lambda x: F.signum(x.cast("double")).cast("int"))
+    return whole.withColumns({"sounding": F.array_join(texts["sounding"], ""), "said": texts["said"], "ways": signs, "classes": F.transform("pitches", lambda p: F.pmod(p, F.lit(12)))})
 
 
 def _taken(grid: int) -> dict[str, Column]:
-    """onset_grid, accent_grid and pitches of chunks (start_bar, end_bar) in blocks."""
+    """onset_grid, accent_grid, pitches and intervals of chunks (start_bar, end_bar) in blocks, and what hashes and counts are made of."""
     at, n = F.col("start_bar") - F.col("first"), F.col("end_bar") - F.col("start_bar")
     before = F.get("upto", at)
     out = {to: F.slice(c, at * grid + 1, n * grid) for to, c in (("onset_grid", "on"), ("accent_grid", "accents"))}
-    return out | {"pitches": F.slice("pitches", before + 1, F.get("upto", at + n) - before)}
+    many = F.get("upto", at + n) - before
+    out |= {to: F.slice(to, before + 1, many) for to in ("pitches", "classes")}
+    out |= {to: F.slice(c, before + 1, F.greatest(many - 1, F.lit(0))) for to, c in (("intervals", "between"), ("said", "said"), ("contour", "ways"))}
+    return out | {"sounding": F.col("sounding").substr(at * grid + 1, n * grid)}
 
 
 def _metered(notes: DataFrame, sizes: tuple[int, ...], signatures: DataFrame, compat: bool, grid: int) -> DataFrame:
@@ -142,20 +153,17 @@ def fingerprints(notes: DataFrame, sizes: tuple[int, ...] = SIZES, beats_per_bar
         more = ["beats_per_bar"]
         whole = _metered(notes, sizes, signatures, compat, grid)
         whole = whole.select(*CHUNK, "end_bar", "beats_per_bar", "start_beat", "end_beat", *[c.alias(name) for name, c in _taken(grid).items()])
-    base = whole.select(*CHUNK, "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("num_bars"), "start_beat", "end_beat", "onset_grid", "accent_grid", "pitches", *more)
     n = F.size("pitches")
-    intervals = F.when(n > 1, F.zip_with(F.slice("pitches", 2, F.greatest(n - 1, F.lit(1))), F.slice("pitches", 1, F.greatest(n - 1, F.lit(1))), lambda b, a: b - a)).otherwise(F.array().cast("array<int>"))
-    out = base.withColumns({"note_count": n.cast("long"), "intervals": intervals})
+    base = whole.select(*CHUNK, "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("num_bars"), "start_beat", "end_beat", "onset_grid", "accent_grid", "pitches", *more, n.cast("long").alias("note_count"), "intervals", "contour", "classes", "sounding", "said")
     mean = F.when(n > 0, F.aggregate("pitches", F.lit(0), lambda a, x: a + x) / n).otherwise(0.0)
-    out = out.withColumns(
+    out = base.withColumns(
         {
-            "contour": F.transform("intervals", lambda x: F.signum(x.cast("double")).cast("int")),
-            "pitch_classes": F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.size(F.filter("pitches", lambda p: F.pmod(p, F.lit(12)) == k))),
+            "pitch_classes": F.array(*[n - F.size(F.array_remove("classes", F.lit(k))) for k in range(12)]),
             "range_semitones": F.when(n > 0, F.array_max("pitches") - F.array_min("pitches")).otherwise(0),
             "mean_pitch": mean,
-            "rhythm_hash": hash16(F.array_join(F.transform("onset_grid", lambda x: x.cast("string")), "")),
-            "pitch_hash": hash16(F.array_join(F.transform("intervals", lambda x: x.cast("string")), ",")),
-            "density": F.aggregate("onset_grid", F.lit(0), lambda a, x: a + x) / F.size("onset_grid"),
+            "rhythm_hash": hash16(F.col("sounding")),
+            "pitch_hash": hash16(F.array_join("said", ",")),
+            "density": F.length(F.replace("sounding", F.lit("0"), F.lit(""))) / F.size("onset_grid"),
         }
     )
-    return out.withColumn("pattern_id", hash16(F.concat_ws(":", "rhythm_hash", "pitch_hash")))
+    return out.drop("classes", "sounding", "said").withColumn("pattern_id", hash16(F.concat_ws(":", "rhythm_hash", "pitch_hash")))

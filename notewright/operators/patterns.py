@@ -28,7 +28,7 @@ GROUP = [*TRACK, "chunk_size"]
 
 def exact_clusters(prints: DataFrame) -> DataFrame:
     """(song, track, chunk_size, pattern_id, occurrences, first_bar, bar_positions): chunks with one fingerprint."""
-    out = prints.groupBy(*GROUP, "pattern_id").agg(F.count(F.lit(1)).alias("occurrences"), F.min("start_bar").alias("first_bar"), F.array_sort(F.collect_list("start_bar")).alias("bar_positions"))
+    out = prints.groupBy(*GROUP, "pattern_id").agg(F.count(F.lit(1)).alias("occurrences"), F.min("start_bar").alias("first_bar"), F.sort_array(F.collect_list("start_bar")).alias("bar_positions"))
     return out.withColumn("confidence", F.lit(1.0))
 
 
