@@ -171,7 +171,8 @@ def pattern_search_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(query(NOTES_B, CHUNKS, PRINTS, STORE, f"SELECT {LIST} FROM patterns WHERE rhythm_hash = '{chr(37)}'").replace("'%'", "(SELECT max(rhythm_hash) FROM patterns WHERE num_bars = 1)"))
 def pattern_search_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stored(spark, sf_dir)[0]
+    # read twice, so it is worked out before
+    found = cut(stored(spark, sf_dir)[0].select(*SHOWN))
     most = found.where("num_bars = 1").agg(F.max("rhythm_hash").alias("rhythm_hash"))
     return found.join(F.broadcast(most), "rhythm_hash", "left_semi").select(*SHOWN)
 

@@ -35,6 +35,11 @@ def test_chunks_are_cut_without_going_through_their_steps_again(spark):
         assert "lambda" not in text.split("Generate explode(flatten")[0], name
 
 
+def test_search_by_hash_works_patterns_out_once(spark):
+    found = repeats.QUERIES["pattern_search_hash"](spark, DATA)
+    assert "Generate" not in plan(found) and found.select("rhythm_hash").distinct().count() == 1
+
+
 def test_sizes_that_share_no_block_and_notes_outside_the_song(spark):
     data = [(1, 0, k, k * 1.7, 0.5, 60 + k * 5 % 13, 1 + k * 7 % 120, 0) for k in range(60)] + [(1, 1, 0, 41.0, 0.25, 50, 99, 1), (1, 2, 0, -3.0, 0.5, 50, 99, 1), (2, 0, 0, 5.0, -4.5, 50, 99, 1), (3, 0, 0, 3.999, 0.001, 50, 99, 1)]
     got = {(r.song_id, r.track_id, r.chunk_size, r.start_bar): r for r in chunks.fingerprints(spark.createDataFrame(data, NOTES), (2, 3, 5, 6)).collect()}
