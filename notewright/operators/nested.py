@@ -93,7 +93,8 @@ def rhythm_struct() -> Column:
     """A rhythm fingerprint with the names and digits of its JSON; grid_size is the steps of a bar."""
     return F.struct(
         "onset_grid",
-        F.transform("accent_grid", lambda a: F.round(a, 3)).alias("accent_grid"),
+        # most steps are silent, and rounding a double is dear
+        F.transform("accent_grid", lambda a: F.when(a == 0, a).otherwise(F.round(a, 3))).alias("accent_grid"),
         (F.size("onset_grid") / F.col("num_bars")).cast("int").alias("grid_size"),
         "num_bars",
         "note_count",

@@ -35,6 +35,17 @@ def test_chunks_are_cut_without_going_through_their_steps_again(spark):
         assert "lambda" not in text.split("Generate explode(flatten")[0], name
 
 
+def test_json_rounds_only_steps_that_sound(spark):
+    from pyspark.sql import functions as F
+
+    from notewright.operators import nested
+
+    grid = spark.createDataFrame([([0.0, 100 / 127.0, 1.0, None],)], "accent_grid array<double>")
+    out = grid.select(*[F.lit(1).alias(c) for c in ("num_bars", "note_count", "rhythm_hash", "density")], F.array(F.lit(1)).alias("onset_grid"), "accent_grid").select(nested.rhythm_struct().alias("r"))
+    assert out.first().r.accent_grid == [0.0, 0.787, 1.0, None]
+    assert "CASE WHEN (lambda" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_search_by_hash_works_patterns_out_once(spark):
     found = repeats.QUERIES["pattern_search_hash"](spark, DATA)
     assert "Generate" not in plan(found) and found.select("rhythm_hash").distinct().count() == 1
