@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from notewright.operators import patterns
@@ -35,3 +36,50 @@ def test_tiles_equal_every_pair(spark, monkeypatch, least, same):
             if t[0] != p[0] and (t[1] == p[1] or not same) and score >= least:
                 want[t[0], p[0]] = score
     assert got == want and want
+
+
+def exchanged(df):
+    """Rows that went through exchanges once df has been collected."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+        return own + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_what_is_exchanged_grows_with_rows_not_with_pairs(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "TILE", (16, 8))
+    monkeypatch.setattr(patterns, "MOST_DEALT", (4, 2), raising=False)
+    moved = []
+    for n in (250, 1000):
+        table = spark.createDataFrame(rows(n), "pattern_id string, num_bars int, onset_grid array<int>, pitch_classes array<int>")
+        moved.append(exchanged(patterns.find_similar(table, table.where("right(pattern_id, 1) in ('0', '5')"), 0.9)))
+    assert 0 < moved[1] < 4.5 * moved[0], moved
+
+
+def test_a_tile_gives_its_pairs_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "STRIPE", 16)
+    monkeypatch.setattr(patterns, "BATCH", 100)
+    p = pa.table({"pattern_id": [f"p{k}" for k in range(64)], "num_bars": [1] * 64, "_on": [[0, 4, 8]] * 64, "pitch_classes": [[1, 2]] * 64})
+    q = pa.table({"target": [f"t{k}" for k in range(64)], "_bars": [1] * 64, "_g": [[0, 4, 8]] * 64, "_p": [[1, 2]] * 64})
+    (row,) = patterns.together(p, q).to_batches()
+    assert row["weights"].to_pylist() == [[3]], "steps that sound together are one column"
+    sizes = [b.num_rows for b in patterns.scored([row], 0.8, False)]
+    assert sum(sizes) == 64 * 64 and max(sizes) < 100 + 16 * 16
+
+
+def test_odd_patterns(spark):
+    given = [("a", 1, [1, 0, 1], [0.1, 0.7, 1e-3]), ("a", 2, [1, 0, 1, 1], [0.1, 0.7, 1e-3]), ("b", None, [1, 0, 1], [0.2, 1.4, 2e-3]), ("c", 1, [1, 0, 1], [1e9, 7e9, 1e7]), ("d", 1, [1, 0, 1], [1e-200, 0.0, 0.0]), ("e", 2, [1, 0, 1], [0.0, 0.0, 0.0]), (None, 1, [1, 0, 1], [0.1, 0.7, 1e-3]), ("f", 1, None, [0.1, 0.7, 1e-3]), ("g", 1, [1, 0, 1], None), ("h", 1, [0, 1, 0], [0.1, 0.7, 1e-3])]
+    table = spark.createDataFrame(given, "pattern_id string, num_bars int, onset_grid array<int>, pitch_classes array<double>")
+    for least in (0.8, 0.99):
+        got = sorted((r.target, r.pattern_id, r.num_bars or 0, round(r.similarity, 9)) for r in patterns.find_similar(table, table, least).collect())
+        # what single pairs give, by the way for a least that says nothing of steps
+        pairs = patterns.find_similar(table, table, 0.5).where(f"similarity >= {least}")
+        assert got and got == sorted((r.target, r.pattern_id, r.num_bars or 0, round(r.similarity, 9)) for r in pairs.collect())
